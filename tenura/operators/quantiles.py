@@ -1,9 +1,10 @@
 """Exact quantiles that never gather a column in one task.
 
-A quantile needs the values at two ranks. Each pass counts rows per equal-width bin, finds the bin that
-holds a wanted rank, and the next pass looks only inside that bin. What leaves a task is a bounded number
-of bin counts per group, so neither a hot value nor a very large group ends up in one place, and the last
-pass orders only the distinct values that share one bin of the finest level.
+Rows are first counted per distinct value, combined before the one shuffle this needs, so a value held by a
+third of all rows costs one row. A quantile needs the values at two ranks. Counting per equal-width bin finds
+the bin that holds a wanted rank, the next level looks only inside that bin, and the last step orders only the
+distinct values that share one bin of the finest level. Every level reads the same counted values, which
+adaptive execution computes once and reuses.
 """
 
 from __future__ import annotations
@@ -24,9 +25,13 @@ def rank_values(
     NULL values and NULL groups do not take part.
     """
     by = by or []
-    rows = df.select(*by, F.col(column).cast("double").alias("_v")).dropna()
-    span = rows.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("s")).scalar()
-    rows = rows.withColumn("_x", F.coalesce(F.try_divide(F.col("_v") - span["lo"], span["hi"] - span["lo"]), F.lit(0.0)))
+    values = df.select(*by, F.col(column).cast("double").alias("_v")).dropna().groupBy(*by, "_v")
+    values = values.agg(F.count(F.lit(1)).alias("_c"))
+    span = values.agg(
+        F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("_c").alias("rows")).alias("s")
+    ).scalar()
+    share = F.try_divide(F.col("_v") - F.col("_span.lo"), F.col("_span.hi") - F.col("_span.lo"))
+    rows = values.withColumn("_span", span).withColumn("_x", F.coalesce(share, F.lit(0.0))).drop("_span")
     bins = [f"_bin{i}" for i in range(levels)]
     rest = F.col("_x") * BINS
     for name in bins:
@@ -38,7 +43,8 @@ def rank_values(
     for level in range(1, levels + 1):
         inside = by + bins[:level]
         position = bins[level] if level < levels else "_v"
-        counted = rows.join(F.broadcast(found), inside).groupBy(*found.columns, position).agg(F.count("*").alias("_c"))
+        held = rows.join(F.broadcast(found), inside)
+        counted = held.groupBy(*found.columns, position).agg(F.sum("_c").alias("_c"))
         before = F.sum("_c").over(_up_to_here(slot, position)) - F.col("_c")
         found = (
             counted.withColumn("_before", before)
@@ -79,7 +85,7 @@ def _wanted_ranks(rows: DataFrame, by: list[str], bin_column: str, probabilities
     group = Window.partitionBy(*by)
     counts = (
         rows.groupBy(*by, bin_column)
-        .agg(F.count("*").alias("_c"))
+        .agg(F.sum("_c").alias("_c"))
         .withColumn("_n", F.sum("_c").over(group))
         .withColumn("_before", F.sum("_c").over(_up_to_here(by, bin_column)) - F.col("_c"))
     )

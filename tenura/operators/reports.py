@@ -9,7 +9,9 @@ from tenura import schema as S
 from tenura.functions.bins import tenure_band, tenure_group
 from tenura.operators.quantiles import quantiles
 
-ROWS = F.count(F.lit(1))
+
+def _rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def _churned(column: str = "churn") -> Column:
@@ -34,7 +36,7 @@ def _zero(value: Column) -> Column:
 
 def churn_distribution(df: DataFrame) -> DataFrame:
     """Customers per churn value and their share; the window runs over the grouped result only."""
-    grouped = df.groupBy("churn").agg(ROWS.alias("customers"))
+    grouped = df.groupBy("churn").agg(_rows().alias("customers"))
     share = F.col("customers") / F.sum("customers").over(Window.partitionBy())
     return grouped.select("churn", "customers", F.round(share * 100, 2).alias("pct"))
 
@@ -42,7 +44,7 @@ def churn_distribution(df: DataFrame) -> DataFrame:
 def crosstab_pct(df: DataFrame, category: str, by: str = "churn", values: list[str] | None = None) -> DataFrame:
     """Counts and row percentages of `by` within each category, 0 where a combination does not occur."""
     values = values or S.YES_NO
-    counts = df.where(F.col(category).isNotNull()).groupBy(category).pivot(by, values).agg(ROWS)
+    counts = df.where(F.col(category).isNotNull()).groupBy(category).pivot(by, values).agg(_rows())
     total = sum((F.coalesce(F.col(v), F.lit(0)) for v in values[1:]), F.coalesce(F.col(values[0]), F.lit(0)))
     cells = [F.coalesce(F.col(v), F.lit(0)).alias(f"{v.lower()}_count") for v in values]
     shares = [(F.coalesce(F.col(v), F.lit(0)) / total * 100).alias(f"{v.lower()}_pct") for v in values]
@@ -56,7 +58,7 @@ def tenure_group_crosstab(df: DataFrame) -> DataFrame:
 def churn_by_contract(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("contract")
-        .agg(ROWS.alias("total"), F.count_if(_churned()).alias("churned"))
+        .agg(_rows().alias("total"), F.count_if(_churned()).alias("churned"))
         .withColumn("churn_rate", F.round(F.col("churned") * F.lit(100.0) / F.col("total"), 1))
         .orderBy(F.desc("churn_rate"), "contract")
     )
@@ -65,7 +67,7 @@ def churn_by_contract(df: DataFrame) -> DataFrame:
 def churn_by_band(df: DataFrame) -> DataFrame:
     return (
         df.groupBy(tenure_band().alias("tenure_band"))
-        .agg(ROWS.alias("total"), F.round(_rate(), 1).alias("churn_pct"))
+        .agg(_rows().alias("total"), F.round(_rate(), 1).alias("churn_pct"))
         .orderBy("tenure_band")
     )
 
@@ -103,7 +105,7 @@ def high_risk_customers(df: DataFrame) -> DataFrame:
 
 def high_risk_segment(df: DataFrame) -> DataFrame:
     """Size and churn rate of month-to-month customers in their first year."""
-    return high_risk_customers(df).agg(ROWS.alias("customers"), _rate().alias("churn_pct"))
+    return high_risk_customers(df).agg(_rows().alias("customers"), _rate().alias("churn_pct"))
 
 
 def lookup(stored: DataFrame, customer_id: str) -> DataFrame:
@@ -242,7 +244,7 @@ def pred_by(stored: DataFrame, column: str) -> DataFrame:
 def segment_distribution(stored: DataFrame) -> DataFrame:
     return (
         stored.groupBy("ltv_segment")
-        .agg(ROWS.alias("customers"), F.round(F.avg("ltv_predicted"), 2).alias("avg_ltv"))
+        .agg(_rows().alias("customers"), F.round(F.avg("ltv_predicted"), 2).alias("avg_ltv"))
         .orderBy(F.desc("avg_ltv"), "ltv_segment")
     )
 
@@ -277,7 +279,7 @@ def business_summary(stored: DataFrame) -> DataFrame:
     """Portfolio totals with one column per value segment."""
     return (
         stored.agg(
-            ROWS.alias("total_customers"),
+            _rows().alias("total_customers"),
             F.count_if(_churned()).alias("churned_customers"),
             F.round(F.avg("ltv_predicted"), 2).alias("avg_predicted_ltv"),
             F.round(_zero(F.sum(_where(_churned(), F.col("ltv_predicted")))), 2).alias("total_revenue_at_risk"),
@@ -305,7 +307,7 @@ def batch_summary(scored: DataFrame) -> DataFrame:
     """Totals of a scored batch; the rate of an empty batch is 0."""
     return (
         scored.agg(
-            ROWS.alias("total_customers"),
+            _rows().alias("total_customers"),
             F.coalesce(F.sum("churn_prediction"), F.lit(0)).alias("churners_predicted"),
             F.round(_zero(F.sum("revenue_at_risk")), 2).alias("total_revenue_at_risk"),
         )
@@ -317,7 +319,7 @@ def batch_summary(scored: DataFrame) -> DataFrame:
 
 
 def label_counts(scored: DataFrame, column: str) -> DataFrame:
-    return scored.groupBy(column).agg(ROWS.alias("rows")).orderBy(F.desc("rows"), column)
+    return scored.groupBy(column).agg(_rows().alias("rows")).orderBy(F.desc("rows"), column)
 
 
 def high_risk_premium(stored: DataFrame, n: int = 20) -> DataFrame:

@@ -1,6 +1,12 @@
 """All registered queries: importing this module fills the registry."""
 
-from tenura.plans import encoding_queries, table_queries  # noqa: F401
+from tenura.plans import (  # noqa: F401
+    distribution_queries,
+    encoding_queries,
+    evaluation_queries,
+    report_queries,
+    table_queries,
+)
 from tenura.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -12,7 +12,9 @@ from tenura.functions.bins import ltv_segment, priority, risk_label
 from tenura.operators import encode
 from tenura.operators.ltv import capped_and_segmented, ltv_target
 from tenura.operators.split import integer_key_hash
+from tenura.session import new_path
 from tenura.sources.subscribers import customers
+from tenura.sources.tables import TableStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,12 +92,25 @@ def formula_ltv():
     return F.floor(cents * (900 + integer_key_hash("k") % 201) / 1000) / F.lit(100.0)
 
 
-def stored(spark: SparkSession, folder: str) -> DataFrame:
+def valued(spark: SparkSession, folder: str) -> DataFrame:
     """The customer value table with a formula prediction."""
     full = capped_and_segmented(ltv_target(featured(spark, folder)))
     return full.withColumn("ltv_predicted", formula_ltv()).select("k", *S.CUSTOMERS_LTV_COLUMNS)
 
 
+_TABLES: dict[tuple[str, str], TableStore] = {}
+
+
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a stored table, written once per session and input folder; the value reports read it."""
+    place = (spark.sparkContext.applicationId, folder)
+    if place not in _TABLES:
+        store = TableStore(spark, new_path(spark, "tables"))
+        store.write(valued(spark, folder), "customers_ltv")
+        _TABLES[place] = store
+    return _TABLES[place].read("customers_ltv")
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Key, label and formula score of every customer."""
     return customers(spark, folder).select(
