@@ -4,6 +4,7 @@ from tenura.plans import (  # noqa: F401
     distribution_queries,
     encoding_queries,
     evaluation_queries,
+    model_queries,
     report_queries,
     table_queries,
 )
