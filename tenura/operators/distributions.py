@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenura.functions.bins import bin_edge, equal_width_bin
-from tenura.operators.quantiles import quantiles
+from tenura.operators.quantiles import counted_quantiles, counted_values, present
 
 
 def histogram(df: DataFrame, column: str, bins: int, by: str | None = None, common: bool = False) -> DataFrame:
@@ -18,7 +18,7 @@ def histogram(df: DataFrame, column: str, bins: int, by: str | None = None, comm
     enumerated ones, so the range table sent to all executors has a handful of rows.
     """
     keys = [by] if by else []
-    rows = df.select(*keys, F.col(column).cast("double").alias("value")).dropna()
+    rows = present(df.select(*keys, F.col(column).cast("double").alias("value")))
     ranges = _ranges(rows, keys, common)
     binned = attach(rows, ranges, keys).select(
         *keys, equal_width_bin(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin")
@@ -42,7 +42,7 @@ def density(df: DataFrame, column: str, by: str | None = None, grid: int = 1000,
     off by about (cell / bandwidth)^2. Only cells, never rows, meet the grid.
     """
     keys = [by] if by else []
-    rows = df.select(*keys, F.col(column).cast("double").alias("value")).dropna()
+    rows = present(df.select(*keys, F.col(column).cast("double").alias("value")))
     stats = rows.groupBy(*keys).agg(
         F.min("value").alias("lo"),
         F.max("value").alias("hi"),
@@ -72,19 +72,19 @@ def density(df: DataFrame, column: str, by: str | None = None, grid: int = 1000,
 def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     """Box-plot numbers: quartiles, whiskers at the last value within 1.5 IQR, and how many lie beyond."""
     keys = [by] if by else []
-    rows = df.select(*keys, F.col(column).cast("double").alias("value")).dropna()
-    box = quantiles(rows, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
+    values = counted_values(df, column, keys)
+    box = counted_quantiles(values, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    v = F.col("value")
+    v = F.col("_v")
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
     return (
-        attach(rows, box, keys)
+        attach(values, box, keys)
         .groupBy(*keys, "q1", "median", "q3")
         .agg(
-            F.count("*").alias("n"),
+            F.sum("_c").alias("n"),
             F.min(F.when(inside, v)).alias("in_low"),
             F.max(F.when(inside, v)).alias("in_high"),
-            F.sum(F.when(inside, 0).otherwise(1)).alias("outliers"),
+            F.sum(F.when(inside, 0).otherwise(F.col("_c"))).alias("outliers"),
         )
         .select(
             *keys,
@@ -102,7 +102,7 @@ def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
 def scatter_bins(df: DataFrame, x: str, y: str, bins: int, by: list[str] | None = None) -> DataFrame:
     """A scatter plot as counts on a bins x bins raster over the common range of all groups."""
     by = by or []
-    rows = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    rows = present(df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
     span = rows.agg(
         F.struct(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))]).alias("s")
     ).scalar()

@@ -72,28 +72,27 @@ def features(df: DataFrame, tenure_max: float | None = None) -> DataFrame:
     Without `tenure_max` the maximum is read from the data itself.
     """
     top = tenure_maximum(df) if tenure_max is None else F.lit(float(tenure_max))
-    return collapse_services(fill_total_charges(df)).withColumns(
-        {
-            "charge_per_tenure": X.charge_per_tenure(),
-            "service_count": X.service_count(),
-            "charge_to_value_ratio": X.charge_to_value(),
-            "support_dependency_score": X.support_score(),
-            "tenure_contract_risk": X.contract_risk(top),
-        }
-    )
+    return _engineered(fill_total_charges(df), X.contract_risk(top))
 
 
 def scoring_features(df: DataFrame, tenure_max: float = S.MAX_TENURE) -> DataFrame:
     """The same features as they are built when scoring: fixed maximum, unknown contract as month-to-month."""
-    return collapse_services(df).withColumns(
-        {
-            "charge_per_tenure": X.charge_per_tenure(),
-            "service_count": X.service_count(),
-            "charge_to_value_ratio": X.charge_to_value(),
-            "support_dependency_score": X.support_score(),
-            "tenure_contract_risk": X.contract_risk_scoring(tenure_max),
-        }
-    )
+    return _engineered(df, X.contract_risk_scoring(tenure_max))
+
+
+def _engineered(df: DataFrame, risk: Column) -> DataFrame:
+    """Collapsed services and the five features, all from the columns as they came, in one projection.
+
+    Counting "Yes" does not depend on the collapsing, so the two are kept out of each other's expressions.
+    """
+    made = {
+        "charge_per_tenure": X.charge_per_tenure(),
+        "service_count": X.service_count(),
+        "charge_to_value_ratio": X.charge_to_value(),
+        "support_dependency_score": X.support_score(),
+        "tenure_contract_risk": risk,
+    }
+    return df.withColumns({c: E.collapsed(c) for c in S.SERVICES} | made)
 
 
 def model_columns(featured: DataFrame, unmapped: int | None = None) -> DataFrame:

@@ -16,17 +16,36 @@ BINS = 1 << 12
 LEVELS = 2
 
 
+def counted_values(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+    """Rows per distinct value (`_v`, `_c`) and group; NULL values and NULL groups do not take part."""
+    by = by or []
+    values = present(df.select(*by, F.col(column).cast("double").alias("_v")))
+    return values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def present(df: DataFrame) -> DataFrame:
+    """Rows without NULL in any column; tests on columns that cannot be NULL are optimised away."""
+    test = F.lit(True)
+    for c in df.columns:
+        test = test & F.col(c).isNotNull()
+    return df.where(test)
+
+
 def rank_values(
     df: DataFrame, column: str, probabilities: list[float], by: list[str] | None = None, levels: int = LEVELS
 ) -> DataFrame:
-    """For every group and probability: the values around the wanted rank, and how far to go between them.
+    """For every group and probability: the values around the wanted rank, and how far to go between them."""
+    return counted_ranks(counted_values(df, column, by), probabilities, by, levels)
+
+
+def counted_ranks(
+    values: DataFrame, probabilities: list[float], by: list[str] | None = None, levels: int = LEVELS
+) -> DataFrame:
+    """`rank_values` of values that are already counted.
 
     `by` must be enumerated columns: per group only a few rows are sent to all executors.
-    NULL values and NULL groups do not take part.
     """
     by = by or []
-    values = df.select(*by, F.col(column).cast("double").alias("_v")).dropna().groupBy(*by, "_v")
-    values = values.agg(F.count(F.lit(1)).alias("_c"))
     span = values.agg(
         F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("_c").alias("rows")).alias("s")
     ).scalar()
@@ -71,12 +90,19 @@ def quantiles(
     df: DataFrame, column: str, probabilities: dict[str, float], by: list[str] | None = None, levels: int = LEVELS
 ) -> DataFrame:
     """One row per group with one interpolated quantile column per entry of `probabilities`."""
+    return counted_quantiles(counted_values(df, column, by), probabilities, by, levels)
+
+
+def counted_quantiles(
+    values: DataFrame, probabilities: dict[str, float], by: list[str] | None = None, levels: int = LEVELS
+) -> DataFrame:
+    """`quantiles` of values that are already counted."""
     by = by or []
     value = between(F.col("lower"), F.col("upper"), F.col("fraction"))
     picked = [
         F.max(F.when(F.col("probability") == F.lit(float(p)), value)).alias(name) for name, p in probabilities.items()
     ]
-    ranks = rank_values(df, column, list(dict.fromkeys(probabilities.values())), by, levels)
+    ranks = counted_ranks(values, list(dict.fromkeys(probabilities.values())), by, levels)
     return ranks.groupBy(*by).agg(*picked) if by else ranks.agg(*picked)
 
 

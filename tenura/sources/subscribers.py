@@ -7,10 +7,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tenura import schema as S
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """Read a table; its schema is looked up in the files once per process, not once per query."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def customers(spark: SparkSession, folder: str) -> DataFrame:
     """Customers with the numeric key `k` in front of the 21 columns.
 
@@ -18,9 +29,7 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     forced to be broadcast: all three inputs grow with the data, so adaptive execution decides by size
     and splits a customer who holds very many orders.
     """
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
-    people = spark.read.parquet(f"{folder}/customer.parquet")
-    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    orders, people, lines = (_read(spark, f"{folder}/{t}.parquet") for t in ("orders", "customer", "lineitem"))
 
     month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
     newest = orders.agg(F.max(month)).scalar()
