@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Cells per level when ranking scores: a window never covers more than this many cells, and the leaf
-# windows hold only the distinct scores inside one cell of the finest level.
+# Ranking scores goes through cells of cells: a window never covers more than CELLS cells, and the last
+# windows hold only the distinct scores inside one cell of the finest level, a billionth of the score range.
 CELLS = 1024
+CELL_COLUMNS = ["cell0", "cell1", "cell2"]
 
 
 def predicted(threshold: float = 0.5) -> Column:
@@ -76,18 +77,18 @@ def _report_line(name: str, precision: Column, recall: Column, f1: Column, suppo
 
 
 def _by_score(scored: DataFrame) -> DataFrame:
-    """Positives and negatives per distinct score, with the score's cell on two levels.
+    """Positives and negatives per distinct score, with the score's cell on every level.
 
     Equal scores are combined before the shuffle, so a score held by very many rows costs one row.
     """
-    p = F.col("probability")
-    coarse = F.least(F.floor(p * CELLS), F.lit(CELLS - 1))
-    return (
-        scored.groupBy("probability")
-        .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-        .withColumn("coarse", coarse.cast("int"))
-        .withColumn("fine", F.least(F.floor((p * CELLS - F.col("coarse")) * CELLS), F.lit(CELLS - 1)).cast("int"))
+    out = scored.groupBy("probability").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
+    rest = F.col("probability") * CELLS
+    for name in CELL_COLUMNS:
+        out = out.withColumn(name, F.least(F.floor(rest), F.lit(CELLS - 1)).cast("int"))
+        rest = (rest - F.col(name)) * CELLS
+    return out
 
 
 def _below(column: str, group: list[str], order: str) -> Column:
@@ -104,14 +105,14 @@ def _above(column: str, group: list[str], order: str) -> Column:
 def roc_auc(scored: DataFrame) -> DataFrame:
     """Exact area under the ROC curve: the share of (positive, negative) pairs ranked rightly, ties half.
 
-    Pairs are never formed. Each positive counts the negatives below it: first inside its finest cell,
-    then in lower cells of its coarse cell, then in lower coarse cells.
+    Pairs are never formed. Each positive counts the negatives below it: first inside its finest cell, then,
+    level by level, in the lower cells of the cell around it.
     """
     scores = _by_score(scored)
-    cell = ["coarse", "fine"]
-    pairs = F.col("pos").cast("double") * (_below("neg", cell, "probability") + F.col("neg") / 2)
+    pairs = F.col("pos").cast("double") * (_below("neg", CELL_COLUMNS, "probability") + F.col("neg") / 2)
     level = scores.withColumn("pairs", pairs)
-    for keys in (cell, ["coarse"]):
+    for depth in range(len(CELL_COLUMNS), 0, -1):
+        keys = CELL_COLUMNS[:depth]
         order = keys[-1]
         level = level.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "pairs")])
         lower = F.col("pos").cast("double") * _below("neg", keys[:-1], order)
@@ -159,22 +160,27 @@ def roc_curve(scored: DataFrame, bins: int | None = None) -> DataFrame:
 
 
 def _counts_at_or_above(scores: DataFrame) -> DataFrame:
-    """Per distinct score, positives and negatives scored at least as high."""
-    cell = ["coarse", "fine"]
-    fine = scores.groupBy(*cell).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    coarse = fine.groupBy("coarse").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    over = lambda c, group, order: _above(c, group, order).alias(f"{c}_{order}")
-    in_coarse = coarse.select("coarse", *[over(c, [], "coarse") for c in ("pos", "neg")])
-    in_fine = fine.select(*cell, *[over(c, ["coarse"], "fine") for c in ("pos", "neg")])
-    total = lambda c: (
-        F.col(c) + _above(c, cell, "probability") + F.col(f"{c}_fine") + F.col(f"{c}_coarse")
-    )
-    # At most CELLS rows of coarse cells exist, whatever the data.
-    return (
-        scores.join(in_fine, cell)
-        .join(F.broadcast(in_coarse), "coarse")
-        .select("probability", total("pos").alias("tp"), total("neg").alias("fp"))
-    )
+    """Per distinct score, positives and negatives scored at least as high.
+
+    Going down the levels, each cell adds what lies above it inside its parent to what lies above the parent.
+    """
+    sums = [F.sum(c).alias(c) for c in ("pos", "neg")]
+    above = None
+    for depth in range(1, len(CELL_COLUMNS) + 1):
+        keys = CELL_COLUMNS[:depth]
+        level = _add_above(scores.groupBy(*keys).agg(*sums), above, keys[:-1], keys[-1])
+        above = level.select(*keys, "pos_above", "neg_above")
+    totals = [(F.col(c) + F.col(f"{c}_above")).alias(n) for c, n in (("pos", "tp"), ("neg", "fp"))]
+    return _add_above(scores, above, CELL_COLUMNS, "probability").select("probability", *totals)
+
+
+def _add_above(level: DataFrame, parents: DataFrame | None, group: list[str], order: str) -> DataFrame:
+    inside = {f"{c}_inside": _above(c, group, order) for c in ("pos", "neg")}
+    level = level.withColumns(inside)
+    if parents is None:
+        return level.withColumns({f"{c}_above": F.col(f"{c}_inside") for c in ("pos", "neg")})
+    joined = level.join(parents, group)
+    return joined.withColumns({f"{c}_above": F.col(f"{c}_above") + F.col(f"{c}_inside") for c in ("pos", "neg")})
 
 
 def reg_metrics(scored: DataFrame) -> DataFrame:

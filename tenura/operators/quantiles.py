@@ -1,7 +1,7 @@
 """Exact quantiles that never gather a column in one task.
 
-Rows are first counted per distinct value, combined before the one shuffle this needs, so a value held by a
-third of all rows costs one row. A quantile needs the values at two ranks. Counting per equal-width bin finds
+Rows are first counted per distinct value, combined before the shuffle, so a value held by a third of all
+rows costs one row. A quantile needs the values at two ranks. Counting per equal-width bin finds
 the bin that holds a wanted rank, the next level looks only inside that bin, and the last step orders only the
 distinct values that share one bin of the finest level. Every level reads the same counted values, which
 adaptive execution computes once and reuses.
@@ -16,10 +16,17 @@ BINS = 1 << 12
 LEVELS = 2
 
 
-def counted_values(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """Rows per distinct value (`_v`, `_c`) and group; NULL values and NULL groups do not take part."""
+def counted_values(df: DataFrame, column: str, by: list[str] | None = None, combine: bool = True) -> DataFrame:
+    """Rows per distinct value (`_v`, `_c`) and group; NULL values and NULL groups do not take part.
+
+    Combining equal values costs a shuffle of the distinct ones and lets every level read the result. For a
+    column that hardly repeats, such as a key's hash, `combine=False` skips it: each level then scans the
+    column again and shuffles bin counts only.
+    """
     by = by or []
     values = present(df.select(*by, F.col(column).cast("double").alias("_v")))
+    if not combine:
+        return values.withColumn("_c", F.lit(1).cast("bigint"))
     return values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
 
 
@@ -32,10 +39,15 @@ def present(df: DataFrame) -> DataFrame:
 
 
 def rank_values(
-    df: DataFrame, column: str, probabilities: list[float], by: list[str] | None = None, levels: int = LEVELS
+    df: DataFrame,
+    column: str,
+    probabilities: list[float],
+    by: list[str] | None = None,
+    levels: int = LEVELS,
+    combine: bool = True,
 ) -> DataFrame:
     """For every group and probability: the values around the wanted rank, and how far to go between them."""
-    return counted_ranks(counted_values(df, column, by), probabilities, by, levels)
+    return counted_ranks(counted_values(df, column, by, combine), probabilities, by, levels)
 
 
 def counted_ranks(

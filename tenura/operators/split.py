@@ -30,7 +30,7 @@ def stratified_split(df: DataFrame, hashed: Column, strata: str = "churn", test_
     The cut in each class is the exact quantile of the hash, so shares are met to within one row.
     """
     rows = df.withColumn("_hash", hashed.cast("double"))
-    cuts = rank_values(rows, "_hash", [test_share], [strata]).select(strata, F.col("lower").alias("_cut"))
+    cuts = rank_values(rows, "_hash", [test_share], [strata], combine=False).select(strata, F.col("lower").alias("_cut"))
     return attach(rows, cuts, [strata]).withColumn("is_test", F.col("_hash") <= F.col("_cut")).drop("_hash", "_cut")
 
 

@@ -106,7 +106,7 @@ def stored(spark: SparkSession, folder: str) -> DataFrame:
     place = (spark.sparkContext.applicationId, folder)
     if place not in _TABLES:
         store = TableStore(spark, new_path(spark, "tables"))
-        store.write(valued(spark, folder), "customers_ltv")
+        store.write(valued(spark, folder), "customers_ltv", lookup_by=["customer_id"])
         _TABLES[place] = store
     return _TABLES[place].read("customers_ltv")
 

@@ -23,6 +23,8 @@ def build_session(app: str = "tenura", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # The JVM never compiles a method beyond 8000 bytes; past that, smaller per-operator methods are faster.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         # Recording the Python line of every column expression doubles the time to build a plan.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}

@@ -17,10 +17,12 @@ class TableStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> None:
+    def write(self, df: DataFrame, name: str, lookup_by: list[str] | None = None) -> None:
+        """Replace a table. Columns in `lookup_by` get a Bloom filter per row group, so that a search for one
+        value skips nearly all of the table without the table having to be sorted."""
         writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
+        for column in lookup_by or []:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.parquet(self.path(name))
 
     def read(self, name: str) -> DataFrame:
