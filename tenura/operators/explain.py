@@ -16,10 +16,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura import schema as S
+from tenura.operators.reports import ranked
 from tenura.session import new_path
 
 MAX_DEPTH = 10
@@ -186,9 +187,8 @@ def shap_importance(explained: DataFrame) -> DataFrame:
         for i, f in enumerate(S.CHURN_FEATURES)
     ]
     long = means.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    rank = F.row_number().over(Window.orderBy(F.desc("mean"), "feature"))
-    return long.select(
-        "feature", F.round("mean", 6).alias("mean_abs_shap"), "is_engineered", rank.alias("global_rank")
+    return ranked(long, "mean", "global_rank").select(
+        "feature", F.round("mean", 6).alias("mean_abs_shap"), "is_engineered", "global_rank"
     )
 
 

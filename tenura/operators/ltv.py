@@ -9,7 +9,7 @@ from tenura import schema as S
 from tenura.functions.bins import quartile_label
 from tenura.functions.encoding import projected_months
 from tenura.functions.features import total_charges_filled
-from tenura.operators.quantiles import between, quantiles, rank_values
+from tenura.operators.quantiles import approximate_quantiles, between, quantiles, rank_values
 
 QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
 
@@ -26,9 +26,15 @@ def ltv_target(df: DataFrame) -> DataFrame:
     )
 
 
-def cap_quantile(df: DataFrame, column: str, probability: float = S.LTV_CAP_QUANTILE) -> DataFrame:
-    """Clip a column from above at its exact quantile."""
-    cap = quantiles(df, column, {"cap": probability}).scalar()
+def cap_quantile(
+    df: DataFrame, column: str, probability: float = S.LTV_CAP_QUANTILE, accuracy: int | None = None
+) -> DataFrame:
+    """Clip a column from above at its exact quantile, or at an approximate one of the given accuracy."""
+    wanted = {"cap": probability}
+    if accuracy is None:
+        cap = quantiles(df, column, wanted).scalar()
+    else:
+        cap = approximate_quantiles(df, column, wanted, accuracy=accuracy).scalar()
     return df.withColumn(column, F.least(F.col(column), cap))
 
 

@@ -354,6 +354,12 @@ def attach(scores: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return scores.join(labels, key)
 
 
+def ranked(table: DataFrame, by: str, name: str = "rank", label: str = "feature") -> DataFrame:
+    """Number the rows of a small table (one row per feature) from the largest down."""
+    order = Window.orderBy(F.desc(by), label)
+    return table.withColumn(name, F.row_number().over(order))
+
+
 def display(scored: DataFrame) -> DataFrame:
     """Percent and dollar strings of the scored columns, without padding zeros."""
     dollars = lambda c: F.concat(F.lit("$"), _plain(F.round(c, 2)))

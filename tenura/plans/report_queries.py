@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tenura import schema as S
 from tenura.operators import reports
 from tenura.operators.ltv import cap_quantile, capped_and_segmented, ltv_target
+from tenura.operators.models import top_features
 from tenura.plans import registry as R
 from tenura.plans.registry import query
 from tenura.sources.subscribers import customers
@@ -484,3 +485,22 @@ def quartile_segments(spark, folder):
 @query("customers_ltv", f"WITH {R.STORED_SQL} SELECT * EXCLUDE (k) FROM stored")
 def customers_ltv(spark, folder):
     return R.valued(spark, folder).drop("k")
+
+
+@query(
+    "top_correlated_features",
+    R.rounded_sql(
+        f"WITH {R.FEATURED_SQL}, c AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{f}' AS feature, abs(corr({f}, CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END)) AS size FROM featured"
+            for f in S.ENGINEERED
+        )
+        + """) SELECT feature, size, CAST(row_number() OVER (ORDER BY size DESC, feature) AS INTEGER) AS rank FROM c
+        ORDER BY size DESC, feature LIMIT 3""",
+        "size",
+    ),
+    digits=6,
+)
+def top_correlated_features(spark, folder):
+    table = reports.feature_corr(R.featured(spark, folder)).select("feature", F.abs("corr").alias("size"))
+    return top_features(reports.ranked(table, "size"), 3, "size")

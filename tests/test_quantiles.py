@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tenura.operators.distributions import box_stats, density, histogram, scatter_bins
 from tenura.operators.ltv import cap_quantile, capped_and_segmented, quartile_segment
-from tenura.operators.quantiles import quantiles, rank_values
+from tenura.operators.quantiles import approximate_quantiles, quantiles, rank_values
 
 PROBABILITIES = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 0.99, "f": 1.0}
 RANDOM = np.random.default_rng(7)
@@ -67,6 +67,13 @@ def test_cap_alone(spark):
     assert cap_quantile(df, "v", 0.5).agg(F.max("v")).first()[0] == 50.0
 
 
+def test_approximate_cap_is_close_in_rank(spark):
+    df = spark.range(10000).select(F.col("id").cast("double").alias("v"))
+    assert abs(cap_quantile(df, "v", 0.9, accuracy=1000).agg(F.max("v")).first()[0] - 9000) <= 10
+    by = approximate_quantiles(df.withColumn("g", F.col("v") % 2), "v", {"m": 0.5}, ["g"], accuracy=1000)
+    assert by.count() == 2
+
+
 @pytest.mark.parametrize("bins", [1, 7, 30])
 def test_histogram_matches_numpy(spark, bins):
     for values in (np.arange(73.0), CASES["normal"], np.round(RANDOM.uniform(0, 1, 500), 2), CASES["constant"]):
