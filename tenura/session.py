@@ -33,6 +33,9 @@ def build_session(app: str = "tenura", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`; a temporary one only for a local master without it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,9 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="tenura-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="tenura-")
+    return _LOCAL_FOLDERS[app]
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -19,6 +20,7 @@ def spark():
         spark__ui__enabled="false",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
+        spark__sql__warehouse__dir=tempfile.mkdtemp(prefix="warehouse-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenura import schema as S
+from tenura import session
 from tenura.functions import bins
 from tenura.functions.features import contract_risk_scoring
 from tenura.operators import encode, evaluate, ltv, profile, reports, score, split, validate
 from tenura.sources.customers_csv import export_csv, read_batch_csv, read_customers_csv
-from tenura.sources.tables import TableStore, reconcile
+from tenura.sources.tables import TableStore, read_table, reconcile, write_table
 
 
 def test_bands_at_their_edges(spark):
@@ -135,6 +136,38 @@ def test_table_store_replaces(spark, tmp_path):
     }
 
 
+def test_catalog_table_is_replaced(spark):
+    write_table(spark.range(5), "numbers")
+    write_table(spark.range(2), "numbers")
+    assert read_table(spark, "numbers").count() == 2
+
+
+def test_shared_folder_follows_the_session_setting(spark):
+    class Session:
+        def __init__(self, configured, master):
+            self.conf = {"spark.checkpoint.dir": configured} if configured else {}
+            self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})
+
+    assert session.shared_dir(spark) == session.shared_dir(spark)
+    assert session.new_path(Session("hdfs://shared/", "yarn"), "x").startswith("hdfs://shared/x-")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session(None, "yarn"))
+
+
+def test_one_customer_with_a_third_of_all_orders(spark, folder, tmp_path):
+    """A hot customer changes no count; every order is still one subscription."""
+    from tenura.sources.subscribers import customers
+
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    hot = F.when(F.col("o_orderkey") % 3 == 0, 7).otherwise(F.col("o_custkey")).cast("bigint")
+    orders.withColumn("o_custkey", hot).write.parquet(f"{tmp_path}/orders.parquet")
+    for t in ("customer", "lineitem"):
+        spark.read.parquet(f"{folder}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    rows = customers(spark, str(tmp_path))
+    assert rows.count() == rows.select("k").distinct().count() == orders.count()
+    assert reports.describe_by(rows, "monthly_charges", "gender").agg(F.sum("count")).first()[0] == orders.count()
+
+
 def test_profile_by_hand(make_customers):
     rows = make_customers({"total_charges": None, "tenure": 0}, {}, {"partner": "Yes"})
     assert [tuple(r) for r in profile.missing_report(rows).collect()] == [("total_charges", 1, 33.33)]
