@@ -9,9 +9,14 @@ from tenura import schema as S
 from tenura.functions.encoding import contract_code, yes
 
 
+def number(cell: Column) -> Column:
+    """The cell as a double; NULL where it is blank, not a number, or NaN."""
+    return F.nullif(cell.try_cast("double"), F.lit(float("nan")))
+
+
 def total_charges_filled() -> Column:
     """Charges billed so far; blank or missing means nothing has been billed yet."""
-    return F.coalesce(F.col("total_charges").try_cast("double"), F.lit(0.0))
+    return F.coalesce(number(F.col("total_charges")), F.lit(0.0))
 
 
 def yes_count(columns: list[str]) -> Column:

@@ -1,4 +1,4 @@
-"""Churn classifiers and lifetime-value regressors as ML pipelines, with the reference settings as defaults."""
+"""Churn classifiers and lifetime-value regressors as ML pipelines, with the full settings as defaults."""
 
 from __future__ import annotations
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenura import schema as S
+from tenura.functions.features import number
 
 # Which columns are enumerated, and the numeric ranges (lower, upper).
 ENUMERATED = {
@@ -30,7 +31,7 @@ def require_columns(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """Return the table unchanged, or raise naming the required columns it lacks."""
     missing = [c for c in columns or S.BATCH_REQUIRED if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required CSV columns: {missing}")
+        raise ValueError(f"required columns are absent: {missing}")
     return df
 
 
@@ -60,8 +61,8 @@ def fill_defaults(df: DataFrame) -> DataFrame:
         out[c] = F.coalesce(F.col(c), F.lit(default)) if c in present else F.lit(default)
     for c, kind in S.BATCH_NUMERIC_DEFAULTS.items():
         # A whole number may arrive as text such as "1.0", so integers are parsed as doubles first.
-        number = F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) if c in present else F.lit(0.0)
-        out[c] = number.cast(kind)
+        filled = F.coalesce(number(F.col(c)), F.lit(0.0)) if c in present else F.lit(0.0)
+        out[c] = filled.cast(kind)
     return df.withColumns(out)
 
 

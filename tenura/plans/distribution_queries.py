@@ -1,7 +1,5 @@
 """Bands, histograms, densities, boxes, labels (survey group G)."""
 
-from pyspark.sql import functions as F
-
 from tenura import schema as S
 from tenura.functions import bins as B
 from tenura.operators import distributions as D
@@ -154,8 +152,8 @@ def scatter_sql(view: str, table: str, x: str, y: str, bins: int, by: str | None
     )
     edge = lambda i, n: f"({i} * ((hi_{n} - lo_{n}) / {bins}) + lo_{n})"
     fixed = lambda v, g, n: (
-        f"CASE WHEN {v} < {edge(g, n)} THEN {g} - 1 WHEN {g} < {bins - 1} AND {v} >= {edge(g + ' + 1', n).replace(g + ' + 1 *', '(' + g + ' + 1) *')}"
-        f" THEN {g} + 1 ELSE {g} END"
+        f"CASE WHEN {v} < {edge(g, n)} THEN {g} - 1 "
+        f"WHEN {g} < {bins - 1} AND {v} >= {edge(f'({g} + 1)', n)} THEN {g} + 1 ELSE {g} END"
     )
     group = f"{by}, " if by else ""
     return f"""WITH {view}, span AS (SELECT CAST(min({x}) AS DOUBLE) AS lo_x, CAST(max({x}) AS DOUBLE) AS hi_x,

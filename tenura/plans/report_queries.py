@@ -309,7 +309,9 @@ def predicted_ltv_stats(spark, folder):
 
 @query(
     "ltv_by_contract",
-    R.rounded_sql(f"WITH {R.STORED_SQL} SELECT contract, avg(ltv_projected) AS avg_ltv FROM stored GROUP BY contract", "avg_ltv", 5),
+    R.rounded_sql(
+        f"WITH {R.STORED_SQL} SELECT contract, avg(ltv_projected) AS avg_ltv FROM stored GROUP BY contract", "avg_ltv", 5
+    ),
     digits=5,
 )
 def ltv_by_contract(spark, folder):

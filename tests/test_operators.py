@@ -113,10 +113,10 @@ def test_align_fills_and_drops(spark):
 def test_csv_with_blank_charges(spark, tmp_path):
     header = ",".join(S.CSV_HEADER)
     line = "7590-VHVEG,Female,0,Yes,No,{t},No,No phone service,DSL,No,Yes,No,No,No,No,Month-to-month,Yes,Electronic check,29.85,{c},No"
-    (tmp_path / "c.csv").write_text("\n".join([header, line.format(t=1, c="29.85"), line.format(t=0, c=" ")]))
+    (tmp_path / "c.csv").write_text("\n".join([header, line.format(t=1, c="29.85"), line.format(t=0, c=" "), line.format(t=2, c="NaN")]))
     rows = read_customers_csv(spark, str(tmp_path / "c.csv"))
     assert rows.dtypes == list(S.COLUMN_TYPES.items())
-    assert [r["total_charges"] for r in rows.orderBy("tenure").collect()] == [None, 29.85]
+    assert [r["total_charges"] for r in rows.orderBy("tenure").collect()] == [None, 29.85, None]
 
 
 def test_export_and_batch_read(spark, tmp_path):
