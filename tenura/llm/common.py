@@ -20,6 +20,37 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, unless the user chose a number: texts can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
+def slices(texts: list, limit: int = 4_000_000):
+    """Cut a batch of texts into slices (start, end) of about `limit` characters, one text at least."""
+    start = size = 0
+    for at, text in enumerate(texts):
+        size += len(text or "")
+        if size >= limit:
+            yield start, at + 1
+            start, size = at + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+#: Lower-cased UTF-8 text to words: ASCII other than letters becomes a space, bytes beyond ASCII stay.
+LETTERS_ONLY = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def letter_words(text: str) -> list[bytes]:
+    return text.lower().encode().translate(LETTERS_ONLY).split()
+
+
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def held_out(key: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the key as text leaves the given remainder; False for a null key."""
     return F.coalesce(F.crc32(key.cast("string")) % parts == part, F.lit(False))
@@ -62,6 +93,20 @@ def class_sample(df: DataFrame, label: str, key: str, per_class: int) -> DataFra
     return df.where(chosen)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: Column, per_class: int, longest: int = 1_000_000):
+    """(text, label) of about `per_class` labelled documents of each class that are not held out, as a pandas frame.
+
+    The sample is drawn from the labels and then meets the documents as a small broadcast table, so no text is shuffled.
+    Null labels and texts, and texts beyond `longest` characters, are not learned from.
+    """
+    own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held).select("doc_id", label)
+    chosen = class_sample(own.where(F.col(label).isin(0, 1)), label, "doc_id", per_class)
+    chosen = F.broadcast(chosen)  # about 2 * per_class rows
+    fine = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text")
+    found = fine.join(chosen, "doc_id").select("doc_id", "text", label).toPandas()
+    return found.sort_values(["doc_id", "text"]).rename(columns={label: "label"}).reset_index(drop=True)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mix with good avalanche (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

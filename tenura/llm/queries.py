@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tenura.llm import neardup, packing, sharding, topk
+from tenura.llm import langid, neardup, packing, quality, sharding, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
+    "op2_toxicity": toxicity.query,
+    "op3_language_id": langid.query,
+    "op4_quality": quality.query,
     "op5_best_fit_packing": packing.query,
     "op9_embedding_near_dedup": neardup.query,
     "op10_hilbert_sharding": sharding.query,
