@@ -27,6 +27,21 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def whole_ids(name: str) -> list[Column]:
+    """A long key as (key, null_id) for pandas, which would turn a long column with nulls into doubles."""
+    key = F.col(name).cast("long")
+    return [F.coalesce(key, F.lit(0)).alias(name), key.isNull().alias("null_id")]
+
+
+def lists(parts: list[np.ndarray], kind) -> "object":
+    """An Arrow list column from one array per row, without a Python object per element."""
+    import pyarrow as pa
+
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    values = np.concatenate(parts) if parts else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(kind)))
+
+
 def slices(texts: list, limit: int = 4_000_000):
     """Cut a batch of texts into slices (start, end) of about `limit` characters, one text at least."""
     start = size = 0
