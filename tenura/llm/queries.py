@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenura.llm import jaccard, langid, neardup, packing, quality, sharding, topk, toxicity
+from tenura.llm import jaccard, langid, neardup, packing, pieces, quality, sharding, template, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_quality": quality.query,
     "op5_best_fit_packing": packing.query,
     "op6_ngram_jaccard_join": jaccard.query,
+    "op7_html_main_text": template.query,
+    "op8_sentencepiece": pieces.query,
     "op9_embedding_near_dedup": neardup.query,
     "op10_hilbert_sharding": sharding.query,
 }
