@@ -34,12 +34,13 @@ def risk_label(probability: Column) -> Column:
         F.when(probability < 0.25, "Low")
         .when(probability < 0.5, "Medium")
         .when(probability < 0.75, "High")
-        .otherwise("Critical")
+        .when(probability.isNotNull(), "Critical")
     )
 
 
 def ltv_segment(ltv: Column) -> Column:
-    return F.when(ltv < 1000, "Low").when(ltv < 2000, "Medium").when(ltv < 3500, "High").otherwise("Premium")
+    low, medium, high, premium = S.LTV_SEGMENTS
+    return F.when(ltv < 1000, low).when(ltv < 2000, medium).when(ltv < 3500, high).when(ltv.isNotNull(), premium)
 
 
 def priority(probability: Column, ltv: Column) -> Column:
@@ -49,6 +50,16 @@ def priority(probability: Column, ltv: Column) -> Column:
     )
 
 
+def capped(value: Column, cap: Column) -> Column:
+    """The value, at most `cap`; NULL stays NULL (`least` would turn it into the cap)."""
+    return F.when(value > cap, cap).otherwise(value)
+
+
+def floored(value: Column) -> Column:
+    """The value, at least 0; NULL stays NULL."""
+    return F.when(value < 0, 0.0).otherwise(value)
+
+
 def quartile_label(value: Column, q1: Column, q2: Column, q3: Column) -> Column:
     """Right-closed quartile segment; values equal to an edge stay together in the lower one."""
     low, medium, high, premium = S.LTV_SEGMENTS
@@ -66,7 +77,7 @@ def equal_width_bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
     below = value < bin_edge(guess, lo, hi, bins)
     above = (value >= bin_edge(guess + 1, lo, hi, bins)) & (guess < bins - 1)
     placed = F.when(below, guess - 1).when(above, guess + 1).otherwise(guess)
-    return F.when(hi > lo, placed).when(value.isNotNull(), F.lit(0)).cast("int")
+    return F.when(value.isNotNull(), F.when(hi > lo, placed).otherwise(F.lit(0))).cast("int")
 
 
 def bin_edge(index: Column, lo: Column, hi: Column, bins: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tenura import schema as S
+from tenura.functions.bins import capped
 from tenura.functions.encoding import contract_code, yes
 
 
@@ -35,7 +36,8 @@ def support_score() -> Column:
 
 
 def charge_per_tenure() -> Column:
-    return total_charges_filled() / (F.col("tenure") + 1)
+    """NULL for a tenure of -1: a wrong cell must not end the job."""
+    return F.try_divide(total_charges_filled(), F.col("tenure") + 1)
 
 
 def charge_to_value() -> Column:
@@ -49,6 +51,7 @@ def contract_risk(tenure_max: Column) -> Column:
 
 
 def contract_risk_scoring(tenure_max: float = S.MAX_TENURE) -> Column:
-    """Scoring form: a stored maximum, clipped at 1; an unknown contract counts as month-to-month."""
-    tenure_share = F.least(F.col("tenure") / F.lit(float(tenure_max)), F.lit(1.0))
+    """Scoring form: a stored maximum, clipped at 1; an unknown contract counts as month-to-month, a missing tenure as 0."""
+    share = F.try_divide(F.coalesce(F.col("tenure"), F.lit(0)), F.lit(float(tenure_max)))
+    tenure_share = capped(share, F.lit(1.0))
     return (1 - tenure_share) * (1 - contract_code(unmapped=0) / F.lit(2.0))

@@ -118,14 +118,14 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int, by: list[str] | None
     )
 
 
-def attach(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+def attach(rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Give every row the statistics of its group, or of the whole table when there are no keys.
 
-    `stats` has one row per value of an enumerated column, which is what makes sending it to all
-    executors safe; a single row travels as a subquery result instead.
+    `stats` has one row per group. Spark sends it to all executors if it turns out small, and else deals both sides
+    by key; a single row travels as a subquery result instead.
     """
     if keys:
-        return rows.join(F.broadcast(stats), keys)
+        return rows.join(stats, keys, how)
     whole = stats.select(F.struct(*stats.columns).alias("s")).scalar()
     return rows.withColumn("_s", whole).select(*rows.columns, *[F.col(f"_s.{c}").alias(c) for c in stats.columns])
 

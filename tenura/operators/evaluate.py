@@ -81,7 +81,7 @@ def _by_score(scored: DataFrame) -> DataFrame:
 
     Equal scores are combined before the shuffle, so a score held by very many rows costs one row.
     """
-    out = scored.groupBy("probability").agg(
+    out = scored.where("probability is not null").groupBy("probability").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
     rest = F.col("probability") * CELLS
@@ -184,14 +184,14 @@ def _add_above(level: DataFrame, parents: DataFrame | None, group: list[str], or
 
 
 def reg_metrics(scored: DataFrame) -> DataFrame:
-    """MAE, RMSE, R2 and the shifted MAPE in one pass."""
+    """MAE, RMSE, R2 and the shifted MAPE in one pass; an actual value of -1 has no share in the MAPE."""
     y, p = F.col("actual"), F.col("predicted")
     total = F.var_pop(y) * F.count(y)
     return scored.agg(
         F.avg(F.abs(y - p)).alias("mae"),
         F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"),
         (1 - F.try_divide(F.sum((y - p) * (y - p)), total)).alias("r2"),
-        (F.avg(F.abs((y - p) / (y + 1))) * 100).alias("mape"),
+        (F.avg(F.abs(F.try_divide(y - p, y + 1))) * 100).alias("mape"),
     )
 
 

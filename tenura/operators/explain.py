@@ -1,10 +1,9 @@
 """Tree attributions of the boosted churn model, computed where the rows are.
 
-The model's trees are turned into one small table of leaves, sent to every executor. A leaf needs, for each
-feature on its path, the interval that leads to it and the share of training weight that follows it. Which
-of those features a row satisfies is one of 2^depth patterns, and the Shapley values of a pattern do not
-depend on the row, so they are worked out once per leaf and only looked up per row (path-dependent
-attributions after Lundberg et al., "Consistent Individualized Feature Attribution for Tree Ensembles").
+The model's trees are turned into one small table of leaves, sent to every executor: for each feature on a leaf's path the
+interval that leads to it and the share of training weight that follows it, 32 bytes per leaf and level. Values
+are the path-dependent attributions of Lundberg et al., "Consistent Individualized Feature Attribution for Tree
+Ensembles", in a number of steps that grows with the square of the depth.
 """
 
 from __future__ import annotations
@@ -21,19 +20,19 @@ from pyspark.sql import functions as F
 
 from tenura import schema as S
 from tenura.operators.reports import ranked
+from tenura.operators.split import remixed
 from tenura.session import new_path
 
-MAX_DEPTH = 10
-
 
 @dataclass(frozen=True)
 class LeafTable:
-    """One row per leaf of the ensemble, padded to the deepest path with features that never matter."""
+    """One row per leaf of the ensemble, padded to the deepest path."""
 
-    feature: np.ndarray  # leaves x depth
+    feature: np.ndarray  # leaves x depth, -1 where the path is shorter
     above: np.ndarray  # leaves x depth: the feature must exceed this
     upto: np.ndarray  # leaves x depth: and not exceed this
-    pattern_values: np.ndarray  # leaves x 2^depth x depth
+    share: np.ndarray  # leaves x depth: training weight that follows the path at this feature
+    value: np.ndarray  # leaves
     base_value: float
 
 
@@ -61,9 +60,6 @@ def leaf_table(model: PipelineModel) -> LeafTable:
     Its size is set by the model alone: trees x leaves, at most 2^depth leaves each.
     """
     booster = model.stages[-1]
-    depth = booster.getMaxDepth()
-    if depth > MAX_DEPTH:
-        raise ValueError(f"trees of depth {depth} are too deep to tabulate (at most {MAX_DEPTH})")
     scales = [2.0 * w for w in booster.treeWeights]
     trees: dict[int, dict[int, dict]] = {}
     for row in tree_nodes(model).collect():  # model-sized, not data-sized
@@ -93,7 +89,7 @@ def leaf_paths(nodes: dict[int, dict], scale: float) -> list[tuple[float, dict[i
 def tabulate(leaves: list[tuple[float, dict[int, tuple[float, float, float]]]]) -> LeafTable:
     depth = max(1, max(len(path) for _, path in leaves))
     n = len(leaves)
-    feature = np.zeros((n, depth), dtype=np.int32)
+    feature = np.full((n, depth), -1, dtype=np.int32)
     above = np.full((n, depth), -np.inf)
     upto = np.full((n, depth), np.inf)
     share = np.ones((n, depth))
@@ -101,47 +97,49 @@ def tabulate(leaves: list[tuple[float, dict[int, tuple[float, float, float]]]])
     for i, (_, path) in enumerate(leaves):
         for d, (f, (a, u, s)) in enumerate(path.items()):
             feature[i, d], above[i, d], upto[i, d], share[i, d] = f, a, u, s
-    base = float(np.sum(value * np.prod(share, axis=1)))
-    return LeafTable(feature, above, upto, pattern_values(value, share), base)
-
+    return LeafTable(feature, above, upto, share, value, float(np.sum(value * np.prod(share, axis=1))))
 
-def pattern_values(value: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Shapley value of each path feature for every pattern of satisfied features.
 
-    Bit d of the pattern says whether feature d is satisfied. A coalition that knows a feature contributes
-    that bit, one that does not contributes the training share; summing coalitions by size is a product of
-    linear polynomials, weighted per size.
-    """
-    n, depth = share.shape
-    patterns = 1 << depth
-    known = ((np.arange(patterns)[:, None] >> np.arange(depth)) & 1).astype(float)
-    weight = [factorial(k) * factorial(depth - k - 1) / factorial(depth) for k in range(depth)]
-    out = np.zeros((n, patterns, depth))
-    for j in range(depth):
-        sizes = np.zeros((n, patterns, depth))
-        sizes[:, :, 0] = 1.0
-        for other in range(depth):
-            if other == j:
-                continue
-            shifted = np.zeros_like(sizes)
-            shifted[:, :, 1:] = sizes[:, :, :-1] * known[None, :, other, None]
-            sizes = sizes * share[:, other, None, None] + shifted
-        out[:, :, j] = value[:, None] * (known[None, :, j] - share[:, None, j]) * (sizes @ np.array(weight))
-    return out
+def size_weights(depth: int) -> np.ndarray:
+    """Weight of a coalition of k other features, for k = 0 .. depth - 1."""
+    return np.array([factorial(k) * factorial(depth - k - 1) / factorial(depth) for k in range(depth)])
 
 
 def attributions(table: LeafTable, x: np.ndarray) -> np.ndarray:
-    """Shapley values of a block of rows (rows x features)."""
+    """Shapley values of a block of rows (rows x features), in depth^2 steps per leaf, each over all rows.
+
+    A coalition that knows a feature of the path contributes whether the row satisfies it (0 or 1), one that does not
+    the training share. Summed by coalition size this is a product of linear polynomials, one per feature. For
+    each feature its own factor is divided out again: by a share where the row fails it, else from the highest
+    power down, where the recursion only multiplies by shares, which are at most 1.
+    """
     columns = np.ascontiguousarray(x.T)
     out = np.zeros_like(columns)
-    for feature, above, upto, values in zip(table.feature, table.above, table.upto, table.pattern_values):
-        used = np.flatnonzero(np.isfinite(above) | np.isfinite(upto))
-        pattern = np.full(columns.shape[1], ((1 << len(feature)) - 1) ^ int(np.sum(1 << used)), dtype=np.int64)
-        for d in used:
+    n = columns.shape[1]
+    for feature, above, upto, share, value in zip(table.feature, table.above, table.upto, table.share, table.value):
+        used = np.flatnonzero(feature >= 0)
+        depth = len(used)
+        if not depth:
+            continue
+        known = np.empty((depth, n), bool)
+        sums = np.zeros((depth + 1, n))
+        sums[0] = 1.0
+        for i, d in enumerate(used):
             v = columns[feature[d]]
-            pattern |= ((v > above[d]) & (v <= upto[d])).astype(np.int64) << d
-        for d in used:
-            out[feature[d]] += values[:, d][pattern]
+            known[i] = (v > above[d]) & (v <= upto[d])
+            sums[1 : i + 2] = sums[1 : i + 2] * share[d] + np.where(known[i], sums[: i + 1], 0.0)
+            sums[0] *= share[d]
+        weights = size_weights(depth)
+        for i, d in enumerate(used):
+            inside = known[i]
+            # Without the feature, for rows that satisfy it: from the top power down.
+            rest = sums[depth].copy()
+            total = rest * weights[depth - 1]
+            for k in range(depth - 1, 0, -1):
+                rest = sums[k] - share[d] * rest
+                total += rest * weights[k - 1]
+            failed = (weights[:, None] * sums[:depth]).sum(0) / share[d] if not inside.all() else total
+            out[feature[d]] += value * np.where(inside, (1.0 - share[d]) * total, -share[d] * failed)
     return out.T
 
 
@@ -171,8 +169,12 @@ def shap_values(model: PipelineModel, rows: DataFrame, keep: list[str]) -> DataF
 
 
 def explain_sample(rows: DataFrame, hashed: Column, key: str, n: int = 1000) -> DataFrame:
-    """A repeatable sample of n rows, each with its own label and key: those with the lowest key hashes."""
-    return rows.orderBy(hashed, key).limit(n)
+    """A repeatable sample of n rows, each with its own label and key: those with the lowest mixed key hashes.
+
+    The hash is mixed once more, since splits cut the same hash: its lowest values are all test rows.
+    """
+    return rows.orderBy(remixed(hashed), key).limit(n)
+
 
 
 def shap_importance(explained: DataFrame) -> DataFrame:

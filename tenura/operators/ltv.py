@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenura import schema as S
-from tenura.functions.bins import quartile_label
+from tenura.functions.bins import capped, quartile_label
 from tenura.functions.encoding import projected_months
 from tenura.functions.features import total_charges_filled
 from tenura.operators.quantiles import approximate_quantiles, between, quantiles, rank_values
@@ -29,13 +29,13 @@ def ltv_target(df: DataFrame) -> DataFrame:
 def cap_quantile(
     df: DataFrame, column: str, probability: float = S.LTV_CAP_QUANTILE, accuracy: int | None = None
 ) -> DataFrame:
-    """Clip a column from above at its exact quantile, or at an approximate one of the given accuracy."""
+    """Clip a column from above at its exact quantile, or at an approximate one of the given accuracy. NULL stays NULL."""
     wanted = {"cap": probability}
     if accuracy is None:
         cap = quantiles(df, column, wanted).scalar()
     else:
         cap = approximate_quantiles(df, column, wanted, accuracy=accuracy).scalar()
-    return df.withColumn(column, F.least(F.col(column), cap))
+    return df.withColumn("_cap", cap).withColumn(column, capped(F.col(column), F.col("_cap"))).drop("_cap")
 
 
 def quartile_segment(df: DataFrame, column: str = "ltv_projected", name: str = "ltv_segment") -> DataFrame:
@@ -56,21 +56,21 @@ def capped_and_segmented(df: DataFrame) -> DataFrame:
         *[_end(p, side).alias(f"{side}_{i}") for i, p in enumerate(probabilities) for side in ("lower", "upper", "fraction")]
     )
     cap = between(F.col("lower_3"), F.col("upper_3"), F.col("fraction_3"))
-    capped = lambda name: F.least(F.col(name), F.col("cap"))
+    below = lambda name: capped(F.col(name), F.col("cap"))
     edges = (
         ends.withColumn("cap", cap)
         .select(
             F.struct(
                 F.col("cap"),
                 *[
-                    between(capped(f"lower_{i}"), capped(f"upper_{i}"), F.col(f"fraction_{i}")).alias(name)
+                    between(below(f"lower_{i}"), below(f"upper_{i}"), F.col(f"fraction_{i}")).alias(name)
                     for i, name in enumerate(QUARTILES)
                 ],
             ).alias("s")
         )
         .scalar()
     )
-    value = F.least(F.col("ltv_projected"), F.col("_edges.cap"))
+    value = capped(F.col("ltv_projected"), F.col("_edges.cap"))
     segment = quartile_label(value, F.col("_edges.q1"), F.col("_edges.q2"), F.col("_edges.q3"))
     return (
         df.withColumn("_edges", edges)

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass
+from statistics import fmean, pstdev
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura import schema as S
+from tenura.functions.bins import floored
 from tenura.operators import encode, evaluate, split
 from tenura.operators.ltv import capped_and_segmented, ltv_target
 from tenura.session import enable_checkpoints
@@ -67,14 +68,18 @@ class Bundle:
 def churn_training_rows(customers: DataFrame, key: str, hashed) -> DataFrame:
     """Key, label, the 29 features, `is_test` and `fold` of every customer, spread evenly by key.
 
+    Classes have equal shares in the test rows, and in every fold of the others.
     Fitting reads these rows many times, so the one shuffle that evens them out pays for itself.
     """
     rows = encode.churn_matrix(
         encode.with_label(encode.features(customers)).withColumnRenamed("churn_binary", "label"),
         list(dict.fromkeys([key, "churn", "label"])),
     )
-    marked = split.stratified_split(split.folds(rows, hashed), hashed, "churn").drop("churn")
-    return marked.repartition(key)
+    rows = rows.withColumn("label", F.when(F.col("churn").isNotNull(), F.col("label")))
+    marked = split.stratified_split(rows, hashed, "churn")
+    part = F.concat_ws(" ", F.coalesce("churn", F.lit("?")), F.col("is_test").cast("string"))
+    folded = split.stratified_folds(marked.withColumn("_part", part), split.remixed(hashed), strata="_part")
+    return folded.drop("churn", "_part").repartition(key)
 
 
 def ltv_training_rows(customers: DataFrame, key: str, hashed) -> DataFrame:
@@ -108,26 +113,30 @@ def _pipeline(kind: str, names: list[str], vector: str, learner, settings: dict)
     learner = learner.copy({learner.getParam(k): v for k, v in settings.items()})
     if learner.hasParam("seed"):
         learner.set(learner.getParam("seed"), SEED)
+    # A missing cell gets the median of the training rows, in training and in scoring.
+    known = [f"{n}_known" for n in names]
+    filled = Imputer(strategy="median", inputCols=names, outputCols=known)
     if kind == "lr":
         stages = [
-            VectorAssembler(inputCols=names, outputCol=f"{vector}_raw"),
+            VectorAssembler(inputCols=known, outputCol=f"{vector}_raw"),
             StandardScaler(inputCol=f"{vector}_raw", outputCol=vector, withMean=True, withStd=True),
         ]
     else:
-        stages = [VectorAssembler(inputCols=names, outputCol=vector)]
-    return Pipeline(stages=[*stages, learner])
+        stages = [VectorAssembler(inputCols=known, outputCol=vector)]
+    return Pipeline(stages=[filled, *stages, learner])
 
 
 def train_churn(kind: str, train: DataFrame, **settings) -> PipelineModel:
-    """Fit one churn classifier on weighted training rows."""
+    """Fit one churn classifier on weighted training rows; rows without a label are not learned from."""
     enable_checkpoints(train.sparkSession)
+    train = train.where("label is not null")
     rows = train.count() if kind == "lr" else None
     return churn_pipeline(kind, rows, **settings).fit(train)
 
 
 def train_ltv(kind: str, train: DataFrame, **settings) -> PipelineModel:
     enable_checkpoints(train.sparkSession)
-    return ltv_pipeline(kind, **settings).fit(train)
+    return ltv_pipeline(kind, **settings).fit(train.where("label is not null"))
 
 
 def churn_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -163,44 +172,41 @@ def ltv_metrics_table(predicted: dict[str, DataFrame]) -> DataFrame:
     return _union(lines)
 
 
-def cv_churn(kinds: list[str], train: DataFrame, settings: dict[str, dict] | None = None, parallelism: int = 2) -> DataFrame:
-    """Five-fold F1 of the positive class per model; each fold fits its own scaler."""
+def cv_churn(kinds: list[str], train: DataFrame, settings: dict[str, dict] | None = None) -> DataFrame:
+    """Five-fold F1 of the positive class per model; each fold has its own scaler, class weights and penalty."""
     scorer = MulticlassClassificationEvaluator(
         labelCol="label", predictionCol="churn_class", metricName="fMeasureByLabel", metricLabel=1.0
     )
-    rows = train.count()
-    made = {NAMES[k]: churn_pipeline(k, rows, **(settings or {}).get(k, {})) for k in kinds}
-    return _cross_validate(made, scorer, train, "f1", parallelism)
+    made = {NAMES[k]: lambda rows, k=k: churn_pipeline(k, rows, **(settings or {}).get(k, {})) for k in kinds}
+    return _cross_validate(made, scorer, train, "f1", weighted)
 
 
-def cv_ltv(kinds: list[str], train: DataFrame, settings: dict[str, dict] | None = None, parallelism: int = 2) -> DataFrame:
+def cv_ltv(kinds: list[str], train: DataFrame, settings: dict[str, dict] | None = None) -> DataFrame:
     """Five-fold R2 per model."""
     scorer = RegressionEvaluator(labelCol="label", predictionCol="ltv_raw", metricName="r2")
-    made = {LTV_NAMES[k]: ltv_pipeline(k, **(settings or {}).get(k, {})) for k in kinds}
-    return _cross_validate(made, scorer, train, "r2", parallelism)
+    made = {LTV_NAMES[k]: lambda rows, k=k: ltv_pipeline(k, **(settings or {}).get(k, {})) for k in kinds}
+    return _cross_validate(made, scorer, train, "r2", lambda rows: rows)
 
 
-def _cross_validate(pipelines: dict[str, Pipeline], scorer, train: DataFrame, metric: str, parallelism: int) -> DataFrame:
+def _cross_validate(pipelines: dict, scorer, train: DataFrame, metric: str, prepare) -> DataFrame:
+    """Mean and deviation over the values of `fold`: each is scored by a model of the other folds' rows alone."""
     enable_checkpoints(train.sparkSession)
-    found = []
-    for name, pipeline in pipelines.items():
-        cv = CrossValidator(
-            estimator=pipeline,
-            estimatorParamMaps=ParamGridBuilder().build(),
-            evaluator=scorer,
-            numFolds=5,
-            foldCol="fold",
-            parallelism=parallelism,
-        )
-        fitted = cv.fit(train)
-        found.append((name, metric, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])))
+    scores: dict[str, list[float]] = {name: [] for name in pipelines}
+    folds = sorted(r[0] for r in train.select("fold").distinct().collect())  # a handful
+    for fold in folds:
+        rest = prepare(train.where(F.col("fold") != fold).where("label is not null")).persist()
+        n, held = rest.count(), train.where(F.col("fold") == fold)
+        for name, pipeline in pipelines.items():
+            scores[name].append(float(scorer.evaluate(pipeline(n).fit(rest).transform(held.where("label is not null")))))
+        rest.unpersist()
+    found = [(name, metric, fmean(values), pstdev(values)) for name, values in scores.items()]
     return train.sparkSession.createDataFrame(found, "model string, metric string, mean double, std double")
 
 
 def stored_metrics(store: TableStore) -> dict[str, DataFrame | str]:
     """Both stored metric tables; one that was never written is reported by name."""
     found = {n: store.read_optional(n) for n in ("model_metrics", "ltv_model_metrics")}
-    return {n: f"{n} table not found" if t is None else t for n, t in found.items()}
+    return {n: f"no table {n} has been written yet" if t is None else t for n, t in found.items()}
 
 
 def importances(model: PipelineModel, names: list[str]) -> DataFrame:
@@ -234,7 +240,7 @@ def predictions_table(scored: DataFrame, key: str) -> DataFrame:
 def predict_ltv_all(model: PipelineModel, featured: DataFrame) -> DataFrame:
     """Featured customers with `ltv_predicted`: rounded to cents, then not below 0."""
     scored = model.transform(encode.model_columns(featured))
-    return scored.select(*featured.columns, F.greatest(F.round("ltv_raw", 2), F.lit(0.0)).alias("ltv_predicted"))
+    return scored.select(*featured.columns, floored(F.round("ltv_raw", 2)).alias("ltv_predicted"))
 
 
 def customers_ltv_predicted(model: PipelineModel, featured: DataFrame) -> DataFrame:

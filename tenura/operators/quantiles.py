@@ -55,7 +55,7 @@ def counted_ranks(
 ) -> DataFrame:
     """`rank_values` of values that are already counted.
 
-    `by` must be enumerated columns: per group only a few rows are sent to all executors.
+    Per group only a few rows are looked for; Spark sends them to all executors if there are few groups.
     """
     by = by or []
     span = values.agg(
@@ -74,7 +74,7 @@ def counted_ranks(
     for level in range(1, levels + 1):
         inside = by + bins[:level]
         position = bins[level] if level < levels else "_v"
-        held = rows.join(F.broadcast(found), inside)
+        held = rows.join(found, inside)
         counted = held.groupBy(*found.columns, position).agg(F.sum("_c").alias("_c"))
         before = F.sum("_c").over(_up_to_here(slot, position)) - F.col("_c")
         found = (

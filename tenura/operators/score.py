@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenura.functions import bins
@@ -18,15 +18,15 @@ DECISION_COLUMNS = CHURN_COLUMNS + LTV_COLUMNS + ["revenue_at_risk", "priority_s
 
 def decision_columns(probability: Column, ltv: Column) -> dict[str, Column]:
     """Everything that follows from a probability and an unrounded value: labels first, rounding last."""
-    floored = F.greatest(ltv, F.lit(0.0))
+    value = bins.floored(ltv)
     return {
         "churn_prediction": F.when(probability >= 0.5, 1).otherwise(0),
         "churn_probability": F.round(probability, 4),
         "churn_risk_label": bins.risk_label(probability),
-        "ltv_predicted": F.round(floored, 2),
-        "ltv_segment": bins.ltv_segment(floored),
-        "revenue_at_risk": F.round(floored * probability, 2),
-        "priority_score": bins.priority(probability, floored),
+        "ltv_predicted": F.round(value, 2),
+        "ltv_segment": bins.ltv_segment(value),
+        "revenue_at_risk": F.round(value * probability, 2),
+        "priority_score": bins.priority(probability, value),
     }
 
 
@@ -48,17 +48,31 @@ def score(df: DataFrame, bundle: Bundle, key: str) -> DataFrame:
     return _score(df, bundle, key, DECISION_COLUMNS)
 
 
-def score_batch(spark: SparkSession, path: str, bundle: Bundle, key: str | None = None) -> DataFrame:
-    """Score a CSV file of any size.
+def numbered(rows: DataFrame, name: str = "row_index") -> DataFrame:
+    """Number rows 0..n-1 in the order they are read: the place in a split plus the rows of the splits before.
 
-    Without a key column rows are numbered by file position: unique and in file order, and consecutive
-    within one file split.
+    The rows are read twice, once to count them per split; only those counts, one per split, meet in one place.
     """
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    split = F.shiftright("_at", 33)
+    counts = placed.groupBy(split.alias("_split")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_split")) - F.col("_n")
+    starts = F.broadcast(counts.select("_split", before.alias("_start")))
+    index = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    out = placed.withColumn("_split", split).join(starts, "_split").withColumn(name, index)
+    return out.select(name, *rows.columns)
+
+
+def read_batch(spark: SparkSession, path: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scorable rows of CSV files and the rejected ones with their reasons; without a key, rows get a `row_index`."""
     rows = validate.require_columns(read_batch_csv(spark, path))
-    if key is None:
-        key = "row_index"
-        rows = rows.withColumn(key, F.monotonically_increasing_id())
-    return score(rows, bundle, key)
+    return validate.split_scorable(numbered(rows) if key is None else rows)
+
+
+def score_batch(spark: SparkSession, path: str, bundle: Bundle, key: str | None = None) -> DataFrame:
+    """Score CSV files of any size. Rows that cannot be scored are left to `read_batch`."""
+    rows, _ = read_batch(spark, path, key)
+    return score(rows, bundle, key or "row_index")
 
 
 def summarize(scored: DataFrame) -> DataFrame:

@@ -19,6 +19,11 @@ def integer_key_hash(key: str) -> Column:
     return (F.pmod(F.col(key), F.lit(1 << 31)) * F.lit(2654435761)) % F.lit(1 << 32)
 
 
+def remixed(hashed: Column) -> Column:
+    """Another number in [0, 2^32) from one in that range, for a second, independent choice from the same key."""
+    return (hashed % 65536 * F.lit(40503) * F.lit(65537) + F.floor(hashed / 65536) * F.lit(2246822519)) % F.lit(1 << 32)
+
+
 def split(df: DataFrame, hashed: Column, test_tenths: int = 2) -> DataFrame:
     """Mark each row train or test (`is_test`) by the last digit of its hash."""
     return df.withColumn("is_test", hashed % 10 >= 10 - test_tenths)
@@ -27,11 +32,24 @@ def split(df: DataFrame, hashed: Column, test_tenths: int = 2) -> DataFrame:
 def stratified_split(df: DataFrame, hashed: Column, strata: str = "churn", test_share: float = 0.2) -> DataFrame:
     """Mark the same share of every class as test rows.
 
-    The cut in each class is the exact quantile of the hash, so shares are met to within one row.
+    The cut in each class is the exact quantile of the hash, so shares are met to within one row. Rows without a class
+    stay, as train rows.
     """
     rows = df.withColumn("_hash", hashed.cast("double"))
     cuts = rank_values(rows, "_hash", [test_share], [strata], combine=False).select(strata, F.col("lower").alias("_cut"))
-    return attach(rows, cuts, [strata]).withColumn("is_test", F.col("_hash") <= F.col("_cut")).drop("_hash", "_cut")
+    marked = attach(rows, cuts, [strata], "left")
+    return marked.withColumn("is_test", F.coalesce(F.col("_hash") <= F.col("_cut"), F.lit(False))).drop("_hash", "_cut")
+
+
+def stratified_folds(df: DataFrame, hashed: Column, k: int = 5, strata: str = "churn", name: str = "fold") -> DataFrame:
+    """Fold number 0..k-1 with the same share of every class in each fold, to within one row; 0 without a class."""
+    rows = df.withColumn("_hash", hashed.cast("double"))
+    shares = [i / k for i in range(1, k)]
+    cuts = rank_values(rows, "_hash", shares, [strata], combine=False)
+    cuts = cuts.groupBy(strata).agg(F.sort_array(F.collect_list("lower")).alias("_cuts"))
+    marked = attach(rows, cuts, [strata], "left")
+    fold = F.aggregate("_cuts", F.lit(0), lambda seen, cut: seen + F.when(F.col("_hash") > cut, 1).otherwise(0))
+    return marked.withColumn(name, F.coalesce(fold, F.lit(0))).drop("_hash", "_cuts")
 
 
 def folds(df: DataFrame, hashed: Column, k: int = 5, name: str = "fold") -> DataFrame:

@@ -62,9 +62,19 @@ def fill_defaults(df: DataFrame) -> DataFrame:
     for c, kind in S.BATCH_NUMERIC_DEFAULTS.items():
         # A whole number may arrive as text such as "1.0", so integers are parsed as doubles first.
         filled = F.coalesce(number(F.col(c)), F.lit(0.0)) if c in present else F.lit(0.0)
-        out[c] = filled.cast(kind)
+        out[c] = F.coalesce(filled.try_cast(kind), F.lit(0)).cast(kind)
     return df.withColumns(out)
 
 
+def split_scorable(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Batch rows, filled with defaults, that can be scored, and those with a number below its range, with reasons.
+
+    Scoring is laxer than `split_valid`: unknown categories and long tenures get a score.
+    """
+    checks = [_reason(F.col(c) < low, f"{c}: below {low}") for c, (low, _) in RANGES.items()]
+    checked = fill_defaults(df).withColumn("reasons", F.array_compact(F.array(*checks)))
+    return checked.where(F.size("reasons") == 0).drop("reasons"), checked.where(F.size("reasons") > 0)
+
+
 def _reason(test: Column, text: str) -> Column:
     return F.when(test, F.lit(text))

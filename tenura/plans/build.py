@@ -23,19 +23,25 @@ def build_all(
     root: str,
     churn_settings: Settings | None = None,
     ltv_settings: Settings | None = None,
-    explained_rows: int | None = 1000,
+    explained_rows: int | None = None,
 ) -> models.Bundle:
-    """Build every table below `root` and save the models in `root/bundle`.
+    """Build every table below `root` and save the models in `root/bundle`: the boosted ones, or else the first given.
 
-    `explained_rows=None` explains all customers instead of a repeatable sample.
+    Attributions need the boosted classifier; without it their two tables are not written.
+
+    All customers are explained; `explained_rows` limits the per-customer table to a repeatable sample of that size,
+    while the global importance always rests on all of them.
     """
     store = TableStore(spark, root)
     prepare_tables(store, csv_path)
     churn = build_churn_tables(store, churn_settings or {k: {} for k in models.CHURN_LEARNERS})
     ltv = build_ltv_tables(store, ltv_settings or {k: {} for k in models.LTV_LEARNERS})
-    build_explanations(store, churn["gbt"], explained_rows)
+    shown = "gbt" if "gbt" in churn else next(iter(churn))
+    if shown == "gbt":
+        build_explanations(store, churn[shown], explained_rows)
     tenure_max = store.read("customers").agg(F.max("tenure")).first()[0]
-    bundle = models.Bundle(churn["gbt"], ltv["gbt"], float(tenure_max))
+    valued = "gbt" if "gbt" in ltv else next(iter(ltv))
+    bundle = models.Bundle(churn[shown], ltv[valued], float(tenure_max))
     models.save_bundle(bundle, store.path("bundle"))
     return bundle
 
@@ -82,12 +88,11 @@ def build_ltv_tables(store: TableStore, settings: Settings) -> dict:
 
 def build_explanations(store: TableStore, model, explained_rows: int | None) -> None:
     """shap_feature_importance and shap_customer_values."""
-    rows = store.read("churn_training")
-    if explained_rows is not None:
-        rows = explain.explain_sample(rows, split.key_hash(S.KEY), S.KEY, explained_rows)
-    store.write(explain.shap_values(model, rows, [S.KEY, "label"]), "shap_explained")
+    store.write(explain.shap_values(model, store.read("churn_training"), [S.KEY, "label"]), "shap_explained")
     explained = store.read("shap_explained")
     store.write(explain.shap_importance(explained), "shap_feature_importance")
+    if explained_rows is not None:
+        explained = explain.explain_sample(explained, split.key_hash(S.KEY), S.KEY, explained_rows)
     store.write(explain.shap_customer(explained, S.KEY), "shap_customer_values")
 
 

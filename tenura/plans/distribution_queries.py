@@ -174,10 +174,6 @@ def scatter_actual_predicted(spark, folder):
     return D.scatter_bins(R.regressed(spark, folder), "actual", "predicted", 50)
 
 
-@query(
-    "decision_columns",
-    R.rounded_sql(f"WITH {R.DECIDED_SQL} SELECT * FROM decided", "churn_probability ltv_predicted revenue_at_risk"),
-    digits=6,
-)
+@query("decision_columns", f"WITH {R.DECIDED_SQL} SELECT * FROM decided")
 def decision_columns(spark, folder):
     return R.decided(spark, folder)

@@ -85,12 +85,12 @@ for _name in S.ENGINEERED:
 
 @query(
     "scoring_contract_risk",
-    f"""WITH {R.DIRTY_SQL} SELECT k, (1 - least(tenure / CAST(72 AS DOUBLE), 1))
-    * (1 - coalesce({R.CONTRACT_CODE_SQL}, 0) / CAST(2 AS DOUBLE)) AS risk FROM dirty WHERE tenure IS NOT NULL""",
+    f"""WITH {R.DIRTY_SQL} SELECT k, (1 - CASE WHEN tenure > 72 THEN 1 ELSE coalesce(tenure, 0) / CAST(72 AS DOUBLE) END)
+    * (1 - coalesce({R.CONTRACT_CODE_SQL}, 0) / CAST(2 AS DOUBLE)) AS risk FROM dirty""",
 )
 def scoring_contract_risk(spark, folder):
-    known = R.dirty(spark, folder).where(F.col("tenure").isNotNull())
-    return known.select("k", contract_risk_scoring().alias("risk"))
+    """Every customer; one without a tenure counts as new."""
+    return R.dirty(spark, folder).select("k", contract_risk_scoring().alias("risk"))
 
 
 _REST = [c for c in S.COLUMN_TYPES if c not in ("internet_service", "payment_method")]
@@ -184,6 +184,15 @@ def batch_defaults(spark, folder):
     )
 
 
+@query(
+    "ltv_target_with_gaps",
+    R.with_gaps(f"WITH {R.TARGET_SQL} SELECT k, ltv_historical, projected_months, ltv_projected FROM target"),
+)
+def ltv_target_with_gaps(spark, folder):
+    rows = ltv_target(encode.features(R.gaps(spark, folder)))
+    return rows.select("k", "ltv_historical", "projected_months", "ltv_projected")
+
+
 @query("ltv_target", f"WITH {R.TARGET_SQL} SELECT k, ltv_historical, projected_months, ltv_projected FROM target")
 def ltv_target_columns(spark, folder):
     return ltv_target(R.featured(spark, folder)).select("k", "ltv_historical", "projected_months", "ltv_projected")

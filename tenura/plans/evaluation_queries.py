@@ -23,6 +23,42 @@ def stratified_split(spark, folder):
     return P.stratified_split(rows, P.integer_key_hash("k")).select("k", "churn", "is_test")
 
 
+@query(
+    "split_with_missing_labels",
+    f"""WITH {R.CUSTOMERS_SQL}, partly AS (SELECT k, CASE WHEN k % 7 <> 0 THEN churn END AS churn FROM customers),
+      hashed AS (SELECT k, churn, {R.HASH_SQL} AS h, count(*) OVER (PARTITION BY churn) AS n,
+        row_number() OVER (PARTITION BY churn ORDER BY {R.HASH_SQL}) - 1 AS i FROM partly)
+    SELECT k, churn, churn IS NOT NULL AND i <= floor(CAST(0.2 AS DOUBLE) * (n - 1)) AS is_test FROM hashed""",
+)
+def split_with_missing_labels(spark, folder):
+    """Customers without a label stay, as train rows."""
+    rows = customers(spark, folder).withColumn("churn", F.when(F.col("k") % 7 != 0, F.col("churn")))
+    return P.stratified_split(rows, P.integer_key_hash("k")).select("k", "churn", "is_test")
+
+
+@query(
+    "stratified_fold_numbers",
+    f"""WITH {R.CUSTOMERS_SQL}, hashed AS (SELECT k, churn, count(*) OVER (PARTITION BY churn) AS n,
+        row_number() OVER (PARTITION BY churn ORDER BY {R.HASH_SQL}) - 1 AS i FROM customers)
+    SELECT k, churn, CAST({" + ".join(f"CASE WHEN i > floor(CAST({j / 5} AS DOUBLE) * (n - 1)) THEN 1 ELSE 0 END" for j in range(1, 5))}
+      AS INTEGER) AS fold FROM hashed""",
+)
+def stratified_fold_numbers(spark, folder):
+    return P.stratified_folds(customers(spark, folder), P.integer_key_hash("k")).select("k", "churn", "fold")
+
+
+@query(
+    "stratified_fold_balance",
+    f"""WITH {R.CUSTOMERS_SQL} SELECT churn, CAST(count(*) AS BIGINT) AS customers,
+    CAST(5 AS BIGINT) AS folds, true AS balanced FROM customers GROUP BY churn""",
+)
+def stratified_fold_balance(spark, folder):
+    """Whether the folds of each class differ by two rows at most."""
+    rows = P.stratified_folds(customers(spark, folder), P.integer_key_hash("k")).groupBy("churn", "fold").count()
+    spread = F.max("count") - F.min("count") <= 2
+    return rows.groupBy("churn").agg(F.sum("count").alias("customers"), F.count("*").alias("folds"), spread.alias("balanced"))
+
+
 @query("plain_split", f"WITH {R.CUSTOMERS_SQL} SELECT k, {R.HASH_SQL} % 10 >= 8 AS is_test FROM customers")
 def plain_split(spark, folder):
     return P.split(customers(spark, folder), P.integer_key_hash("k")).select("k", "is_test")

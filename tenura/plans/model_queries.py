@@ -28,7 +28,8 @@ from tenura.streaming import scoring
 
 CHURN_SIZES = {"lr": {"maxIter": 100}, "rf": {"numTrees": 20, "maxDepth": 6}, "gbt": {"maxIter": 10, "maxDepth": 4}}
 LTV_SIZES = {"lr": {}, "rf": {"numTrees": 10, "maxDepth": 6}, "gbt": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.3}}
-CV_SIZES = {"lr": {"maxIter": 20}, "rf": {"numTrees": 5, "maxDepth": 4}}
+CV_SIZES = {"lr": {}, "rf": {"numTrees": 20, "maxDepth": 6}, "gbt": {"maxIter": 10, "maxDepth": 4}}
+CV_LTV_SIZES = {"lr": {}, "rf": {"numTrees": 20, "maxDepth": 6}, "gbt": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.3}}
 
 
 @dataclass(frozen=True)
@@ -148,13 +149,14 @@ def best_churn_model(spark, folder):
 
 @query("churn_cross_validation")
 def churn_cross_validation(spark, folder):
-    train = models.weighted(training_rows(spark, folder)[0].where("not is_test"))
-    return models.cv_churn(["lr", "rf"], train, CV_SIZES)
+    """All three classifiers over five stratified folds."""
+    return models.cv_churn(["lr", "rf", "gbt"], training_rows(spark, folder)[0].where("not is_test"), CV_SIZES)
 
 
 @query("ltv_cross_validation")
 def ltv_cross_validation(spark, folder):
-    return models.cv_ltv(["lr", "rf"], training_rows(spark, folder)[1].where("not is_test"), {"rf": CV_SIZES["rf"]})
+    """All three regressors over five folds."""
+    return models.cv_ltv(["lr", "rf", "gbt"], training_rows(spark, folder)[1].where("not is_test"), CV_LTV_SIZES)
 
 
 @query("feature_importances")
@@ -202,7 +204,7 @@ def explained(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "explained_sample",
     f"""WITH {R.CUSTOMERS_SQL} SELECT k, CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END AS label FROM customers
-    ORDER BY {R.HASH_SQL}, k LIMIT 1000""",
+    ORDER BY ({R.HASH_SQL} % 65536 * 40503 * 65537 + {R.HASH_SQL} // 65536 * 2246822519) % 4294967296, k LIMIT 1000""",
 )
 def explained_sample(spark, folder):
     rows = encode.with_label(customers(spark, folder)).withColumnRenamed("churn_binary", "label")
@@ -235,10 +237,8 @@ def engineered_shap(spark, folder):
 
 @query("shap_customer_values")
 def shap_customer_values(spark, folder):
-    """Per-customer attributions of the repeatable sample."""
-    t = trained(spark, folder)
-    sample = explain.explain_sample(t.churn_rows, P.integer_key_hash("k"), "k")
-    return explain.shap_customer(explain.shap_values(t.churn["gbt"], sample, ["k", "label"]), "k")
+    """Attributions of every customer."""
+    return explain.shap_customer(explained(spark, folder), "k")
 
 
 def _contribution_query(name: str, label: int, n: int):
@@ -323,24 +323,12 @@ def score_stream(spark, folder):
     return spark.read.parquet(out)
 
 
-@query(
-    "stream_decisions",
-    f"""WITH {R.TARGET_SQL}, valued AS (SELECT k, {R.PROBABILITY_SQL} AS p, {R.FORMULA_LTV_SQL} AS ltv FROM target)
-    SELECT k, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS churn_prediction,
-    CASE WHEN p < 0.25 THEN 'Low' WHEN p < 0.5 THEN 'Medium' WHEN p < 0.75 THEN 'High' ELSE 'Critical' END
-      AS churn_risk_label,
-    CASE WHEN ltv < 1000 THEN 'Low' WHEN ltv < 2000 THEN 'Medium' WHEN ltv < 3500 THEN 'High' ELSE 'Premium' END
-      AS ltv_segment,
-    CASE WHEN p >= 0.5 AND ltv >= 2000 THEN 'Critical' WHEN p >= 0.5 THEN 'High' WHEN ltv >= 2000 THEN 'Medium'
-         ELSE 'Low' END AS priority_score FROM valued""",
-)
+@query("stream_decisions", f"WITH {R.DECIDED_SQL} SELECT * FROM decided")
 def stream_decisions(spark, folder):
     """Decision columns added by a stream to rows that carry formula scores."""
-    target = models.ltv_target(encode.fill_total_charges(customers(spark, folder)))
-    rows = target.select("k", R.formula_probability().alias("p"), R.formula_ltv().alias("ltv"))
+    rows = R.valued_inputs(spark, folder)
     source = _arrived(spark, rows)
     out = new_path(spark, "decided")
     stream = score.decide(scoring.read_arrivals(spark, source, rows.schema), "p", "ltv")
     scoring.write_stream(stream, out, new_path(spark, "stream-state")).awaitTermination()
-    columns = ["k", "churn_prediction", "churn_risk_label", "ltv_segment", "priority_score"]
-    return spark.read.parquet(out).select(columns)
+    return spark.read.parquet(out).select("k", *score.DECISION_COLUMNS)

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura import schema as S
-from tenura.functions.bins import ltv_segment, priority, risk_label
-from tenura.operators import encode
+from tenura.operators import encode, score
 from tenura.operators.ltv import capped_and_segmented, ltv_target
 from tenura.operators.split import integer_key_hash
 from tenura.session import new_path
@@ -74,6 +73,17 @@ def dirty(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers of whom some have no charges or no tenure."""
+    k = F.col("k")
+    return customers(spark, folder).withColumns(
+        {
+            "monthly_charges": F.when(k % 71 != 0, F.col("monthly_charges")),
+            "tenure": F.when(k % 83 != 0, F.col("tenure")),
+        }
+    )
+
+
 def formula_probability():
     """A score in [0, 1) from contract, tenure and key; it stands in for a model where none is needed."""
     contract = F.col("contract")
@@ -126,18 +136,14 @@ def regressed(spark: SparkSession, folder: str) -> DataFrame:
 
 def decided(spark: SparkSession, folder: str) -> DataFrame:
     """Scored customers with both formula scores and every derived decision column."""
+    return score.decide(valued_inputs(spark, folder), "p", "ltv").select("k", *score.DECISION_COLUMNS)
+
+
+def valued_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Key, formula probability `p` and formula value `ltv`; every eleventh value is below zero."""
     target = ltv_target(encode.fill_total_charges(customers(spark, folder)))
-    p, ltv = F.col("p"), F.col("ltv")
-    return target.select("k", formula_probability().alias("p"), formula_ltv().alias("ltv")).select(
-        "k",
-        F.when(p >= 0.5, 1).otherwise(0).alias("churn_prediction"),
-        F.round(p, 4).alias("churn_probability"),
-        risk_label(p).alias("churn_risk_label"),
-        ltv.alias("ltv_predicted"),
-        ltv_segment(ltv).alias("ltv_segment"),
-        (ltv * p).alias("revenue_at_risk"),
-        priority(p, ltv).alias("priority_score"),
-    )
+    ltv = F.when(F.col("k") % 11 == 0, -formula_ltv()).otherwise(formula_ltv())
+    return target.select("k", formula_probability().alias("p"), ltv.alias("ltv"))
 
 
 # SQL of the same views, as common table expressions
@@ -230,6 +236,11 @@ def quantile_sql(p: float, value: str = "v") -> str:
     return f"({low} + ({high} - {low}) * max({place} - floor{place}))"
 
 
+def half_up(value: str, digits: int = 2) -> str:
+    """Round the shortest decimal form of a double, halves away from zero."""
+    return f"CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
+
+
 HASH_SQL = "((k % 2147483648) * 2654435761 % 4294967296)"
 PROBABILITY_SQL = f"""(CASE WHEN contract = 'Two year' THEN 40 WHEN contract = 'One year' THEN 120
     WHEN tenure <= 12 THEN 450 ELSE 300 END + {HASH_SQL} % 400) / CAST(1000 AS DOUBLE)"""
@@ -237,20 +248,34 @@ FORMULA_LTV_SQL = f"""(CAST(round(ltv_projected * 100) AS BIGINT) * (900 + {HASH
 
 STORED_SQL = f"""{TARGET_SQL},
 ranked AS (SELECT ltv_projected AS v, row_number() OVER (ORDER BY ltv_projected) - 1 AS i, count(*) OVER () AS n
-  FROM target),
+  FROM target WHERE ltv_projected IS NOT NULL),
 cap AS (SELECT {quantile_sql(0.99)} AS cap FROM ranked),
-capped AS (SELECT least(v, cap) AS v, i, n FROM ranked, cap),
+capped AS (SELECT CASE WHEN v > cap THEN cap ELSE v END AS v, i, n FROM ranked, cap),
 edge AS (SELECT {quantile_sql(0.25)} AS q1, {quantile_sql(0.5)} AS q2, {quantile_sql(0.75)} AS q3 FROM capped),
+clipped AS (
+  SELECT target.* REPLACE (CASE WHEN ltv_projected > cap THEN cap ELSE ltv_projected END AS ltv_projected) FROM target, cap),
 segmented AS (
-  SELECT target.* REPLACE (least(ltv_projected, cap) AS ltv_projected),
-    CASE WHEN least(ltv_projected, cap) <= q1 THEN 'Low' WHEN least(ltv_projected, cap) <= q2 THEN 'Medium'
-         WHEN least(ltv_projected, cap) <= q3 THEN 'High' ELSE 'Premium' END AS ltv_segment
-  FROM target, cap, edge),
+  SELECT clipped.*, CASE WHEN ltv_projected <= q1 THEN 'Low' WHEN ltv_projected <= q2 THEN 'Medium'
+         WHEN ltv_projected <= q3 THEN 'High' WHEN ltv_projected > q3 THEN 'Premium' END AS ltv_segment
+  FROM clipped, edge),
 stored AS (
   SELECT k, customer_id, tenure, contract, monthly_charges, total_charges, churn, ltv_historical, ltv_projected,
     {FORMULA_LTV_SQL} AS ltv_predicted, ltv_segment, {", ".join(S.ENGINEERED)}
   FROM segmented)"""
 
+# The same views over customers of whom some have no charges or no tenure.
+GAPS_SQL = (
+    CUSTOMERS_SQL.replace("customers AS (", "whole AS (")
+    + """,
+customers AS (SELECT * REPLACE (CASE WHEN k % 71 = 0 THEN NULL ELSE monthly_charges END AS monthly_charges,
+    CASE WHEN k % 83 = 0 THEN NULL ELSE tenure END AS tenure) FROM whole)"""
+)
+
+
+def with_gaps(sql: str) -> str:
+    return sql.replace(CUSTOMERS_SQL, GAPS_SQL)
+
+
 SCORED_SQL = f"""{CUSTOMERS_SQL},
 scored AS (SELECT k, CASE WHEN churn = 'Yes' THEN 1 ELSE 0 END AS label, {PROBABILITY_SQL} AS probability
   FROM customers)"""
@@ -259,7 +284,8 @@ REGRESSED_SQL = f"""{TARGET_SQL},
 regressed AS (SELECT k, ltv_projected AS actual, {FORMULA_LTV_SQL} AS predicted FROM target)"""
 
 DECIDED_SQL = f"""{TARGET_SQL},
-valued AS (SELECT k, {PROBABILITY_SQL} AS p, {FORMULA_LTV_SQL} AS ltv FROM target),
+valued AS (SELECT k, {PROBABILITY_SQL} AS p,
+    CASE WHEN k % 11 = 0 THEN CAST(0 AS DOUBLE) ELSE {FORMULA_LTV_SQL} END AS ltv FROM target),
 decided AS (
   SELECT k, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS churn_prediction, round(p, 4) AS churn_probability,
     CASE WHEN p < 0.25 THEN 'Low' WHEN p < 0.5 THEN 'Medium' WHEN p < 0.75 THEN 'High' ELSE 'Critical' END
@@ -267,7 +293,7 @@ decided AS (
     ltv AS ltv_predicted,
     CASE WHEN ltv < 1000 THEN 'Low' WHEN ltv < 2000 THEN 'Medium' WHEN ltv < 3500 THEN 'High' ELSE 'Premium' END
       AS ltv_segment,
-    ltv * p AS revenue_at_risk,
+    {half_up("ltv * p")} AS revenue_at_risk,
     CASE WHEN p >= 0.5 AND ltv >= 2000 THEN 'Critical' WHEN p >= 0.5 THEN 'High' WHEN ltv >= 2000 THEN 'Medium'
          ELSE 'Low' END AS priority_score
   FROM valued)"""

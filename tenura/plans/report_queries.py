@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tenura import schema as S
-from tenura.operators import reports
+from tenura.operators import encode, reports
 from tenura.operators.ltv import cap_quantile, capped_and_segmented, ltv_target
 from tenura.operators.models import top_features
 from tenura.plans import registry as R
@@ -462,17 +462,18 @@ _extreme_query("safest_retained", 0, "ASC")
     "display_strings",
     f"""WITH {R.DECIDED_SQL} SELECT k, regexp_replace(printf('%.2f', round(churn_probability * 100, 2)), '0$', '') || '%'
       AS churn_probability,
-    '$' || regexp_replace(printf('%.2f', ltv_predicted), '0$', '') AS ltv_predicted FROM decided""",
+    '$' || regexp_replace(printf('%.2f', ltv_predicted), '0$', '') AS ltv_predicted,
+    '$' || regexp_replace(printf('%.2f', revenue_at_risk), '0$', '') AS revenue_at_risk FROM decided""",
 )
 def display_strings(spark, folder):
-    return reports.display(R.decided(spark, folder)).select("k", "churn_probability", "ltv_predicted")
+    return reports.display(R.decided(spark, folder)).select("k", "churn_probability", "ltv_predicted", "revenue_at_risk")
 
 
 @query(
     "capped_ltv",
     f"""WITH {R.TARGET_SQL}, ranked AS (SELECT ltv_projected AS v, row_number() OVER (ORDER BY ltv_projected) - 1 AS i,
       count(*) OVER () AS n FROM target), cap AS (SELECT {R.quantile_sql(0.99)} AS cap FROM ranked)
-    SELECT k, least(ltv_projected, cap) AS ltv_projected FROM target, cap""",
+    SELECT k, CASE WHEN ltv_projected > cap THEN cap ELSE ltv_projected END AS ltv_projected FROM target, cap""",
 )
 def capped_ltv(spark, folder):
     return cap_quantile(ltv_target(R.featured(spark, folder)), "ltv_projected").select("k", "ltv_projected")
@@ -484,6 +485,35 @@ def quartile_segments(spark, folder):
     return rows.select("k", "ltv_projected", "ltv_segment")
 
 
+def _gap_segments(spark, folder):
+    return capped_and_segmented(ltv_target(encode.features(R.gaps(spark, folder))))
+
+
+@query(
+    "capped_ltv_with_gaps",
+    R.with_gaps(
+        f"""WITH {R.TARGET_SQL}, ranked AS (SELECT ltv_projected AS v, row_number() OVER (ORDER BY ltv_projected) - 1 AS i,
+      count(*) OVER () AS n FROM target WHERE ltv_projected IS NOT NULL),
+      cap AS (SELECT {R.quantile_sql(0.99)} AS cap FROM ranked)
+    SELECT k, CASE WHEN ltv_projected > cap THEN cap ELSE ltv_projected END AS ltv_projected FROM target, cap"""
+    ),
+)
+def capped_ltv_with_gaps(spark, folder):
+    """A customer without charges has no projected value, not the cap."""
+    return cap_quantile(ltv_target(encode.features(R.gaps(spark, folder))), "ltv_projected").select("k", "ltv_projected")
+
+
+@query("quartile_segments_with_gaps", R.with_gaps(f"WITH {R.STORED_SQL} SELECT k, ltv_projected, ltv_segment FROM segmented"))
+def quartile_segments_with_gaps(spark, folder):
+    return _gap_segments(spark, folder).select("k", "ltv_projected", "ltv_segment")
+
+
+@query("customers_ltv_with_gaps", R.with_gaps(f"WITH {R.STORED_SQL} SELECT * EXCLUDE (k) FROM stored"))
+def customers_ltv_with_gaps(spark, folder):
+    full = _gap_segments(spark, folder).withColumn("ltv_predicted", R.formula_ltv())
+    return full.select(*S.CUSTOMERS_LTV_COLUMNS)
+
+
 @query("customers_ltv", f"WITH {R.STORED_SQL} SELECT * EXCLUDE (k) FROM stored")
 def customers_ltv(spark, folder):
     return R.valued(spark, folder).drop("k")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tenura import schema as S
-from tenura.operators import encode, profile, validate
+from tenura.operators import encode, profile, score, validate
 from tenura.plans import registry as R
 from tenura.plans.registry import query
 from tenura.session import new_path
@@ -22,6 +22,57 @@ def customer_csv_load(spark, folder):
     return customers_csv.read_customers_csv(spark, path)
 
 
+@query("customer_csv_reordered", f"WITH {R.CUSTOMERS_SQL} SELECT {ALL_COLUMNS} FROM customers")
+def customer_csv_reordered(spark, folder):
+    """A file with its columns in reverse, names in capitals, and a column of its own."""
+    path = new_path(spark, "customers-csv")
+    customers_csv.write_customers_csv(customers(spark, folder), path)
+    raw = spark.read.csv(path, header=True)
+    turned = [F.col(c).alias(c.upper()) for c in reversed(raw.columns)]
+    customers_csv.export_csv(raw.select(F.lit("x").alias("Remark"), *turned), path + "-turned")
+    return customers_csv.read_customers_csv(spark, path + "-turned")
+
+
+@query(
+    "batch_mixed_headers",
+    f"""WITH {R.CUSTOMERS_SQL} SELECT k, CAST(tenure AS DOUBLE) AS tenure, monthly_charges, contract,
+    CASE WHEN k % 2 = 0 THEN gender ELSE 'Male' END AS gender FROM customers""",
+)
+def batch_mixed_headers(spark, folder):
+    """A folder of files in two column orders, one of them without a column."""
+    path = new_path(spark, "batch")
+    rows = customers(spark, folder).drop("churn")
+    customers_csv.export_csv(rows.where("k % 2 = 0"), path + "/a")
+    rest = rows.where("k % 2 = 1")
+    customers_csv.export_csv(rest.select(*[c for c in reversed(rest.columns) if c != "gender"]), path + "/b")
+    filled = validate.fill_defaults(customers_csv.read_batch_csv(spark, path + "/*"))
+    return filled.select(F.col("k").cast("bigint").alias("k"), "tenure", "monthly_charges", "contract", "gender")
+
+
+@query(
+    "score_batch_rejects",
+    f"""WITH {R.DIRTY_SQL} SELECT k, 'monthly_charges: below 0' AS reasons FROM dirty WHERE monthly_charges < 0""",
+)
+def score_batch_rejects(spark, folder):
+    """Batch rows that cannot be scored, next to the scores."""
+    path = new_path(spark, "batch")
+    customers_csv.export_csv(R.dirty(spark, folder).drop("churn"), path)
+    _, rejects = score.read_batch(spark, path, "customer_id")
+    return rejects.select(F.col("k").cast("bigint").alias("k"), F.concat_ws("; ", "reasons").alias("reasons"))
+
+
+@query(
+    "batch_row_index",
+    f"WITH {R.CUSTOMERS_SQL} SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS BIGINT) AS row_index, k FROM customers",
+)
+def batch_row_index(spark, folder):
+    """Rows of one file numbered in file order."""
+    path = new_path(spark, "batch")
+    customers_csv.export_csv(customers(spark, folder).drop("churn").coalesce(1).sortWithinPartitions("k"), path)
+    rows, _ = score.read_batch(spark, path)
+    return rows.select("row_index", F.col("k").cast("bigint").alias("k"))
+
+
 @query("table_write_and_read", f"WITH {R.CUSTOMERS_SQL} SELECT * FROM customers")
 def table_write_and_read(spark, folder):
     store = TableStore(spark, new_path(spark, "tables"))

@@ -37,7 +37,7 @@ def test_models_find_the_signal(trained):
 
 def test_linear_model_scales_inside_the_pipeline(trained):
     names = [type(s).__name__ for s in trained.churn["lr"].stages]
-    assert names == ["VectorAssembler", "StandardScalerModel", "LogisticRegressionModel"]
+    assert names == ["ImputerModel", "VectorAssembler", "StandardScalerModel", "LogisticRegressionModel"]
 
 
 def test_full_settings_are_the_defaults():
@@ -92,6 +92,41 @@ def test_attributions_match_brute_force_shapley():
         assert abs(table.base_value + phi.sum() - 2.0 * _conditional(tree, 0, x, set(features))) < 1e-12
 
 
+def test_attributions_of_a_deep_path_match_brute_force():
+    depth, rng = 12, np.random.default_rng(4)
+    nodes, cover = {}, 1000.0
+    for d in range(depth):  # one long path; every left child is a leaf
+        share = rng.uniform(0.1, 0.9)
+        nodes[2 * d] = {"feature": d, "threshold": 0.0, "left": 2 * d + 1, "right": 2 * d + 2, "cover": cover, "value": 0.0}
+        nodes[2 * d + 1] = {"left": -1, "right": -1, "value": rng.normal(), "cover": cover * (1 - share)}
+        cover *= share
+    nodes[2 * depth] = {"left": -1, "right": -1, "value": 5.0, "cover": cover}
+    table = explain.tabulate(explain.leaf_paths(nodes, 1.0))
+    assert sum(x.nbytes for x in (table.feature, table.above, table.upto, table.share)) < 13 * depth * 32
+    x = np.array([[1.0] * depth, [1.0, -1.0] * (depth // 2), [1.0] * 7 + [-1.0] * 5])
+    got = explain.attributions(table, x)
+    for row, phi in zip(x, got):
+        values = {s: _conditional(nodes, 0, row, set(s)) for k in range(depth + 1) for s in itertools.combinations(range(depth), k)}
+        for j in (0, 5, 11):
+            want = sum(
+                factorial(len(s)) * factorial(depth - len(s) - 1) / factorial(depth) * (values[tuple(sorted({*s, j}))] - v)
+                for s, v in values.items()
+                if j not in s
+            )
+            assert abs(phi[j] - want) < 1e-9
+
+
+def test_training_survives_missing_cells_and_labels(spark, folder):
+    from tenura.operators import split
+    from tenura.plans import registry as R
+
+    rows = R.dirty(spark, folder).withColumn("churn", F.when(F.col("k") % 9 != 0, F.col("churn")))
+    marked = models.churn_training_rows(rows, "k", split.integer_key_hash("k"))
+    assert marked.count() == 1500 and marked.where("label is null").where("is_test").count() == 0
+    model = models.train_churn("gbt", models.weighted(marked.where("not is_test")), maxIter=2, maxDepth=2)
+    assert models.churn_scores(model, marked).where("probability between 0 and 1").count() == 1500
+
+
 def test_importance_table(spark, folder, trained):
     table = M.shap_importance(spark, folder).orderBy("global_rank").toPandas()
     assert list(table.global_rank) == list(range(1, 30))
@@ -105,7 +140,7 @@ def test_importance_table(spark, folder, trained):
 def test_sample_rows_carry_their_own_label(spark, folder, trained):
     sample = M.shap_customer_values(spark, folder)
     joined = sample.join(trained.churn_rows.select("k", "label"), "k")
-    assert joined.where("label != churn_actual").count() == 0 and joined.count() == 1000
+    assert joined.where("label != churn_actual").count() == 0 and joined.count() == 1500
 
 
 def test_contributions_are_ordered(spark, folder, trained):
@@ -158,10 +193,12 @@ def test_batch_file_without_key_and_options(spark, folder, trained, tmp_path):
 def test_stored_metrics_report_an_absent_table(spark, tmp_path):
     from tenura.sources.tables import TableStore
 
-    assert models.stored_metrics(TableStore(spark, str(tmp_path)))["model_metrics"] == "model_metrics table not found"
+    assert models.stored_metrics(TableStore(spark, str(tmp_path)))["model_metrics"] == "no table model_metrics has been written yet"
 
 
 def test_cross_validation_lines(trained):
-    train = models.weighted(trained.churn_rows.where("not is_test"))
+    train = trained.churn_rows.where("not is_test")
+    counts = train.groupBy("fold", "label").count().toPandas().pivot(index="fold", columns="label", values="count")
+    assert len(counts) == 5 and (counts.max() - counts.min()).max() <= 2
     line = models.cv_churn(["rf"], train, {"rf": {"numTrees": 3, "maxDepth": 3}}).first()
     assert line["metric"] == "f1" and 0.3 < line["mean"] < 1 and line["std"] >= 0
