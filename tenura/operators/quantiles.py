@@ -1,10 +1,9 @@
 """Exact quantiles that never gather a column in one task.
 
 Rows are first counted per distinct value, combined before the shuffle, so a value held by a third of all
-rows costs one row. A quantile needs the values at two ranks. Counting per equal-width bin finds
-the bin that holds a wanted rank, the next level looks only inside that bin, and the last step orders only the
-distinct values that share one bin of the finest level. Every level reads the same counted values, which
-adaptive execution computes once and reuses.
+rows costs one row. The distinct values are dealt to range partitions, whose bounds follow the data, whatever
+its distribution, and written with their partition's number. Row counts per partition tell which partition holds a
+wanted rank, and only the values of that partition are put in order to find it.
 """
 
 from __future__ import annotations
@@ -12,16 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1 << 12
-LEVELS = 2
+from tenura.session import new_path
 
 
 def counted_values(df: DataFrame, column: str, by: list[str] | None = None, combine: bool = True) -> DataFrame:
     """Rows per distinct value (`_v`, `_c`) and group; NULL values and NULL groups do not take part.
 
-    Combining equal values costs a shuffle of the distinct ones and lets every level read the result. For a
-    column that hardly repeats, such as a key's hash, `combine=False` skips it: each level then scans the
-    column again and shuffles bin counts only.
+    Combining equal values costs one more shuffle, of the distinct ones. For a
+    column that hardly repeats, such as a key's hash, `combine=False` skips it.
     """
     by = by or []
     values = present(df.select(*by, F.col(column).cast("double").alias("_v")))
@@ -39,53 +36,33 @@ def present(df: DataFrame) -> DataFrame:
 
 
 def rank_values(
-    df: DataFrame,
-    column: str,
-    probabilities: list[float],
-    by: list[str] | None = None,
-    levels: int = LEVELS,
-    combine: bool = True,
+    df: DataFrame, column: str, probabilities: list[float], by: list[str] | None = None, combine: bool = True
 ) -> DataFrame:
     """For every group and probability: the values around the wanted rank, and how far to go between them."""
-    return counted_ranks(counted_values(df, column, by, combine), probabilities, by, levels)
+    return counted_ranks(counted_values(df, column, by, combine), probabilities, by)
 
 
-def counted_ranks(
-    values: DataFrame, probabilities: list[float], by: list[str] | None = None, levels: int = LEVELS
-) -> DataFrame:
-    """`rank_values` of values that are already counted.
+def ranged_values(values: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Counted values with the number of their range partition (`_part`), stored: the bounds are sampled, so that
+    computing them again could move a value to another partition."""
+    order = [*(by or []), "_v"]
+    path = new_path(values.sparkSession, "ranges")
+    placed = values.select(*order, "_c").repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    placed.write.parquet(path)
+    return values.sparkSession.read.schema(placed.schema).parquet(path)
 
-    Per group only a few rows are looked for; Spark sends them to all executors if there are few groups.
-    """
-    by = by or []
-    span = values.agg(
-        F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("_c").alias("rows")).alias("s")
-    ).scalar()
-    share = F.try_divide(F.col("_v") - F.col("_span.lo"), F.col("_span.hi") - F.col("_span.lo"))
-    rows = values.withColumn("_span", span).withColumn("_x", F.coalesce(share, F.lit(0.0))).drop("_span")
-    bins = [f"_bin{i}" for i in range(levels)]
-    rest = F.col("_x") * BINS
-    for name in bins:
-        rows = rows.withColumn(name, F.least(F.floor(rest), F.lit(BINS - 1)).cast("int"))
-        rest = (rest - F.col(name)) * BINS
-
-    found = _wanted_ranks(rows, by, bins[0], probabilities)
-    slot = by + ["_p", "_upper"]
-    for level in range(1, levels + 1):
-        inside = by + bins[:level]
-        position = bins[level] if level < levels else "_v"
-        held = rows.join(found, inside)
-        counted = held.groupBy(*found.columns, position).agg(F.sum("_c").alias("_c"))
-        before = F.sum("_c").over(_up_to_here(slot, position)) - F.col("_c")
-        found = (
-            counted.withColumn("_before", before)
-            .where(_holds_rank())
-            .withColumn("_rank", F.col("_rank") - F.col("_before"))
-            .drop("_c", "_before")
-        )
 
+def counted_ranks(values: DataFrame, probabilities: list[float], by: list[str] | None = None) -> DataFrame:
+    """`rank_values` of values that are already counted. Ranges are found at once, the result is computed when read."""
+    by = by or []
+    stored = ranged_values(values, by)
+    found = _wanted_ranks(stored, by, probabilities)
+    held = stored.join(found, [*by, "_part"])
+    slot = [*by, "_p", "_upper"]
+    before = F.sum("_c").over(_up_to_here(slot, "_v")) - F.col("_c")
+    exact = held.withColumn("_before", before).where(_holds_rank())
     at = lambda upper: F.max(F.when(F.col("_upper") == upper, F.col("_v")))
-    return found.groupBy(*by, F.col("_p").alias("probability")).agg(
+    return exact.groupBy(*by, F.col("_p").alias("probability")).agg(
         F.max("_n").alias("n"),
         at(False).alias("lower"),
         at(True).alias("upper"),
@@ -99,10 +76,10 @@ def between(lower: Column, upper: Column, fraction: Column) -> Column:
 
 
 def quantiles(
-    df: DataFrame, column: str, probabilities: dict[str, float], by: list[str] | None = None, levels: int = LEVELS
+    df: DataFrame, column: str, probabilities: dict[str, float], by: list[str] | None = None
 ) -> DataFrame:
     """One row per group with one interpolated quantile column per entry of `probabilities`."""
-    return counted_quantiles(counted_values(df, column, by), probabilities, by, levels)
+    return counted_quantiles(counted_values(df, column, by), probabilities, by)
 
 
 def approximate_quantiles(
@@ -115,7 +92,7 @@ def approximate_quantiles(
 
 
 def counted_quantiles(
-    values: DataFrame, probabilities: dict[str, float], by: list[str] | None = None, levels: int = LEVELS
+    values: DataFrame, probabilities: dict[str, float], by: list[str] | None = None
 ) -> DataFrame:
     """`quantiles` of values that are already counted."""
     by = by or []
@@ -123,18 +100,17 @@ def counted_quantiles(
     picked = [
         F.max(F.when(F.col("probability") == F.lit(float(p)), value)).alias(name) for name, p in probabilities.items()
     ]
-    ranks = counted_ranks(values, list(dict.fromkeys(probabilities.values())), by, levels)
+    ranks = counted_ranks(values, list(dict.fromkeys(probabilities.values())), by)
     return ranks.groupBy(*by).agg(*picked) if by else ranks.agg(*picked)
 
 
-def _wanted_ranks(rows: DataFrame, by: list[str], bin_column: str, probabilities: list[float]) -> DataFrame:
-    """Ranks to look for, each with the first-level bin that holds it and its rank inside that bin."""
-    group = Window.partitionBy(*by)
+def _wanted_ranks(stored: DataFrame, by: list[str], probabilities: list[float]) -> DataFrame:
+    """Ranks to look for, each with the partition that holds it and its rank inside that partition."""
     counts = (
-        rows.groupBy(*by, bin_column)
+        stored.groupBy(*by, "_part")
         .agg(F.sum("_c").alias("_c"))
-        .withColumn("_n", F.sum("_c").over(group))
-        .withColumn("_before", F.sum("_c").over(_up_to_here(by, bin_column)) - F.col("_c"))
+        .withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+        .withColumn("_before", F.sum("_c").over(_up_to_here(by, "_part")) - F.col("_c"))
     )
     wanted = []
     for p in probabilities:
@@ -150,7 +126,7 @@ def _wanted_ranks(rows: DataFrame, by: list[str], bin_column: str, probabilities
             )
     return (
         counts.withColumn("_w", F.explode(F.array(*wanted)))
-        .select(*by, bin_column, "_n", "_c", "_before", "_w.*")
+        .select(*by, "_part", "_n", "_c", "_before", "_w.*")
         .where(_holds_rank())
         .withColumn("_rank", F.col("_rank") - F.col("_before"))
         .drop("_c", "_before")

@@ -185,7 +185,7 @@ def model_predictions(spark, folder):
 
 @query("model_roc_curve")
 def model_roc_curve(spark, folder):
-    return V.roc_curve(trained(spark, folder).test_scores("gbt").select("label", "probability"))
+    return V.roc_curve(trained(spark, folder).test_scores("gbt").select("label", "probability"), bins=1000)
 
 
 @query("customers_ltv_predicted")

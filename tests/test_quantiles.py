@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tenura.operators.distributions import box_stats, density, histogram, scatter_bins
 from tenura.operators.ltv import cap_quantile, capped_and_segmented, quartile_segment
-from tenura.operators.quantiles import approximate_quantiles, quantiles, rank_values
+from tenura.operators.quantiles import approximate_quantiles, counted_values, quantiles, ranged_values, rank_values
 
 PROBABILITIES = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 0.99, "f": 1.0}
 RANDOM = np.random.default_rng(7)
@@ -20,16 +20,33 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("levels", [1, 2])
 @pytest.mark.parametrize("case", CASES)
-def test_quantiles_match_numpy(spark, case, levels):
+def test_quantiles_match_numpy(spark, case):
     values = CASES[case]
     df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(5)
-    got = quantiles(df, "v", PROBABILITIES, levels=levels).first()
+    got = quantiles(df, "v", PROBABILITIES).first()
     want = np.quantile(values, list(PROBABILITIES.values()))
     assert np.allclose([got[n] for n in PROBABILITIES], want, rtol=1e-13, atol=0)
 
 
+@pytest.mark.parametrize("case", ["outlier", "lognormal", "clusters"])
+def test_no_range_holds_much_more_than_its_share(spark, case):
+    """What is put in order to find a rank is one range; its size follows the number of ranges, not the distribution."""
+    n = 40_000
+    values = {
+        "outlier": np.append(RANDOM.uniform(0, 1, n), [1e13]),
+        "lognormal": RANDOM.lognormal(0, 8, n),
+        "clusters": 1e6 * RANDOM.integers(0, 3, n) + RANDOM.uniform(0, 1e-6, n),
+    }[case]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(8)
+    stored = ranged_values(counted_values(df, "v"))
+    largest = stored.groupBy("_part").count().agg(F.max("count")).first()[0]
+    ranges = stored.select("_part").distinct().count()
+    assert largest <= 2 * len(np.unique(values)) / ranges + 10
+    got = quantiles(df, "v", PROBABILITIES).first()
+    assert np.allclose([got[x] for x in PROBABILITIES], np.quantile(values, list(PROBABILITIES.values())), rtol=1e-13)
+
+
 def test_quantiles_per_group_skip_nulls(spark):
     rows = [("x", float(i)) for i in range(100)] + [("y", 5.0), ("y", None), (None, 1.0)]
     df = spark.createDataFrame(rows, "g string, v double")
