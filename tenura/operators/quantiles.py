@@ -43,11 +43,11 @@ def rank_values(
 
 
 def ranged_values(values: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counted values with the number of their range partition (`_part`), stored: the bounds are sampled, so that
+    """Counted values with the number of their range partition (`_range_id`), stored: the bounds are sampled, so that
     computing them again could move a value to another partition."""
     order = [*(by or []), "_v"]
     path = new_path(values.sparkSession, "ranges")
-    placed = values.select(*order, "_c").repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    placed = values.select(*order, "_c").repartitionByRange(*order).withColumn("_range_id", F.spark_partition_id())
     placed.write.parquet(path)
     return values.sparkSession.read.schema(placed.schema).parquet(path)
 
@@ -57,7 +57,7 @@ def counted_ranks(values: DataFrame, probabilities: list[float], by: list[str] |
     by = by or []
     stored = ranged_values(values, by)
     found = _wanted_ranks(stored, by, probabilities)
-    held = stored.join(found, [*by, "_part"])
+    held = stored.join(found, [*by, "_range_id"])
     slot = [*by, "_p", "_upper"]
     before = F.sum("_c").over(_up_to_here(slot, "_v")) - F.col("_c")
     exact = held.withColumn("_before", before).where(_holds_rank())
@@ -107,10 +107,10 @@ def counted_quantiles(
 def _wanted_ranks(stored: DataFrame, by: list[str], probabilities: list[float]) -> DataFrame:
     """Ranks to look for, each with the partition that holds it and its rank inside that partition."""
     counts = (
-        stored.groupBy(*by, "_part")
+        stored.groupBy(*by, "_range_id")
         .agg(F.sum("_c").alias("_c"))
         .withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-        .withColumn("_before", F.sum("_c").over(_up_to_here(by, "_part")) - F.col("_c"))
+        .withColumn("_before", F.sum("_c").over(_up_to_here(by, "_range_id")) - F.col("_c"))
     )
     wanted = []
     for p in probabilities:
@@ -126,7 +126,7 @@ def _wanted_ranks(stored: DataFrame, by: list[str], probabilities: list[float])
             )
     return (
         counts.withColumn("_w", F.explode(F.array(*wanted)))
-        .select(*by, "_part", "_n", "_c", "_before", "_w.*")
+        .select(*by, "_range_id", "_n", "_c", "_before", "_w.*")
         .where(_holds_rank())
         .withColumn("_rank", F.col("_rank") - F.col("_before"))
         .drop("_c", "_before")

@@ -1,6 +1,7 @@
 """All registered queries: importing this module fills the registry."""
 
 from tenura.plans import (  # noqa: F401
+    check_queries,
     distribution_queries,
     encoding_queries,
     evaluation_queries,

@@ -40,8 +40,8 @@ def test_no_range_holds_much_more_than_its_share(spark, case):
     }[case]
     df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(8)
     stored = ranged_values(counted_values(df, "v"))
-    largest = stored.groupBy("_part").count().agg(F.max("count")).first()[0]
-    ranges = stored.select("_part").distinct().count()
+    largest = stored.groupBy("_range_id").count().agg(F.max("count")).first()[0]
+    ranges = stored.select("_range_id").distinct().count()
     assert largest <= 2 * len(np.unique(values)) / ranges + 10
     got = quantiles(df, "v", PROBABILITIES).first()
     assert np.allclose([got[x] for x in PROBABILITIES], np.quantile(values, list(PROBABILITIES.values())), rtol=1e-13)
