@@ -108,7 +108,7 @@ def test_sets_equal_plain_shingles():
 def test_bounds_are_exact():
     for n in range(1, 60):
         for m in range(n, 60):
-            least = next(o for o in range(0, n + 2) if o > n or 100 * o >= 85 * (n + m - o))
+            least = next(o for o in range(n + m + 1) if 100 * o >= 85 * (n + m - o))
             assert jaccard.needed(n, m) == least
             if least <= n:
                 assert least >= n - jaccard.prefix_length(n) + 1 and least >= m - jaccard.prefix_length(m) + 1
