@@ -50,13 +50,13 @@ class Trained:
         return models.Bundle(self.churn["gbt"], self.ltv["gbt"], self.tenure_max)
 
 
-_ROWS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
-_TRAINED: dict[tuple[str, str], Trained] = {}
+_ROWS: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+_TRAINED: dict[tuple, Trained] = {}
 
 
 def training_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Both training tables, written once to the shared folder: fitting reads them many times."""
-    place = (spark.sparkContext.applicationId, folder)
+    place = R.stamp(spark, folder)
     if place not in _ROWS:
         store = TableStore(spark, new_path(spark, "training"))
         rows, hashed = customers(spark, folder), P.integer_key_hash("k")
@@ -67,7 +67,7 @@ def training_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
 
 
 def trained(spark: SparkSession, folder: str) -> Trained:
-    place = (spark.sparkContext.applicationId, folder)
+    place = R.stamp(spark, folder)
     if place not in _TRAINED:
         churn_rows, ltv_rows = training_rows(spark, folder)
         churn_train = models.weighted(churn_rows.where("not is_test")).persist()

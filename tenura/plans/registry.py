@@ -108,12 +108,19 @@ def valued(spark: SparkSession, folder: str) -> DataFrame:
     return full.withColumn("ltv_predicted", formula_ltv()).select("k", *S.CUSTOMERS_LTV_COLUMNS)
 
 
-_TABLES: dict[tuple[str, str], TableStore] = {}
+def stamp(spark: SparkSession, folder: str) -> tuple:
+    """What results kept in a session depend on: the session, the folder, and names, sizes and times of its order files."""
+    files = spark.read.format("binaryFile").load([f"{folder}/{t}.parquet" for t in ("orders", "customer", "lineitem")])
+    listed = F.hash("path", "length", "modificationTime").cast("long")  # the files themselves are not read
+    return spark.sparkContext.applicationId, folder, *files.agg(F.count("*"), F.sum(listed)).first()
+
+
+_TABLES: dict[tuple, TableStore] = {}
 
 
 def stored(spark: SparkSession, folder: str) -> DataFrame:
     """The same as a stored table, written once per session and input folder; the value reports read it."""
-    place = (spark.sparkContext.applicationId, folder)
+    place = stamp(spark, folder)
     if place not in _TABLES:
         store = TableStore(spark, new_path(spark, "tables"))
         store.write(valued(spark, folder), "customers_ltv", lookup_by=["customer_id"])

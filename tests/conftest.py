@@ -21,6 +21,7 @@ def spark():
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
         spark__sql__warehouse__dir=tempfile.mkdtemp(prefix="warehouse-"),
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="shared-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
