@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from tenura.session import new_path
 
 
+#: Longer texts are scored like all others, but not learned from: they would fill the driver.
+LONGEST_LEARNED = 200_000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -42,7 +46,7 @@ def lists(parts: list[np.ndarray], kind) -> "object":
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(kind)))
 
 
-def slices(texts: list, limit: int = 4_000_000):
+def slices(texts: list, limit: int = 1_000_000):
     """Cut a batch of texts into slices (start, end) of about `limit` characters, one text at least."""
     start = size = 0
     for at, text in enumerate(texts):
@@ -108,7 +112,7 @@ def class_sample(df: DataFrame, label: str, key: str, per_class: int) -> DataFra
     return df.where(chosen)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: Column, per_class: int, longest: int = 1_000_000):
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: Column, per_class: int, longest: int = LONGEST_LEARNED):
     """(text, label) of about `per_class` labelled documents of each class that are not held out, as a pandas frame.
 
     The sample is drawn from the labels and then meets the documents as a small broadcast table, so no text is shuffled.

@@ -20,7 +20,7 @@ _powers = {STEP: np.ones(1, np.uint64), BACK: np.ones(1, np.uint64)}
 def powers(base: int, n: int) -> np.ndarray:
     known = _powers[base]
     if len(known) < n:
-        grown = np.full(max(n, 1 << 22), base, np.uint64)
+        grown = np.full(max(n, 1 << 20), base, np.uint64)
         grown[0] = 1
         known = _powers[base] = np.cumprod(grown, dtype=np.uint64)
     return known[:n]

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import bounded_batches, class_sample, has_letter, held_out, letter_words, slices, table
+from tenura.llm.common import LONGEST_LEARNED, bounded_batches, class_sample, has_letter, held_out, letter_words, slices, table
 
 HIDDEN = 16
 LONGEST = 24
@@ -184,7 +184,7 @@ def train_network(
     Fitted on about `docs_per_language` documents of each language and at most `words` of their words, drawn evenly
     over the languages. Both bounds keep the driver's share the same at any size.
     """
-    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") <= LONGEST_LEARNED)).select("doc_id", "text", "lang")
     sample = class_sample(usable, "lang", "doc_id", docs_per_language).orderBy("doc_id", "lang", "text").toLocalIterator()
     found: dict[str, list[bytes]] = {}
     for row in sample:

@@ -27,7 +27,8 @@ MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 1
 VARIANTS = 4
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_000_000
+MARKS = (",", ".", "!", ";", ":")
 LONGEST_CACHED = 40
 SPACE = "▁"
 #: No piece holds a space behind another character, and none holds a line feed: merges never cross these cuts.
@@ -63,6 +64,9 @@ class PieceCoder:
                 self.plain.append(name.replace(SPACE, " ").encode())
         self.cache: dict[tuple[int, str], bytes] = {}
         self.rate = 0.0
+        # Marks that no piece holds behind a letter: a merge never crosses from a word into one.
+        behind = {b for p in self.pieces for a, b in itertools.pairwise(p) if a.isalpha()}
+        self.marks = {m: np.array(self.segment(m), "<u4").tobytes() for m in MARKS if m not in behind}
 
     def segment(self, chunk: str, key: int = 0, dropout: float = 0.0) -> list[int]:
         """Ids of one chunk. A candidate is skipped when the hash of (key, chunk, its three edges) falls below `dropout`.
@@ -100,9 +104,7 @@ class PieceCoder:
             if limit:
                 edges = left << 42 ^ right << 21 ^ (right + len(symbols[right]))
                 x = (salt ^ edges * 0x9E3779B97F4A7C15) & _MASK
-                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK
-                x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
-                if x ^ x >> 31 < limit:
+                if ((x ^ x >> 31) * 0xBF58476D1CE4E5B9 & _MASK) < limit:
                     continue
             symbols[left], symbols[right] = both, None
             after = following[right]
@@ -134,7 +136,17 @@ class PieceCoder:
         for chunk in CHUNKS.findall(" " + text):
             ids = cache.get((key, chunk))
             if ids is None:
-                ids = np.array(self.segment(chunk, key, dropout), "<u4").tobytes()
+                mark = chunk[-1]
+                if mark in self.marks and chunk[-2:-1].isalpha():
+                    stem = chunk[:-1]
+                    ids = cache.get((key, stem))
+                    if ids is None:
+                        ids = np.array(self.segment(stem, key, dropout), "<u4").tobytes()
+                        if len(stem) <= LONGEST_CACHED:
+                            cache[key, stem] = ids
+                    ids += self.marks[mark]
+                else:
+                    ids = np.array(self.segment(chunk, key, dropout), "<u4").tobytes()
                 if len(chunk) <= LONGEST_CACHED:
                     if len(cache) >= CACHE_CHUNKS:  # the older half goes
                         for old in list(itertools.islice(cache, CACHE_CHUNKS // 2)):
