@@ -9,6 +9,9 @@ the serial algorithm gives on all pieces.
 from __future__ import annotations
 
 import bisect
+import functools
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -17,12 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import keep, ranked, table
+from tenura.llm.common import bounded_batches, keep, ranked, slices, table, whole_ids
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-CACHE_WORDS = 400_000
+MARKS = (".", ",")
+CACHE_WORDS = 1_500_000
 LONGEST_CACHED = 48
 
 
@@ -36,35 +40,84 @@ class WordCoder:
     """Token ids of a text as little-endian bytes, by way of its words.
 
     No token spans an ASCII space or line feed (the tokenizer cuts at white space before it merges), so a text's ids
-    are its words' ids in a row, and each distinct word is tokenized once while the bounded cache holds it.
+    are its words' ids in a row, and each distinct word is tokenized once while the bounded cache holds it. New
+    words are tokenized many at a time, with a separator word between them.
     """
 
+    SEPARATOR = " \ue000 "
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = np.array(self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids, "<u4")
         self.cache: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(c.ids, "<u4").tobytes() for c in coded]
+        self.marks = dict(zip(["", *MARKS], [b"", *self._encode(list(MARKS))]))
+
+    def _encode(self, words: list[str], group: int = 256) -> list[bytes]:
+        groups = [words[a : a + group] for a in range(0, len(words), group)]
+        coded = self.tokenizer.encode_batch_fast([self.SEPARATOR.join(g) for g in groups], add_special_tokens=False)
+        out: list[bytes] = []
+        for own, code in zip(groups, coded):
+            ids = np.array(code.ids, "<u4")
+            found = np.ones(max(0, len(ids) - len(self.mark) + 1), bool)
+            for k, x in enumerate(self.mark):
+                found &= ids[k : k + len(found)] == x
+            cuts = np.flatnonzero(found)
+            if len(cuts) != len(own) - 1:  # a word holds the separator itself
+                alone = self.tokenizer.encode_batch_fast(own, add_special_tokens=False)
+                out += [np.array(c.ids, "<u4").tobytes() for c in alone]
+                continue
+            data = ids.tobytes()
+            ends = [*(4 * cuts).tolist(), len(data)]
+            starts = [0, *(4 * (cuts + len(self.mark))).tolist()]
+            out += [data[a:b] for a, b in zip(starts, ends)]
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Cache the ids of new words by way of their stems: lower case, and without a full stop or comma at the end.
+
+        A mark behind a letter is a token of its own, and the tokenizer lower-cases anyway. Words that may hold a special
+        token, which is matched before that, are left as they are.
+        """
+        stems = {}
+        for word in words:
+            stem, mark = word, ""
+            if "<|" not in word:
+                if word[-1:] in MARKS and word[-2:-1].isalpha():
+                    stem, mark = word[:-1], word[-1]
+                if stem.isascii():
+                    stem = stem.lower()
+            stems[word] = stem, mark
+        fresh = list({stem for stem, _ in stems.values()}.difference(self.cache))
+        self.cache.update(zip(fresh, self._encode(fresh)))
+        for word, (stem, mark) in stems.items():
+            self.cache[word] = self.cache[stem] + self.marks[mark]
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            new = set(words).difference(self.cache)
-            if new:
-                if len(self.cache) + len(new) > CACHE_WORDS:
-                    self.cache.clear()
-                    new = set(words)
-                long = {w for w in new if len(w) > LONGEST_CACHED}
-                new = list(new - long)
-                self.cache.update(zip(new, self._encode(new)))
-                if long:
-                    extra = dict(zip(long, self._encode(list(long))))
+        """The ids of every text. New words are looked up for a slice of texts at a time."""
+        for start, end in slices(texts, 500_000):
+            split = [text.replace("\n", " ").split(" ") for text in texts[start:end]]
+            kinds = set().union(*split)
+            if len(self.cache) + len(kinds) > CACHE_WORDS:  # the older half goes
+                for word in list(itertools.islice(self.cache, len(self.cache) // 2)):
+                    del self.cache[word]
+            new = kinds.difference(self.cache)
+            long = [w for w in new if len(w) > LONGEST_CACHED]
+            self._learn(new.difference(long))
+            extra = dict(zip(long, self._encode(long))) if long else {}
+            for words in split:
+                if extra and not extra.keys().isdisjoint(words):
                     yield b"".join([self.cache[w] if w in self.cache else extra[w] for w in words])
-                    continue
-            yield b"".join(map(self.cache.__getitem__, words))
+                else:
+                    yield b"".join(map(self.cache.__getitem__, words))
+
+
+@functools.cache
+def coder(path: str) -> WordCoder:
+    """One per Python worker, which serves many tasks."""
+    return WordCoder(path)
 
 
 def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -76,21 +129,20 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Dat
     step = 4 * capacity
 
     def cut(frames):
-        coder = WordCoder(path)
+        own = coder(path)
         for frame in frames:
             rows = []
-            keys = frame["doc_id"].astype(object).where(frame["doc_id"].notna(), None)
-            for key, ids in zip(keys, coder.texts([t if t is not None else "" for t in frame["text"]])):
+            coded = own.texts([t if t is not None else "" for t in frame["text"]])
+            for key, none, ids in zip(frame["doc_id"].tolist(), frame["null_id"].tolist(), coded):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                    rows.append((key, none, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            yield pd.DataFrame(rows, columns=["doc_id", "null_id", "piece", "start", "length", "ids_crc32"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    shape = "doc_id long, null_id boolean, piece int, start long, length long, ids_crc32 long"
+    found = docs.select(*whole_ids("doc_id"), "text").mapInPandas(cut, shape)
+    return found.withColumn("doc_id", F.when(~F.col("null_id"), F.col("doc_id"))).drop("null_id")
 
 
 def reduced(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -236,7 +288,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("d
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece of every document with its place; sequences hold at most `capacity` tokens, without gaps."""
+    """One row per piece of every document with its place, in any order; sequences hold at most `capacity` tokens, without gaps."""
+    bounded_batches(docs.sparkSession)
     return pack(keep(document_pieces(docs, path or tokenizer_path(), capacity), "pieces"), capacity)
 
 
