@@ -26,7 +26,7 @@ from tenura.llm.common import bounded_batches, lists, slices, table, whole_ids
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 1
-VARIANTS = 4
+VARIANTS = 2
 CACHE_CHUNKS = 1_000_000
 MARKS = (",", ".", "!", ";", ":")
 LONGEST_CACHED = 40
@@ -62,8 +62,21 @@ class PieceCoder:
             else:
                 self.pieces[name] = (model.get_score(i), i)
                 self.plain.append(name.replace(SPACE, " ").encode())
-        self.cache: dict[tuple[int, str], bytes] = {}
+        self.cache: dict[int, dict[str, bytes]] = {}
         self.rate = 0.0
+        self.symbols = np.full(0x110000, -1, np.int32)
+        for name, (_, i) in self.pieces.items():
+            if len(name) == 1 and name != SPACE:
+                self.symbols[ord(name)] = i
+        self.symbols[ord(" ")] = self.pieces[SPACE][1]
+        pairs = {}
+        for name, (score, i) in self.pieces.items():
+            for k in range(1, len(name)):
+                if name[:k] in self.pieces and name[k:] in self.pieces:
+                    pairs[self.pieces[name[:k]][1] << 32 | self.pieces[name[k:]][1]] = score, i
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.scores = np.array([pairs[x][0] for x in self.pairs.tolist()])
+        self.merged = np.array([pairs[x][1] for x in self.pairs.tolist()], np.int32)
         # Marks that no piece holds behind a letter: a merge never crosses from a word into one.
         behind = {b for p in self.pieces for a, b in itertools.pairwise(p) if a.isalpha()}
         self.marks = {m: np.array(self.segment(m), "<u4").tobytes() for m in MARKS if m not in behind}
@@ -124,36 +137,129 @@ class PieceCoder:
             at = following[at]
         return out
 
-    def encode(self, text: str, key: int = 0, dropout: float = 0.0) -> bytes:
-        """Ids of a text as little-endian 32-bit numbers. An empty text has none; else a space is put in front."""
-        if not text:
-            return b""
-        out = []
-        cache = self.cache
+    def segment_many(self, chunks: list[str], key: int = 0, dropout: float = 0.0) -> list[bytes]:
+        """`segment` of many chunks at once, as bytes: chunks of one length advance together, a merge each at a time.
+
+        Which candidates are skipped depends on their places alone, so a skipped one is simply never at hand, and the
+        agenda's next entry is the best of those at hand, the leftmost among equals.
+        """
+        out: list[bytes] = [b""] * len(chunks)
+        by_length: dict[int, list[int]] = {}
+        for i, chunk in enumerate(chunks):
+            by_length.setdefault(len(chunk), []).append(i)
+        for n, places in by_length.items():
+            points = np.frombuffer("".join([chunks[i] for i in places]).encode("utf-32-le", "surrogatepass"), "<u4")
+            ids = self.symbols[points.reshape(-1, n)]
+            rows = np.array(places)
+            known = (ids >= 0).all(1)
+            for i in rows[~known].tolist():  # characters without a piece become bytes
+                out[i] = np.array(self.segment(chunks[i], key, dropout), "<u4").tobytes()
+            self._advance(ids[known], rows[known], chunks, key, dropout, out)
+        return out
+
+    def _advance(self, ids, rows, chunks, key: int, dropout: float, out: list[bytes]) -> None:
+        n = ids.shape[1]
+        edges = np.broadcast_to(np.arange(n + 1, dtype=np.uint64), (len(rows), n + 1)).copy()
+        limit = int(dropout * (1 << 64))
+        salts = np.zeros(len(rows), np.uint64)
+        if limit:
+            name = key.to_bytes(8, "little")
+            digest = b"".join([hashlib.blake2b(chunks[i].encode(), digest_size=8, salt=name).digest() for i in rows.tolist()])
+            salts = np.frombuffer(digest, "<u8").astype(np.uint64)
+
+        def candidates(left, right, a, b, c, salt):
+            """Merged ids and scores of pairs with edges a, b, c; minus infinity where there is none or it is skipped."""
+            pair = left.astype(np.int64) << 32 | right
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            fine = self.pairs[at] == pair
+            if limit >= 1 << 64:
+                fine[:] = False
+            elif limit:
+                place = a << np.uint64(42) ^ b << np.uint64(21) ^ c
+                x = salt ^ place * np.uint64(0x9E3779B97F4A7C15)
+                fine &= (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) >= np.uint64(limit)
+            return self.merged[at], np.where(fine, self.scores[at], -np.inf)
+
+        into, score = candidates(ids[:, :-1], ids[:, 1:], edges[:, :-2], edges[:, 1:-1], edges[:, 2:], salts[:, None])
+        while len(rows):
+            if score.shape[1]:
+                best = score.argmax(1)
+                line = np.arange(len(rows))
+                open_ = score[line, best] > -np.inf
+            else:
+                open_ = np.zeros(len(rows), bool)
+            done = np.flatnonzero(~open_)
+            width = 4 * ids.shape[1]
+            data = ids[done].astype("<u4").tobytes()
+            for k, i in enumerate(rows[done].tolist()):
+                out[i] = data[k * width : (k + 1) * width]
+            if not open_.any():
+                return
+            ids, edges, rows, salts = ids[open_], edges[open_], rows[open_], salts[open_]
+            into, score, best = into[open_], score[open_], best[open_]
+            line = np.arange(len(rows))
+            ids[line, best] = into[line, best]
+
+            def without(x, gone):
+                mask = np.ones(x.shape, bool)
+                mask[line, gone] = False
+                return x[mask].reshape(len(x), -1)
+
+            ids, edges = without(ids, best + 1), without(edges, best + 1)
+            into, score = without(into, best), without(score, best)
+            for shift in (-1, 0):  # the pairs on both sides of the merged symbol
+                at = best + shift
+                some = np.flatnonzero((at >= 0) & (at < ids.shape[1] - 1))
+                at = at[some]
+                new = candidates(
+                    ids[some, at], ids[some, at + 1], edges[some, at], edges[some, at + 1], edges[some, at + 2], salts[some]
+                )
+                into[some, at], score[some, at] = new
+
+    def _learn(self, chunks: set[str], key: int, dropout: float, known: dict[str, bytes]) -> dict[str, bytes]:
+        """Ids of new chunks. A mark at the end is set apart where no piece can hold it."""
+        stems = {}
+        for chunk in chunks:
+            cut = chunk[-1] in self.marks and chunk[-2:-1].isalpha()
+            stems[chunk] = (chunk[:-1], chunk[-1]) if cut else (chunk, "")
+        wanted = list({stem for stem, _ in stems.values()}.difference(known))
+        found = dict(zip(wanted, self.segment_many(wanted, key, dropout)))
+        for chunk, (stem, mark) in stems.items():
+            if mark:
+                found[chunk] = (found[stem] if stem in found else known[stem]) + self.marks[mark]
+        return found
+
+    def texts(self, texts: list[str | None], keys: list[int], dropout: float = 0.0) -> Iterator[bytes]:
+        """Ids of every text as little-endian 32-bit numbers. An empty text has none; else a space is put in front."""
         if dropout != self.rate:
-            cache.clear()
+            self.cache.clear()
             self.rate = dropout
-        for chunk in CHUNKS.findall(" " + text):
-            ids = cache.get((key, chunk))
-            if ids is None:
-                mark = chunk[-1]
-                if mark in self.marks and chunk[-2:-1].isalpha():
-                    stem = chunk[:-1]
-                    ids = cache.get((key, stem))
-                    if ids is None:
-                        ids = np.array(self.segment(stem, key, dropout), "<u4").tobytes()
-                        if len(stem) <= LONGEST_CACHED:
-                            cache[key, stem] = ids
-                    ids += self.marks[mark]
+        for start, end in slices(texts, 1_000_000):
+            split = [CHUNKS.findall(" " + t) if t else [] for t in texts[start:end]]
+            own = keys[start:end]
+            kinds: dict[int, set[str]] = {}
+            for key, chunks in zip(own, split):
+                kinds.setdefault(key, set()).update(chunks)
+            long: dict[int, dict[str, bytes]] = {}
+            for key, chunks in kinds.items():
+                known = self.cache.setdefault(key, {})
+                if len(known) + len(chunks) > CACHE_CHUNKS // max(1, len(self.cache)):  # the older half goes
+                    for old in list(itertools.islice(known, len(known) // 2)):
+                        del known[old]
+                made = self._learn(chunks.difference(known), key, dropout, known)
+                long[key] = {c: ids for c, ids in made.items() if len(c) > LONGEST_CACHED}
+                for c in long[key]:
+                    del made[c]
+                known.update(made)
+            for key, chunks in zip(own, split):
+                known, extra = self.cache[key], long[key]
+                if extra and not extra.keys().isdisjoint(chunks):
+                    yield b"".join([extra[c] if c in extra else known[c] for c in chunks])
                 else:
-                    ids = np.array(self.segment(chunk, key, dropout), "<u4").tobytes()
-                if len(chunk) <= LONGEST_CACHED:
-                    if len(cache) >= CACHE_CHUNKS:  # the older half goes
-                        for old in list(itertools.islice(cache, CACHE_CHUNKS // 2)):
-                            del cache[old]
-                    cache[key, chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+                    yield b"".join(map(known.__getitem__, chunks))
+
+    def encode(self, text: str, key: int = 0, dropout: float = 0.0) -> bytes:
+        return next(self.texts([text], [key], dropout))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, whichever merges were skipped. Control pieces are empty; broken UTF-8 is replaced."""
@@ -183,9 +289,7 @@ def _coded(docs: DataFrame, path: str, dropout: float, seed: int, variants: int,
             texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             none = batch.column("null_id")
             for a, b in slices(texts):
-                ids = [
-                    own.encode(t or "", variant_key(seed, variants, k), dropout) for k, t in zip(keys[a:b], texts[a:b])
-                ]
+                ids = list(own.texts(texts[a:b], [variant_key(seed, variants, k) for k in keys[a:b]], dropout))
                 names, columns = finish(own, texts[a:b], ids)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys[a:b], pa.int64()), none.slice(a, b - a), *columns], ["doc_id", "null_id", *names]
