@@ -6,10 +6,12 @@ it takes for two linked sets to share one. What keeps the index lists from being
 
 - Index-level skipping. Lists are sorted by set size and position. A block of a list whose sizes and positions cannot
   reach the needed overlap is passed over as a whole.
-- Answer-level skipping. Of a list, first only its hub (the middle set) is verified against the others. Answers of
+- Answer-level skipping. Of a list, first only its hub is verified against the others: the set that has the list's
+  shingle at the lowest position, so the one with fewest rare shingles of its own. Answers of
   two sets similar to the hub are then derived from their overlaps with it: |x & y| lies between
   o(x) + o(y) - |hub| and min(o(y) + |x| - o(x), o(x) + |y| - o(y)). Sets that are connected already need no
-  answer; only pairs that the bounds leave open are verified.
+  answer; only pairs that the bounds leave open are verified, and of those only the ones whose bitmaps (of fixed size)
+  allow the needed overlap: bits that differ are shingles that differ.
 
 The order of shingles (rarest first) comes from a frequency sketch of fixed size. It decides what the work costs, never
 what is found.
@@ -30,10 +32,11 @@ WORDS = 4
 PERCENT = 85
 SKETCH = 1 << 20
 CHUNK = 1 << 12
-WINDOW = 6_000_000
+WINDOW = 3_000_000
 LANE = 1 << 15
 BLOCK = 64
 BITMAP = 1 << 24
+BITS = 2048
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -87,7 +90,7 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
         def count():
             nonlocal size
-            if window:
+            if size:
                 tokens = np.sort(np.concatenate(window))
                 edges = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
                 n = np.diff(edges)
@@ -198,12 +201,12 @@ def _stars(percent: int, level: int):
         edge = (x["token"][1:] != x["token"][:-1]) | (x["lane"][1:] != x["lane"][:-1])
         starts = np.concatenate([[0], np.flatnonzero(edge) + 1])
         sizes = np.diff(np.concatenate([starts, [len(edge) + 1]]))
-        hub = np.repeat(starts + sizes // 2, sizes)
+        hub = np.repeat(starts, sizes)
         ids, n, pos = x["id"], x["n"], x["pos"]
         good = np.flatnonzero((ids != ids[hub]) & open_pair(n, pos, n[hub], pos[hub], percent))
         distinct = np.unique(np.column_stack([ids[good], ids[hub[good]], n[good], n[hub[good]]]), axis=0)
         large = np.flatnonzero((sizes > 2) | ((x["lanes"][starts] > 1) & (level == 0)))
-        head, middle = starts[large], starts[large] + sizes[large] // 2
+        head = starts[large]
         spans = [slice(a, a + k) for a, k in zip(head.tolist(), sizes[large].tolist())]
         k, zero, none = len(distinct), np.zeros(len(distinct), np.int64), [np.zeros(0)] * len(distinct)
         numbers = {
@@ -212,10 +215,10 @@ def _stars(percent: int, level: int):
             "lane": (zero, x["lane"][head]),
             "lanes": (zero, x["lanes"][head]),
             "a": (distinct[:, 0], np.zeros(len(large))),
-            "b": (distinct[:, 1], ids[middle]),
+            "b": (distinct[:, 1], ids[head]),
             "na": (distinct[:, 2], np.zeros(len(large))),
-            "nb": (distinct[:, 3], n[middle]),
-            "place": (zero, pos[middle]),
+            "nb": (distinct[:, 3], n[head]),
+            "place": (zero, pos[head]),
         }
         long = {"token", "a", "b"}
         columns = [
@@ -252,7 +255,7 @@ STARS = (
 
 
 def stars(entries: DataFrame, percent: int, level: int) -> DataFrame:
-    dealt = entries.repartition("token", "lane").sortWithinPartitions("token", "lane", "n", "pos", "id")
+    dealt = entries.repartition("token", "lane").sortWithinPartitions("token", "lane", "pos", "id")
     return dealt.mapInArrow(_stars(percent, level), STARS)
 
 
@@ -267,17 +270,17 @@ def members(ids: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the documents with the given ids, and of few others; no text is shuffled.
+    """(id, bits, shingles) of the documents with the given ids, and of few others; no text is shuffled.
 
     A repeated id comes once from every task at most.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(members(ids))
+    wanted_ids = docs.sparkSession.sparkContext.broadcast(members(ids))
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             place = batch.column("place").to_numpy()
-            inside = (bits.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
+            inside = (wanted_ids.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
             keys, texts = [], []
             wanted = batch.filter(pa.array(inside))
             for key, text in zip(wanted.column("doc_id").to_pylist(), wanted.column("text").to_pylist()):
@@ -287,16 +290,52 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                     texts.append(text)
             for a, b in slices(texts):
                 sets = [x.view(np.int64) for x in shingle_sets(texts[a:b], words)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), lists(sets, np.int64)], ["id", "shingles"])
+                bits = [_bitmap(x) for x in sets]
+                columns = [pa.array(keys[a:b], pa.int64()), lists(bits, np.int64), lists(sets, np.int64)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "bits", "shingles"])
 
     key = F.col("doc_id").cast("long")
     place = F.pmod(F.xxhash64(key), F.lit(BITMAP))
     slim = docs.where("doc_id is not null").select(key.alias("doc_id"), "text", place.alias("place"))
+    return slim.mapInArrow(run, "id long, bits array<long>, shingles array<long>")
+
+
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    marks = np.zeros(BITS, np.uint8)
+    marks[(shingles.view(np.uint64) >> np.uint64(40)) % np.uint64(BITS)] = 1
+    return np.packbits(marks).view(np.int64)
+
+
+def allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that their bitmaps do not rule out: differing bits are at most the differing shingles."""
+    left = sets.select(F.col("id").alias("a"), F.col("bits").alias("_x"))
+    right = sets.select(F.col("id").alias("b"), F.col("bits").alias("_y"))
+    both = pairs.join(left, "a").join(right, "b")
+    apart = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    total = F.col("na").cast("long") + F.col("nb")
+    # overlap <= (na + nb - apart) / 2, and a link needs (100 + percent) * overlap >= percent * (na + nb)
+    return both.where((100 + percent) * (total - apart) >= 2 * percent * total).select("a", "b", "na", "nb").distinct()
+
+
+def picked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, shingles) of the sets in the pairs, and of few others: the rest is left out before anything is shuffled."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    wanted_ids = sets.sparkSession.sparkContext.broadcast(members(ids))
+
+    def run(batches):
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            inside = (wanted_ids.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
+            if inside.any():
+                yield batch.filter(pa.array(inside)).select(["id", "shingles"])
+
+    slim = sets.select("id", "shingles", F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("place"))
     return slim.mapInArrow(run, "id long, shingles array<long>")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds `o`, the exact overlap, to pairs (a, b, na, nb)."""
+    """Adds `o`, the exact overlap, to stored pairs (a, b, na, nb)."""
+    sets = picked(sets, pairs)
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -374,7 +413,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, lane: int
     pairs = keep(pairs.distinct(), "star-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(index.select(F.explode("ids").alias("id")))
     sets = keep(sets_of(docs, ids, words), "candidate-sets")
-    checked = keep(overlaps(pairs, sets), "star-overlaps")
+    likely = keep(allowed(pairs, sets, percent), "likely-pairs")
+    checked = keep(overlaps(likely, sets), "star-overlaps")
     links = _linked(checked, percent)
     first = components(links, "set-components")
 
@@ -403,9 +443,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, lane: int
     other = plain.select("token", *[F.col(c).alias(c + "2") for c in ("lane", "lo", "hi")], F.col("left").alias("right"))
     crossed = plain.join(other, "token").where("lane < lane2 and (lo <> hi or lo2 <> hi2 or lo <> lo2)")
     crossed = crossed.select(F.lit(False).alias("same"), F.lit(0).alias("hub_n"), "left", "right")
-    rest = own.unionByName(crossed).mapInPandas(_cross(percent), "a long, b long, na int, nb int, sure int")
+    # Short lists cost hardly any bytes but much time: keep them in as many tasks as there are partitions.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = own.unionByName(crossed).repartition(tasks).mapInPandas(_cross(percent), "a long, b long, na int, nb int, sure int")
     rest = keep(rest.groupBy("a", "b", "na", "nb").agg(F.max("sure").alias("sure")), "open-pairs")
-    more = _linked(overlaps(rest.where("sure = 0").drop("sure"), sets), percent)
+    likely = keep(allowed(rest.where("sure = 0").drop("sure"), sets, percent), "likely-pairs")
+    more = _linked(overlaps(likely, sets), percent)
     more = more.unionByName(rest.where("sure = 1").select("a", "b"))
     final = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "set-components")
 
