@@ -422,21 +422,22 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, lane: int
     member = F.explode(F.arrays_zip("ns", "poss", "ids")).alias("m")
     each = index.select("token", "lane", "lanes", F.col("b").alias("hub"), F.col("nb").alias("hub_n"), member)
     each = each.select("token", "lane", "lanes", "hub", "hub_n", "m.*").withColumnRenamed("ids", "id")
-    each = each.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    key = ["token", "lane", "lanes", "hub", "hub_n"]
-    mixed_lists = each.groupBy(*key).agg(
+    # Per set its component and its overlaps with the hubs it was compared with, at most one per shingle of its prefix.
+    once = checked.groupBy("a", "b").agg(F.max("o").alias("o"))
+    known = once.groupBy(F.col("a").alias("id")).agg(F.map_from_entries(F.collect_set(F.struct("b", "o"))).alias("known"))
+    facts = first.join(known, "id", "full")
+    each = each.join(facts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    overlap = F.when(F.col("id") == F.col("hub"), F.col("hub_n")).otherwise(F.coalesce(F.col("known")[F.col("hub")], F.lit(-1)))
+    cells = [F.col(c).cast("long") for c in ("ns", "poss", "id", "component")] + [overlap.cast("long").alias("o")]
+    key = ["token", "lane"]
+    whole = each.groupBy(*key).agg(
+        F.max("lanes").alias("lanes"),
+        F.max("hub_n").alias("hub_n"),
         F.min("component").alias("lo"),
         F.max("component").alias("hi"),
-        F.collect_list(F.struct("ns", "poss", "id", "component")).alias("all"),
+        F.collect_list(F.struct(*cells)).alias("left"),
     )
-    mixed_lists = keep(mixed_lists.where("lo <> hi or lanes > 1"), "open-lists")
-    known = checked.select(F.col("a").alias("id"), F.col("b").alias("hub"), "o")
-    known = known.unionByName(checked.select(F.col("b").alias("id"), F.col("a").alias("hub"), "o"))
-    again = mixed_lists.select(*key, "lo", "hi", F.explode("all").alias("m")).select(*key, "lo", "hi", "m.*")
-    again = again.join(known.groupBy("id", "hub").agg(F.max("o").alias("o")), ["id", "hub"], "left")
-    overlap = F.when(F.col("id") == F.col("hub"), F.col("hub_n")).otherwise(F.coalesce("o", F.lit(-1)))
-    cells = [F.col(c).cast("long") for c in ("ns", "poss", "id", "component")] + [overlap.cast("long").alias("o")]
-    whole = again.groupBy(*key, "lo", "hi").agg(F.collect_list(F.struct(*cells)).alias("left"))
+    whole = keep(whole.where("lo <> hi or lanes > 1"), "open-lists")
     own = whole.where("lo <> hi").select(F.lit(True).alias("same"), "hub_n", "left", F.col("left").alias("right"))
     # Lanes of one token have hubs of their own, so overlaps do not carry over: -1 marks them unknown.
     plain = whole.where("lanes > 1").select("token", "lane", "lo", "hi", F.transform("left", lambda m: m.withField("o", F.lit(-1).cast("long"))).alias("left"))
