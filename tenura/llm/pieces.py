@@ -1,14 +1,17 @@
 """SentencePiece encoding with seeded merge dropout, and lossless decoding.
 
-A text's symbols are merged through an agenda, best score first. Each candidate that comes up is skipped when a keyed hash
-of its place says so, so the same seed always gives the same segmentation and other seeds give others. All of them
-decode to the same text.
+A text's symbols are merged through an agenda, best score first. Each candidate that comes up is skipped with the given
+probability, drawn by a hash of the seed, the document, the chunk's place in it and the candidate's number. So the same seed
+always gives the same segmentation, other seeds give others, and every occurrence of a word has its own. All of them decode
+to the same text.
+
+A chunk's segmentation depends only on which of its candidates are skipped. Per chunk a tree of these choices is kept: an
+occurrence draws its skips as gaps between them and walks down, and only choices not met before are segmented.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import itertools
 import re
@@ -21,19 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import bounded_batches, lists, slices, table, whole_ids
+from tenura.llm.common import bounded_batches, lists, mixed, slices, table, whole_ids
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 1
-VARIANTS = 2
-CACHE_CHUNKS = 1_000_000
-MARKS = (",", ".", "!", ";", ":")
-LONGEST_CACHED = 40
+CACHE_NODES = 1_000_000
+#: Candidates that come up in a chunk of n characters: n - 1 at first and at most two more after each merge. Up to this length
+#: they fit a mask of 64 bits.
+LONGEST_CACHED = 22
+#: A drawn gap of this size says that so many candidates are not skipped, and the next draw goes on from there.
+GAP = 64
 SPACE = "▁"
 #: No piece holds a space behind another character, and none holds a line feed: merges never cross these cuts.
 CHUNKS = re.compile(r"\n| *[^ \n]+| +")
 _MASK = (1 << 64) - 1
+_STEP = 0x9E3779B97F4A7C15
 
 
 def model_path(name: str = MODEL) -> str:
@@ -42,8 +48,40 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def chunk_salts(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The hash that a chunk's skips are drawn from: of its text's key and its place there."""
+    return mixed(mixed(keys) + places.astype(np.uint64) * np.uint64(_STEP))
+
+
+@functools.cache
+def gap_limits(dropout: float) -> np.ndarray:
+    """Ascending limits: a uniform 64-bit number is below as many of them as candidates pass before the next skip."""
+    out, stay = [], 1.0
+    for _ in range(GAP):
+        stay *= max(0.0, 1.0 - dropout)
+        out.append(min(int(stay * 2.0**64), _MASK))
+    return np.array(out[::-1], np.uint64)
+
+
+def gaps(salts: np.ndarray, draw: int, limits: np.ndarray) -> np.ndarray:
+    numbers = mixed(salts + np.uint64((draw + 1) * _STEP & _MASK))
+    return GAP - np.searchsorted(limits, numbers, side="right")
+
+
+def decisions(salt: int, dropout: float) -> Iterator[bool]:
+    """Whether each candidate that comes up is skipped, one after the other."""
+    if dropout <= 0:
+        yield from itertools.repeat(False)
+    limits, salts = gap_limits(dropout), np.array([salt], np.uint64)
+    for draw in itertools.count():
+        gap = int(gaps(salts, draw, limits)[0])
+        yield from itertools.repeat(False, gap)
+        if gap < GAP:
+            yield True
+
+
 class PieceCoder:
-    """Encoder and decoder over a BPE model with byte fallback. Chunks are segmented once while the cache holds them."""
+    """Encoder and decoder over a BPE model with byte fallback. A chunk is segmented once per set of skips while it is cached."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -62,8 +100,6 @@ class PieceCoder:
             else:
                 self.pieces[name] = (model.get_score(i), i)
                 self.plain.append(name.replace(SPACE, " ").encode())
-        self.cache: dict[int, dict[str, bytes]] = {}
-        self.rate = 0.0
         self.symbols = np.full(0x110000, -1, np.int32)
         for name, (_, i) in self.pieces.items():
             if len(name) == 1 and name != SPACE:
@@ -77,22 +113,26 @@ class PieceCoder:
         self.pairs = np.array(sorted(pairs), np.int64)
         self.scores = np.array([pairs[x][0] for x in self.pairs.tolist()])
         self.merged = np.array([pairs[x][1] for x in self.pairs.tolist()], np.int32)
-        # Marks that no piece holds behind a letter: a merge never crosses from a word into one.
-        behind = {b for p in self.pieces for a, b in itertools.pairwise(p) if a.isalpha()}
-        self.marks = {m: np.array(self.segment(m), "<u4").tobytes() for m in MARKS if m not in behind}
+        self._clear()
 
-    def segment(self, chunk: str, key: int = 0, dropout: float = 0.0) -> list[int]:
-        """Ids of one chunk. A candidate is skipped when the hash of (key, chunk, its three edges) falls below `dropout`.
+    def _clear(self) -> None:
+        """Empty the trees. A node is a chunk with a set of skipped candidates; roots skip none."""
+        self.roots: dict[str, int] = {}
+        self.children: dict[int, int] = {}
+        self.chunks: list[str] = []
+        self.found: list[bytes] = []
+        self.masks = np.zeros(0, np.uint64)
+        self.used = np.zeros(0, np.int64)
+
+    def segment(self, chunk: str, salt: int = 0, dropout: float = 0.0) -> list[int]:
+        """Ids of one chunk. Of the candidates that come up, those of `decisions(salt, dropout)` are skipped.
 
         A literal U+2581 is no space: it is written as its bytes, so that it survives the way back.
         """
         symbols = [None if c == SPACE else SPACE if c == " " else c for c in chunk]
         n = len(symbols)
         following, preceding = list(range(1, n + 1)), list(range(-1, n - 1))
-        limit = int(dropout * (1 << 64))
-        salt = 0
-        if limit:
-            salt = int.from_bytes(hashlib.blake2b(chunk.encode(), digest_size=8, salt=key.to_bytes(8, "little")).digest(), "little")
+        skipped = decisions(salt, dropout)
         agenda: list[tuple[float, int, int, str]] = []
         pieces = self.pieces
 
@@ -114,11 +154,8 @@ class PieceCoder:
                 continue
             if len(symbols[left]) + len(symbols[right]) != len(both):
                 continue
-            if limit:
-                edges = left << 42 ^ right << 21 ^ (right + len(symbols[right]))
-                x = (salt ^ edges * 0x9E3779B97F4A7C15) & _MASK
-                if ((x ^ x >> 31) * 0xBF58476D1CE4E5B9 & _MASK) < limit:
-                    continue
+            if next(skipped):
+                continue
             symbols[left], symbols[right] = both, None
             after = following[right]
             following[left] = after
@@ -137,65 +174,59 @@ class PieceCoder:
             at = following[at]
         return out
 
-    def segment_many(self, chunks: list[str], key: int = 0, dropout: float = 0.0) -> list[bytes]:
-        """`segment` of many chunks at once, as bytes: chunks of one length advance together, a merge each at a time.
+    def segment_many(self, chunks: list[str], masks: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Ids of many chunks as bytes, and how many candidates came up in each. Bit t of a mask skips the t-th of them.
 
-        Which candidates are skipped depends on their places alone, so a skipped one is simply never at hand, and the
-        agenda's next entry is the best of those at hand, the leftmost among equals.
+        Chunks of one length advance together, a merge each at a time. The agenda's next entry is the best of the pairs
+        at hand, the leftmost among equals.
         """
         out: list[bytes] = [b""] * len(chunks)
+        used = np.zeros(len(chunks), np.int64)
         by_length: dict[int, list[int]] = {}
         for i, chunk in enumerate(chunks):
             by_length.setdefault(len(chunk), []).append(i)
         for n, places in by_length.items():
             points = np.frombuffer("".join([chunks[i] for i in places]).encode("utf-32-le", "surrogatepass"), "<u4")
             ids = self.symbols[points.reshape(-1, n)]
-            rows = np.array(places)
-            known = (ids >= 0).all(1)
-            for i in rows[~known].tolist():  # characters without a piece become bytes
-                out[i] = np.array(self.segment(chunks[i], key, dropout), "<u4").tobytes()
-            self._advance(ids[known], rows[known], chunks, key, dropout, out)
-        return out
-
-    def _advance(self, ids, rows, chunks, key: int, dropout: float, out: list[bytes]) -> None:
-        n = ids.shape[1]
-        edges = np.broadcast_to(np.arange(n + 1, dtype=np.uint64), (len(rows), n + 1)).copy()
-        limit = int(dropout * (1 << 64))
-        salts = np.zeros(len(rows), np.uint64)
-        if limit:
-            name = key.to_bytes(8, "little")
-            digest = b"".join([hashlib.blake2b(chunks[i].encode(), digest_size=8, salt=name).digest() for i in rows.tolist()])
-            salts = np.frombuffer(digest, "<u8").astype(np.uint64)
-
-        def candidates(left, right, a, b, c, salt):
-            """Merged ids and scores of pairs with edges a, b, c; minus infinity where there is none or it is skipped."""
+            # A character without a piece stands as its place, below zero; no pair holds it.
+            ids = np.where(ids >= 0, ids, -1 - np.arange(n, dtype=np.int32))
+            self._advance(ids, np.array(places), chunks, masks, out, used)
+        return out, used
+
+    def _advance(self, ids, rows, chunks, masks, out: list[bytes], used: np.ndarray) -> None:
+        def candidates(left, right):
+            """Merged ids and scores of pairs; minus infinity where there is none."""
             pair = left.astype(np.int64) << 32 | right
             at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            fine = self.pairs[at] == pair
-            if limit >= 1 << 64:
-                fine[:] = False
-            elif limit:
-                place = a << np.uint64(42) ^ b << np.uint64(21) ^ c
-                x = salt ^ place * np.uint64(0x9E3779B97F4A7C15)
-                fine &= (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) >= np.uint64(limit)
-            return self.merged[at], np.where(fine, self.scores[at], -np.inf)
-
-        into, score = candidates(ids[:, :-1], ids[:, 1:], edges[:, :-2], edges[:, 1:-1], edges[:, 2:], salts[:, None])
+            return self.merged[at], np.where(self.pairs[at] == pair, self.scores[at], -np.inf)
+
+        def emit(row: np.ndarray, chunk: str) -> bytes:
+            whole = [[i] if i >= 0 else [self.bytes_[b] for b in chunk[-1 - i].encode()] for i in row.tolist()]
+            return np.array(list(itertools.chain.from_iterable(whole)), "<u4").tobytes()
+
+        masks = masks[rows]
+        into, score = candidates(ids[:, :-1], ids[:, 1:])
         while len(rows):
-            if score.shape[1]:
-                best = score.argmax(1)
-                line = np.arange(len(rows))
-                open_ = score[line, best] > -np.inf
-            else:
-                open_ = np.zeros(len(rows), bool)
+            best = np.zeros(len(rows), np.int64)
+            open_ = np.zeros(len(rows), bool)
+            line = np.arange(len(rows)) if score.shape[1] else np.zeros(0, np.int64)
+            while len(line):  # until every row has a candidate that is not skipped, or none at all
+                best[line] = score[line].argmax(1)
+                line = line[score[line, best[line]] > -np.inf]
+                skip = (masks[line] >> used[rows[line]].astype(np.uint64) & np.uint64(1)).astype(bool)
+                used[rows[line]] += 1
+                open_[line[~skip]] = True
+                line = line[skip]
+                score[line, best[line]] = -np.inf
             done = np.flatnonzero(~open_)
             width = 4 * ids.shape[1]
             data = ids[done].astype("<u4").tobytes()
+            plain = (ids[done] >= 0).all(1).tolist()
             for k, i in enumerate(rows[done].tolist()):
-                out[i] = data[k * width : (k + 1) * width]
+                out[i] = data[k * width : (k + 1) * width] if plain[k] else emit(ids[done[k]], chunks[i])
             if not open_.any():
                 return
-            ids, edges, rows, salts = ids[open_], edges[open_], rows[open_], salts[open_]
+            ids, rows, masks = ids[open_], rows[open_], masks[open_]
             into, score, best = into[open_], score[open_], best[open_]
             line = np.arange(len(rows))
             ids[line, best] = into[line, best]
@@ -205,58 +236,74 @@ class PieceCoder:
                 mask[line, gone] = False
                 return x[mask].reshape(len(x), -1)
 
-            ids, edges = without(ids, best + 1), without(edges, best + 1)
+            ids = without(ids, best + 1)
             into, score = without(into, best), without(score, best)
             for shift in (-1, 0):  # the pairs on both sides of the merged symbol
                 at = best + shift
                 some = np.flatnonzero((at >= 0) & (at < ids.shape[1] - 1))
                 at = at[some]
-                new = candidates(
-                    ids[some, at], ids[some, at + 1], edges[some, at], edges[some, at + 1], edges[some, at + 2], salts[some]
-                )
-                into[some, at], score[some, at] = new
-
-    def _learn(self, chunks: set[str], key: int, dropout: float, known: dict[str, bytes]) -> dict[str, bytes]:
-        """Ids of new chunks. A mark at the end is set apart where no piece can hold it."""
-        stems = {}
-        for chunk in chunks:
-            cut = chunk[-1] in self.marks and chunk[-2:-1].isalpha()
-            stems[chunk] = (chunk[:-1], chunk[-1]) if cut else (chunk, "")
-        wanted = list({stem for stem, _ in stems.values()}.difference(known))
-        found = dict(zip(wanted, self.segment_many(wanted, key, dropout)))
-        for chunk, (stem, mark) in stems.items():
-            if mark:
-                found[chunk] = (found[stem] if stem in found else known[stem]) + self.marks[mark]
-        return found
+                into[some, at], score[some, at] = candidates(ids[some, at], ids[some, at + 1])
+
+    def _grow(self, chunks: list[str], masks: np.ndarray) -> range:
+        """New nodes."""
+        found, used = self.segment_many(chunks, masks)
+        first = len(self.found)
+        self.chunks += chunks
+        self.found += found
+        self.masks, self.used = np.concatenate([self.masks, masks]), np.concatenate([self.used, used])
+        return range(first, len(self.found))
+
+    def _walk(self, nodes: np.ndarray, salts: np.ndarray, dropout: float) -> None:
+        """Take every occurrence from its root to the node of its own skips; places below zero have no tree."""
+        limits = gap_limits(dropout)
+        live = np.flatnonzero(nodes >= 0)
+        at = np.zeros(len(live), np.int64)
+        draw = 0
+        while len(live):
+            at += gaps(salts[live], draw, limits)  # GAP is beyond any candidate of a cached chunk
+            hit = at < self.used[nodes[live]]
+            live, at = live[hit], at[hit]
+            wanted, back = np.unique(nodes[live] << 6 | at, return_inverse=True)
+            keys = wanted.tolist()
+            new = [k for k in keys if k not in self.children]
+            if new:
+                masks = self.masks[[k >> 6 for k in new]] | np.uint64(1) << np.array([k & 63 for k in new], np.uint64)
+                self.children.update(zip(new, self._grow([self.chunks[k >> 6] for k in new], masks)))
+            nodes[live] = np.array([self.children[k] for k in keys], np.int64)[back]
+            at += 1
+            draw += 1
 
     def texts(self, texts: list[str | None], keys: list[int], dropout: float = 0.0) -> Iterator[bytes]:
-        """Ids of every text as little-endian 32-bit numbers. An empty text has none; else a space is put in front."""
-        if dropout != self.rate:
-            self.cache.clear()
-            self.rate = dropout
+        """Ids of every text as little-endian 32-bit numbers. An empty text has none; else a space is put in front.
+
+        A chunk's skips are drawn by the text's key and the chunk's place in the text.
+        """
         for start, end in slices(texts, 1_000_000):
+            if len(self.found) > CACHE_NODES:
+                self._clear()
             split = [CHUNKS.findall(" " + t) if t else [] for t in texts[start:end]]
-            own = keys[start:end]
-            kinds: dict[int, set[str]] = {}
-            for key, chunks in zip(own, split):
-                kinds.setdefault(key, set()).update(chunks)
-            long: dict[int, dict[str, bytes]] = {}
-            for key, chunks in kinds.items():
-                known = self.cache.setdefault(key, {})
-                if len(known) + len(chunks) > CACHE_CHUNKS // max(1, len(self.cache)):  # the older half goes
-                    for old in list(itertools.islice(known, len(known) // 2)):
-                        del known[old]
-                made = self._learn(chunks.difference(known), key, dropout, known)
-                long[key] = {c: ids for c, ids in made.items() if len(c) > LONGEST_CACHED}
-                for c in long[key]:
-                    del made[c]
-                known.update(made)
-            for key, chunks in zip(own, split):
-                known, extra = self.cache[key], long[key]
-                if extra and not extra.keys().isdisjoint(chunks):
-                    yield b"".join([extra[c] if c in extra else known[c] for c in chunks])
-                else:
-                    yield b"".join(map(known.__getitem__, chunks))
+            flat = list(itertools.chain.from_iterable(split))
+            sizes = np.array([len(x) for x in split], np.int64)
+            new = list(set(flat).difference(self.roots))
+            short = [c for c in new if len(c) <= LONGEST_CACHED]
+            self.roots.update(zip(short, self._grow(short, np.zeros(len(short), np.uint64))))
+            long = [c for c in new if len(c) > LONGEST_CACHED]
+            self.roots.update(dict.fromkeys(long, -1))
+            nodes = np.fromiter(map(self.roots.__getitem__, flat), np.int64, len(flat))
+            for c in long:
+                del self.roots[c]
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            salts = chunk_salts(np.repeat(np.array([k & _MASK for k in keys[start:end]], np.uint64), sizes), place)
+            if dropout > 0:
+                self._walk(nodes, salts, dropout)
+            found = self.found
+            ids = [found[k] if k >= 0 else b"" for k in nodes.tolist()]
+            for i in np.flatnonzero(nodes < 0).tolist():
+                ids[i] = np.array(self.segment(flat[i], int(salts[i]), dropout), "<u4").tobytes()
+            at = 0
+            for n in sizes.tolist():
+                yield b"".join(ids[at : at + n])
+                at += n
 
     def encode(self, text: str, key: int = 0, dropout: float = 0.0) -> bytes:
         return next(self.texts([text], [key], dropout))
@@ -273,14 +320,13 @@ def coder(path: str) -> PieceCoder:
     return PieceCoder(path)
 
 
-def variant_key(seed: int, variants: int, doc_id: int) -> int:
-    """The hash key of a document: one of `variants` per seed, so that a word is segmented a bounded number of times."""
-    spread = (doc_id * 0x9E3779B97F4A7C15 + seed) & _MASK
-    spread = (spread ^ spread >> 29) * 0xBF58476D1CE4E5B9 & _MASK
-    return (seed * variants + (spread >> 32) % variants) & _MASK
+def document_keys(seed: int, doc_ids: list[int]) -> list[int]:
+    """The hash key of every document: of the seed and its id."""
+    start = mixed(np.array([seed & _MASK], np.uint64))
+    return mixed(start + np.array([k & _MASK for k in doc_ids], np.uint64) * np.uint64(_STEP)).tolist()
 
 
-def _coded(docs: DataFrame, path: str, dropout: float, seed: int, variants: int, shape: str, finish) -> DataFrame:
+def _coded(docs: DataFrame, path: str, dropout: float, seed: int, shape: str, finish) -> DataFrame:
     """Encode every row and let `finish(coder, texts, ids)` make the columns after the key."""
 
     def run(batches):
@@ -289,7 +335,7 @@ def _coded(docs: DataFrame, path: str, dropout: float, seed: int, variants: int,
             texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             none = batch.column("null_id")
             for a, b in slices(texts):
-                ids = list(own.texts(texts[a:b], [variant_key(seed, variants, k) for k in keys[a:b]], dropout))
+                ids = list(own.texts(texts[a:b], document_keys(seed, keys[a:b]), dropout))
                 names, columns = finish(own, texts[a:b], ids)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys[a:b], pa.int64()), none.slice(a, b - a), *columns], ["doc_id", "null_id", *names]
@@ -301,11 +347,11 @@ def _coded(docs: DataFrame, path: str, dropout: float, seed: int, variants: int,
 
 
 def encode_documents(
-    docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS
+    docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED
 ) -> DataFrame:
     """(doc_id, ids) of every row. A null or empty text has no ids."""
     return _coded(
-        docs, path or model_path(), dropout, seed, variants, "ids array<int>",
+        docs, path or model_path(), dropout, seed, "ids array<int>",
         lambda _, texts, ids: (["ids"], [lists([np.frombuffer(x, "<u4") for x in ids], np.int32)]),
     )
 
@@ -323,7 +369,7 @@ def decode_column(ids, path: str | None = None):
     return F.pandas_udf(decode, "string")(ids)
 
 
-def digests(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+def digests(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED):
     """(doc_id, n_pieces, ids_crc32, decoded_crc32, lossless): encoded, decoded again and compared, row by row."""
 
     def finish(own, texts, ids):
@@ -337,7 +383,7 @@ def digests(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT,
         return list(columns), list(columns.values())
 
     shape = "n_pieces long, ids_crc32 long, decoded_crc32 long, lossless boolean"
-    return _coded(docs, path or model_path(), dropout, seed, variants, shape, finish)
+    return _coded(docs, path or model_path(), dropout, seed, shape, finish)
 
 
 def query(spark, folder: str) -> DataFrame:

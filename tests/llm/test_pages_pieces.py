@@ -151,3 +151,41 @@ def test_documents_round_trip(spark):
     assert all(r.lossless for r in found) and len(found) == len(rows)
     assert {r.doc_id: r.n_pieces for r in found} == {r.doc_id: len(r.ids) for r in back}
     assert pieces.digests(docs.limit(0)).collect() == []
+
+
+def test_every_occurrence_of_a_word_draws_its_own_skips(coders, spark):
+    own, _ = coders
+    text = "considerably " * 400
+    ids = np.frombuffer(own.encode(text, 7, 0.2), "<u4").tolist()
+    words, word = Counter(), []
+    for i in ids:
+        if own.names[i].startswith(pieces.SPACE) and word:
+            words[tuple(word)] += 1
+            word = []
+        word.append(i)
+    assert len(words) > 10  # one document, one word, many segmentations
+    docs = spark.createDataFrame([(i, "considerably so", "en") for i in range(200)], "doc_id long, text string, lang string")
+    coded = pieces.encode_documents(docs, dropout=0.2).collect()
+    assert len({tuple(r.ids) for r in coded}) > 10  # and over documents too
+    assert coded == pieces.encode_documents(docs, dropout=0.2).collect()
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
+def test_kept_choices_give_what_each_chunk_gives_alone(coders, monkeypatch, dropout):
+    own = pieces.PieceCoder(pieces.model_path())
+    texts = [t for t in TEXTS * 8 if t] + ["Every occurrence of every word, extraordinarily considerable. " * 40]
+    keys = pieces.document_keys(3, list(range(len(texts))))
+    for limit in (pieces.CACHE_NODES, 10):  # the second empties the trees before every slice
+        monkeypatch.setattr(pieces, "CACHE_NODES", limit)
+        for text, key, found in zip(texts, keys, own.texts(texts, keys, dropout)):
+            chunks = pieces.CHUNKS.findall(" " + text)
+            salts = pieces.chunk_salts(np.full(len(chunks), key, np.uint64), np.arange(len(chunks)))
+            alone = [i for c, s in zip(chunks, salts.tolist()) for i in own.segment(c, s, dropout)]
+            assert np.frombuffer(found, "<u4").tolist() == alone
+
+
+def test_candidates_are_skipped_at_the_rate_of_the_dropout():
+    salts = pieces.chunk_salts(np.arange(100_000, dtype=np.uint64), np.zeros(100_000, np.int64))
+    found = pieces.gaps(salts, 0, pieces.gap_limits(0.1))
+    for k in range(5):
+        assert abs((found == k).mean() - 0.1 * 0.9**k) < 0.004
