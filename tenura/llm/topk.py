@@ -91,6 +91,57 @@ def search_block(query_ids, queries, ids, columns, best: _Best, dim_block: int =
     return work
 
 
+def search_dealt(frames, k: int, row_block: int):
+    """The k best of every query over the rows of each (block, lane), whose queries come first.
+
+    A query is named by its place, the same in every lane: neither the order in which queries arrive nor their ids, which
+    may repeat, tell lanes which results belong together.
+    """
+    current, own, waiting, best = None, {}, {}, {}
+
+    def search(width):
+        ids, vectors, _ = waiting.pop(width)
+        if width in own:
+            columns = np.ascontiguousarray(np.array(vectors, np.int64).T)
+            query_ids, query_columns, _ = own[width]
+            if isinstance(query_columns, list):
+                query_columns = np.ascontiguousarray(np.array(query_columns, np.int64).T)
+                own[width] = query_ids, query_columns, own[width][2]
+                best[width] = _Best(len(query_ids), k)
+            search_block(np.array(query_ids), query_columns, np.array(ids), columns, best[width])
+
+    def finish():
+        for width in list(waiting):
+            search(width)
+        for width, found in best.items():
+            n = [len(x) for x in found.score]
+            yield pd.DataFrame(
+                {
+                    "block": current[0],
+                    "width": width,
+                    "place": np.repeat(np.array(own[width][2], np.int64), n),
+                    "query_id": np.repeat(np.array(own[width][0], np.int64), n),
+                    "vec_id": np.concatenate(found.ids),
+                    "score": np.concatenate(found.score),
+                }
+            )
+        for state in (own, waiting, best):
+            state.clear()
+
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            if (row.block, row.lane) != current:
+                yield from finish()
+                current = row.block, row.lane
+            ids, vectors, places = (waiting if row.side else own).setdefault(len(row.v), ([], [], []))
+            ids.append(row.vec_id)
+            vectors.append(row.v)
+            places.append(row.place)
+            if row.side and len(ids) == row_block:
+                search(len(row.v))
+    yield from finish()
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK):
     """(query_id, rank, vec_id, score): for every query its k rows of highest integer inner product.
 
@@ -107,63 +158,23 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K, query_block: int = QU
     blocks = -(-numbered.count() // query_block)
     lanes = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, blocks)))
     left = numbered.select(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(0).alias("side"), "vec_id", "v"
+        "block",
+        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"),
+        F.lit(0).alias("side"),
+        F.col("rank").alias("place"),
+        "vec_id",
+        "v",
     )
     lane = F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).cast("int")
     right = rows.select("vec_id", "v", lane.alias("lane"))
     every = F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias("block")
-    right = right.select(every, "lane", F.lit(1).alias("side"), "vec_id", "v")
-    dealt = left.unionByName(right).repartition("block", "lane").sortWithinPartitions("block", "lane", "side")
-
-    def run(frames):
-        current, own, waiting, best = None, {}, {}, {}
-
-        def search(width):
-            ids, vectors = waiting.pop(width)
-            if width in own:
-                columns = np.ascontiguousarray(np.array(vectors, np.int64).T)
-                query_ids, query_columns = own[width]
-                if isinstance(query_columns, list):
-                    query_columns = np.ascontiguousarray(np.array(query_columns, np.int64).T)
-                    own[width] = query_ids, query_columns
-                    best[width] = _Best(len(query_ids), k)
-                search_block(np.array(query_ids), query_columns, np.array(ids), columns, best[width])
-
-        def finish():
-            for width in list(waiting):
-                search(width)
-            for width, found in best.items():
-                n = [len(x) for x in found.score]
-                yield pd.DataFrame(
-                    {
-                        # A query id may occur twice: the place in its block keeps such queries apart.
-                        "block": current[0],
-                        "width": width,
-                        "place": np.repeat(np.arange(len(n)), n),
-                        "query_id": np.repeat(np.array(own[width][0], np.int64), n),
-                        "vec_id": np.concatenate(found.ids),
-                        "score": np.concatenate(found.score),
-                    }
-                )
-            for state in (own, waiting, best):
-                state.clear()
-
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                if (row.block, row.lane) != current:
-                    yield from finish()
-                    current = row.block, row.lane
-                ids, vectors = (waiting if row.side else own).setdefault(len(row.v), ([], []))
-                ids.append(row.vec_id)
-                vectors.append(row.v)
-                if row.side and len(ids) == row_block:
-                    search(len(row.v))
-        yield from finish()
+    right = right.select(every, "lane", F.lit(1).alias("side"), F.lit(0).cast("long").alias("place"), "vec_id", "v")
+    dealt = left.unionByName(right).repartition("block", "lane").sortWithinPartitions("block", "lane", "side", "place")
 
     shape = "block int, width int, place long, query_id long, vec_id long, score long"
     order = Window.partitionBy("block", "width", "place", "query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        dealt.mapInPandas(run, shape)
+        dealt.mapInPandas(lambda frames: search_dealt(frames, k, row_block), shape)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

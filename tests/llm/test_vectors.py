@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tenura.llm import neardup, topk
@@ -66,6 +67,24 @@ def test_top_k_bounds_prune_and_large_values_stay_exact():
     assert best.score[0].tolist() == [1_000_000_007 * 3_000_000_001, 1_000_000_007 * 3_000_000_000, -5_000_000_035]
 
 
+def test_lanes_name_a_query_alike_in_whatever_order_it_arrives():
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-99, 99, (40, 6))
+    places = [(100, 7), (101, 3), (102, 9), (103, 3)]  # place and id; an id may occur twice
+    parts = []
+    for lane, order in enumerate(([0, 1, 2, 3], [2, 0, 3, 1])):
+        for i in order:
+            parts.append((0, lane, 0, places[i][0], places[i][1], vectors[i].tolist()))
+        parts += [(0, lane, 1, 0, 1000 + j, vectors[j].tolist()) for j in range(lane, 40, 2)]
+    frame = pd.DataFrame(parts, columns=["block", "lane", "side", "place", "vec_id", "v"])
+    found = pd.concat(topk.search_dealt([frame[:30], frame[30:]], 5, 8))
+    assert set(zip(found["place"], found["query_id"])) == set(places)
+    for i, (place, _) in enumerate(places):
+        own = found[found["place"] == place].sort_values(["score", "vec_id"], ascending=[False, True])[:5]
+        scores = sorted((-int(vectors[i] @ v), 1000 + j) for j, v in enumerate(vectors))[:5]
+        assert list(zip(-own["score"], own["vec_id"])) == scores
+
+
 def test_top_k_of_nothing(spark):
     empty = topk.quantised(spark.createDataFrame([], SCHEMA))
     assert topk.top_k(empty, empty).collect() == []
