@@ -3,19 +3,21 @@
 A page is a sequence of tokens: tags and text segments. Tokens with the same occurrence vector over the pages of a host
 (as often on every page) form an equivalence class. A class of several tokens on most pages comes from the
 template, not from the articles. The class of tokens that stand once on a page is the template's frame; classes
-that repeat lie nested in one of its slots. What is left in the slots of the frame's content region is the page's own text.
+that repeat lie nested in one of its slots. The content region is the narrowest element of the frame that holds nearly all
+text of the host's pages that is not the template's; what is not the template's in it is the page's own text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as html_
+import itertools
 import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenura.llm.common import bounded_batches, keep, mixed, table, whole_ids
@@ -46,6 +48,9 @@ ASIDE_WORDS = frozenset(
 )
 CONTENT = frozenset(["article", "main"])
 CONTENT_WORDS = frozenset("article main content post entry story".split())
+#: Elements that can be the content region, and the share of the host's own text that one must hold.
+CONTAINERS = frozenset("article center div main section table tbody td tr".split())
+REGION_SHARE, CONTENT_SHARE = 0.9, 0.5
 
 
 def tokens(page: str) -> list[tuple[str, str, str]]:
@@ -132,11 +137,12 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, support: float = SUPPORT) -> DataFrame:
-    """(host, frame, nested, fixed) of every host with enough pages.
+    """(host, frame, nested, words, fixed) of every host with enough pages.
 
     A class is a set of `LEAST_TOKENS` tokens or more with equal occurrence vectors on at least `support` of the pages. `frame`:
     the tags of the class that stands once on a page and covers most pages, in page order. `nested`: the tags of the
-    other classes, one list each. `fixed`: hashes of the text segments of all classes, the template's own words.
+    other classes, one list each; `words`: their text segments' hashes, a list for each of them. `fixed`: hashes of the
+    text segments of all classes, the template's own words.
     """
     sums = ["n", "total", "v1", "v2", "place"]
     every = occurrences(pages).groupBy("host", "token").agg(F.max("name").alias("name"), *[F.sum(c).alias(c) for c in sums])
@@ -156,12 +162,13 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, support: float =
     best = F.max(F.when(F.col("once"), F.struct("n", "size", "tags")))
     whole = classes.groupBy("host").agg(
         best.alias("best"),
-        F.collect_list(F.when(F.size("tags") > 0, F.col("tags"))).alias("all"),
+        F.collect_list(F.when(F.size("tags") > 0, F.struct("tags", "texts"))).alias("all"),
         F.flatten(F.collect_list("texts")).alias("fixed"),
     )
     none = F.array().cast("array<string>")
     frame = F.coalesce("best.tags", none)
-    return whole.select("host", frame.alias("frame"), F.filter("all", lambda c: c != frame).alias("nested"), "fixed")
+    whole = whole.withColumn("all", F.filter("all", lambda c: c["tags"] != frame))
+    return whole.select("host", frame.alias("frame"), F.col("all.tags").alias("nested"), F.col("all.texts").alias("words"), "fixed")
 
 
 def frame_places(keys: list[str], frame: list[str]) -> list[int] | None:
@@ -173,122 +180,200 @@ def frame_places(keys: list[str], frame: list[str]) -> list[int] | None:
     return [at for _, at in found]
 
 
+def _is_aside(name: str, words: str, inside: bool) -> bool:
+    if name in VOID or name in ("html", "body", "main"):
+        return False
+    own = set(words.split())
+    if name == "article":  # a comment or a teaser may be marked as an article too
+        return not ASIDE_WORDS.isdisjoint(own) and CONTENT_WORDS.isdisjoint(own)
+    return name in ASIDE or name == "header" and not inside or not ASIDE_WORDS.isdisjoint(own)
+
+
 def _is_content(kind: str, name: str, words: str) -> bool:
-    return kind == "open" and (name in CONTENT or not CONTENT_WORDS.isdisjoint(words.split()) and name in ("div", "section"))
+    return kind == "open" and name in CONTENT and not _is_aside(name, words, False)
 
 
-def _is_aside(name: str, words: str, inside: bool) -> bool:
-    if name in VOID or name in CONTENT or name in ("html", "body"):
-        return False
-    return name in ASIDE or name == "header" and not inside or not ASIDE_WORDS.isdisjoint(words.split())
+def element_end(parts, at: int) -> int:
+    """Where the element opened at a position is closed, by depth; an element left open ends with the page."""
+    depth = 0
+    for i in range(at, len(parts)):
+        if parts[i][1] == parts[at][1] and parts[i][0] != "skip":
+            depth += 1 if parts[i][0] == "open" else -1
+            if depth == 0:
+                return i
+    return len(parts)
 
 
-def content_range(parts, keys, frame: list[str]) -> tuple[int, int] | None:
-    """The slots between the frame's content tag and its end: positions on this page, or None if the frame has none."""
-    places = frame_places(keys, frame)
-    if places is None:
+def content_range(parts, keys, region: str | None) -> tuple[int, int] | None:
+    """The inside of the element with this key, or None unless it stands on the page once."""
+    if not region or keys.count(region) != 1:
         return None
-    for i, at in enumerate(places):
-        if _is_content(*parts[at]):
-            end = next((b for b in places[i + 1 :] if keys[b] == "/" + parts[at][1]), None)
-            if end is not None:
-                return at, end
-    return None
+    at = keys.index(region)
+    return at + 1, element_end(parts, at)
 
 
-def misplaced(keys: list[str], places: list[int], nested: list[list[str]]) -> set[str]:
-    """Tags of classes that do not lie in one slot of the frame on this page: such a class is not nested, and void."""
+def misplaced(keys: list[str], places: list[int], nested: list[list[str]]) -> list[int]:
+    """Which classes do not lie in one slot of the frame on this page: such a class is not nested, and void."""
     cuts = np.array(places)
-    out: set[str] = set()
+    out: list[int] = []
     at: dict[str, list[int]] = {}
     for i, key in enumerate(keys):
         at.setdefault(key, []).append(i)
-    for tags in nested:
+    for k, tags in enumerate(nested):
         found = [i for t in tags for i in at.get(t, [])]
         if len(set(np.searchsorted(cuts, found).tolist())) > 1:
-            out.update(tags)
+            out.append(k)
     return out
 
 
-def extract(page: str | None, frame: list[str] = (), nested: list[list[str]] = (), fixed: frozenset[int] = frozenset()) -> str:
-    """The text of the content slots of a page.
+def page_words(keys: list[str], frame: list[str], nested: list[list[str]], words: list[list[int]], fixed: list[int]) -> frozenset[int]:
+    """The template's words on this page: all fixed segments but those of classes that are void here."""
+    places = frame_places(keys, frame) if frame and nested else None
+    if not places:
+        return frozenset(fixed)
+    return frozenset(fixed).difference(*[words[k] for k in misplaced(keys, places, nested)])
 
-    With a frame that fits the page, its content tag bounds the article. Without, the page's own article or main elements do,
-    and if it has none, all of the body counts, less the template's fixed segments. Within, elements that are
-    not article text are passed over; an element left open ends with the region.
-    """
-    parts = tokens(page or "")
-    keys = token_keys(parts)
-    region = content_range(parts, keys, list(frame)) if frame else None
-    semantic = any(kind == "open" and name in CONTENT for kind, name, _ in parts)
-    blocks: list[str] = []
-    buffer: list[str] = []
-    skipped, depth, inside = "", 0, 0
 
-    def flush() -> None:
-        text = " ".join("".join(buffer).split())
-        if text:
-            blocks.append(text)
-        buffer.clear()
+def own_text(parts, keys, start: int, end: int, fixed: frozenset[int], region: bool, gated: bool):
+    """(position, raw text) of segments that are the page's own, (position, '') where a block ends, in page order.
 
-    start, end = region if region else (0, len(parts))
+    Elements that are not article text are passed over; an element left open ends with the range, with `body` or before the
+    article. Gated, only what is inside of article or main elements counts.
+    """
+    skipped, depth, inside = "", 0, 0
     for at in range(start, end):
         kind, name, value = parts[at]
         if kind == "text":
-            wanted = not skipped and (region or inside or not semantic)
-            if wanted and (region or inside or not fixed or not keys[at] or hashed(keys[at]) not in fixed):
-                buffer.append(html_.unescape(value))
+            if not skipped and (inside or not gated) and not (fixed and keys[at] and hashed(keys[at]) in fixed):
+                yield at, value
             continue
         if kind == "skip":
             continue
-        if name in CONTENT and not region:
+        content = name in CONTENT and skipped not in CONTENT and not (kind == "open" and not _is_content(kind, name, value))
+        if content and not region:
             inside = max(0, inside + (1 if kind == "open" else -1))
-            if kind == "open" and inside == 1 or name == "body":
+            if kind == "open" and inside == 1:
                 skipped = ""  # an element left open before the article
-        if name == "body" and kind == "open":
+        if name == "body":
             skipped = ""
         if skipped:
             if name == skipped:
                 depth += 1 if kind == "open" else -1
                 if depth == 0:
                     skipped = ""
-        elif kind == "open" and at != start and _is_aside(name, value, bool(region or inside)):
-            flush()
+        elif kind == "open" and _is_aside(name, value, bool(region or inside)):
+            yield at, ""
             skipped, depth = name, 1
         if name == "br":
-            buffer.append(" ")
+            yield at, " "
         elif name not in INLINE:
-            flush()
-    flush()
+            yield at, ""
+
+
+def extract(page: str | None, region: str | None = None, fixed: frozenset[int] = frozenset()) -> str:
+    """The page's own text: that of the content region, less the template's words.
+
+    If the host has no region, or it does not stand on the page once, the page's own article or main elements bound the text,
+    and if it has none, all of the body counts.
+    """
+    parts = tokens(page or "")
+    keys = token_keys(parts)
+    found = content_range(parts, keys, region)
+    start, end = found or (0, len(parts))
+    gated = not found and any(_is_content(*part) for part in parts)
+    blocks: list[str] = []
+    buffer: list[str] = []
+    for _, value in itertools.chain(own_text(parts, keys, start, end, fixed, bool(found), gated), [(end, "")]):
+        if value:
+            buffer.append(html_.unescape(value))
+        elif buffer:
+            text = " ".join("".join(buffer).split())
+            if text:
+                blocks.append(text)
+            buffer.clear()
     return " ".join(blocks)
 
 
+def region_text(parts, keys, frame: list[str], fixed: frozenset[int]) -> dict[int, int]:
+    """Characters of own text in the frame's containers, by place in the frame; -1 is the whole page.
+
+    What lies inside an article or main element of the frame is no region of its own.
+    """
+    places = frame_places(keys, frame) if frame else None
+    if not places:
+        return {}
+    size = np.zeros(len(parts) + 1, np.int64)
+    for at, value in own_text(parts, keys, 0, len(parts), fixed, False, False):
+        size[at + 1] = len(" ".join(value.split()))
+    upto = np.cumsum(size)
+    out, covered = {-1: int(upto[-1])}, 0
+    for k, at in enumerate(places):
+        if parts[at][0] == "open" and parts[at][1] in CONTAINERS and at >= covered:
+            end = element_end(parts, at)
+            out[k] = int(upto[end] - upto[at])
+            if _is_content(*parts[at]):
+                covered = end
+    return out
+
+
+def regions(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, region): the key of the frame's container that holds the content of the host's pages.
+
+    The article or main element that holds most own text, if that is `CONTENT_SHARE` of all; else the narrowest element with
+    `REGION_SHARE` of all. Hosts without such an element are left out.
+    """
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("host", "html", "frame", "nested", "words", "fixed")]
+            sums: dict[tuple[str, int, str], int] = {}
+            for host, page, frame, nested, words, fixed in zip(*columns):
+                parts = tokens(page or "")
+                keys = token_keys(parts)
+                for k, n in region_text(parts, keys, frame, page_words(keys, frame, nested, words, fixed)).items():
+                    row = host, k, "" if k < 0 else frame[k]
+                    sums[row] = sums.get(row, 0) + n
+            rows = [pa.array([x[i] for x in sums], kind) for i, kind in enumerate([pa.string(), pa.int32(), pa.string()])]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(list(sums.values()), pa.int64())], ["host", "k", "region", "n"])
+
+    both = pages.select("html", host_of(F.col("url")).alias("host")).join(found, "host")
+    both = both.select("host", "html", "frame", "nested", "words", "fixed")
+    sums = both.mapInArrow(run, "host string, k int, region string, n long").groupBy("host", "k", "region").agg(F.sum("n").alias("n"))
+    whole = F.max(F.when(F.col("k") < 0, F.col("n"))).over(Window.partitionBy("host"))
+    tag = F.regexp_extract("region", r"^<([^.]*)", 1)
+    marked = tag.isin(*CONTENT) & (F.col("n") >= CONTENT_SHARE * F.col("whole"))
+    fine = sums.withColumn("whole", whole).where("k >= 0 and n > 0").withColumn("marked", marked)
+    fine = fine.where(F.col("marked") | (F.col("n") >= REGION_SHARE * F.col("whole")))
+    most = F.when(F.col("marked"), -F.col("n")).otherwise(F.col("n"))
+    place = F.when(F.col("marked"), F.col("k")).otherwise(-F.col("k"))
+    best = F.struct((~F.col("marked")).alias("a"), most.alias("b"), place.alias("c"))
+    return fine.groupBy("host").agg(F.min_by("region", best).alias("region"))
+
+
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, support: float = SUPPORT) -> DataFrame:
     """(page_id, url, text, n_chars) of every page; empty text for null or empty html.
 
-    The template table has one row per host. It is broadcast only while it has few hosts, each a bounded row (the tokens
+    Pages are read three times: for the template, for the region of its content, for the text. The template table has one row per host. It is broadcast only while it has few hosts, each a bounded row (the tokens
     of one page); beyond that it meets the pages by a join on the host.
     """
     bounded_batches(pages.sparkSession)
     found = keep(templates(pages, least_pages, support), "page-templates")
     few = found.count() <= BROADCAST_HOSTS
+    found = F.broadcast(found) if few else found
+    found = found.join(keep(regions(pages, found), "page-regions"), "host", "left")
     slim = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     both = slim.join(F.broadcast(found) if few else found, "host", "left").select(
-        *whole_ids("page_id"), "url", "html", "frame", "nested", "fixed"
+        *whole_ids("page_id"), "url", "html", "frame", "nested", "words", "fixed", "region"
     )
 
     def run(batches):
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("html", "frame", "nested", "fixed")]
+            columns = [batch.column(c).to_pylist() for c in ("html", "frame", "nested", "words", "fixed", "region")]
             texts = []
-            for page, frame, nested, fixed in zip(*columns):
-                fixed = frozenset(fixed or ())
+            for page, frame, nested, words, fixed, region in zip(*columns):
                 if frame and nested and fixed:
-                    keys = token_keys(tokens(page or ""))
-                    places = frame_places(keys, frame)
-                    if places is None or misplaced(keys, places, nested):
-                        fixed = frozenset()
-                texts.append(extract(page, frame or (), nested or (), fixed))
+                    fixed = page_words(token_keys(tokens(page or "")), frame, nested, words, fixed)
+                texts.append(extract(page, region, frozenset(fixed or ())))
             n = pa.array([len(t) for t in texts], pa.int64())
             own = [batch.column(c) for c in ("page_id", "null_id", "url")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.string()), n], ["page_id", "null_id", "url", "text", "n_chars"])

@@ -62,6 +62,36 @@ def test_template_words_go_where_no_article_is_marked(spark):
     assert template.main_text(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_the_template_decides_where_no_article_is_marked(spark):
+    rows = []
+    for i in range(8):
+        body = f"<h2>Title {i}</h2>" + f"<div><p>Own sentence {i} of some length, and more of it.</p></div>" * (3 + i % 3)
+        cards = f"<article>Card {i}</article>" * (1 + i % 2)  # teasers are articles, the text is not
+        text = (
+            f"<html><body><div class='wrap'><div class='ticker'>Tick {i}</div><div class='txt'><b>Share this</b>{body}"
+            f"<i>Read on</i></div><div class='cards'>{cards}</div></div><p>Imprint</p></body></html>"
+        )
+        rows.append((i, f"http://plain.example/{i}", text, "x", "y"))
+    pages = spark.createDataFrame(rows, PAGES)
+    by = {r.page_id: r.text for r in template.main_text(pages).collect()}
+    for i in range(8):
+        assert by[i] == " ".join([f"Title {i}"] + [f"Own sentence {i} of some length, and more of it."] * (3 + i % 3))
+
+
+def test_template_words_go_inside_the_article_too(spark):
+    rows = []
+    for i in range(8):
+        text = (
+            f"<html><body><article><h1>Head {i}</h1><p>{'Words of page %d. ' % i * (1 + i % 3)}</p><div><b>Share this</b></div>"
+            f"</article><article class='comment'>Reply {i}</article></body></html>"
+        )
+        rows.append((i, f"http://marked.example/{i}", text, "x", "y"))
+    by = {r.page_id: r.text for r in template.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(8):
+        assert by[i] == f"Head {i} " + " ".join([f"Words of page {i}."] * (1 + i % 3))
+    assert template.extract("<article class=comment>no</article><article>yes</article>") == "yes"
+
+
 def test_classes_match_a_plain_grouping(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     vectors: dict[str, dict[str, Counter]] = {}
