@@ -1,7 +1,6 @@
 """Training, explanation and scoring (survey groups I, J and K).
 
-Tree counts here are small so that a check takes seconds; the learners' defaults are the full ones. Every
-model is trained on the whole training part of the tables in the given folder, once per session and folder.
+All learners have their own settings, the full ones. Every model is trained on the whole training part of the tables in the given folder, once per session and folder.
 """
 
 from __future__ import annotations
@@ -26,10 +25,7 @@ from tenura.sources.subscribers import customers
 from tenura.sources.tables import TableStore
 from tenura.streaming import scoring
 
-CHURN_SIZES = {"lr": {"maxIter": 100}, "rf": {"numTrees": 20, "maxDepth": 6}, "gbt": {"maxIter": 10, "maxDepth": 4}}
-LTV_SIZES = {"lr": {}, "rf": {"numTrees": 10, "maxDepth": 6}, "gbt": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.3}}
-CV_SIZES = {"lr": {}, "rf": {"numTrees": 20, "maxDepth": 6}, "gbt": {"maxIter": 10, "maxDepth": 4}}
-CV_LTV_SIZES = {"lr": {}, "rf": {"numTrees": 20, "maxDepth": 6}, "gbt": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.3}}
+KINDS = ["lr", "rf", "gbt"]
 
 
 @dataclass(frozen=True)
@@ -75,8 +71,8 @@ def trained(spark: SparkSession, folder: str) -> Trained:
         _TRAINED[place] = Trained(
             churn_rows,
             ltv_rows,
-            {k: models.train_churn(k, churn_train, **v) for k, v in CHURN_SIZES.items()},
-            {k: models.train_ltv(k, ltv_train, **v) for k, v in LTV_SIZES.items()},
+            {k: models.train_churn(k, churn_train) for k in KINDS},
+            {k: models.train_ltv(k, ltv_train) for k in KINDS},
             float(churn_rows.agg(F.max("tenure")).first()[0]),
         )
         churn_train.unpersist()
@@ -150,13 +146,13 @@ def best_churn_model(spark, folder):
 @query("churn_cross_validation")
 def churn_cross_validation(spark, folder):
     """All three classifiers over five stratified folds."""
-    return models.cv_churn(["lr", "rf", "gbt"], training_rows(spark, folder)[0].where("not is_test"), CV_SIZES)
+    return models.cv_churn(KINDS, training_rows(spark, folder)[0].where("not is_test"))
 
 
 @query("ltv_cross_validation")
 def ltv_cross_validation(spark, folder):
     """All three regressors over five folds."""
-    return models.cv_ltv(["lr", "rf", "gbt"], training_rows(spark, folder)[1].where("not is_test"), CV_LTV_SIZES)
+    return models.cv_ltv(KINDS, training_rows(spark, folder)[1].where("not is_test"))
 
 
 @query("feature_importances")

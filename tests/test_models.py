@@ -45,6 +45,24 @@ def test_full_settings_are_the_defaults():
     assert models.CHURN_SETTINGS["rf"]["numTrees"] == models.LTV_SETTINGS["rf"]["numTrees"] == 200
 
 
+def test_registered_queries_train_with_the_full_settings(spark, folder, monkeypatch):
+    used = []
+
+    def fit(kind, rows, **settings):
+        used.append((kind, settings))
+
+    def validate(kinds, rows, settings=None):
+        used.extend((kind, (settings or {}).get(kind, {})) for kind in kinds)
+
+    monkeypatch.setattr(M, "_TRAINED", {})
+    for name, made in {"train_churn": fit, "train_ltv": fit, "cv_churn": validate, "cv_ltv": validate}.items():
+        monkeypatch.setattr(models, name, made)
+    M.trained(spark, folder)
+    M.churn_cross_validation(spark, folder)
+    M.ltv_cross_validation(spark, folder)
+    assert used == [(kind, {}) for kind in ("lr", "rf", "gbt")] * 4
+
+
 def test_attributions_add_up(spark, folder, trained):
     gap = M.shap_values(spark, folder).agg(F.max(F.abs("gap")), F.count("*")).first()
     assert gap[0] < 1e-6 and gap[1] == 1500
