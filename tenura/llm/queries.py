@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from tenura.llm import jaccard, langid, neardup, packing, pieces, quality, sharding, template, topk, toxicity
+from tenura.llm import (
+    conversations,
+    jaccard,
+    langid,
+    neardup,
+    packing,
+    pieces,
+    quality,
+    resampling,
+    retrieval,
+    sharding,
+    template,
+    topk,
+    toxicity,
+)
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
@@ -15,5 +29,8 @@ QUERIES = {
     "op8_sentencepiece": pieces.query,
     "op9_embedding_near_dedup": neardup.query,
     "op10_hilbert_sharding": sharding.query,
+    "op11_conversation_repair": conversations.query,
+    "op12_importance_resampling": resampling.query,
+    "op13_retrieval_packing": retrieval.query,
 }
 ORACLES = {"op1_exact_top_k": topk.SQL}
