@@ -411,3 +411,54 @@ def repaired(conversations: DataFrame) -> DataFrame:
 
 def query(spark, folder: str) -> DataFrame:
     return repaired(table(spark, folder, "conversations"))
+
+
+#: The same in SQL: a shortest path over rows, one row at a time.
+SQL = r"""
+WITH RECURSIVE
+crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8),
+    lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, b)) AS t),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (SELECT keyed.*, xor(list_reduce(list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda x, b: xor(x >> 8, t[1 + (xor(x, b) & 255)]), 4294967295), 4294967295) % 20 AS kind FROM keyed, crc_table),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged),
+faults AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM placed),
+counts AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated,
+    count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+follows(q, t, name) AS (VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')),
+inserts AS (SELECT q, q AS t, 0 AS c, '' AS tail, '' AS said FROM follows
+    UNION ALL SELECT i.q, f.t, i.c + 3, i.tail || 'I', i.said || f.name || ':' || chr(10)
+    FROM inserts i JOIN follows f ON i.t = f.q WHERE i.c < 9),
+edits AS (
+    SELECT f.q, f.q AS t, 'D' AS e, 4 AS c, CAST(NULL AS VARCHAR) AS initial, CAST(NULL AS VARCHAR) AS name FROM follows f
+    UNION ALL SELECT q, t, 'K', 0, t, NULL FROM follows
+    UNION ALL SELECT '', 's', 'K', 0, 's', NULL
+    UNION ALL SELECT q, t, 'R', 3, NULL, name FROM follows),
+walk AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '' AS q, {'c': CAST(0 AS BIGINT), 'a': '', 'r': ''} AS best FROM faults
+    UNION ALL
+    SELECT w.conv_id, f.i, e.t, min({'c': w.best.c + s.c + e.c + CASE WHEN e.e <> 'D' AND f.cut THEN 3 ELSE 0 END,
+        'a': w.best.a || s.tail || e.e, 'r': w.best.r || s.said ||
+        CASE WHEN e.e = 'D' THEN '' ELSE coalesce(e.name, f.role) || ':' || f.text || chr(10) END})
+    FROM walk w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+    JOIN inserts s ON s.q = w.q JOIN edits e ON e.q = s.t
+    WHERE (e.e = 'D' OR NOT (f.blank OR f.again)) AND (e.initial IS NULL OR e.initial = left(f.role, 1))
+    GROUP BY w.conv_id, f.i, e.t),
+ends AS (SELECT w.conv_id, min({'c': w.best.c + s.c, 'a': w.best.a || s.tail, 'r': w.best.r || s.said}) AS best
+    FROM walk w JOIN counts n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.n = w.i
+    JOIN inserts s ON s.q = w.q WHERE s.t IN ('', 'a') GROUP BY w.conv_id)
+SELECT o.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate,
+    coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal, CAST(coalesce(e.best.c, 0) AS BIGINT) AS cost,
+    coalesce(e.best.a, '') AS audit, sha256(CASE WHEN coalesce(e.best.r, '') = '' THEN '' ELSE left(e.best.r, -1) END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

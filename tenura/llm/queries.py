@@ -33,4 +33,4 @@ QUERIES = {
     "op12_importance_resampling": resampling.query,
     "op13_retrieval_packing": retrieval.query,
 }
-ORACLES = {"op1_exact_top_k": topk.SQL}
+ORACLES = {"op1_exact_top_k": topk.SQL, "op11_conversation_repair": conversations.SQL}
