@@ -2,7 +2,7 @@
 
 Documents are tokenized once. The terms of the index are the distinct token ids of a document, so document frequencies are
 exact over all documents and their table has the size of the vocabulary. Documents are ordered by a lexical
-signature (smallest ranks of their tokens under fixed permutations), which brings alike ones together, and cut into shards of
+signature (their first tokens under fixed permutations), which brings alike ones together, and cut into shards of
 bounded size; a group of copies of any size spans as many shards as it needs. Every shard has an inverted index of
 its own. A window belongs to the document that opens it, its seed: unused neighbours of the seed are appended, best BM25 score
 first, and the one that does not fit is cut, so that its rest opens the next window. Where no unused neighbour shares a
@@ -136,7 +136,7 @@ def tokenized(docs: DataFrame, path: str, ranks: str) -> DataFrame:
                 kinds, _ = terms(ids)
                 seen[kinds] += 1
                 seen[-1] += len(ids)
-                low = [int(o[kinds].min()) for o in orders] if len(kinds) else [0] * len(orders)
+                low = [int(kinds[np.argmin(o[kinds])]) for o in orders] if len(kinds) else [0] * len(orders)
                 routes.append(functools.reduce(lambda x, y: x << 16 | y, low))
             sizes, data = [len(x) for x in coded], [x.tobytes() for x in coded]
             yield _frame(batch.column("doc_id"), sizes, routes, data, [-1] * len(coded), [None] * len(coded))
