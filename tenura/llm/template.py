@@ -5,6 +5,11 @@ A page is a sequence of tokens: tags and text segments. Tokens with the same occ
 template, not from the articles. The class of tokens that stand once on a page is the template's frame; classes
 that repeat lie nested in one of its slots. The content region is the narrowest element of the frame that holds nearly all
 text of the host's pages that is not the template's; what is not the template's in it is the page's own text.
+
+A text that a host repeats on most of its pages has the occurrence vector of a template too. Two rules keep it. Words belong to the
+template only in a class that holds tags as well. And on a page whose region consists of such words for the most part they
+are taken for what they are, a repeated article: pages that are copies of one another, near copies and repeated
+rows keep their text.
 """
 
 from __future__ import annotations
@@ -24,12 +29,15 @@ from tenura.llm.common import bounded_batches, keep, mixed, table, whole_ids
 
 LEAST_PAGES = 4
 SUPPORT = 0.5
+REPEATED_SHARE = 0.5
 LEAST_TOKENS = 3
 BROADCAST_HOSTS = 20_000
 
+#: The rest of a tag; a quoted value may hold ">", a quote that is never closed ends nothing.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 TOKENS = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?/]?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select|title)\b"
+    rf"{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<[!?/]?[a-zA-Z]{_ATTRIBUTES}(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -142,7 +150,7 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, support: float =
     A class is a set of `LEAST_TOKENS` tokens or more with equal occurrence vectors on at least `support` of the pages. `frame`:
     the tags of the class that stands once on a page and covers most pages, in page order. `nested`: the tags of the
     other classes, one list each; `words`: their text segments' hashes, a list for each of them. `fixed`: hashes of the
-    text segments of all classes, the template's own words.
+    text segments of all classes with tags, the template's own words.
     """
     sums = ["n", "total", "v1", "v2", "place"]
     every = occurrences(pages).groupBy("host", "token").agg(F.max("name").alias("name"), *[F.sum(c).alias(c) for c in sums])
@@ -163,7 +171,7 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, support: float =
     whole = classes.groupBy("host").agg(
         best.alias("best"),
         F.collect_list(F.when(F.size("tags") > 0, F.struct("tags", "texts"))).alias("all"),
-        F.flatten(F.collect_list("texts")).alias("fixed"),
+        F.flatten(F.collect_list(F.when(F.size("tags") > 0, F.col("texts")))).alias("fixed"),
     )
     none = F.array().cast("array<string>")
     frame = F.coalesce("best.tags", none)
@@ -274,16 +282,24 @@ def extract(page: str | None, region: str | None = None, fixed: frozenset[int] =
     """The page's own text: that of the content region, less the template's words.
 
     If the host has no region, or it does not stand on the page once, the page's own article or main elements bound the text,
-    and if it has none, all of the body counts.
+    and if it has none, all of the body counts. Template words stay where they are `REPEATED_SHARE` of the bounded text or
+    more, or all of the body's.
     """
     parts = tokens(page or "")
     keys = token_keys(parts)
     found = content_range(parts, keys, region)
     start, end = found or (0, len(parts))
     gated = not found and any(_is_content(*part) for part in parts)
+    segments = list(own_text(parts, keys, start, end, frozenset(), bool(found), gated))
+    if fixed:
+        sizes = {at: len(keys[at]) - 1 for at, value in segments if value and keys[at]}
+        theirs = {at for at in sizes if hashed(keys[at]) in fixed}
+        share = sum(sizes[at] for at in theirs) / max(1, sum(sizes.values()))
+        if share < (REPEATED_SHARE if found or gated else 1.0):
+            segments = [x for x in segments if x[0] not in theirs]
     blocks: list[str] = []
     buffer: list[str] = []
-    for _, value in itertools.chain(own_text(parts, keys, start, end, fixed, bool(found), gated), [(end, "")]):
+    for _, value in itertools.chain(segments, [(end, "")]):
         if value:
             buffer.append(html_.unescape(value))
         elif buffer:
@@ -353,6 +369,8 @@ def regions(pages: DataFrame, found: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, support: float = SUPPORT) -> DataFrame:
     """(page_id, url, text, n_chars) of every page; empty text for null or empty html.
 
+    Hosts of fewer than `least_pages` pages have no template; there the elements alone decide. Repeated rows and equal pages get equal
+    texts. Very long pages are worked on whole; of regions that tie the first in the page is taken. Other columns are not read.
     Pages are read three times: for the template, for the region of its content, for the text. The template table has one row per host. It is broadcast only while it has few hosts, each a bounded row (the tokens
     of one page); beyond that it meets the pages by a join on the host.
     """

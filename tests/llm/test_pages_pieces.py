@@ -92,6 +92,60 @@ def test_template_words_go_inside_the_article_too(spark):
     assert template.extract("<article class=comment>no</article><article>yes</article>") == "yes"
 
 
+SENTENCES = [f"Sentence number {k} of the article tells something that no other one does." for k in range(8)]
+
+
+def article(i, sentences=SENTENCES, heading="The same heading", tag="article"):
+    text = "".join(f"<p>{s}</p>" for s in sentences)
+    return f"<html><body><nav><a>Home</a></nav><{tag} class='story'><h1>{heading}</h1>{text}</{tag}><footer>Imprint</footer></body></html>"
+
+
+def texts_of(spark, pages):
+    rows = [(i, f"http://mirror.example/{i}", p, "x", "y") for i, p in enumerate(pages)]
+    return [r.text for r in sorted(template.main_text(spark.createDataFrame(rows, PAGES)).collect(), key=lambda r: r.page_id)]
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_equal_pages_keep_their_article(spark, tag):
+    want = " ".join(["The same heading", *SENTENCES])
+    assert texts_of(spark, [article(0, tag=tag)] * 6) == [want] * 6
+
+
+def test_a_row_repeated_five_times_keeps_its_article(spark):
+    row = (1, "http://mirror.example/1", article(1), "x", "y")
+    found = template.main_text(spark.createDataFrame([row] * 5, PAGES)).collect()
+    assert [r.text for r in found] == [" ".join(["The same heading", *SENTENCES])] * 5
+
+
+def test_mirrors_on_a_host_keep_their_article(spark):
+    other = [[f"Page {i} says this in its sentence {k}, as none else." for k in range(6)] for i in range(4)]
+    pages = [article(0)] * 6 + [article(i, other[i], f"Heading {i}") for i in range(4)]
+    want = [" ".join(["The same heading", *SENTENCES])] * 6 + [" ".join([f"Heading {i}", *other[i]]) for i in range(4)]
+    assert texts_of(spark, pages) == want
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_pages_that_differ_in_the_heading_alone_keep_their_article(spark, tag):
+    pages = [article(i, heading=f"Heading {i}", tag=tag) for i in range(6)]
+    assert texts_of(spark, pages) == [" ".join([f"Heading {i}", *SENTENCES]) for i in range(6)]
+
+
+def test_near_copies_with_a_changed_sentence_keep_all_others(spark):
+    changed = [SENTENCES[:3] + [f"On page {i} alone this sentence was changed."] + SENTENCES[4:] for i in range(7)]
+    assert texts_of(spark, [article(i, changed[i]) for i in range(7)]) == [" ".join(["The same heading", *c]) for c in changed]
+
+
+def test_quoted_values_may_hold_the_end_of_a_tag():
+    assert template.extract("""<article><a title="a > b" href='x>y'>link</a> <b title="open>text</b></article>""") == "link text"
+    assert template.extract("<script x='>'>no</script><p don't>yes</p>") == "yes"
+    template.tokens("<p " + '="' * 100_000)
+
+
+def test_very_long_pages(spark):
+    words = "word " * 300_000
+    assert [len(t) for t in texts_of(spark, [f"<article><p>{words}</p></article>"] * 5)] == [1_499_999] * 5
+
+
 def test_classes_match_a_plain_grouping(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     vectors: dict[str, dict[str, Counter]] = {}
