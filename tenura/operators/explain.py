@@ -13,15 +13,13 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura import schema as S
 from tenura.operators.reports import ranked
 from tenura.operators.split import remixed
-from tenura.session import new_path
+from tenura.operators.trees import TreeModel
 
 
 @dataclass(frozen=True)
@@ -36,36 +34,27 @@ class LeafTable:
     base_value: float
 
 
-def tree_nodes(model: PipelineModel) -> DataFrame:
-    """The nodes of a boosted model as a table, read from its saved form in the shared folder."""
-    spark = SparkSession.getActiveSession()
-    path = new_path(spark, "trees")
-    model.stages[-1].write().save(path)
-    node = F.col("nodeData")
-    return spark.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"),
-        node["id"].alias("id"),
-        node["prediction"].alias("value"),
-        node["impurityStats"][0].alias("cover"),
-        node["leftChild"].alias("left"),
-        node["rightChild"].alias("right"),
-        node["split"]["featureIndex"].alias("feature"),
-        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
-    )
-
-
-def leaf_table(model: PipelineModel) -> LeafTable:
-    """Attribution table on the log-odds scale, which is twice the boosted margin.
+def leaf_table(model: TreeModel) -> LeafTable:
+    """Attribution table on the log-odds scale.
 
     Its size is set by the model alone: trees x leaves, at most 2^depth leaves each.
     """
-    booster = model.stages[-1]
-    scales = [2.0 * w for w in booster.treeWeights]
-    trees: dict[int, dict[int, dict]] = {}
-    for row in tree_nodes(model).collect():  # model-sized, not data-sized
-        trees.setdefault(row["tree"], {})[row["id"]] = row.asDict()
-    leaves = [leaf for t, nodes in sorted(trees.items()) for leaf in leaf_paths(nodes, scales[t])]
-    return tabulate(leaves)
+    ends = [*model.roots[1:].tolist(), len(model.left)]
+    leaves = []
+    for start, end in zip(model.roots.tolist(), ends):
+        nodes = {
+            i - start: {
+                "left": int(model.left[i]) - start if model.left[i] != i else -1,
+                "right": int(model.left[i]) + 1 - start,
+                "feature": int(model.feature[i]),
+                "threshold": float(model.threshold[i]),
+                "value": float(model.value[i]),
+                "cover": float(model.cover[i]),
+            }
+            for i in range(start, end)
+        }
+        leaves += leaf_paths(nodes, 1.0)
+    return tabulate(leaves, model.base)
 
 
 def leaf_paths(nodes: dict[int, dict], scale: float) -> list[tuple[float, dict[int, tuple[float, float, float]]]]:
@@ -86,7 +75,7 @@ def leaf_paths(nodes: dict[int, dict], scale: float) -> list[tuple[float, dict[i
     return found
 
 
-def tabulate(leaves: list[tuple[float, dict[int, tuple[float, float, float]]]]) -> LeafTable:
+def tabulate(leaves: list[tuple[float, dict[int, tuple[float, float, float]]]], base: float = 0.0) -> LeafTable:
     depth = max(1, max(len(path) for _, path in leaves))
     n = len(leaves)
     feature = np.full((n, depth), -1, dtype=np.int32)
@@ -97,7 +86,7 @@ def tabulate(leaves: list[tuple[float, dict[int, tuple[float, float, float]]]])
     for i, (_, path) in enumerate(leaves):
         for d, (f, (a, u, s)) in enumerate(path.items()):
             feature[i, d], above[i, d], upto[i, d], share[i, d] = f, a, u, s
-    return LeafTable(feature, above, upto, share, value, float(np.sum(value * np.prod(share, axis=1))))
+    return LeafTable(feature, above, upto, share, value, base + float(np.sum(value * np.prod(share, axis=1))))
 
 
 def size_weights(depth: int) -> np.ndarray:
@@ -143,7 +132,7 @@ def attributions(table: LeafTable, x: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def shap_values(model: PipelineModel, rows: DataFrame, keep: list[str]) -> DataFrame:
+def shap_values(model: TreeModel, rows: DataFrame, keep: list[str]) -> DataFrame:
     """Kept columns, `values` (one per feature, on the log-odds scale), `base_value` and `probability`.
 
     Only the feature vector crosses into Python, in Arrow batches.
@@ -158,12 +147,12 @@ def shap_values(model: PipelineModel, rows: DataFrame, keep: list[str]) -> DataF
             return pd.Series([], dtype=object)
         return pd.Series(list(attributions(shared.value, np.stack(features.to_numpy()).astype(float))))
 
-    scored = model.transform(rows)
+    scored = model.transform(rows).withColumn("probability", model.probability())
     return scored.select(
         *keep,
-        explain(vector_to_array("churn_vector")).alias("values"),
+        explain("tree_vector").alias("values"),
         F.lit(table.base_value).alias("base_value"),
-        vector_to_array("churn_probabilities")[1].alias("probability"),
+        "probability",
         *[F.col(f"`{c}`") for c in S.CHURN_FEATURES if c not in keep],
     )
 

@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import warnings
 from dataclasses import dataclass
 from statistics import fmean, pstdev
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura import schema as S
 from tenura.functions.bins import floored
-from tenura.operators import encode, evaluate, split
+from tenura.operators import encode, evaluate, split, trees
 from tenura.operators.ltv import capped_and_segmented, ltv_target
+from tenura.operators.trees import TreeModel
 from tenura.session import enable_checkpoints
 from tenura.sources.tables import TableStore
 
@@ -27,41 +28,61 @@ SEED = 42
 NAMES = {"lr": "Logistic Regression", "rf": "Random Forest", "gbt": "Gradient Boosting"}
 LTV_NAMES = {"lr": "Linear Regression", "rf": "Random Forest", "gbt": "Gradient Boosting"}
 
-# Default settings of the six learners. `weight` names the column that balances the classes.
+# Default settings of the six learners. `weightCol` names the column that balances the classes; trees balance them alike.
 CHURN_SETTINGS = {
     "lr": {"maxIter": 1000, "elasticNetParam": 0.0, "standardization": False, "weightCol": "balanced"},
-    "rf": {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 2, "weightCol": "balanced"},
+    "rf": {
+        "numTrees": 200,
+        "maxDepth": 10,
+        "minSamplesSplit": 5,
+        "minInstancesPerNode": 2,
+        "featureSubsetStrategy": "sqrt",
+        "seed": SEED,
+    },
     "gbt": {
         "maxIter": 200,
         "maxDepth": 5,
         "stepSize": 0.1,
         "subsamplingRate": 0.8,
-        "featureSubsetStrategy": "0.8",
-        "weightCol": "boosted",
+        "colsampleByTree": 0.8,
+        "minChildWeight": 1.0,
+        "regAlpha": 0.0,
+        "regLambda": 1.0,
+        "seed": SEED,
     },
 }
 LTV_SETTINGS = {
     "lr": {"regParam": 0.0},
-    "rf": {"numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 2, "featureSubsetStrategy": "all"},
+    "rf": {
+        "numTrees": 200,
+        "maxDepth": 12,
+        "minSamplesSplit": 5,
+        "minInstancesPerNode": 2,
+        "featureSubsetStrategy": "all",
+        "seed": SEED,
+    },
     "gbt": {
         "maxIter": 300,
         "maxDepth": 6,
         "stepSize": 0.05,
         "subsamplingRate": 0.8,
-        "featureSubsetStrategy": "0.8",
-        "minInstancesPerNode": 3,
+        "colsampleByTree": 0.8,
+        "minChildWeight": 3.0,
+        "regAlpha": 0.1,
+        "regLambda": 1.0,
+        "seed": SEED,
     },
 }
-CHURN_LEARNERS = {"lr": LogisticRegression, "rf": RandomForestClassifier, "gbt": GBTClassifier}
-LTV_LEARNERS = {"lr": LinearRegression, "rf": RandomForestRegressor, "gbt": GBTRegressor}
+KINDS = ("lr", "rf", "gbt")
+Model = PipelineModel | TreeModel
 
 
 @dataclass(frozen=True)
 class Bundle:
     """Both models with what scoring needs to rebuild their inputs; a missing model is None."""
 
-    churn: PipelineModel | None
-    ltv: PipelineModel | None
+    churn: Model | None
+    ltv: Model | None
     tenure_max: float = S.MAX_TENURE
 
 
@@ -94,56 +115,68 @@ def weighted(train: DataFrame) -> DataFrame:
     return split.pos_weight(split.balanced_weight(train, name="balanced"), name="boosted")
 
 
-def churn_pipeline(kind: str, rows: int | None = None, **settings) -> Pipeline:
-    """Unfitted pipeline. The linear model gets a scaler inside the pipeline and, given the row count, a unit L2 penalty."""
-    learner = CHURN_LEARNERS[kind](featuresCol="churn_vector", labelCol="label", predictionCol="churn_class")
+def churn_pipeline(rows: int | None = None, **settings) -> Pipeline:
+    """Unfitted linear classifier with its scaler inside the pipeline and, given the row count, a unit L2 penalty."""
+    learner = LogisticRegression(featuresCol="churn_vector", labelCol="label", predictionCol="churn_class")
     learner.setProbabilityCol("churn_probabilities").setRawPredictionCol("churn_margin")
-    chosen = CHURN_SETTINGS[kind] | settings
-    if kind == "lr" and rows and "regParam" not in chosen:
+    chosen = CHURN_SETTINGS["lr"] | settings
+    if rows and "regParam" not in chosen:
         chosen["regParam"] = 1.0 / rows
-    return _pipeline(kind, S.CHURN_FEATURES, "churn_vector", learner, chosen)
+    return _pipeline(S.CHURN_FEATURES, "churn_vector", learner, chosen)
 
 
-def ltv_pipeline(kind: str, **settings) -> Pipeline:
-    learner = LTV_LEARNERS[kind](featuresCol="ltv_vector", labelCol="label", predictionCol="ltv_raw")
-    return _pipeline(kind, S.LTV_FEATURES, "ltv_vector", learner, LTV_SETTINGS[kind] | settings)
+def ltv_pipeline(**settings) -> Pipeline:
+    learner = LinearRegression(featuresCol="ltv_vector", labelCol="label", predictionCol="ltv_raw")
+    return _pipeline(S.LTV_FEATURES, "ltv_vector", learner, LTV_SETTINGS["lr"] | settings)
 
 
-def _pipeline(kind: str, names: list[str], vector: str, learner, settings: dict) -> Pipeline:
+def _pipeline(names: list[str], vector: str, learner, settings: dict) -> Pipeline:
     learner = learner.copy({learner.getParam(k): v for k, v in settings.items()})
-    if learner.hasParam("seed"):
-        learner.set(learner.getParam("seed"), SEED)
     # A missing cell gets the median of the training rows, in training and in scoring.
     known = [f"{n}_known" for n in names]
-    filled = Imputer(strategy="median", inputCols=names, outputCols=known)
-    if kind == "lr":
-        stages = [
-            VectorAssembler(inputCols=known, outputCol=f"{vector}_raw"),
-            StandardScaler(inputCol=f"{vector}_raw", outputCol=vector, withMean=True, withStd=True),
-        ]
-    else:
-        stages = [VectorAssembler(inputCols=known, outputCol=vector)]
-    return Pipeline(stages=[filled, *stages, learner])
+    stages = [
+        Imputer(strategy="median", inputCols=names, outputCols=known),
+        VectorAssembler(inputCols=known, outputCol=f"{vector}_raw"),
+        StandardScaler(inputCol=f"{vector}_raw", outputCol=vector, withMean=True, withStd=True),
+    ]
+    return Pipeline(stages=[*stages, learner])
 
 
-def train_churn(kind: str, train: DataFrame, **settings) -> PipelineModel:
-    """Fit one churn classifier on weighted training rows; rows without a label are not learned from."""
-    enable_checkpoints(train.sparkSession)
+def train_churn(kind: str, train: DataFrame, **settings) -> Model:
+    """Fit one churn classifier on weighted training rows; rows without a label are not learned from.
+
+    Trees find the key for their samples in the first column; they balance the classes by the rows they get.
+    """
     train = train.where("label is not null")
-    rows = train.count() if kind == "lr" else None
-    return churn_pipeline(kind, rows, **settings).fit(train)
+    if kind == "lr":
+        enable_checkpoints(train.sparkSession)
+        return churn_pipeline(train.count(), **settings).fit(train)
+    return trees.train(train, S.CHURN_FEATURES, train.columns[0], CHURN_SETTINGS[kind] | settings, kind, True)[0]
 
 
-def train_ltv(kind: str, train: DataFrame, **settings) -> PipelineModel:
-    enable_checkpoints(train.sparkSession)
-    return ltv_pipeline(kind, **settings).fit(train.where("label is not null"))
+def train_ltv(kind: str, train: DataFrame, **settings) -> Model:
+    train = train.where("label is not null")
+    if kind == "lr":
+        enable_checkpoints(train.sparkSession)
+        return ltv_pipeline(**settings).fit(train)
+    return trees.train(train, S.LTV_FEATURES, train.columns[0], LTV_SETTINGS[kind] | settings, kind, False)[0]
 
 
-def churn_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Rows with the probability of churning."""
+def churn_scores(model: Model, rows: DataFrame) -> DataFrame:
+    """Rows with the probability of churning and the class that follows from it."""
+    if isinstance(model, TreeModel):
+        scored = model.transform(rows).withColumn("probability", model.probability())
+        return scored.withColumn("churn_class", F.when(F.col("probability") >= 0.5, 1.0).otherwise(0.0))
     return model.transform(rows).withColumn("probability", vector_to_array("churn_probabilities")[1])
 
 
+def ltv_values(model: Model, rows: DataFrame) -> DataFrame:
+    """Rows with `ltv_raw`, the predicted value."""
+    if isinstance(model, TreeModel):
+        return model.transform(rows).withColumnRenamed("tree_margin", "ltv_raw").drop("tree_vector")
+    return model.transform(rows)
+
+
 def churn_metrics_table(scored: dict[str, DataFrame]) -> DataFrame:
     """Precision, recall, F1 and ROC-AUC per model, to 4 digits."""
     lines = []
@@ -174,32 +207,46 @@ def ltv_metrics_table(predicted: dict[str, DataFrame]) -> DataFrame:
 
 def cv_churn(kinds: list[str], train: DataFrame, settings: dict[str, dict] | None = None) -> DataFrame:
     """Five-fold F1 of the positive class per model; each fold has its own scaler, class weights and penalty."""
-    scorer = MulticlassClassificationEvaluator(
-        labelCol="label", predictionCol="churn_class", metricName="fMeasureByLabel", metricLabel=1.0
-    )
-    made = {NAMES[k]: lambda rows, k=k: churn_pipeline(k, rows, **(settings or {}).get(k, {})) for k in kinds}
-    return _cross_validate(made, scorer, train, "f1", weighted)
+    tp, fp, fn = (F.count_if((F.col("churn_class") == c) & (F.col("label") == y)) for c, y in ((1, 1), (1, 0), (0, 1)))
+    f1 = F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
+
+    def linear(rest: DataFrame, own: dict) -> Model:
+        return churn_pipeline(rest.count(), **own).fit(weighted(rest))
+
+    return _cross_validate(kinds, train, settings, "f1", f1, S.CHURN_FEATURES, CHURN_SETTINGS, NAMES, True, linear, churn_scores)
 
 
 def cv_ltv(kinds: list[str], train: DataFrame, settings: dict[str, dict] | None = None) -> DataFrame:
     """Five-fold R2 per model."""
-    scorer = RegressionEvaluator(labelCol="label", predictionCol="ltv_raw", metricName="r2")
-    made = {LTV_NAMES[k]: lambda rows, k=k: ltv_pipeline(k, **(settings or {}).get(k, {})) for k in kinds}
-    return _cross_validate(made, scorer, train, "r2", lambda rows: rows)
+    r2 = 1 - F.sum((F.col("label") - F.col("ltv_raw")) ** 2) / (F.var_pop("label") * F.count("*"))
+
+    def linear(rest: DataFrame, own: dict) -> Model:
+        return ltv_pipeline(**own).fit(rest)
+
+    return _cross_validate(kinds, train, settings, "r2", r2, S.LTV_FEATURES, LTV_SETTINGS, LTV_NAMES, False, linear, ltv_values)
+
 
+def _cross_validate(kinds, train, settings, metric, score, names, defaults, shown, classes, linear, predict) -> DataFrame:
+    """Mean and deviation over the values of `fold`: each is scored by a model of the other folds' rows alone.
 
-def _cross_validate(pipelines: dict, scorer, train: DataFrame, metric: str, prepare) -> DataFrame:
-    """Mean and deviation over the values of `fold`: each is scored by a model of the other folds' rows alone."""
+    The folds of a tree learner are masks over one table of bins and grow in the same passes.
+    """
     enable_checkpoints(train.sparkSession)
-    scores: dict[str, list[float]] = {name: [] for name in pipelines}
+    train = train.where("label is not null").persist()
     folds = sorted(r[0] for r in train.select("fold").distinct().collect())  # a handful
-    for fold in folds:
-        rest = prepare(train.where(F.col("fold") != fold).where("label is not null")).persist()
-        n, held = rest.count(), train.where(F.col("fold") == fold)
-        for name, pipeline in pipelines.items():
-            scores[name].append(float(scorer.evaluate(pipeline(n).fit(rest).transform(held.where("label is not null")))))
-        rest.unpersist()
-    found = [(name, metric, fmean(values), pstdev(values)) for name, values in scores.items()]
+    found = []
+    for kind in kinds:
+        own = (settings or {}).get(kind, {})
+        if kind == "lr":
+            fitted = []
+            for fold in folds:
+                rest = train.where(F.col("fold") != fold)
+                fitted.append(linear(rest, own))
+        else:
+            fitted = trees.train(train, names, train.columns[0], defaults[kind] | own, kind, classes, folds, fold="fold")
+        values = [predict(m, train.where(F.col("fold") == f)).agg(score).first()[0] for m, f in zip(fitted, folds)]
+        found.append((shown[kind], metric, fmean(map(float, values)), pstdev(map(float, values))))
+    train.unpersist()
     return train.sparkSession.createDataFrame(found, "model string, metric string, mean double, std double")
 
 
@@ -209,9 +256,9 @@ def stored_metrics(store: TableStore) -> dict[str, DataFrame | str]:
     return {n: f"no table {n} has been written yet" if t is None else t for n, t in found.items()}
 
 
-def importances(model: PipelineModel, names: list[str]) -> DataFrame:
+def importances(model: TreeModel, names: list[str]) -> DataFrame:
     """Feature importances of a tree model, largest first, with the engineered ones marked."""
-    values = model.stages[-1].featureImportances.toArray()
+    values = model.importances()
     rows = [(n, float(v), n in S.ENGINEERED) for n, v in zip(names, values)]
     spark = SparkSession.getActiveSession()
     table = spark.createDataFrame(rows, "feature string, importance double, is_engineered boolean")
@@ -237,39 +284,108 @@ def predictions_table(scored: DataFrame, key: str) -> DataFrame:
     )
 
 
-def predict_ltv_all(model: PipelineModel, featured: DataFrame) -> DataFrame:
+def predict_ltv_all(model: Model, featured: DataFrame) -> DataFrame:
     """Featured customers with `ltv_predicted`: rounded to cents, then not below 0."""
-    scored = model.transform(encode.model_columns(featured))
+    scored = ltv_values(model, encode.model_columns(featured))
     return scored.select(*featured.columns, floored(F.round("ltv_raw", 2)).alias("ltv_predicted"))
 
 
-def customers_ltv_predicted(model: PipelineModel, featured: DataFrame) -> DataFrame:
+def customers_ltv_predicted(model: Model, featured: DataFrame) -> DataFrame:
     """The stored customer value table with model predictions."""
     full = capped_and_segmented(ltv_target(predict_ltv_all(model, featured)))
     return full.select(*S.CUSTOMERS_LTV_COLUMNS)
 
 
+#: What a model asks for, in its order.
+BUNDLE_FEATURES = {"churn": S.CHURN_FEATURES, "ltv": S.LTV_FEATURES}
+META = (
+    "name string, kind string, features array<string>, settings map<string,string>, tenure_max double, schema_hash string, signature string"
+)
+
+
+def model_features(model: Model) -> list[str]:
+    """The feature names a fitted model reads, in its order."""
+    if isinstance(model, TreeModel):
+        return list(model.names)
+    return list(model.stages[0].getInputCols())
+
+
+def _signature(line: dict) -> str:
+    """SHA-256 over everything a meta row says; a row that was changed by hand does not match its own."""
+    plain = {k: line[k] for k in ("name", "kind", "features", "settings", "tenure_max", "schema_hash")}
+    return hashlib.sha256(json.dumps(plain, sort_keys=True).encode()).hexdigest()
+
+
+def _schema_hash(features: list[str]) -> str:
+    return hashlib.sha256("\n".join(features).encode()).hexdigest()
+
+
 def save_bundle(bundle: Bundle, path: str) -> None:
+    """Both models and one signed meta row each: ordered features, settings, the training maximum of tenure, a hash of the features."""
+    spark = SparkSession.getActiveSession()
+    lines = []
     for name in ("churn", "ltv"):
         model = getattr(bundle, name)
-        if model is not None:
+        if model is None:
+            continue
+        if isinstance(model, TreeModel):
+            kind, settings = "trees", {"trees": len(model.roots), "depth": model.depth, "average": model.average, "logistic": model.logistic}
+            model.save(f"{path}/{name}")
+        else:
+            kind, last = "pipeline", model.stages[-1]
+            settings = {p.name: v for p, v in last.extractParamMap().items() if isinstance(v, (bool, int, float, str))}
             model.write().overwrite().save(f"{path}/{name}")
-    spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(float(bundle.tenure_max),)], "tenure_max double").write.mode("overwrite").parquet(f"{path}/meta")
+        features = model_features(model)
+        line = {
+            "name": name,
+            "kind": kind,
+            "features": features,
+            "settings": {k: str(v) for k, v in sorted(settings.items())},
+            "tenure_max": float(bundle.tenure_max),
+            "schema_hash": _schema_hash(features),
+        }
+        lines.append(line | {"signature": _signature(line)})
+    names = [f.split()[0] for f in META.split(", ")]
+    spark.createDataFrame([tuple(x[n] for n in names) for x in lines], META).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def bundle_meta(spark: SparkSession, path: str) -> dict[str, dict]:
+    """The meta rows by model name; a row whose signature or feature hash does not fit is refused by name."""
+    found = {}
+    for row in spark.read.parquet(f"{path}/meta").collect():  # two rows at most
+        line = row.asDict()
+        if line["signature"] != _signature(line) or line["schema_hash"] != _schema_hash(line["features"]):
+            raise ValueError(f"bundle {path}: the meta row of model {line['name']!r} was changed after it was saved")
+        found[line["name"]] = line
+    return found
 
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
-    """Load what is there; a model that is not gets a warning naming it."""
-    found = {}
+    """Load what is there; a model that is not gets a warning naming it.
+
+    The features that the meta row lists must be those the stored model reads, in any order, and only known ones; else the
+    features in question are named. Scoring then hands a model its features by name, so their order may differ.
+    """
+    meta = bundle_meta(spark, path)
+    found: dict[str, Model | None] = {}
     for name in ("churn", "ltv"):
-        try:
-            spark.read.text(f"{path}/{name}/metadata")
-            found[name] = PipelineModel.load(f"{path}/{name}")
-        except AnalysisException:
+        if name not in meta:
             warnings.warn(f"model {name!r} not found below {path}", stacklevel=2)
             found[name] = None
-    meta = spark.read.parquet(f"{path}/meta").first()
-    return Bundle(found["churn"], found["ltv"], meta["tenure_max"])
+            continue
+        if meta[name]["kind"] == "trees":
+            found[name] = TreeModel.load(spark, f"{path}/{name}")
+        else:
+            found[name] = PipelineModel.load(f"{path}/{name}")
+        listed, read = meta[name]["features"], model_features(found[name])
+        unknown = sorted(set(listed) - set(BUNDLE_FEATURES[name]))
+        differing = sorted(set(listed) ^ set(read))
+        if unknown or differing:
+            raise ValueError(f"model {name!r} below {path}: unknown features {unknown}, listed or read but not both {differing}")
+    tenure = {m["tenure_max"] for m in meta.values()} or {float(S.MAX_TENURE)}
+    if len(tenure) > 1:
+        raise ValueError(f"bundle {path}: its models know different training maxima of tenure: {sorted(tenure)}")
+    return Bundle(found["churn"], found["ltv"], tenure.pop())
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenura.functions import bins
-from tenura.operators import encode, reports, validate
+from tenura.operators import encode, models, reports, validate
 from tenura.operators.models import Bundle
 from tenura.sources.customers_csv import read_batch_csv
 
@@ -84,10 +83,10 @@ def _score(df: DataFrame, bundle: Bundle, key: str, columns: list[str]) -> DataF
     rows = encode.scoring_features(validate.fill_defaults(df), bundle.tenure_max)
     rows = encode.model_columns(rows, unmapped=0)
     if set(columns) & set(CHURN_COLUMNS):
-        rows = _loaded(bundle.churn, "churn").transform(rows)
-        probability = vector_to_array("churn_probabilities")[1]
+        rows = models.churn_scores(_loaded(bundle.churn, "churn"), rows).drop("tree_vector", "tree_margin")
+        probability = F.col("probability")
     if set(columns) & set(LTV_COLUMNS):
-        rows = _loaded(bundle.ltv, "ltv").transform(rows)
+        rows = models.ltv_values(_loaded(bundle.ltv, "ltv"), rows)
         ltv = F.col("ltv_raw")
     made = decision_columns(F.col("_p"), F.col("_ltv"))
     rows = rows.select(key, probability.alias("_p"), ltv.alias("_ltv"))

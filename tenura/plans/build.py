@@ -34,8 +34,8 @@ def build_all(
     """
     store = TableStore(spark, root)
     prepare_tables(store, csv_path)
-    churn = build_churn_tables(store, churn_settings or {k: {} for k in models.CHURN_LEARNERS})
-    ltv = build_ltv_tables(store, ltv_settings or {k: {} for k in models.LTV_LEARNERS})
+    churn = build_churn_tables(store, churn_settings or {k: {} for k in models.KINDS})
+    ltv = build_ltv_tables(store, ltv_settings or {k: {} for k in models.KINDS})
     shown = "gbt" if "gbt" in churn else next(iter(churn))
     if shown == "gbt":
         build_explanations(store, churn[shown], explained_rows)
@@ -77,7 +77,7 @@ def build_ltv_tables(store: TableStore, settings: Settings) -> dict:
     train = rows.where("not is_test").persist()
     fitted = {k: models.train_ltv(k, train, **v) for k, v in settings.items()}
     train.unpersist()
-    predicted = {models.LTV_NAMES[k]: m.transform(rows.where("is_test")) for k, m in fitted.items()}
+    predicted = {models.LTV_NAMES[k]: models.ltv_values(m, rows.where("is_test")) for k, m in fitted.items()}
     store.write(models.ltv_metrics_table(predicted), "ltv_model_metrics")
     best = evaluate.best_by(store.read("ltv_model_metrics"), "r2").first()["model"]
     featured = store.read("customers_features")

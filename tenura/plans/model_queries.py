@@ -1,13 +1,14 @@
 """Training, explanation and scoring (survey groups I, J and K).
 
-All learners have their own settings, the full ones. Every model is trained on the whole training part of the tables in the given folder, once per session and folder.
+All learners have their own settings, the full ones. A model is trained on the whole training part of the tables in the given
+folder when a query first needs it, once per session and folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -28,19 +29,39 @@ from tenura.streaming import scoring
 KINDS = ["lr", "rf", "gbt"]
 
 
+class Fits(Mapping):
+    """Models by kind, each fitted when it is first asked for and then kept."""
+
+    def __init__(self, fit):
+        self._fit, self._done = fit, {}
+
+    def __getitem__(self, kind: str):
+        if kind not in KINDS:
+            raise KeyError(kind)
+        if kind not in self._done:
+            self._done[kind] = self._fit(kind)
+        return self._done[kind]
+
+    def __iter__(self):
+        return iter(KINDS)
+
+    def __len__(self):
+        return len(KINDS)
+
+
 @dataclass(frozen=True)
 class Trained:
     churn_rows: DataFrame
     ltv_rows: DataFrame
-    churn: dict[str, PipelineModel]
-    ltv: dict[str, PipelineModel]
+    churn: Mapping
+    ltv: Mapping
     tenure_max: float
 
     def test_scores(self, kind: str) -> DataFrame:
         return models.churn_scores(self.churn[kind], self.churn_rows.where("is_test"))
 
     def test_values(self, kind: str) -> DataFrame:
-        return self.ltv[kind].transform(self.ltv_rows.where("is_test"))
+        return models.ltv_values(self.ltv[kind], self.ltv_rows.where("is_test"))
 
     def bundle(self) -> models.Bundle:
         return models.Bundle(self.churn["gbt"], self.ltv["gbt"], self.tenure_max)
@@ -63,20 +84,18 @@ def training_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
 
 
 def trained(spark: SparkSession, folder: str) -> Trained:
+    """The training tables with all six models, of which only those that are asked for are fitted."""
     place = R.stamp(spark, folder)
     if place not in _TRAINED:
         churn_rows, ltv_rows = training_rows(spark, folder)
-        churn_train = models.weighted(churn_rows.where("not is_test")).persist()
-        ltv_train = ltv_rows.where("not is_test").persist()
+        churn_train, ltv_train = models.weighted(churn_rows.where("not is_test")), ltv_rows.where("not is_test")
         _TRAINED[place] = Trained(
             churn_rows,
             ltv_rows,
-            {k: models.train_churn(k, churn_train) for k in KINDS},
-            {k: models.train_ltv(k, ltv_train) for k in KINDS},
+            Fits(lambda kind: models.train_churn(kind, churn_train)),
+            Fits(lambda kind: models.train_ltv(kind, ltv_train)),
             float(churn_rows.agg(F.max("tenure")).first()[0]),
         )
-        churn_train.unpersist()
-        ltv_train.unpersist()
     return _TRAINED[place]
 
 

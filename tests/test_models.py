@@ -57,12 +57,35 @@ def test_registered_queries_train_with_the_full_settings(spark, folder, monkeypa
     monkeypatch.setattr(M, "_TRAINED", {})
     for name, made in {"train_churn": fit, "train_ltv": fit, "cv_churn": validate, "cv_ltv": validate}.items():
         monkeypatch.setattr(models, name, made)
-    M.trained(spark, folder)
+    found = M.trained(spark, folder)
+    assert used == []  # nothing is fitted before it is asked for
+    for fits in (found.churn, found.ltv):
+        for kind in fits:
+            assert fits[kind] is fits[kind]
     M.churn_cross_validation(spark, folder)
     M.ltv_cross_validation(spark, folder)
     assert used == [(kind, {}) for kind in ("lr", "rf", "gbt")] * 4
 
 
+def test_queries_fit_only_the_models_they_need(spark, folder, monkeypatch):
+    used = []
+    monkeypatch.setattr(M, "_TRAINED", {})
+    small = {"maxIter": 2, "maxDepth": 2, "numTrees": 2}
+    for name, defaults in (("train_churn", models.CHURN_SETTINGS), ("train_ltv", models.LTV_SETTINGS)):
+        real = getattr(models, name)
+
+        def fit(kind, rows, real=real, name=name, defaults=defaults):
+            used.append((name, kind))
+            return real(kind, rows, **{k: v for k, v in small.items() if k in defaults[kind]})
+
+        monkeypatch.setattr(models, name, fit)
+    M.model_predictions(spark, folder)
+    M.top_importances(spark, folder)
+    assert used == [("train_churn", "gbt")]
+    M.score_ltv(spark, folder)
+    assert set(used) <= {("train_churn", "gbt"), ("train_ltv", "gbt")}
+
+
 def test_attributions_add_up(spark, folder, trained):
     gap = M.shap_values(spark, folder).agg(F.max(F.abs("gap")), F.count("*")).first()
     assert gap[0] < 1e-6 and gap[1] == 1500
@@ -184,6 +207,54 @@ def test_bundle_round_trip_and_missing_model(spark, folder, trained, tmp_path):
         score.score_ltv(rows, half, "k")
 
 
+def rewritten(spark, path, change):
+    """The bundle's meta rows, changed and signed again if they should be."""
+    rows = [r.asDict() for r in spark.read.parquet(f"{path}/meta").collect()]
+    for row in rows:
+        change(row)
+    names = [f.split()[0] for f in models.META.split(", ")]
+    spark.createDataFrame([tuple(r[n] for n in names) for r in rows], models.META).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def signed(row):
+    row["schema_hash"] = models._schema_hash(row["features"])
+    row["signature"] = models._signature(row)
+
+
+def test_a_bundle_lists_its_features_and_refuses_others(spark, folder, trained, tmp_path):
+    path = str(tmp_path / "b")
+    models.save_bundle(trained.bundle(), path)
+    meta = models.bundle_meta(spark, path)
+    assert meta["churn"]["features"] == S.CHURN_FEATURES and meta["ltv"]["features"] == S.LTV_FEATURES
+    assert meta["churn"]["settings"]["trees"] == "200" and meta["ltv"]["settings"]["trees"] == "300"
+    rows = M.arrivals(spark, folder)
+    want = score.score(rows, trained.bundle(), "k").toPandas().sort_values("k", ignore_index=True)
+
+    def permuted(row):
+        row["features"] = row["features"][::-1]
+        signed(row)
+
+    rewritten(spark, path, permuted)
+    got = score.score(rows, models.load_bundle(spark, path), "k").toPandas().sort_values("k", ignore_index=True)
+    assert got.equals(want)
+
+    def shortened(row):
+        row["features"] = [f for f in row["features"] if f != "contract_enc"]
+        signed(row)
+
+    rewritten(spark, path, shortened)
+    with pytest.raises(ValueError, match="contract_enc"):
+        models.load_bundle(spark, path)
+
+    def tampered(row):
+        row["tenure_max"] = 1.0
+
+    models.save_bundle(trained.bundle(), path)
+    rewritten(spark, path, tampered)
+    with pytest.raises(ValueError, match="churn|ltv"):
+        models.load_bundle(spark, path)
+
+
 def test_stream_equals_batch(spark, folder, trained, tmp_path):
     rows = M.arrivals(spark, folder).drop("k").select(S.batch_schema().names).to(S.batch_schema())
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
