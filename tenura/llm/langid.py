@@ -16,24 +16,46 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import LONGEST_LEARNED, bounded_batches, class_sample, has_letter, held_out, letter_words, slices, table
+from tenura.llm.common import LONGEST_LEARNED, bounded_batches, class_sample, give_back, has_letter, held_out, letter_words, slices, table
 
 HIDDEN = 16
-LONGEST = 24
+#: Longer words are scored in pieces of so many bytes, longer ones learned from in pieces of so many; all of them.
+PIECE = 512
+LEARNED_PIECE = 48
+#: Bytes of padded words that are evaluated at a time.
+CELLS = 1 << 16
 DOCS_PER_LANGUAGE = 300
 TRAINING_WORDS = 160_000
 EPOCHS = 3
 BATCH = 512
 CACHE_WORDS = 300_000
 UNKNOWN = "und"
+#: The name of the output for text of no learned language; never predicted, but it lowers the score of what is like it.
+BACKGROUND = "\0"
+#: Code points of scripts: further Latin, Greek, Cyrillic, Hebrew and Arabic, Indic, Thai, kana, Han, Hangul.
+SCRIPTS = [(0xC0, 0x250), (0x370, 0x400), (0x400, 0x530), (0x5D0, 0x6D4), (0x900, 0xDF0), (0xE00, 0xE50), (0x3041, 0x30FF), (0x4E00, 0x9FA0), (0xAC00, 0xD7A0)]
+#: Documents of fewer words say little about what scores are usual.
+LEAST_WORDS = 10
+
+
+def pieces(word: bytes, longest: int) -> list[bytes]:
+    """A word in pieces of at most `longest` bytes that end between characters."""
+    out, at = [], 0
+    while len(word) - at > longest:
+        end = at + longest
+        while word[end] & 0xC0 == 0x80 and end > at + 1:
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return [*out, word[at:]]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-x))
 
 
-def coded(words: list[bytes], longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of at most `longest` bytes as padded rows, forwards and backwards, with their lengths. Padding is 0."""
+def coded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as padded rows, forwards and backwards, with their lengths. Padding is 0."""
     n = np.fromiter(map(len, words), np.int64, len(words))
     width = int(n.max(initial=1))
     forward = np.zeros((len(words), width), np.int64)
@@ -51,6 +73,12 @@ class ByteNetwork:
     hidden: int = HIDDEN
     seed: int = 0
     weights: dict[str, np.ndarray] = field(default_factory=dict)
+    least: float = 0.0  # below this score a text is like no document that was learned from
+
+    @property
+    def learned(self) -> int:
+        """How many outputs are languages; the background, if there is one, comes last."""
+        return len(self.languages) - (self.languages[-1:] == [BACKGROUND])
 
     def __post_init__(self):
         if self.weights:
@@ -98,13 +126,18 @@ class ByteNetwork:
         logs = self._log_probabilities(self._run(forward, "f")[0], self._run(backward, "b")[0], self._mirror(n, forward.shape[1]))
         return [logs[: n[i], i] for i in range(len(words))]
 
-    def word_scores(self, words: list[bytes], step: int = 2048) -> np.ndarray:
-        """Mean log-probability over each word's bytes (words x languages); long words are cut into pieces."""
+    def word_scores(self, words: list[bytes]) -> np.ndarray:
+        """Mean log-probability over each word's bytes (words x languages)."""
         out = np.zeros((len(words), len(self.languages)), np.float32)
-        pieces = [(i, w[a : a + LONGEST]) for i, w in enumerate(words) for a in range(0, len(w), LONGEST)]
-        pieces.sort(key=lambda p: len(p[1]))
-        for at in range(0, len(pieces), step):
-            places, part = zip(*pieces[at : at + step])
+        parts = [(i, p) for i, w in enumerate(words) for p in pieces(w, PIECE)]
+        parts.sort(key=lambda p: len(p[1]))
+        at = 0
+        while at < len(parts):
+            end = at + 1
+            while end < len(parts) and (end + 1 - at) * len(parts[end][1]) <= CELLS:
+                end += 1
+            places, part = zip(*parts[at:end])
+            at = end
             forward, backward, n = coded(list(part))
             logs = self._log_probabilities(
                 self._run(forward, "f")[0], self._run(backward, "b")[0], self._mirror(n, forward.shape[1])
@@ -176,45 +209,83 @@ class ByteNetwork:
         return losses
 
 
+def background(words: list[bytes], n: int, rng: np.random.Generator) -> list[bytes]:
+    """About `n` words of no language: letters of learned words in another order, random Latin letters, letters of other scripts."""
+    letters = list("".join(w.decode(errors="ignore") for w in words[:: max(1, len(words) // 20_000)]))
+    known = set(letters)
+    scripts = [[c for c in map(chr, range(a, b)) if c.isalpha() and c not in known] for a, b in SCRIPTS]
+    scripts = [x for x in scripts if x]
+    sizes = rng.integers(2, 13, n)
+    out = []
+    for i, size in enumerate(sizes.tolist()):
+        if i % 4 < 2 and letters:
+            own = [letters[k] for k in rng.integers(0, len(letters), size)]
+        elif i % 4 == 2 or not scripts:
+            own = [chr(97 + k) for k in rng.integers(0, 26, size)]
+        else:
+            script = scripts[int(rng.integers(len(scripts)))]
+            own = [script[k] for k in rng.integers(0, len(script), size)]
+        out.append("".join(own).encode())
+    return out
+
+
 def train_network(
     docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, words: int = TRAINING_WORDS, seed: int = 0
 ) -> ByteNetwork | None:
     """A network for the languages of `docs` (doc_id, text, lang); None if no row has a text and a language.
 
-    Fitted on about `docs_per_language` documents of each language and at most `words` of their words, drawn evenly
-    over the languages. Both bounds keep the driver's share the same at any size.
+    Fitted on about `docs_per_language` documents of each language, of `common.LONGEST_LEARNED` characters at most, and on `words`
+    pieces of their words, drawn evenly over the languages; a long word gives several pieces. A column that holds more values than
+    `common.CLASSES` teaches its commonest. These bounds keep the driver's share the same at any size. `network.least` is
+    the lowest score that a document of the sample gets in its own language, less a tenth: below it a text is like none.
     """
     usable = docs.where(F.col("lang").isNotNull() & (F.length("text") <= LONGEST_LEARNED)).select("doc_id", "text", "lang")
     sample = class_sample(usable, "lang", "doc_id", docs_per_language).orderBy("doc_id", "lang", "text").toLocalIterator()
     found: dict[str, list[bytes]] = {}
+    rng = np.random.default_rng(seed)
+    shown: list[tuple[str, str]] = []
     for row in sample:
-        found.setdefault(row.lang, []).extend(letter_words(row.text))
+        own = [p for w in letter_words(row.text) for p in pieces(w, LEARNED_PIECE)]
+        # No document gives more pieces than all of a language will be asked for.
+        found.setdefault(row.lang, []).extend([own[i] for i in np.sort(rng.permutation(len(own))[:words])])
+        if len(own) >= LEAST_WORDS:
+            shown.append((row.lang, row.text))
     found = {k: v for k, v in found.items() if v}
     if not found:
         return None
-    rng = np.random.default_rng(seed)
-    languages = sorted(found)
+    languages = [*sorted(found), BACKGROUND]
     texts, labels = [], []
-    for i, name in enumerate(languages):
+    for i, name in enumerate(languages[:-1]):
         own = found[name]
         for at in rng.permutation(len(own))[: max(1, words // len(languages))]:
-            texts.append(own[at][:LONGEST])
+            texts.append(own[at])
             labels.append(i)
+    strange = background(texts, max(1, words // len(languages)), rng)
+    texts += strange
+    labels += [len(languages) - 1] * len(strange)
     network = ByteNetwork(languages, seed=seed)
     network.train(texts, np.array(labels))
+    names, scores, _ = Pool(network).documents([text for _, text in shown])
+    right = [score for (lang, _), name, score in zip(shown, names, scores) if lang == name]
+    network.least = 0.9 * min(right, default=0.0)
     return network
 
 
 class Pool:
-    """A task's view of the network: each distinct word is evaluated once while the bounded cache holds it."""
+    """A task's view of the network: each distinct word is evaluated once while the bounded cache holds it.
+
+    A document gets the language with the largest sum of its words' log-probabilities. Its score is the mean, over the words, of
+    that language's share in a word: it does not grow with the text, and is low for text that is like no learned language.
+    """
 
     def __init__(self, network: ByteNetwork):
         self.network = network
         self.place: dict[bytes, int] = {}
         self.scores = np.zeros((0, len(network.languages)), np.float32)
 
-    def documents(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, probabilities = [], []
+    def documents(self, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
+        """Language, score and number of words of every text."""
+        names, probabilities, counts = [], [], []
         for start, end in slices(texts):
             lists = [letter_words(t) if t else [] for t in texts[start:end]]
             new = set().union(*lists).difference(self.place)
@@ -226,35 +297,40 @@ class Pool:
                 self.place.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
                 self.scores = np.concatenate([self.scores, self.network.word_scores(new)])
             for text, words in zip(texts[start:end], lists):
+                counts.append(len(words))
                 if not words or not has_letter(text):
                     # Letters outside the words cannot occur; without any letter the language is undetermined.
                     names.append(UNKNOWN)
                     probabilities.append(0.0)
                     continue
                 at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-                total = self.scores[at].sum(0, dtype=np.float64)
-                share = np.exp(total - total.max())
-                best = int(share.argmax())
+                own = self.scores[at].astype(np.float64)
+                best = int(own.sum(0)[: self.network.learned].argmax())
+                share = np.exp(own - own.max(1, keepdims=True))
                 names.append(self.network.languages[best])
-                probabilities.append(float(share[best] / share.sum()))
-        return names, probabilities
+                probabilities.append(float((share[:, best] / share.sum(1)).mean()))
+        return names, probabilities, counts
 
 
 def language_column(network: ByteNetwork | None, text):
-    """A struct (lang_pred, score) for a text column. Null texts and texts without a letter: `und` with score 0.
+    """A struct (lang_pred, score, words) for a text column. Null texts and texts without a letter: `und` with score 0.
 
-    Without a network (no labelled row to learn from) every text is `und`.
+    Without a network (no labelled row to learn from) every text is `und`. Very long texts and words are scored whole, equal texts
+    get equal scores, ties go to the language that comes first; other columns are not looked at.
     """
 
     def predict(batches):
         pool = Pool(network) if network else None
         for texts in batches:
             texts = [t if isinstance(t, str) else None for t in texts]
-            names, scores = pool.documents(texts) if pool else ([UNKNOWN] * len(texts), [0.0] * len(texts))
-            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": np.array(scores, float)})
+            none = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
+            names, scores, counts = pool.documents(texts) if pool else none
+            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": np.array(scores, float), "words": np.array(counts, np.int64)})
+        del pool
+        give_back()
 
     predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(predict, "lang_pred string, score double")(text)
+    return F.pandas_udf(predict, "lang_pred string, score double, words long")(text)
 
 
 def language_spans(network: ByteNetwork, text: str) -> list[tuple[int, int, str]]:
@@ -264,14 +340,16 @@ def language_spans(network: ByteNetwork, text: str) -> list[tuple[int, int, str]
     at = 0
     for word in data.split():
         at = data.index(word, at)
-        for a in range(0, len(word), LONGEST):
-            labels = network.label_bytes([word[a : a + LONGEST]])[0].argmax(1)
+        a = at
+        for part in pieces(word, PIECE):
+            labels = network.label_bytes([part])[0][:, : network.learned].argmax(1)
             for i, label in enumerate(labels.tolist()):
-                place, name = at + a + i, network.languages[label]
+                place, name = a + i, network.languages[label]
                 if out and out[-1][1] == place and out[-1][2] == name:
                     out[-1] = (out[-1][0], place + 1, name)
                 else:
                     out.append((place, place + 1, name))
+            a += len(part)
         at += len(word)
     return out
 

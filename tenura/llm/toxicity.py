@@ -1,8 +1,13 @@
 """Toxicity by multiple-instance learning: only documents are labelled, sentences are scored.
 
-A sentence's probability is a logistic function of its words; a document is toxic if any sentence is, so its
-probability is the noisy-or of its sentences. Weights are trained through the noisy-or from document labels; afterwards
-the sentence probabilities locate what offends.
+A sentence's probability is a logistic function of its words and of the document's length: a sentence without evidence is the less
+likely to offend the more sentences there are, so that harmless sentences do not add up in long texts, and evidence lifts that
+discount. A document is toxic if any sentence is, so its probability is the noisy-or of its sentences. Weights are
+trained through the same noisy-or from document labels; afterwards the sentence probabilities locate what offends.
+
+Very long texts are scored like all others; those beyond `common.LONGEST_LEARNED` characters do not teach. Repeated rows are scored
+and sampled as rows; a doc_id that `labels` repeats teaches once per label row. Null and empty texts score 0, ties stay ties,
+empty tables give no rows, and columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -17,17 +22,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import bounded_batches, held_out, labelled_sample, slices, table
+from tenura.llm.common import bounded_batches, give_back, held_out, labelled_sample, slices, table
 
 DOCS_PER_CLASS = 1500
 INSTANCE_WORDS = 24
 PREFIXES = (4, 5)
 VOCABULARY = 200_000
 FALSE_ALARMS = 0.002
-LEAST_EVIDENCE = 1.0
 CACHE_WORDS = 500_000
 #: Lower-cased UTF-8: sentence ends become line feeds, other ASCII that is no letter becomes a space.
 ENDS = b".!?\n"
+WORD = re.compile(r"[A-Za-z\x80-\U0010ffff]+[.!?]*")
 SENTENCES = bytes(10 if b in ENDS else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -46,6 +51,11 @@ def features(word: bytes) -> list[bytes]:
     return [word] + [word[:k] + b"*" for k in PREFIXES if len(word) > k]
 
 
+def logits(bias: float, evidence: np.ndarray, discount: np.ndarray | float) -> np.ndarray:
+    """Of instances with some evidence in documents whose log number of instances is `discount`."""
+    return bias + evidence - discount * np.exp(-evidence)
+
+
 @dataclass
 class SentenceModel:
     weights: dict[bytes, float]
@@ -55,18 +65,14 @@ class SentenceModel:
         return sum(self.weights.get(f, 0.0) for f in features(word))
 
     def instance_scores(self, text: str, cache: dict[bytes, float]) -> np.ndarray:
-        """The logit of every instance of a text; minus infinity where hardly any word speaks for toxicity.
-
-        Else the tiny probabilities of very many harmless sentences would add up in a very long text.
-        """
+        """The logit of every instance of a text."""
         words, starts = instances(text)
         if not words:
             return np.zeros(0)
         for w in set(words).difference(cache):
             cache[w] = self.word(w)
         values = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
-        evidence = np.add.reduceat(values, starts)
-        return np.where(evidence >= LEAST_EVIDENCE, self.bias + evidence, -np.inf)
+        return logits(self.bias, np.add.reduceat(values, starts), np.log(len(starts)))
 
     def score(self, text: str | None, cache: dict[bytes, float]) -> tuple[float, int]:
         """The document's probability and the number of instances at one half or more."""
@@ -74,13 +80,15 @@ class SentenceModel:
         return float(-np.expm1(-np.logaddexp(0, z).sum())), int((z >= 0).sum())
 
     def offending(self, text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
-        """(start, end, probability) of the sentences that reach `least`, in characters of the text."""
-        out = []
-        for m in re.finditer(r"[^.!?\n]+[.!?]*", text):
-            p = self.score(m[0], {})[0]
-            if p >= least:
-                out.append((m.start(), m.end(), p))
-        return out
+        """(start, end, probability) in characters of the instances that reach `least`, the same ones that the score rests on."""
+        z = self.instance_scores(text, {}) if text else np.zeros(0)
+        _, starts = instances(text or "")
+        chosen = np.flatnonzero(z >= np.log(least / (1 - least)))
+        if not len(chosen):
+            return []
+        spans = [m.span() for m in WORD.finditer(text)]  # with the marks that follow
+        ends = np.append(starts[1:], len(spans))
+        return [(spans[starts[i]][0], spans[ends[i] - 1][1], float(1 / (1 + np.exp(-z[i])))) for i in chosen]
 
 
 def train(texts: list[str], labels: np.ndarray, steps: int = 200, support: float = 0.3) -> SentenceModel:
@@ -113,17 +121,20 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 200, support: float
     y = labels.astype(float)
     balance = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     price = support * 0.5 / max(1, y.sum())
+    discount = np.log(np.maximum(np.bincount(doc, minlength=len(y)), 1))[doc]
     w, b = np.zeros(len(names)), -5.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     chosen = np.ones(len(names), bool)
     for step in range(1, steps + 1):
         if step == steps // 2:  # what the penalty has left is fitted again without it
             chosen, price = w > 0.05 * max(w.max(initial=0), 1e-9), 1e-3 * price
-        z = b + np.bincount(row, w[column], count)
+        evidence = np.bincount(row, w[column], count)
+        z = logits(b, evidence, discount)
         total = np.maximum(np.bincount(doc, np.logaddexp(0, z), len(y)), 1e-12)
         slope = np.where(y > 0, -1.0 / np.expm1(np.minimum(total, 50.0)), 1.0) * balance
         dz = slope[doc] / (1.0 + np.exp(-z))
-        g = np.bincount(column, dz[row], len(names)) + price
+        de = dz * (1.0 + discount * np.exp(-evidence))
+        g = np.bincount(column, de[row], len(names)) + price
         gb = dz.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         speed = 0.15 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
@@ -132,7 +143,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 200, support: float
     # Lower the bias until nearly all harmless texts stay below one half.
     evidence = np.bincount(row, w[column], count)
     for _ in range(40):
-        total = np.bincount(doc, np.where(evidence >= LEAST_EVIDENCE, np.logaddexp(0, b + evidence), 0.0), len(y))
+        total = np.bincount(doc, np.logaddexp(0, logits(b, evidence, discount)), len(y))
         if (total[y == 0] >= np.log(2)).mean() <= FALSE_ALARMS:
             break
         b -= 0.25
@@ -160,6 +171,8 @@ def toxicity_column(model: SentenceModel | None, text):
                     cache.clear()
                 rows += [model.score(t, cache) if model else (0.0, 0) for t in texts[start:end]]
             yield pd.DataFrame(rows, columns=["score", "n_offending"])
+        cache.clear()
+        give_back()
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(score, "score double, n_offending int")(text)

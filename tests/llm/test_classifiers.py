@@ -1,4 +1,6 @@
-"""Language, toxicity and quality: gradients against differences, edge cases, held-out accuracy."""
+"""Language, toxicity and quality: gradients against differences, plain evaluations, edge cases, held-out accuracy."""
+
+import re
 
 import numpy as np
 import pytest
@@ -165,6 +167,95 @@ def test_quality_held_out_accuracy(spark, folder):
     assert np.mean([(r.score >= 0.7) == (r.quality == 1) for r in rows]) >= 0.85
 
 
+def test_language_scores_match_a_plain_evaluation(network):
+    """Byte by byte, one word and one state at a time."""
+    texts = ["Être ou ne pas être.", "The thing of the and", "x", "Straße über alles " * 3, "日本語のテキスト " + "é" * 700, "12 ! ab"]
+    names, scores, counts = langid.Pool(network).documents(texts)
+    w, h = network.weights, network.hidden
+
+    def states(codes, d):
+        state, out = np.zeros(h), []
+        for c in codes:
+            x = w[f"x{d}"][c].astype(float)
+            z, r = (1 / (1 + np.exp(-(x[i * h : (i + 1) * h] + state @ w[f"u{d}"][:, i * h : (i + 1) * h]))) for i in (0, 1))
+            new = np.tanh(x[2 * h :] + r * (state @ w[f"u{d}"][:, 2 * h :]))
+            state = new + z * (state - new)
+            out.append(state)
+        return out
+
+    def word_logs(word):
+        total = np.zeros(len(network.languages))
+        for piece in langid.pieces(word, langid.PIECE):
+            for f, b in zip(states(piece, "f"), states(piece[::-1], "b")[::-1]):
+                logits = np.concatenate([f, b]) @ w["o"] + w["c"]
+                total += logits - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+        return total / len(word)
+
+    for text, name, score, count in zip(texts, names, scores, counts):
+        logs = np.array([word_logs(x) for x in letter_words(text)])
+        best = int(logs.sum(0)[: network.learned].argmax())
+        shares = np.exp(logs) / np.exp(logs).sum(1, keepdims=True)
+        assert (name, count) == (network.languages[best], len(logs)) and score == pytest.approx(shares[:, best].mean(), abs=2e-4)
+
+
+def test_pieces_end_between_characters():
+    word = ("aé日" * 40).encode()
+    for longest in (4, 7, 24, 48):
+        parts = langid.pieces(word, longest)
+        assert b"".join(parts) == word and all(0 < len(p) <= longest and p.decode() for p in parts)
+    assert langid.pieces(b"abc", 48) == [b"abc"]
+
+
+def test_training_uses_all_pieces_of_a_word(spark, monkeypatch):
+    """A script without spaces: what stands far behind in a sentence teaches as well as its beginning."""
+    seen = []
+    monkeypatch.setattr(langid.ByteNetwork, "train", lambda self, words, labels: seen.extend(words))
+    rows = [(i, "一" * 40 + "二" * 40, "zh", "s", 80) for i in range(9)] + [(100 + i, "plain words here", "en", "s", 16) for i in range(9)]
+    langid.train_network(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int"))
+    learned = [w for w in seen if "二".encode() in w]
+    assert learned and all(len(w) <= langid.LEARNED_PIECE for w in seen)
+
+
+def test_toxicity_scores_match_a_plain_noisy_or():
+    rng = np.random.default_rng(2)
+    texts = [". ".join(" ".join(rng.choice(["alpha", "beta", "gamma", "vile", "rotten"], rng.integers(1, 30), p=[0.4, 0.3, 0.28, 0.01, 0.01])) for _ in range(rng.integers(1, 12))) for _ in range(60)]
+    labels = np.array([int("vile" in t) for t in texts])
+    model = toxicity.train(texts, labels, steps=60)
+    for text in [*texts, "", "!?", "one", "vile"]:
+        sentences = [s.split() for s in re.split("[.!?\n]", text.lower()) if s.split()]
+        chunks = [s[a : a + 24] for s in sentences for a in range(0, len(s), 24)]
+        stay = 1.0
+        for chunk in chunks:
+            evidence = sum(model.weights.get(f, 0.0) for w in chunk for f in {w.encode(), *(w.encode()[:k] + b"*" for k in (4, 5) if len(w) > k)})
+            z = model.bias + evidence - np.log(len(chunks)) * np.exp(-evidence)
+            stay *= 1 - 1 / (1 + np.exp(-z))
+        assert model.score(text, {})[0] == pytest.approx(1 - stay, abs=1e-9)
+
+
+def test_toxicity_gives_no_constant_and_no_alarm_to_long_harmless_texts():
+    texts = ["Harmless sentence of words. " * n for n in (1, 2, 5, 9)] * 10 + ["Harmless sentence. Vile thing. " * 2] * 10
+    model = toxicity.train(texts, np.array([0] * 40 + [1] * 10))
+    scores = [model.score("Harmless sentence of words. " * n, {})[0] for n in (1, 10, 1000, 100_000)]
+    assert all(0 < s < 0.5 for s in scores) and len(set(scores)) == 4
+    assert model.score("Harmless sentence. " * 1000 + "Vile thing.", {})[0] > max(scores)
+
+
+def test_quality_scores_match_a_plain_attention():
+    texts = ["One two three. Four " * 20, "", "x", "LOUD!! " * 50, None, "a b c " * 200]
+    model = quality.train([t or "" for t in texts], np.array([1, 0, 1, 0, 0, 1]), steps=20)
+    x, owner = quality.passages(texts)
+    scores, _, shares = model.score(texts)
+    w = model.weights
+    for i in range(len(texts)):
+        rows = [np.clip((row - model.mean) / model.scale, -6, 6) for row in x[owner == i]]
+        hidden = [np.tanh(row @ w["W"] + w["b"]) for row in rows]
+        e = [float((np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) @ w["a"]) for h in hidden]
+        weights = np.exp(np.array(e) - max(e)) / np.exp(np.array(e) - max(e)).sum()
+        logit = sum(a * h for a, h in zip(weights, hidden)) @ w["c"] + w["d"][0]
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-5, abs=1e-6)
+        assert np.allclose(shares[owner == i], weights, atol=1e-5)
+
+
 def test_class_sample_is_bounded_and_repeats(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, 1).otherwise(0).alias("y"))
     first = class_sample(df, "y", "doc_id", 150)
