@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,8 +11,13 @@ from pyspark.sql import functions as F
 from tenura.session import new_path
 
 
-#: Longer texts are scored like all others, but not learned from: they would fill the driver.
+#: Bytes of an Arrow batch; one row at least.
+BATCH_BYTES = "8m"
+_DEFAULTS: dict[str, str] = {}
+#: Bounds of all fits. Longer texts are scored like all others, but not learned from: they would fill the driver. Of a column with
+#: more classes the commonest are learned.
 LONGEST_LEARNED = 200_000
+CLASSES = 4096
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,10 +32,35 @@ def keep(df: DataFrame, label: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in an Arrow batch than Spark's default, unless the user chose a number: texts can be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+    """Fewer rows and bytes in an Arrow batch than Spark's default, unless the user chose numbers: texts and lists can be long."""
+    for name, value in (("maxRecordsPerBatch", str(rows)), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if name not in _DEFAULTS:
+            _DEFAULTS[name] = spark.conf.get(name)
+        if spark.conf.get(name) == _DEFAULTS[name]:
+            spark.conf.set(name, value)
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system. Workers live on, and one's kept memory adds to its next task's peak."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run):
+    """A mapping function over batches that gives its memory back when its task ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
 
 
 def whole_ids(name: str) -> list[Column]:
@@ -101,7 +133,7 @@ def class_sample(df: DataFrame, label: str, key: str, per_class: int) -> DataFra
 
     The share of each class comes from one count over all rows; no class is sorted or gathered.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().orderBy(F.desc("count")).limit(512).collect()}
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().orderBy(F.desc("count"), label).limit(CLASSES).collect()}
     shares = {k: min(1.0, per_class / n) for k, n in counts.items() if k is not None}
     if not shares:
         return df.limit(0)

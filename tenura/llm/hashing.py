@@ -26,13 +26,40 @@ def powers(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+#: Bytes that are hashed at a time.
+WINDOW = 1 << 19
+
+
 def words_of(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of a byte buffer; equal words have equal hashes wherever they stand."""
+    """Starts, ends and hashes of the words of a byte buffer; equal words have equal hashes wherever they stand.
+
+    Long buffers are hashed in windows that end at white space, so beside the words only one window's sums are held.
+    """
+    parts = []
+    at = 0
+    while at < len(buffer):
+        end = at + WINDOW
+        while end < len(buffer):  # to the next white space
+            gap = np.flatnonzero(IS_SPACE[buffer[end : end + WINDOW]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end += WINDOW
+        end = min(end, len(buffer))
+        starts, ends, hashes = _window(buffer[at:end])
+        parts.append((starts + at, ends + at, hashes))
+        at = end
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _window(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gap = np.concatenate([[True], IS_SPACE[buffer], [True]])
     edges = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edges[::2], edges[1::2]
-    weighed = (buffer.astype(np.uint64) + np.uint64(1)) * powers(STEP, len(buffer))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weighed, dtype=np.uint64)])
+    sums = np.zeros(len(buffer) + 1, np.uint64)
+    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers(STEP, len(buffer)), dtype=np.uint64, out=sums[1:])
     raw = (sums[ends] - sums[starts]) * powers(BACK, len(buffer) + 1)[starts]
     return starts, ends, mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(STEP))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import bounded_batches, components, keep, lists, mixed, slices, table, whole_ids
+from tenura.llm.common import bounded_batches, components, keep, lists, mixed, slices, table, tidied, whole_ids
 from tenura.llm.hashing import LOWER_ASCII, joined, words_of
 
 WORDS = 4
@@ -36,6 +36,10 @@ WINDOW = 3_000_000
 LANE = 1 << 15
 BLOCK = 64
 BITMAP = 1 << 24
+#: Pairs that leave a task in one batch.
+PAIRS = 100_000
+#: Characters whose shingles are held at a time.
+SLICE = 400_000
 BITS = 2048
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -102,7 +106,7 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for frame in frames:
             texts = [t if isinstance(t, str) else None for t in frame["text"]]
             rows = []
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 for s in shingle_sets(texts[a:b], words):
                     rows.append((len(s), *_fingerprint(s)))
                     window.append(s)
@@ -121,7 +125,7 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 )
 
     found = docs.select(*whole_ids("doc_id"), "text").mapInPandas(
-        run, "doc_id long, null_id boolean, n int, f1 long, f2 long, chunk int, counts binary"
+        tidied(run), "doc_id long, null_id boolean, n int, f1 long, f2 long, chunk int, counts binary"
     )
     return found.withColumn("doc_id", F.when(~F.col("null_id"), F.col("doc_id"))).drop("null_id")
 
@@ -152,7 +156,7 @@ def prefixes(docs: DataFrame, sketch, words: int, percent: int, lane: int) -> Da
         counts = sketch.value
         for batch in batches:
             texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 own = [(key, x) for key, x in zip(keys[a:b], shingle_sets(texts[a:b], words)) if len(x)]
                 tokens, lanes = [], []
                 for _, x in own:
@@ -175,7 +179,7 @@ def prefixes(docs: DataFrame, sketch, words: int, percent: int, lane: int) -> Da
 
     shape = "n int, f1 long, f2 long, id long, tokens array<long>, lanes array<int>"
     slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    each = slim.mapInArrow(run, shape)
+    each = slim.mapInArrow(tidied(run), shape)
     best = each.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "tokens", "lanes")).alias("best"))
     return best.select("n", "best.id", "best.tokens", "best.lanes")
 
@@ -256,7 +260,7 @@ STARS = (
 
 def stars(entries: DataFrame, percent: int, level: int) -> DataFrame:
     dealt = entries.repartition("token", "lane").sortWithinPartitions("token", "lane", "pos", "id")
-    return dealt.mapInArrow(_stars(percent, level), STARS)
+    return dealt.mapInArrow(tidied(_stars(percent, level)), STARS)
 
 
 def members(ids: DataFrame) -> np.ndarray:
@@ -288,7 +292,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                     seen.add(key)
                     keys.append(key)
                     texts.append(text)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 sets = [x.view(np.int64) for x in shingle_sets(texts[a:b], words)]
                 bits = [_bitmap(x) for x in sets]
                 columns = [pa.array(keys[a:b], pa.int64()), lists(bits, np.int64), lists(sets, np.int64)]
@@ -297,7 +301,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     key = F.col("doc_id").cast("long")
     place = F.pmod(F.xxhash64(key), F.lit(BITMAP))
     slim = docs.where("doc_id is not null").select(key.alias("doc_id"), "text", place.alias("place"))
-    return slim.mapInArrow(run, "id long, bits array<long>, shingles array<long>")
+    return slim.mapInArrow(tidied(run), "id long, bits array<long>, shingles array<long>")
 
 
 def _bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -330,7 +334,7 @@ def picked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(inside)).select(["id", "shingles"])
 
     slim = sets.select("id", "shingles", F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("place"))
-    return slim.mapInArrow(run, "id long, shingles array<long>")
+    return slim.mapInArrow(tidied(run), "id long, shingles array<long>")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -342,49 +346,77 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
 
 
-def _cross(percent: int):
+SIDE = ("n", "pos", "id", "component", "o")
+
+
+def _side(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
+    """One list of structs as rows (size, position, id, component, overlap with the hub), sorted; no Python object per member."""
+    members = batch.column(name)
+    start, end = members.offsets[row].as_py(), members.offsets[row + 1].as_py()
+    fields = members.values
+    x = np.column_stack([fields.field(i).slice(start, end - start).to_numpy(zero_copy_only=False) for i in range(len(SIDE))])
+    return x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
+
+
+def _crossed(a: np.ndarray, b: np.ndarray, same: bool, hub_n: int, percent: int) -> list[np.ndarray]:
     """Of a list, or of two lanes of one token: the pairs whose answer is neither known nor derivable from the hub's.
 
-    Rows of both sides are sorted by size and position and cut into blocks; block pairs whose bounds cannot reach
-    the needed overlap, or that lie in one component, are skipped whole.
+    Both sides are sorted by size and position and cut into blocks; block pairs whose bounds cannot reach the needed
+    overlap, or that lie in one component, are skipped whole.
     """
+    found = []
+    for i in range(0, len(a), BLOCK):
+        p = a[i : i + BLOCK]
+        one = p[0, 3] if (p[:, 3] == p[0, 3]).all() else None
+        rest_p = (p[:, 0] - p[:, 1]).max()
+        for j in range(i if same else 0, len(b), BLOCK):
+            q = b[j : j + BLOCK]
+            if 100 * p[-1, 0] < percent * q[0, 0]:
+                break  # later blocks are larger still
+            if 100 * q[-1, 0] < percent * p[0, 0]:
+                continue
+            if min(rest_p, (q[:, 0] - q[:, 1]).max()) < needed(p[0, 0], q[0, 0], percent):
+                continue
+            if one is not None and (q[:, 3] == one).all():
+                continue
+            n, m = p[:, None, 0], q[None, :, 0]
+            keep_ = (p[:, None, 3] != q[None, :, 3]) & open_pair(n, p[:, None, 1], m, q[None, :, 1], percent)
+            if same and i == j:
+                keep_ &= p[:, None, 2] < q[None, :, 2]
+            ox, oy = p[:, None, 4], q[None, :, 4]
+            known = (ox >= 0) & (oy >= 0)
+            most = np.minimum(oy + n - ox, ox + m - oy)
+            keep_ &= ~known | (most >= needed(n, m, percent))
+            u, v = np.nonzero(keep_)
+            if len(u):
+                x, y = p[u], q[v]
+                sure = (x[:, 4] >= 0) & (y[:, 4] >= 0) & (x[:, 4] + y[:, 4] - hub_n >= needed(x[:, 0], y[:, 0], percent))
+                found.append(np.column_stack([x[:, 2], y[:, 2], x[:, 0], y[:, 0], sure]))
+    return found
 
-    def run(frames):
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                sides = []
-                for part in (row.left, row.right):
-                    x = np.array([[*m.values()] for m in part], np.int64).reshape(-1, 5)  # n, pos, id, component, overlap with hub
-                    sides.append(x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))])
-                a, b = sides
-                found = []
-                for i in range(0, len(a), BLOCK):
-                    p = a[i : i + BLOCK]
-                    for j in range(i if row.same else 0, len(b), BLOCK):
-                        q = b[j : j + BLOCK]
-                        if 100 * p[-1, 0] < percent * q[0, 0] or 100 * q[-1, 0] < percent * p[0, 0]:
-                            continue
-                        rest = min((p[:, 0] - p[:, 1]).max(), (q[:, 0] - q[:, 1]).max())
-                        if rest < needed(p[0, 0], q[0, 0], percent):
-                            continue
-                        one = p[0, 3]
-                        if (p[:, 3] == one).all() and (q[:, 3] == one).all():
-                            continue
-                        n, m = p[:, None, 0], q[None, :, 0]
-                        keep_ = (p[:, None, 3] != q[None, :, 3]) & open_pair(n, p[:, None, 1], m, q[None, :, 1], percent)
-                        if row.same and i == j:
-                            keep_ &= p[:, None, 2] < q[None, :, 2]
-                        ox, oy = p[:, None, 4], q[None, :, 4]
-                        known = (ox >= 0) & (oy >= 0)
-                        most = np.minimum(oy + n - ox, ox + m - oy)
-                        keep_ &= ~known | (most >= needed(n, m, percent))
-                        u, v = np.nonzero(keep_)
-                        if len(u):
-                            x, y = p[u], q[v]
-                            sure = (x[:, 4] >= 0) & (y[:, 4] >= 0) & (x[:, 4] + y[:, 4] - row.hub_n >= needed(x[:, 0], y[:, 0], percent))
-                            found.append(np.column_stack([x[:, 2], y[:, 2], x[:, 0], y[:, 0], sure]))
-                if found:
-                    yield pd.DataFrame(np.concatenate(found), columns=["a", "b", "na", "nb", "sure"])
+
+def _cross(percent: int):
+    """The open pairs of each row's two lists, in batches of bounded size."""
+    names = ["a", "b", "na", "nb", "sure"]
+    kinds = [np.int64, np.int64, np.int32, np.int32, np.int32]
+
+    def pairs(found):
+        x = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(x[:, i].astype(k)) for i, k in enumerate(kinds)], names)
+
+    def run(batches):
+        found, size = [], 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                left, right = _side(batch, "left", row), _side(batch, "right", row)
+                own = _crossed(left, right, batch.column("same")[row].as_py(), batch.column("hub_n")[row].as_py(), percent)
+                found += own
+                size += sum(map(len, own))
+                if size > PAIRS:
+                    yield pairs(found)
+                    found, size = [], 0
+        if found:
+            yield pairs(found)
 
     return run
 
@@ -446,7 +478,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, lane: int
     crossed = crossed.select(F.lit(False).alias("same"), F.lit(0).alias("hub_n"), "left", "right")
     # Short lists cost hardly any bytes but much time: keep them in as many tasks as there are partitions.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = own.unionByName(crossed).repartition(tasks).mapInPandas(_cross(percent), "a long, b long, na int, nb int, sure int")
+    rest = own.unionByName(crossed).repartition(tasks).mapInArrow(tidied(_cross(percent)), "a long, b long, na int, nb int, sure int")
     rest = keep(rest.groupBy("a", "b", "na", "nb").agg(F.max("sure").alias("sure")), "open-pairs")
     likely = keep(allowed(rest.where("sure = 0").drop("sure"), sets, percent), "likely-pairs")
     more = _linked(overlaps(likely, sets), percent)

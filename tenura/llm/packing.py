@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import bisect
 import functools
-import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -20,14 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import bounded_batches, keep, ranked, slices, table, whole_ids
+from tenura.llm.common import bounded_batches, keep, ranked, table, tidied, whole_ids
+from tenura.llm.wordtable import WordTable, unit_slices
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-MARKS = (".", ",")
-CACHE_WORDS = 1_500_000
-LONGEST_CACHED = 48
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+IS_LOWER = (np.arange(256) >= 97) & (np.arange(256) <= 122)
+IS_GAP = (np.arange(256) == 32) | (np.arange(256) == 10)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -37,11 +37,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordCoder:
-    """Token ids of a text as little-endian bytes, by way of its words.
+    """Token ids of texts as 16-bit numbers, by way of their words.
 
-    No token spans an ASCII space or line feed (the tokenizer cuts at white space before it merges), so a text's ids
-    are its words' ids in a row, and each distinct word is tokenized once while the bounded cache holds it. New
-    words are tokenized many at a time, with a separator word between them.
+    No token spans an ASCII space or line feed (the tokenizer cuts at white space before it merges), a full stop or comma behind an
+    ASCII letter at a word's end is a token of its own, and ASCII letters are lower-cased first; so a text's ids are those of its
+    lower-cased words and marks in a row. New words are tokenized many at a time, with a separator word between them.
     """
 
     SEPARATOR = " \ue000 "
@@ -51,67 +51,47 @@ class WordCoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = np.array(self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids, "<u4")
-        self.cache: dict[str, bytes] = {}
-        self.marks = dict(zip(["", *MARKS], [b"", *self._encode(list(MARKS))]))
+        self.mark = np.array(self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids, np.uint16)
+        self.table = WordTable(self._units, np.uint16)
 
-    def _encode(self, words: list[str], group: int = 256) -> list[bytes]:
+    def _units(self, units: list[bytes], group: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        words = [u.decode() for u in units]
         groups = [words[a : a + group] for a in range(0, len(words), group)]
         coded = self.tokenizer.encode_batch_fast([self.SEPARATOR.join(g) for g in groups], add_special_tokens=False)
-        out: list[bytes] = []
+        parts, counts = [], []
         for own, code in zip(groups, coded):
-            ids = np.array(code.ids, "<u4")
+            ids = np.array(code.ids, np.uint16)
             found = np.ones(max(0, len(ids) - len(self.mark) + 1), bool)
             for k, x in enumerate(self.mark):
                 found &= ids[k : k + len(found)] == x
             cuts = np.flatnonzero(found)
             if len(cuts) != len(own) - 1:  # a word holds the separator itself
-                alone = self.tokenizer.encode_batch_fast(own, add_special_tokens=False)
-                out += [np.array(c.ids, "<u4").tobytes() for c in alone]
+                alone = [c.ids for c in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+                parts += [np.array(ids, np.uint16) for ids in alone]
+                counts += map(len, alone)
                 continue
-            data = ids.tobytes()
-            ends = [*(4 * cuts).tolist(), len(data)]
-            starts = [0, *(4 * (cuts + len(self.mark))).tolist()]
-            out += [data[a:b] for a, b in zip(starts, ends)]
-        return out
-
-    def _learn(self, words: set[str]) -> None:
-        """Cache the ids of new words by way of their stems: lower case, and without a full stop or comma at the end.
-
-        A mark behind a letter is a token of its own, and the tokenizer lower-cases anyway. Words that may hold a special
-        token, which is matched before that, are left as they are.
-        """
-        stems = {}
-        for word in words:
-            stem, mark = word, ""
-            if "<|" not in word:
-                if word[-1:] in MARKS and word[-2:-1].isalpha():
-                    stem, mark = word[:-1], word[-1]
-                if stem.isascii():
-                    stem = stem.lower()
-            stems[word] = stem, mark
-        fresh = list({stem for stem, _ in stems.values()}.difference(self.cache))
-        self.cache.update(zip(fresh, self._encode(fresh)))
-        for word, (stem, mark) in stems.items():
-            self.cache[word] = self.cache[stem] + self.marks[mark]
-
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of every text. New words are looked up for a slice of texts at a time."""
-        for start, end in slices(texts, 500_000):
-            split = [text.replace("\n", " ").split(" ") for text in texts[start:end]]
-            kinds = set().union(*split)
-            if len(self.cache) + len(kinds) > CACHE_WORDS:  # the older half goes
-                for word in list(itertools.islice(self.cache, len(self.cache) // 2)):
-                    del self.cache[word]
-            new = kinds.difference(self.cache)
-            long = [w for w in new if len(w) > LONGEST_CACHED]
-            self._learn(new.difference(long))
-            extra = dict(zip(long, self._encode(long))) if long else {}
-            for words in split:
-                if extra and not extra.keys().isdisjoint(words):
-                    yield b"".join([self.cache[w] if w in self.cache else extra[w] for w in words])
-                else:
-                    yield b"".join(map(self.cache.__getitem__, words))
+            counts += (np.diff(cuts, prepend=-len(self.mark), append=len(ids)) - len(self.mark)).tolist()
+            whole = np.ones(len(ids), bool)
+            whole[(cuts[:, None] + np.arange(len(self.mark))).ravel()] = False
+            parts.append(ids[whole])
+        return np.concatenate(parts or [np.zeros(0, np.uint16)]), np.array(counts, np.int64)
+
+    def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of every text."""
+        for _, _, buffer, gaps, _, bounds in unit_slices(texts, b" "):
+            if b"<|" not in buffer.tobytes():  # a special token's text is matched as it stands
+                buffer = LOWER[buffer]
+            at = np.flatnonzero((buffer == 46) | (buffer == 44))
+            after = np.append(buffer, 32)[at + 1]
+            letter = IS_LOWER[buffer[at - 1]]  # every text begins with a space
+            marks = at[letter & ((after == 32) | (after == 10))]
+            starts = np.sort(np.concatenate([gaps + 1, marks]))
+            ends = np.append(starts[1:] - IS_GAP[buffer[starts[1:] - 1]], len(buffer))
+            ids, n = self.table.find(buffer, starts, ends)
+            places = np.concatenate([[0], np.cumsum(n)])
+            edges = places[np.searchsorted(starts, np.append(gaps, len(buffer))[bounds], side="left")]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                yield ids[a:b]
 
 
 @functools.cache
@@ -125,8 +105,7 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Dat
 
     A null text counts as empty: one piece that holds the end id alone. Repeated rows give repeated pieces.
     """
-    end = np.array([END_ID], "<u4").tobytes()
-    step = 4 * capacity
+    end = np.array([END_ID], np.uint16)
 
     def cut(frames):
         own = coder(path)
@@ -134,14 +113,14 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Dat
             rows = []
             coded = own.texts([t if t is not None else "" for t in frame["text"]])
             for key, none, ids in zip(frame["doc_id"].tolist(), frame["null_id"].tolist(), coded):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append((key, none, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                ids = np.concatenate([ids, end])
+                for piece, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    rows.append((key, none, piece, at, len(part), zlib.crc32(part.astype("<u4").tobytes())))
             yield pd.DataFrame(rows, columns=["doc_id", "null_id", "piece", "start", "length", "ids_crc32"])
 
     shape = "doc_id long, null_id boolean, piece int, start long, length long, ids_crc32 long"
-    found = docs.select(*whole_ids("doc_id"), "text").mapInPandas(cut, shape)
+    found = docs.select(*whole_ids("doc_id"), "text").mapInPandas(tidied(cut), shape)
     return found.withColumn("doc_id", F.when(~F.col("null_id"), F.col("doc_id"))).drop("null_id")
 
 

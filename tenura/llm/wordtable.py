@@ -13,6 +13,8 @@ STEPS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SLOTS = 1 << 21
 IDS = 1 << 24
 SLICE = 500_000
+#: Longer words are not looked up; they are worked out each time, one at a time.
+LONG = 4096
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -55,7 +57,26 @@ class WordTable:
         self.used = 0
 
     def find(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the spans in a row, and how many each span has."""
+        """All ids of ascending spans in a row, and how many each span has. What is held beside the result is bounded."""
+        parts = []
+        at, long = 0, np.append(np.flatnonzero(ends - starts > LONG), len(starts))
+        while at < len(starts):
+            barrier = int(long[np.searchsorted(long, at)])
+            if barrier == at:
+                parts.append(self.encode([buffer[starts[at] : ends[at]].tobytes()]))
+                at += 1
+                continue
+            stop = min(barrier, max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE, side="right"))))
+            base = starts[at]
+            parts.append(self._window(buffer[base : ends[stop - 1]], starts[at:stop] - base, ends[at:stop] - base))
+            at = stop
+        if len(parts) == 1:
+            return parts[0]
+        if not parts:
+            return self.ids[:0], np.zeros(0, np.int64)
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _window(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         one, two = hashes(buffer, starts, ends)
         slot = (one >> self.shift).astype(np.int64)
         hit = (self.marks[0][slot] == one) & (self.marks[1][slot] == two)
