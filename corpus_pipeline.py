@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from tenura.llm import jaccard, langid, packing, toxicity
 from tenura.llm.common import bounded_batches, held_out, keep, table
 
-#: A document is rejected when its own language's pooled probability is below this.
-LEAST_LANGUAGE = 0.5
 #: A document is rejected when its toxicity reaches this.
 MOST_TOXIC = 0.5
 
@@ -30,9 +28,10 @@ def free_name(docs: DataFrame) -> str:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told. Those without text or letters go, and those below `LEAST_LANGUAGE`.
+    """Documents whose language can be told. Those without text or letters go, and those that are like no learned document.
 
-    The network learns from the documents outside the held-out third, as in op3. If no document has a language to
+    A score is a mean over words, so it must reach the lowest that a training document had, less the standard error that a mean of so
+    few words can have. Code, noise and languages that were not learned score far lower. The network learns from the documents outside the held-out third, as in op3. If no document has a language to
     learn from, nothing can be told and only texts without a letter go.
     """
     bounded_batches(spark)
@@ -41,7 +40,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     name = free_name(docs)
     found = docs.withColumn(name, langid.language_column(network, F.col("text")))
-    told = (F.col(f"{name}.lang_pred") != langid.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_LANGUAGE)
+    least = F.lit(network.least) - 0.5 / F.sqrt(f"{name}.words")
+    told = (F.col(f"{name}.lang_pred") != langid.UNKNOWN) & (F.col(f"{name}.score") >= least)
     return found.where(told).drop(name)
 
 
@@ -58,12 +58,17 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, Jaccard 0.8 or more): the smallest doc_id.
 
-    Of repeated rows of one doc_id one stays. Rows without a doc_id cannot be grouped and stay.
+    Rows are compared as rows, by their place in the stored table, so repeated ids with different texts all stay, of repeated rows one
+    does, and rows without a doc_id are compared like all others; they stay where their group has no row with an id.
     """
-    found = jaccard.join(docs, words=5, percent=80)
-    kept = keep(found.where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    chosen = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where(F.col("doc_id").isNull()))
+    place, group = free_name(docs), free_name(docs) + "g"
+    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    found = jaccard.join(placed.select(F.col(place).alias("doc_id"), "text"), words=5, percent=80)
+    found = found.select(F.col("doc_id").alias(place), F.col("component_id").alias(group))
+    ids = placed.select(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), place)
+    first = F.min(F.struct("no_id", "id", place)).getField(place).alias(place)
+    kept = keep(ids.join(found, place).groupBy(group).agg(first).select(place), "kept-rows")
+    return placed.join(kept, place, "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
