@@ -34,12 +34,29 @@ def histogram(df: DataFrame, column: str, bins: int, by: str | None = None, comm
     )
 
 
-def density(df: DataFrame, column: str, by: str | None = None, grid: int = 1000, resolution: int = 4096) -> DataFrame:
+#: Kernel moments that a cell keeps, and its width in bandwidths. A row's kernel is a series in its distance from the cell's
+#: middle; cut here, what is left out is below 2e-13 of the kernel's height, for every row.
+MOMENTS, CELL_WIDTH = 12, 0.5
+#: Bandwidths beyond which a kernel counts as 0: it is below 1e-17 of its height there.
+REACH = 9
+
+
+def _hermite(orders: int) -> list[list[float]]:
+    """Coefficients, lowest power first, of the polynomials He_0 .. He_orders."""
+    rows = [[1.0], [0.0, 1.0]]
+    for k in range(1, orders):
+        shifted = [0.0, *rows[k]]
+        rows.append([x - k * y for x, y in zip(shifted, [*rows[k - 1], 0.0, 0.0])])
+    return rows[: orders + 1]
+
+
+def density(df: DataFrame, column: str, by: str | None = None, grid: int = 1000) -> DataFrame:
     """Gaussian kernel density with Scott bandwidth on an even grid that overhangs the data by half its range.
 
-    Rows are first reduced to `resolution` cells per group, each standing at the mean of its rows. That is
-    exact while a cell holds one distinct value (months, counts, cents over a modest range), and otherwise
-    off by about (cell / bandwidth)^2. Only cells, never rows, meet the grid.
+    Rows are first reduced to cells of half a bandwidth, whatever the range: a long tail makes more cells, not wider ones. A cell
+    keeps the moments of its rows around its middle, from which its share at a point follows by a series; the curve is
+    off by less than 1e-12 of a kernel's height. Only cells, never rows, meet the grid, and only points within `REACH`.
+    There are at most as many cells as distinct values, and no more than the range has half bandwidths.
     """
     keys = [by] if by else []
     rows = present(df.select(*keys, F.col(column).cast("double").alias("value")))
@@ -47,25 +64,43 @@ def density(df: DataFrame, column: str, by: str | None = None, grid: int = 1000,
         F.min("value").alias("lo"),
         F.max("value").alias("hi"),
         F.count("*").alias("n"),
-        (F.stddev_samp("value") * F.pow(F.count("*"), F.lit(-0.2))).alias("bandwidth"),
+        (F.stddev_samp("value") * F.pow(F.count("*"), F.lit(-0.2))).alias("h"),
     )
-    cells = (
-        attach(rows, stats, keys)
-        .withColumn("cell", equal_width_bin(F.col("value"), F.col("lo"), F.col("hi"), resolution))
-        .groupBy(*keys, "lo", "hi", "n", "bandwidth", "cell")
-        .agg(F.count("*").alias("weight"), F.avg("value").alias("center"))
-    )
-    reach = F.col("hi") - F.col("lo")
-    start = F.col("lo") - reach * 0.5
-    x = start + F.col("point") * (reach * 2.0 / (grid - 1))
-    z = (F.col("x") - F.col("center")) / F.col("bandwidth")
-    scale = F.first("n") * F.first("bandwidth") * math.sqrt(2.0 * math.pi)
-    return (
-        cells.where(F.col("bandwidth") > 0)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-        .withColumn("x", x)
-        .groupBy(*keys, "point", "x")
-        .agg((F.sum(F.col("weight") * F.exp(-0.5 * z * z)) / scale).alias("density"))
+    stats = stats.where("h > 0")
+    at = F.floor((F.col("value") - F.col("lo")) / (F.col("h") * CELL_WIDTH))
+    middle = F.col("lo") + (F.col("cell") + 0.5) * (F.col("h") * CELL_WIDTH)
+    placed = attach(rows, stats, keys).where("h > 0").withColumn("cell", at)
+    placed = placed.withColumn("u", (F.col("value") - middle) / F.col("h"))
+    power, sums = F.lit(1.0), []
+    for k in range(MOMENTS + 1):
+        sums.append(F.sum(power).alias(f"m{k}"))
+        power = power * F.col("u")
+    cells = placed.groupBy(*keys, "lo", "hi", "n", "h", "cell").agg(*sums)
+    # The series' coefficients by power of the distance from the cell's middle.
+    terms: list[Column] = [F.lit(0.0)] * (MOMENTS + 1)
+    for k, row in enumerate(_hermite(MOMENTS)):
+        for j, x in enumerate(row):
+            if x:
+                terms[j] = terms[j] + F.col(f"m{k}") * (x / math.factorial(k))
+    step = (F.col("hi") - F.col("lo")) * (2.0 / (grid - 1))
+    start = F.col("lo") - (F.col("hi") - F.col("lo")) * 0.5
+    cells = cells.select(*keys, "h", "n", start.alias("start"), step.alias("step"), middle.alias("middle"), *[t.alias(f"c{j}") for j, t in enumerate(terms)])
+    first = F.greatest(F.ceil((F.col("middle") - REACH * F.col("h") - F.col("start")) / F.col("step")), F.lit(0))
+    last = F.least(F.floor((F.col("middle") + REACH * F.col("h") - F.col("start")) / F.col("step")), F.lit(grid - 1))
+    near = cells.where(first <= last).withColumn("point", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    z = (F.col("start") + F.col("point") * F.col("step") - F.col("middle")) / F.col("h")
+    series = F.col(f"c{MOMENTS}")
+    for j in range(MOMENTS - 1, -1, -1):
+        series = series * F.col("z") + F.col(f"c{j}")
+    share = F.sum(F.exp(-0.5 * F.col("z") * F.col("z")) * series)
+    met = near.withColumn("z", z).groupBy(*keys, "point").agg(share.alias("share"))
+    frame = stats.withColumns({"start": start, "step": step}).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    height = F.col("n") * F.col("h") * math.sqrt(2.0 * math.pi)
+    return frame.join(met, [*keys, "point"], "left").select(
+        *keys,
+        "point",
+        (F.col("start") + F.col("point") * F.col("step")).alias("x"),
+        (F.coalesce("share", F.lit(0.0)) / height).alias("density"),
     )
 
 

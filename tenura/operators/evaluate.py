@@ -121,14 +121,18 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     return level.agg(area.alias("roc_auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 
 
-def roc_curve(scored: DataFrame, bins: int | None = None) -> DataFrame:
+def roc_curve(scored: DataFrame, bins: int | None = None, drop_between: bool = False) -> DataFrame:
     """False and true positive rate at each threshold, from (0, 0) at an unreachable one.
 
     Without `bins` there is a point for every distinct score; with it, one per equal-width threshold,
-    which bounds the output.
+    which bounds the output. `drop_between` leaves out the points on a straight line between their neighbours, those whose step
+    from the score above equals the step to the score below; the curve and its area stay the same.
     """
     if bins is None:
-        points = _counts_at_or_above(_by_score(scored))
+        scores = _by_score(scored)
+        points = _counts_at_or_above(scores)
+        if drop_between:
+            points = points.join(_corners(scores), "probability", "left_semi")
     else:
         grid = F.least(F.floor(F.col("probability") * bins), F.lit(bins - 1)) / bins
         binned = (
@@ -159,6 +163,31 @@ def roc_curve(scored: DataFrame, bins: int | None = None) -> DataFrame:
     )
 
 
+def _corners(scores: DataFrame) -> DataFrame:
+    """The scores at which the curve turns, and the highest and the lowest.
+
+    The next score below is in the same finest cell, or it is the highest of the next cell that holds any: inside the parent, or else
+    the one that follows the parent. So each window covers the cells of one parent, and no order of all scores is made.
+    """
+    step = F.struct("pos", "neg")
+    after = None
+    for depth in range(1, len(CELL_COLUMNS) + 1):
+        keys = CELL_COLUMNS[:depth]
+        level = scores.groupBy(*keys).agg(F.max_by(step, "probability").alias("top"))
+        down = Window.partitionBy(*keys[:-1]).orderBy(F.desc(keys[-1]))
+        level = level.withColumn("inside", F.lead("top").over(down))
+        if after is None:
+            after = level.select(*keys, F.col("inside").alias("after"))
+        else:
+            after = level.join(after, keys[:-1]).select(*keys, F.coalesce("inside", "after").alias("after"))
+    down = Window.partitionBy(*CELL_COLUMNS).orderBy(F.desc("probability"))
+    both = scores.withColumn("inside", F.lead(step).over(down)).join(after, CELL_COLUMNS)
+    below = F.coalesce("inside", "after")
+    turns = below.isNull() | (below["pos"] != F.col("pos")) | (below["neg"] != F.col("neg"))
+    top = scores.agg(F.max("probability")).scalar()
+    return both.where(turns | (F.col("probability") == top)).select("probability")
+
+
 def _counts_at_or_above(scores: DataFrame) -> DataFrame:
     """Per distinct score, positives and negatives scored at least as high.
 

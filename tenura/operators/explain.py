@@ -3,7 +3,8 @@
 The model's trees are turned into one small table of leaves, sent to every executor: for each feature on a leaf's path the
 interval that leads to it and the share of training weight that follows it, 32 bytes per leaf and level. Values
 are the path-dependent attributions of Lundberg et al., "Consistent Individualized Feature Attribution for Tree
-Ensembles", in a number of steps that grows with the square of the depth.
+Ensembles". What a tree attributes depends on the outcomes of its tests alone, so a batch of rows is first grouped, tree by
+tree, by these outcomes, and every pattern that occurs is worked out once, however many rows share it.
 """
 
 from __future__ import annotations
@@ -34,13 +35,13 @@ class LeafTable:
     base_value: float
 
 
-def leaf_table(model: TreeModel) -> LeafTable:
-    """Attribution table on the log-odds scale.
+def tree_tables(model: TreeModel) -> list[LeafTable]:
+    """One attribution table per tree, on the log-odds scale.
 
-    Its size is set by the model alone: trees x leaves, at most 2^depth leaves each.
+    Their size is set by the model alone: at most 2^depth leaves each. The base value of the first includes the model's.
     """
     ends = [*model.roots[1:].tolist(), len(model.left)]
-    leaves = []
+    tables = []
     for start, end in zip(model.roots.tolist(), ends):
         nodes = {
             i - start: {
@@ -53,8 +54,8 @@ def leaf_table(model: TreeModel) -> LeafTable:
             }
             for i in range(start, end)
         }
-        leaves += leaf_paths(nodes, 1.0)
-    return tabulate(leaves, model.base)
+        tables.append(tabulate(leaf_paths(nodes, 1.0), 0.0 if tables else model.base))
+    return tables
 
 
 def leaf_paths(nodes: dict[int, dict], scale: float) -> list[tuple[float, dict[int, tuple[float, float, float]]]]:
@@ -132,26 +133,48 @@ def attributions(table: LeafTable, x: np.ndarray) -> np.ndarray:
     return out.T
 
 
+def patterns(table: LeafTable, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (rows x features): the first row of each pattern of test outcomes, and the pattern of every row."""
+    used = table.feature >= 0
+    ends = np.concatenate([np.column_stack([table.feature[used], cut[used]]) for cut in (table.above, table.upto)])
+    tests = np.unique(ends[np.isfinite(ends[:, 1])], axis=0)
+    codes = np.zeros((max(1, -(-len(tests) // 60)), len(x)), np.int64)
+    for i, (feature, cut) in enumerate(tests):
+        codes[i // 60] |= (x[:, int(feature)] > cut).astype(np.int64) << (i % 60)
+    kind = codes[0] if len(codes) == 1 else np.ascontiguousarray(codes.T).view([("", np.int64)] * len(codes)).ravel()
+    _, first, pattern = np.unique(kind, return_index=True, return_inverse=True)
+    return first, pattern
+
+
+def ensemble_attributions(tables: list[LeafTable], x: np.ndarray) -> np.ndarray:
+    """Attributions of a block of rows by all trees; each pattern of a tree's outcomes is worked out once."""
+    out = np.zeros_like(x)
+    for table in tables:
+        first, pattern = patterns(table, x)
+        out += attributions(table, x[first])[pattern]
+    return out
+
+
 def shap_values(model: TreeModel, rows: DataFrame, keep: list[str]) -> DataFrame:
     """Kept columns, `values` (one per feature, on the log-odds scale), `base_value` and `probability`.
 
     Only the feature vector crosses into Python, in Arrow batches.
     """
-    table = leaf_table(model)
+    tables = tree_tables(model)
     spark = SparkSession.getActiveSession()
-    shared = spark.sparkContext.broadcast(table)
+    shared = spark.sparkContext.broadcast(tables)
 
     @F.pandas_udf("array<double>")
     def explain(features: pd.Series) -> pd.Series:
         if not len(features):
             return pd.Series([], dtype=object)
-        return pd.Series(list(attributions(shared.value, np.stack(features.to_numpy()).astype(float))))
+        return pd.Series(list(ensemble_attributions(shared.value, np.stack(features.to_numpy()).astype(float))))
 
     scored = model.transform(rows).withColumn("probability", model.probability())
     return scored.select(
         *keep,
         explain("tree_vector").alias("values"),
-        F.lit(table.base_value).alias("base_value"),
+        F.lit(sum(t.base_value for t in tables)).alias("base_value"),
         "probability",
         *[F.col(f"`{c}`") for c in S.CHURN_FEATURES if c not in keep],
     )

@@ -1,9 +1,10 @@
-"""Exact quantiles that never gather a column in one task.
+"""Exact quantiles by radix selection: no column is sorted, gathered or written.
 
-Rows are first counted per distinct value, combined before the shuffle, so a value held by a third of all
-rows costs one row. The distinct values are dealt to range partitions, whose bounds follow the data, whatever
-its distribution, and written with their partition's number. Row counts per partition tell which partition holds a
-wanted rank, and only the values of that partition are put in order to find it.
+Rows are first counted per distinct value, combined before the shuffle, so a value held by a third of all rows costs one
+row. A double's bits, as a long that sorts like the double, are then looked at 16 at a time. One aggregation counts rows per
+leading digit and tells which digit holds a wanted rank; the next counts the following digit among the values that begin
+like that. After four the value is known. An aggregation has at most 65,536 cells per group and wanted rank,
+whatever the rows and however they are distributed.
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenura.session import new_path
+from tenura.functions.bits import ordered_bits
+
+#: How far the bits are shifted to leave one, two, three and all four of the digits.
+SHIFTS = (48, 32, 16, 0)
 
 
 def counted_values(df: DataFrame, column: str, by: list[str] | None = None, combine: bool = True) -> DataFrame:
@@ -42,27 +46,29 @@ def rank_values(
     return counted_ranks(counted_values(df, column, by, combine), probabilities, by)
 
 
-def ranged_values(values: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counted values with the number of their range partition (`_range_id`), stored: the bounds are sampled, so that
-    computing them again could move a value to another partition."""
-    order = [*(by or []), "_v"]
-    path = new_path(values.sparkSession, "ranges")
-    placed = values.select(*order, "_c").repartitionByRange(*order).withColumn("_range_id", F.spark_partition_id())
-    placed.write.parquet(path)
-    return values.sparkSession.read.schema(placed.schema).parquet(path)
+def digit_cells(values: DataFrame, by: list[str], shift: int, wanted: DataFrame | None = None) -> DataFrame:
+    """Rows (`_c`) and largest value (`_v`) per group and leading digits (`_at`), of values that begin as wanted (`_prefix`)."""
+    keyed = values.select(*by, "_v", "_c", ordered_bits(F.col("_v")).alias("_k"))
+    if wanted is not None:
+        begun = F.broadcast(wanted.select(*by, "_prefix").distinct())  # a row per group and wanted rank at most
+        keyed = keyed.withColumn("_prefix", F.shiftright("_k", shift + 16)).join(begun, [*by, "_prefix"])
+    prefix = ["_prefix"] if wanted is not None else []
+    return keyed.groupBy(*by, *prefix, F.shiftright("_k", shift).alias("_at")).agg(F.sum("_c").alias("_c"), F.max("_v").alias("_v"))
 
 
 def counted_ranks(values: DataFrame, probabilities: list[float], by: list[str] | None = None) -> DataFrame:
-    """`rank_values` of values that are already counted. Ranges are found at once, the result is computed when read."""
+    """`rank_values` of values that are already counted."""
     by = by or []
-    stored = ranged_values(values, by)
-    found = _wanted_ranks(stored, by, probabilities)
-    held = stored.join(found, [*by, "_range_id"])
+    found = _wanted_ranks(digit_cells(values, by, SHIFTS[0]), by, probabilities)
     slot = [*by, "_p", "_upper"]
-    before = F.sum("_c").over(_up_to_here(slot, "_v")) - F.col("_c")
-    exact = held.withColumn("_before", before).where(_holds_rank())
+    for shift in SHIFTS[1:]:
+        cells = digit_cells(values, by, shift, found)
+        facts = F.broadcast(found.drop("_v"))
+        held = cells.join(facts, [*by, "_prefix"]).withColumn("_before", F.sum("_c").over(_up_to_here(slot, "_at")) - F.col("_c"))
+        rank = (F.col("_rank") - F.col("_before")).alias("_rank")
+        found = held.where(_holds_rank()).select(*slot, F.col("_at").alias("_prefix"), "_n", rank, "_fraction", "_v")
     at = lambda upper: F.max(F.when(F.col("_upper") == upper, F.col("_v")))
-    return exact.groupBy(*by, F.col("_p").alias("probability")).agg(
+    return found.groupBy(*by, F.col("_p").alias("probability")).agg(
         F.max("_n").alias("n"),
         at(False).alias("lower"),
         at(True).alias("upper"),
@@ -104,13 +110,10 @@ def counted_quantiles(
     return ranks.groupBy(*by).agg(*picked) if by else ranks.agg(*picked)
 
 
-def _wanted_ranks(stored: DataFrame, by: list[str], probabilities: list[float]) -> DataFrame:
-    """Ranks to look for, each with the partition that holds it and its rank inside that partition."""
-    counts = (
-        stored.groupBy(*by, "_range_id")
-        .agg(F.sum("_c").alias("_c"))
-        .withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-        .withColumn("_before", F.sum("_c").over(_up_to_here(by, "_range_id")) - F.col("_c"))
+def _wanted_ranks(cells: DataFrame, by: list[str], probabilities: list[float]) -> DataFrame:
+    """Ranks to look for, each with the first digit of its value and its rank among the values that begin with it."""
+    counts = cells.withColumn("_n", F.sum("_c").over(Window.partitionBy(*by))).withColumn(
+        "_before", F.sum("_c").over(_up_to_here(by, "_at")) - F.col("_c")
     )
     wanted = []
     for p in probabilities:
@@ -126,7 +129,7 @@ def _wanted_ranks(stored: DataFrame, by: list[str], probabilities: list[float])
             )
     return (
         counts.withColumn("_w", F.explode(F.array(*wanted)))
-        .select(*by, "_range_id", "_n", "_c", "_before", "_w.*")
+        .select(*by, F.col("_at").alias("_prefix"), "_n", "_c", "_before", "_v", "_w.*")
         .where(_holds_rank())
         .withColumn("_rank", F.col("_rank") - F.col("_before"))
         .drop("_c", "_before")

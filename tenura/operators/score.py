@@ -48,17 +48,18 @@ def score(df: DataFrame, bundle: Bundle, key: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, name: str = "row_index") -> DataFrame:
-    """Number rows 0..n-1 in the order they are read: the place in a split plus the rows of the splits before.
+    """Number rows 0..n-1 by file, in order of the paths, and by place in the file.
 
-    The rows are read twice, once to count them per split; only those counts, one per split, meet in one place.
+    A file may be read in several blocks, and Spark packs small ones together in tasks as it likes; a block's path and first byte tell
+    where its rows belong. Rows are read twice, once to count them per block; only those counts, one per block, meet in
+    one place. `rows` must come straight from files, without a shuffle.
     """
-    placed = rows.withColumn("_at", F.monotonically_increasing_id())
-    split = F.shiftright("_at", 33)
-    counts = placed.groupBy(split.alias("_split")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_split")) - F.col("_n")
-    starts = F.broadcast(counts.select("_split", before.alias("_start")))
-    index = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    out = placed.withColumn("_split", split).join(starts, "_split").withColumn(name, index)
+    block = ["_file", "_byte"]
+    placed = rows.withColumns({"_file": F.input_file_name(), "_byte": F.input_file_block_start(), "_at": F.monotonically_increasing_id()})
+    counts = placed.groupBy(*block).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy(*block)) - F.col("_n")
+    starts = counts.select(*block, "_first", before.alias("_start"))
+    out = placed.join(starts, block).withColumn(name, F.col("_start") + F.col("_at") - F.col("_first"))
     return out.select(name, *rows.columns)
 
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenura.functions.bits import ordered_bits
 from tenura.session import new_path
 
 BINS = 64
@@ -54,12 +55,6 @@ def mix(x: np.ndarray, *salts: int) -> np.ndarray:
 # Binning
 
 
-def ordered_bits(value: Column) -> Column:
-    """A double's bits as a long that sorts like the double; -0.0 counts as 0.0."""
-    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("long")
-    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
-
-
 def double_of(ordered: np.ndarray) -> np.ndarray:
     bits = np.asarray(ordered, np.int64)
     return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits).view(np.float64)

@@ -68,37 +68,32 @@ def histogram_ltv(spark, folder):
     return D.histogram(ltv_target(R.featured(spark, folder)), "ltv_projected", 50)
 
 
-def density_sql(view: str, table: str, column: str, grid: int, resolution: int) -> str:
+def density_sql(view: str, table: str, column: str, grid: int) -> str:
+    """From the rows themselves, equal values together: no cells."""
     return R.rounded_sql(
-        f"""WITH {view}, source AS (SELECT churn, CAST({column} AS DOUBLE) AS v FROM {table}),
+        f"""WITH {view}, source AS (SELECT churn, CAST({column} AS DOUBLE) AS v FROM {table} WHERE {column} IS NOT NULL),
         stat AS (SELECT churn, min(v) AS lo, max(v) AS hi, count(*) AS n,
           stddev_samp(v) * pow(count(*), CAST(-0.2 AS DOUBLE)) AS h FROM source GROUP BY churn),
-        guessed AS (SELECT s.churn, v, lo, hi, n, h,
-          CAST(least(floor((v - lo) / (hi - lo) * {resolution}), {resolution - 1}) AS BIGINT) AS g
-          FROM source AS s JOIN stat ON s.churn = stat.churn),
-        cell AS (SELECT churn, lo, hi, n, h, count(*) AS w, avg(v) AS c FROM guessed GROUP BY churn, lo, hi, n, h,
-          CASE WHEN v < g * ((hi - lo) / {resolution}) + lo THEN g - 1
-               WHEN g < {resolution - 1} AND v >= (g + 1) * ((hi - lo) / {resolution}) + lo THEN g + 1 ELSE g END),
-        placed AS (SELECT *, CAST(b AS INTEGER) AS point,
-          lo - (hi - lo) * CAST(0.5 AS DOUBLE) + b * ((hi - lo) * CAST(2 AS DOUBLE) / {grid - 1}) AS x
-          FROM cell, range({grid}) AS r(b))
-        SELECT churn, point, x, sum(w * exp(CAST(-0.5 AS DOUBLE) * ((x - c) / h) * ((x - c) / h)))
+        held AS (SELECT churn, v, count(*) AS w FROM source GROUP BY churn, v),
+        point AS (SELECT churn, h, n, CAST(b AS INTEGER) AS point,
+          lo - (hi - lo) * CAST(0.5 AS DOUBLE) + b * ((hi - lo) * CAST(2 AS DOUBLE) / {grid - 1}) AS x FROM stat, range({grid}) AS r(b))
+        SELECT p.churn, point, x, sum(w * exp(CAST(-0.5 AS DOUBLE) * ((x - v) / h) * ((x - v) / h)))
           / (any_value(n) * any_value(h) * sqrt(CAST(2 AS DOUBLE) * pi())) AS density
-        FROM placed GROUP BY churn, point, x""",
+        FROM point AS p JOIN held ON held.churn = p.churn GROUP BY p.churn, point, x""",
         "x density",
         8,
     )
 
 
-@query("density_tenure", density_sql(R.CUSTOMERS_SQL, "customers", "tenure", 1000, 4096), digits=8)
+@query("density_tenure", density_sql(R.CUSTOMERS_SQL, "customers", "tenure", 1000), digits=8)
 def density_tenure(spark, folder):
     return D.density(customers(spark, folder), "tenure", "churn")
 
 
 def _feature_density(feature: str):
-    @query(f"density_{feature}", density_sql(R.FEATURED_SQL, "featured", feature, 200, 2048), digits=8)
+    @query(f"density_{feature}", density_sql(R.FEATURED_SQL, "featured", feature, 200), digits=8)
     def build(spark, folder):
-        return D.density(R.featured(spark, folder), feature, "churn", grid=200, resolution=2048)
+        return D.density(R.featured(spark, folder), feature, "churn", grid=200)
 
 
 for _feature in ("charge_per_tenure", "charge_to_value_ratio", "tenure_contract_risk"):

@@ -195,6 +195,24 @@ def roc_curve(spark, folder):
     return _rates(V.roc_curve(R.scored(spark, folder)))
 
 
+@query(
+    "roc_curve_corners",
+    R.rounded_sql(
+        f"""WITH {R.SCORED_SQL}, g AS (SELECT probability AS threshold, count(*) FILTER (WHERE label = 1) AS pos,
+          count(*) FILTER (WHERE label = 0) AS neg FROM scored GROUP BY 1),
+        c AS (SELECT threshold, sum(neg) OVER w / CAST(sum(neg) OVER () AS DOUBLE) AS fpr, sum(pos) OVER w / CAST(sum(pos) OVER () AS DOUBLE) AS tpr,
+          row_number() OVER w AS i, lead(pos) OVER w AS below_pos, lead(neg) OVER w AS below_neg, pos, neg FROM g WINDOW w AS (ORDER BY threshold DESC))
+        SELECT threshold, fpr, tpr FROM c WHERE i = 1 OR below_pos IS NULL OR below_pos <> pos OR below_neg <> neg
+        UNION ALL SELECT CAST('Infinity' AS DOUBLE), 0, 0""",
+        "fpr tpr",
+        9,
+    ),
+)
+def roc_curve_corners(spark, folder):
+    """The curve without the points between equal steps."""
+    return _rates(V.roc_curve(R.scored(spark, folder), drop_between=True))
+
+
 @query("roc_curve_binned", _curve_sql("least(floor(probability * 100), 99) / CAST(100 AS DOUBLE)"))
 def roc_curve_binned(spark, folder):
     return _rates(V.roc_curve(R.scored(spark, folder), bins=100))

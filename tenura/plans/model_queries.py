@@ -63,8 +63,9 @@ class Trained:
     def test_values(self, kind: str) -> DataFrame:
         return models.ltv_values(self.ltv[kind], self.ltv_rows.where("is_test"))
 
-    def bundle(self) -> models.Bundle:
-        return models.Bundle(self.churn["gbt"], self.ltv["gbt"], self.tenure_max)
+    def bundle(self, churn: bool = True, ltv: bool = True) -> models.Bundle:
+        """The models that scoring uses; one that is not wanted is not fitted."""
+        return models.Bundle(self.churn["gbt"] if churn else None, self.ltv["gbt"] if ltv else None, self.tenure_max)
 
 
 _ROWS: dict[tuple, tuple[DataFrame, DataFrame]] = {}
@@ -200,7 +201,7 @@ def model_predictions(spark, folder):
 
 @query("model_roc_curve")
 def model_roc_curve(spark, folder):
-    return V.roc_curve(trained(spark, folder).test_scores("gbt").select("label", "probability"), bins=1000)
+    return V.roc_curve(trained(spark, folder).test_scores("gbt").select("label", "probability"), drop_between=True)
 
 
 @query("customers_ltv_predicted")
@@ -211,9 +212,18 @@ def customers_ltv_predicted(spark, folder):
 # Explanation
 
 
+_EXPLAINED: dict[tuple, DataFrame] = {}
+
+
 def explained(spark: SparkSession, folder: str) -> DataFrame:
-    t = trained(spark, folder)
-    return explain.shap_values(t.churn["gbt"], t.churn_rows, ["k", "label"])
+    """Attributions of every customer, computed once per session and folder, and stored."""
+    place = R.stamp(spark, folder)
+    if place not in _EXPLAINED:
+        t = trained(spark, folder)
+        store = TableStore(spark, new_path(spark, "explained"))
+        store.write(explain.shap_values(t.churn["gbt"], t.churn_rows, ["k", "label"]), "shap")
+        _EXPLAINED[place] = store.read("shap")
+    return _EXPLAINED[place]
 
 
 @query(
@@ -288,12 +298,12 @@ def shap_findings(spark, folder):
 
 @query("score_churn")
 def score_churn(spark, folder):
-    return score.score_churn(arrivals(spark, folder), bundle(spark, folder), "k")
+    return score.score_churn(arrivals(spark, folder), trained(spark, folder).bundle(ltv=False), "k")
 
 
 @query("score_ltv")
 def score_ltv(spark, folder):
-    return score.score_ltv(arrivals(spark, folder), bundle(spark, folder), "k")
+    return score.score_ltv(arrivals(spark, folder), trained(spark, folder).bundle(churn=False), "k")
 
 
 @query("score_customers")

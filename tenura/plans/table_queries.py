@@ -66,9 +66,9 @@ def score_batch_rejects(spark, folder):
     f"WITH {R.CUSTOMERS_SQL} SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS BIGINT) AS row_index, k FROM customers",
 )
 def batch_row_index(spark, folder):
-    """Rows of one file numbered in file order."""
+    """Rows of many files numbered in the order of the files and of the rows in them."""
     path = new_path(spark, "batch")
-    customers_csv.export_csv(customers(spark, folder).drop("churn").coalesce(1).sortWithinPartitions("k"), path)
+    customers_csv.export_csv(customers(spark, folder).drop("churn").repartitionByRange(16, "k").sortWithinPartitions("k"), path)
     rows, _ = score.read_batch(spark, path)
     return rows.select("row_index", F.col("k").cast("bigint").alias("k"))
 

@@ -83,7 +83,7 @@ def test_queries_fit_only_the_models_they_need(spark, folder, monkeypatch):
     M.top_importances(spark, folder)
     assert used == [("train_churn", "gbt")]
     M.score_ltv(spark, folder)
-    assert set(used) <= {("train_churn", "gbt"), ("train_ltv", "gbt")}
+    assert used == [("train_churn", "gbt"), ("train_ltv", "gbt")]
 
 
 def test_attributions_add_up(spark, folder, trained):
@@ -157,6 +157,24 @@ def test_attributions_of_a_deep_path_match_brute_force():
             assert abs(phi[j] - want) < 1e-9
 
 
+def test_rows_that_share_a_pattern_share_their_attributions(trained):
+    """All rows by way of their patterns, and each row by itself, over trees of the trained model and over a deep one."""
+    names = S.CHURN_FEATURES
+    rows = trained.churn_rows.select(*names).limit(300).fillna(0).toPandas().to_numpy(float)
+    tables = explain.tree_tables(trained.churn["gbt"])
+    some = tables[:3] + tables[-2:]
+    want = sum(explain.attributions(t, rows) for t in some)
+    assert np.allclose(explain.ensemble_attributions(some, rows), want, rtol=0, atol=1e-12)
+    first, pattern = explain.patterns(tables[0], rows)
+    assert len(first) < len(rows) and (first[pattern] <= np.arange(len(rows))).all()
+    rng = np.random.default_rng(1)
+    wide = {i: {"feature": i % 29, "threshold": rng.normal(), "left": 2 * i + 1, "right": 2 * i + 2, "cover": 128.0 / 2 ** ((i + 1).bit_length() - 1), "value": 0.0} for i in range(127)}
+    wide |= {i: {"left": -1, "right": -1, "value": rng.normal(), "cover": 1.0} for i in range(127, 255)}
+    deep = explain.tabulate(explain.leaf_paths(wide, 1.0))  # more tests than bits in a number
+    x = rng.normal(size=(200, 29))
+    assert np.allclose(explain.ensemble_attributions([deep], np.repeat(x, 3, axis=0)), np.repeat(explain.attributions(deep, x), 3, axis=0), atol=1e-12)
+
+
 def test_training_survives_missing_cells_and_labels(spark, folder):
     from tenura.operators import split
     from tenura.plans import registry as R

@@ -1,5 +1,6 @@
 """Hand cases: edges of bands and labels, NULLs, unknown values, empty and one-class inputs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,3 +264,50 @@ def test_reports_need_no_line_items_when_services_are_unused(spark, folder):
 
     for name in ("churn_by_contract", "baseline_kpis"):
         assert "l_partkey" not in QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_roc_corners_match_a_plain_loop(spark, seed):
+    """Scores on and off the borders of cells, in runs of one label and with ties."""
+    rng = np.random.default_rng(seed)
+    scores = rng.choice([0.0, 1.0, 1 / 1024, 0.5, 0.5 + 1e-12, *rng.random(60), *(0.25 + rng.random(40) * 1e-9)], 400)
+    labels = (rng.random(400) < np.where(scores > 0.4, 0.9, 0.1)).astype(int)
+    df = spark.createDataFrame([(int(y), float(p)) for y, p in zip(labels, scores)], "label int, probability double")
+    order = sorted(set(scores.tolist()), reverse=True)
+    steps = [(int(((scores == p) & (labels == 0)).sum()), int(((scores == p) & (labels == 1)).sum())) for p in order]
+    kept = [i for i in range(len(order)) if i in (0, len(order) - 1) or steps[i + 1] != steps[i]]
+    upto = np.cumsum(steps, axis=0)
+    want = [(np.inf, 0.0, 0.0)] + [(order[i], upto[i][0] / (labels == 0).sum(), upto[i][1] / labels.sum()) for i in kept]
+    got = [tuple(r) for r in evaluate.roc_curve(df, drop_between=True).orderBy(F.desc("threshold")).collect()]
+    assert len(got) == len(want) and np.allclose(np.array(got)[1:], np.array(want)[1:])
+    full = evaluate.roc_curve(df).orderBy(F.desc("threshold")).toPandas()
+    area = lambda x, y: float(np.trapezoid(y, x))
+    assert abs(area(full.fpr, full.tpr) - area([g[1] for g in got], [g[2] for g in got])) < 1e-12
+    assert len(got) < len(full)
+
+
+def test_rows_are_numbered_by_file_and_place(spark, tmp_path):
+    """Many files of different sizes, read in blocks far smaller than a file."""
+    from tenura.operators import score
+
+    sizes = [1, 700, 3, 0, 2500, 40]
+    spark.range(1).write.csv(str(tmp_path / "in"))  # makes the folder
+    for old in (tmp_path / "in").iterdir():
+        old.unlink()
+    n = 0
+    for i, size in enumerate(sizes):
+        lines = ["v,pad"] + [f"{k},{'x' * (k % 37)}" for k in range(n, n + size)]
+        (tmp_path / "in" / f"part-{i:03d}.csv").write_text("\n".join(lines) + "\n")
+        n += size
+    names = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        rows = spark.read.option("header", True).schema("v long, pad string").csv(str(tmp_path / "in"))
+        assert rows.rdd.getNumPartitions() > 20
+        found = score.numbered(rows).orderBy("row_index").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [(r.row_index, r.v) for r in found] == [(i, i) for i in range(n)]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tenura.operators.distributions import box_stats, density, histogram, scatter_bins
 from tenura.operators.ltv import cap_quantile, capped_and_segmented, quartile_segment
-from tenura.operators.quantiles import approximate_quantiles, counted_values, quantiles, ranged_values, rank_values
+from tenura.operators.quantiles import SHIFTS, approximate_quantiles, counted_values, digit_cells, quantiles, rank_values
 
 PROBABILITIES = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 0.99, "f": 1.0}
 RANDOM = np.random.default_rng(7)
@@ -29,22 +29,35 @@ def test_quantiles_match_numpy(spark, case):
     assert np.allclose([got[n] for n in PROBABILITIES], want, rtol=1e-13, atol=0)
 
 
-@pytest.mark.parametrize("case", ["outlier", "lognormal", "clusters"])
-def test_no_range_holds_much_more_than_its_share(spark, case):
-    """What is put in order to find a rank is one range; its size follows the number of ranges, not the distribution."""
+@pytest.mark.parametrize("case", ["outlier", "lognormal", "clusters", "bits"])
+def test_no_aggregation_holds_more_than_its_cells(spark, case):
+    """What is counted to find a rank is 65,536 cells at most; no value is sorted, no file written, four digits are enough."""
     n = 40_000
     values = {
         "outlier": np.append(RANDOM.uniform(0, 1, n), [1e13]),
         "lognormal": RANDOM.lognormal(0, 8, n),
         "clusters": 1e6 * RANDOM.integers(0, 3, n) + RANDOM.uniform(0, 1e-6, n),
+        "bits": (np.float64(1.0).view(np.int64) + np.arange(70_000)).view(np.float64),  # neighbours in the last places
     }[case]
     df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(8)
-    stored = ranged_values(counted_values(df, "v"))
-    largest = stored.groupBy("_range_id").count().agg(F.max("count")).first()[0]
-    ranges = stored.select("_range_id").distinct().count()
-    assert largest <= 2 * len(np.unique(values)) / ranges + 10
-    got = quantiles(df, "v", PROBABILITIES).first()
-    assert np.allclose([got[x] for x in PROBABILITIES], np.quantile(values, list(PROBABILITIES.values())), rtol=1e-13)
+    counted = counted_values(df, "v")
+    one = spark.createDataFrame([(0,)], "_prefix long")
+    for shift in SHIFTS:
+        wanted = None
+        if shift != SHIFTS[0]:  # the fullest prefix is the worst that can be wanted
+            best = digit_cells(counted, [], shift + 16).orderBy(F.desc("_c")).first()["_at"]
+            wanted = one.select(F.lit(best).alias("_prefix"))
+        assert digit_cells(counted, [], shift, wanted).count() <= 65_536
+    found = quantiles(df, "v", PROBABILITIES)
+    assert np.allclose(list(found.first()), np.quantile(values, list(PROBABILITIES.values())), rtol=1e-13)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "FileScan" not in plan
+
+
+def test_quantiles_of_signed_zeros_and_infinities(spark):
+    df = spark.createDataFrame([(v,) for v in (-np.inf, -1.5, -0.0, 0.0, 2.0, np.inf, None)], "v double")
+    got = rank_values(df, "v", [0.0, 0.4, 0.5, 0.6, 1.0]).orderBy("probability").collect()
+    assert [(r.lower, r.upper) for r in got] == [(-np.inf,) * 2, (0.0, 0.0), (0.0, 0.0), (0.0, 0.0), (np.inf,) * 2]
 
 
 def test_quantiles_per_group_skip_nulls(spark):
@@ -120,6 +133,22 @@ def test_density_of_a_continuous_column_is_close(spark):
     x = got["x"].to_numpy()
     want = np.exp(-0.5 * ((x[:, None] - values) / h) ** 2).sum(axis=1) / (len(values) * h * np.sqrt(2 * np.pi))
     assert np.allclose(got["density"], want, atol=1e-5)
+    assert np.abs(got["density"] - want).max() < 1e-12 * want.max()
+
+
+@pytest.mark.parametrize("tail", ["lognormal", "outlier", "pareto"])
+def test_density_of_a_heavy_tail(spark, tail):
+    values = {
+        "lognormal": RANDOM.lognormal(0, 3, 4000),
+        "outlier": np.append(RANDOM.normal(size=3000), [1e9]),
+        "pareto": RANDOM.pareto(0.7, 4000),
+    }[tail]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(6)
+    got = density(df, "v", grid=500).orderBy("point").toPandas()
+    h = values.std(ddof=1) * len(values) ** -0.2
+    x = np.linspace(values.min() - np.ptp(values) / 2, values.max() + np.ptp(values) / 2, 500)
+    want = np.exp(-0.5 * ((x[:, None] - values) / h) ** 2).sum(axis=1) / (len(values) * h * np.sqrt(2 * np.pi))
+    assert len(got) == 500 and np.abs(got["density"] - want).max() < 1e-9 * want.max()
 
 
 def test_box_by_hand(spark):
