@@ -30,6 +30,8 @@ MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 1
 CACHE_NODES = 1_000_000
+#: Characters that are segmented together: the more, the more chunks of one length advance at a time.
+SLICE = 3_000_000
 #: Candidates that come up in a chunk of n characters: n - 1 at first and at most two more after each merge. Up to this length
 #: they fit a mask of 64 bits.
 LONGEST_CACHED = 22
@@ -182,15 +184,15 @@ class PieceCoder:
         """
         out: list[bytes] = [b""] * len(chunks)
         used = np.zeros(len(chunks), np.int64)
-        by_length: dict[int, list[int]] = {}
-        for i, chunk in enumerate(chunks):
-            by_length.setdefault(len(chunk), []).append(i)
-        for n, places in by_length.items():
-            points = np.frombuffer("".join([chunks[i] for i in places]).encode("utf-32-le", "surrogatepass"), "<u4")
-            ids = self.symbols[points.reshape(-1, n)]
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        for n in np.unique(sizes).tolist():
+            places = np.flatnonzero(sizes == n)
+            ids = self.symbols[points[starts[places][:, None] + np.arange(n)]]
             # A character without a piece stands as its place, below zero; no pair holds it.
             ids = np.where(ids >= 0, ids, -1 - np.arange(n, dtype=np.int32))
-            self._advance(ids, np.array(places), chunks, masks, out, used)
+            self._advance(ids, places, chunks, masks, out, used)
         return out, used
 
     def _advance(self, ids, rows, chunks, masks, out: list[bytes], used: np.ndarray) -> None:
@@ -278,7 +280,7 @@ class PieceCoder:
 
         A chunk's skips are drawn by the text's key and the chunk's place in the text.
         """
-        for start, end in slices(texts, 1_000_000):
+        for start, end in slices(texts, SLICE):
             if len(self.found) > CACHE_NODES:
                 self._clear()
             split = [CHUNKS.findall(" " + t) if t else [] for t in texts[start:end]]
@@ -334,7 +336,7 @@ def _coded(docs: DataFrame, path: str, dropout: float, seed: int, shape: str, fi
         for batch in batches:
             texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             none = batch.column("null_id")
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 ids = list(own.texts(texts[a:b], document_keys(seed, keys[a:b]), dropout))
                 names, columns = finish(own, texts[a:b], ids)
                 yield pa.RecordBatch.from_arrays(
