@@ -8,6 +8,8 @@ verified, so that a vector's number of links does not depend on the windows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,17 +18,32 @@ from pyspark.sql import functions as F
 from tenura.llm.common import components, keep, table
 
 THRESHOLD = 0.93
-PASSES = 16
+#: The share of pairs right at the threshold that the passes are to meet, the fewest passes, and how many times as crowded as evenly
+#: spread vectors the order may be.
+RECALL, LEAST_PASSES, CROWDING = 0.97, 4, 8
 HASHES = 40
 WINDOW = 256
 CHUNK = 1024
 
 
+def passes_for(largest: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
+    """Passes after which a pair at the threshold has met in a window with probability `recall`, in a label of so many vectors.
+
+    Two vectors at an angle t agree in a random sign with probability 1 - t / pi. They are window neighbours where they agree in so
+    many leading signs that the vectors that do are no more than the window holds, with room for uneven spread.
+    """
+    signs = max(0.0, math.log2(max(1.0, CROWDING * largest / window)))
+    met = (1 - math.acos(min(1.0, threshold)) / math.pi) ** signs
+    if met >= recall:
+        return LEAST_PASSES
+    return max(LEAST_PASSES, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, v) of the vectors that may link: label and id present, finite, not all zero."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("v", lambda x: x != 0)
-    doubles = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    doubles = vectors.select("vec_id", "label", F.col("embedding").alias("v"))
     present = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
     return doubles.where(present & ~bad & some)
 
@@ -58,7 +75,7 @@ def _grouped(groups, frames):
         yield current, pd.concat(waiting) if len(waiting) > 1 else waiting[0]
 
 
-def _window_links(threshold: float, window: int, hashes: int, seed: int, turn: int):
+def _window_links(threshold: float, window: int):
     """Compare a sorted run block by block with the block before it; each vector meets `window` neighbours at least."""
 
     def run(frames):
@@ -67,12 +84,12 @@ def _window_links(threshold: float, window: int, hashes: int, seed: int, turn: i
         last_key, last_x, last_ids = None, None, None
         waiting = 0
         for frame in frames:
-            for (label, width), part in frame.groupby(["label", "width"], sort=False):
+            for key, part in frame.groupby(["turn", "label", "width"], sort=False):
                 x_all, ids_all = _unit(part["v"]), part["vec_id"].to_numpy()
                 for at in range(0, len(ids_all), window):
                     x, ids = x_all[at : at + window], ids_all[at : at + window]
                     tail = x, ids
-                    if last_key == (label, width):
+                    if last_key == key:
                         x, ids = np.concatenate([last_x, x]), np.concatenate([last_ids, ids])
                     near = tail[0] @ x.T >= threshold
                     i, j = np.nonzero(near)
@@ -80,7 +97,7 @@ def _window_links(threshold: float, window: int, hashes: int, seed: int, turn: i
                     links_a.append(np.minimum(a, b)[a != b])
                     links_b.append(np.maximum(a, b)[a != b])
                     waiting += len(links_a[-1])
-                    last_key = (label, width)
+                    last_key = key
                     last_x, last_ids = x[-window:], ids[-window:]
             if waiting > 200_000:
                 yield _spanning(links_a, links_b)
@@ -152,7 +169,7 @@ def link_counts(members: DataFrame, threshold: float, chunk: int = CHUNK) -> Dat
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = THRESHOLD,
-    passes: int = PASSES,
+    passes: int | None = None,
     hashes: int = HASHES,
     window: int = WINDOW,
     seed: int = 7,
@@ -161,7 +178,8 @@ def near_duplicates(
 
     Equal vectors of a label are compared once and counted as often as they occur. Null, zero, non-finite and
     unlabelled vectors link with nothing and stand for themselves; so does a row without an id (component_id null,
-    kept True). Vectors of different width are never compared.
+    kept True). Vectors of different width are never compared; repeated rows and ids are rows of their own. Other columns, whatever their
+    names, are not read. Without `passes` their number follows from the largest label, see `passes_for`.
     """
     fine = usable(vectors).withColumn("width", F.size("v"))
     # Equal vectors: one representative. Partial sums make a vector held by a third of the rows one row per task.
@@ -169,17 +187,17 @@ def near_duplicates(
         fine.groupBy("label", "width", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")),
         "vectors",
     )
-    links = None
-    for turn in range(passes):
-        key = F.pandas_udf(lambda v, t=turn: pd.Series(_batch_keys(v, hashes, seed, t)), "binary")
-        keyed = distinct.select("label", "width", "vec_id", "v", key("v").alias("key"))
-        order = ["label", "width", "key", "vec_id"]
-        run = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-        # The neighbours across a partition's edge are met in the other passes, which cut elsewhere.
-        found = run.select("label", "width", "vec_id", "v").mapInPandas(
-            _window_links(threshold, window, hashes, seed, turn), "a long, b long"
-        )
-        links = found if links is None else links.unionAll(found)
+    if passes is None:
+        largest = distinct.groupBy("label", "width").count().agg(F.max("count")).first()[0]
+        passes = passes_for(largest or 0, threshold, window)
+    # All passes in one order: a vector once per pass, in the type it came in.
+    turns = F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("turn")
+    key = F.pandas_udf(lambda v, turn: pd.Series(_batch_keys(v, turn, hashes, seed)), "binary")
+    order = ["turn", "label", "width", "key", "vec_id"]
+    keyed = distinct.select(turns, "label", "width", "vec_id", "v").withColumn("key", key("v", "turn"))
+    run = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The neighbours across a partition's edge are met in the other passes, which cut elsewhere.
+    links = run.select("turn", "label", "width", "vec_id", "v").mapInPandas(_window_links(threshold, window), "a long, b long")
     grouped = components(links, "vector-components")
     members = distinct.join(grouped.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     members = members.withColumn("component", F.coalesce("component", "vec_id"))
@@ -188,7 +206,7 @@ def near_duplicates(
     known = members.join(counted, "vec_id", "left").select(
         "label", "width", "v", "component", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    rows = vectors.select("vec_id", "label", F.col("embedding").alias("v"))
     rows = rows.withColumn("width", F.size("v"))
     return rows.join(known, ["label", "width", "v"], "left").select(
         "vec_id",
@@ -198,11 +216,10 @@ def near_duplicates(
     )
 
 
-def _batch_keys(v, hashes, seed, turn):
+def _batch_keys(v: pd.Series, turn: pd.Series, hashes: int, seed: int) -> list[bytes]:
     out = [b""] * len(v)
-    widths = v.map(len)
-    for _, part in v.groupby(widths, sort=False):
-        for place, key in zip(v.index.get_indexer(part.index), _keys(_unit(part), hashes, seed, turn)):
+    for (t, _), part in v.groupby([turn.to_numpy(), v.map(len).to_numpy()], sort=False):
+        for place, key in zip(v.index.get_indexer(part.index), _keys(_unit(part), hashes, seed, int(t))):
             out[place] = key
     return out
 

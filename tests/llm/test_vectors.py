@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tenura.llm import neardup, topk
 
@@ -133,5 +134,39 @@ def test_near_duplicates_recall_on_the_table(spark, folder):
     assert truth == 0 or sum(found.values()) >= 0.9 * truth
 
 
+def planted(n, pairs, cosine, seed=0, shared=0.0, width=64):
+    """Vectors of one label with pairs at the given cosine; `shared` is the cosine between any two others."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal(width)
+    base /= np.linalg.norm(base)
+    x = rng.standard_normal((n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.sqrt(shared) * base + np.sqrt(1 - shared) * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(pairs):
+        other = rng.standard_normal(width)
+        other -= other @ x[2 * i] * x[2 * i]
+        x[2 * i + 1] = cosine * x[2 * i] + np.sqrt(1 - cosine**2) * other / np.linalg.norm(other)
+    return x
+
+
+@pytest.mark.parametrize("shared", [0.0, 0.5])
+def test_planted_pairs_far_beyond_the_window_are_found(spark, shared):
+    """Pairs just above the threshold in a label many times as large as the window, with as many passes as it asks for."""
+    x = planted(12_000, 500, 0.933, shared=shared)
+    order = np.random.default_rng(1).permutation(len(x))
+    rows = [(int(i), [float(c) for c in x[k]], 1, "") for i, k in enumerate(order)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    links = int((np.triu(x[order] @ x[order].T, 1) >= 0.93).sum())
+    found = neardup.near_duplicates(df, window=32).agg(F.sum("n_links")).first()[0] // 2
+    assert links >= 500 and links * 0.95 <= found <= links
+
+
+def test_more_vectors_ask_for_more_passes():
+    asked = [neardup.passes_for(n) for n in (0, 10, 5_000, 10**6, 10**9)]
+    assert asked == sorted(asked) and asked[0] == neardup.LEAST_PASSES and asked[-1] > 2 * asked[2]
+    assert neardup.passes_for(10**6, 0.99) < neardup.passes_for(10**6, 0.93) < neardup.passes_for(10**6, 0.8)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA), passes=2).collect() == []
