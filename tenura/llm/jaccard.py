@@ -40,7 +40,8 @@ BITMAP = 1 << 24
 PAIRS = 100_000
 #: Characters whose shingles are held at a time.
 SLICE = 400_000
-BITS = 2048
+#: Bits of a set's bitmap: four for each shingle, rounded up to a power of two between these. A full bitmap would rule out nothing.
+BITS, MOST_BITS = 1 << 11, 1 << 18
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -305,17 +306,30 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def _bitmap(shingles: np.ndarray) -> np.ndarray:
-    marks = np.zeros(BITS, np.uint8)
-    marks[(shingles.view(np.uint64) >> np.uint64(40)) % np.uint64(BITS)] = 1
+    size = min(MOST_BITS, max(BITS, 1 << (4 * len(shingles) - 1).bit_length()))
+    marks = np.zeros(size, np.uint8)
+    marks[(shingles.view(np.uint64) >> np.uint64(40)) & np.uint64(size - 1)] = 1
     return np.packbits(marks).view(np.int64)
 
 
+def _folded(bits, other):
+    """A bitmap as one of half its length, where the other is that short."""
+    n = F.size(other)
+    halves = F.zip_with(F.slice(bits, 1, n), F.slice(bits, n + 1, n), lambda x, y: x.bitwiseOR(y))
+    return F.when(F.size(bits) == 2 * n, halves).otherwise(bits)
+
+
 def allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that their bitmaps do not rule out: differing bits are at most the differing shingles."""
+    """The pairs (a, b, na, nb) that their bitmaps do not rule out: differing bits are at most the differing shingles.
+
+    Sizes of pairs that can link differ by less than a factor of two, and so do their bitmaps; others are not compared.
+    """
     left = sets.select(F.col("id").alias("a"), F.col("bits").alias("_x"))
     right = sets.select(F.col("id").alias("b"), F.col("bits").alias("_y"))
     both = pairs.join(left, "a").join(right, "b")
-    apart = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = both.withColumns({"_x": _folded(F.col("_x"), F.col("_y")), "_y": _folded(F.col("_y"), F.col("_x"))})
+    bits = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = F.when(F.size("_x") == F.size("_y"), bits).otherwise(0)
     total = F.col("na").cast("long") + F.col("nb")
     # overlap <= (na + nb - apart) / 2, and a link needs (100 + percent) * overlap >= percent * (na + nb)
     return both.where((100 + percent) * (total - apart) >= 2 * percent * total).select("a", "b", "na", "nb").distinct()

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from tenura.llm import jaccard
+from tenura.llm import hashing, jaccard
 
 SCHEMA = "doc_id long, text string, n int, id long, component string"
 
@@ -112,3 +112,43 @@ def test_bounds_are_exact():
             assert jaccard.needed(n, m) == least
             if least <= n:
                 assert least >= n - jaccard.prefix_length(n) + 1 and least >= m - jaccard.prefix_length(m) + 1
+
+
+def test_bitmaps_rule_out_no_link_and_most_others(spark):
+    """Bitmaps grow with the sets; those of a pair may differ in length."""
+    rng = np.random.default_rng(3)
+    sets, pairs, links = {}, [], set()
+    for k, n in enumerate((3, 200, 500, 512, 513, 1000, 1030, 4000, 8200)):
+        base = rng.integers(0, 1 << 63, 2 * n, dtype=np.int64)
+        near = np.concatenate([base[: n - n // 12], rng.integers(0, 1 << 63, n // 20, dtype=np.int64)])
+        for j, x in enumerate((base[:n], near, base[n // 2 : n // 2 + n])):
+            sets[3 * k + j] = np.unique(x)
+        for a, b in ((0, 1), (0, 2), (1, 2)):
+            x, y = sets[3 * k + a], sets[3 * k + b]
+            pairs.append((3 * k + a, 3 * k + b, len(x), len(y)))
+            if 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y)):
+                links.add(pairs[-1][:2])
+    bits = [(k, jaccard._bitmap(x).tolist()) for k, x in sets.items()]
+    assert len(bits[0][1]) == 2048 // 64 and len(bits[-3][1]) == 65536 // 64
+    found = jaccard.allowed(
+        spark.createDataFrame(pairs, "a long, b long, na int, nb int"), spark.createDataFrame(bits, "id long, bits array<long>"), 85
+    )
+    left = {(r.a, r.b) for r in found.collect()}
+    assert links and links <= left and len(left - links) <= 2
+    uneven = [p[:2] for p in pairs if len(bits[p[0]][1]) != len(bits[p[1]][1])]
+    assert uneven
+
+
+def test_one_very_long_text(spark):
+    long = " ".join(f"w{i % 90001}" for i in range(400_000))
+    rows = [(1, long), (2, long + " end"), (3, "w1 w2 w3 w4 w5 w6"), (4, "x" * 3_000_000)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1][1] == found[2][1] == 1 and found[3][1] == 3 and found[4] == (1, 4)
+
+
+def test_windows_hash_like_one(monkeypatch):
+    text = "Ab cd\tef  " * 300 + "long" * 500 + " end é "
+    whole = hashing.words_of(np.frombuffer(text.encode(), np.uint8))
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(hashing, "WINDOW", size)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, hashing.words_of(np.frombuffer(text.encode(), np.uint8))))
