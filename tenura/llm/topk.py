@@ -16,6 +16,8 @@ from tenura.llm.common import keep, ranked, table
 
 K = 5
 QUERY_BLOCK = 1024
+#: Queries that are searched for in one pass over the rows.
+ROUND = 1 << 15
 ROW_BLOCK = 4096
 DIM_BLOCK = 16
 SCALE = 256
@@ -91,94 +93,79 @@ def search_block(query_ids, queries, ids, columns, best: _Best, dim_block: int =
     return work
 
 
-def search_dealt(frames, k: int, row_block: int):
-    """The k best of every query over the rows of each (block, lane), whose queries come first.
+def query_blocks(queries: pd.DataFrame, query_block: int = QUERY_BLOCK) -> list[tuple]:
+    """(ids, places, columns) of blocks of numbered queries of one width each, dimension by dimension."""
+    out = []
+    for _, part in queries.groupby(queries["v"].map(len), sort=True):
+        for at in range(0, len(part), query_block):
+            own = part.iloc[at : at + query_block]
+            columns = np.ascontiguousarray(np.array(own["v"].tolist(), np.int64).T)
+            out.append((own["vec_id"].to_numpy(), own["rank"].to_numpy(), columns))
+    return out
 
-    A query is named by its place, the same in every lane: neither the order in which queries arrive nor their ids, which
-    may repeat, tell lanes which results belong together.
+
+def search_rows(frames, blocks: list[tuple], k: int, row_block: int):
+    """The k best of every query over the rows of one task.
+
+    A query is named by its place, the same in every task: its id may repeat.
     """
-    current, own, waiting, best = None, {}, {}, {}
+    best = [_Best(len(ids), k) for ids, _, _ in blocks]
+    waiting: dict[int, tuple[list, list]] = {}
 
     def search(width):
-        ids, vectors, _ = waiting.pop(width)
-        if width in own:
-            columns = np.ascontiguousarray(np.array(vectors, np.int64).T)
-            query_ids, query_columns, _ = own[width]
-            if isinstance(query_columns, list):
-                query_columns = np.ascontiguousarray(np.array(query_columns, np.int64).T)
-                own[width] = query_ids, query_columns, own[width][2]
-                best[width] = _Best(len(query_ids), k)
-            search_block(np.array(query_ids), query_columns, np.array(ids), columns, best[width])
-
-    def finish():
-        for width in list(waiting):
-            search(width)
-        for width, found in best.items():
-            n = [len(x) for x in found.score]
-            yield pd.DataFrame(
-                {
-                    "block": current[0],
-                    "width": width,
-                    "place": np.repeat(np.array(own[width][2], np.int64), n),
-                    "query_id": np.repeat(np.array(own[width][0], np.int64), n),
-                    "vec_id": np.concatenate(found.ids),
-                    "score": np.concatenate(found.score),
-                }
-            )
-        for state in (own, waiting, best):
-            state.clear()
+        ids, vectors = waiting.pop(width)
+        ids, columns = np.array(ids), np.ascontiguousarray(np.array(vectors, np.int64).T)
+        for (query_ids, _, query_columns), own in zip(blocks, best):
+            if len(query_columns) == width:
+                search_block(query_ids, query_columns, ids, columns, own)
 
     for frame in frames:
-        for row in frame.itertuples(index=False):
-            if (row.block, row.lane) != current:
-                yield from finish()
-                current = row.block, row.lane
-            ids, vectors, places = (waiting if row.side else own).setdefault(len(row.v), ([], [], []))
-            ids.append(row.vec_id)
-            vectors.append(row.v)
-            places.append(row.place)
-            if row.side and len(ids) == row_block:
-                search(len(row.v))
-    yield from finish()
-
-
-def top_k(queries: DataFrame, rows: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK):
+        for vec_id, v in zip(frame["vec_id"].tolist(), frame["v"]):
+            ids, vectors = waiting.setdefault(len(v), ([], []))
+            ids.append(vec_id)
+            vectors.append(v)
+            if len(ids) == row_block:
+                search(len(v))
+    for width in list(waiting):
+        search(width)
+    for (query_ids, places, _), found in zip(blocks, best):
+        n = [len(x) for x in found.score]
+        columns = {"place": np.repeat(places, n), "query_id": np.repeat(query_ids, n)}
+        yield pd.DataFrame(columns | {"vec_id": np.concatenate(found.ids), "score": np.concatenate(found.score)}).astype("int64")
+
+
+def top_k(
+    queries: DataFrame, rows: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK, round_: int = ROUND
+) -> DataFrame:
     """(query_id, rank, vec_id, score): for every query its k rows of highest integer inner product.
 
     Both sides come from `quantised`. A query meets all rows of its width but those with its own id; fewer than k rows
-    give fewer results; an empty side gives none. Repeated rows count as rows of their own.
+    give fewer results; an empty side gives none. Repeated rows count as rows of their own, and ties go to the smaller id. Rows
+    without an id take no part. Components beyond 2 ** 63 / `SCALE` saturate, and sums of products wrap around beyond 64 bits, as
+    longs do. Columns of other names are not read.
 
-    Queries are numbered and cut into blocks; every row is dealt to every block. A task reads a block's queries first,
-    then streams its rows, so it holds one query block, one row block and k results per query. While there are few
-    query blocks, each is shared by several tasks (salt), which see a part of the rows each.
+    Queries are numbered and taken in rounds of a fixed number, sent to every executor as blocks. Rows stay where they are
+    scanned: a task holds the blocks, one block of rows and k results per query, and only those results are shuffled.
     """
     spark = rows.sparkSession
     numbered = ranked(keep(queries, "queries"), ["vec_id"], "queries-sorted")
-    numbered = numbered.withColumn("block", F.floor(F.col("rank") / query_block).cast("int"))
-    blocks = -(-numbered.count() // query_block)
-    lanes = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, blocks)))
-    left = numbered.select(
-        "block",
-        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"),
-        F.lit(0).alias("side"),
-        F.col("rank").alias("place"),
-        "vec_id",
-        "v",
-    )
-    lane = F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).cast("int")
-    right = rows.select("vec_id", "v", lane.alias("lane"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias("block")
-    right = right.select(every, "lane", F.lit(1).alias("side"), F.lit(0).cast("long").alias("place"), "vec_id", "v")
-    dealt = left.unionByName(right).repartition("block", "lane").sortWithinPartitions("block", "lane", "side", "place")
-
-    shape = "block int, width int, place long, query_id long, vec_id long, score long"
-    order = Window.partitionBy("block", "width", "place", "query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        dealt.mapInPandas(lambda frames: search_dealt(frames, k, row_block), shape)
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    )
+    total = numbered.count()
+    shape = "place long, query_id long, vec_id long, score long"
+    order = Window.partitionBy("place").orderBy(F.desc("score"), "vec_id")
+    found = None
+    for first in range(0, max(total, 1), round_):
+        own = numbered.where(F.col("rank").between(first, first + round_ - 1)).select("vec_id", "v", "rank")
+        blocks = spark.sparkContext.broadcast(query_blocks(own.toPandas(), query_block))  # `round_` vectors at most
+
+        def search(frames, blocks=blocks):
+            return search_rows(frames, blocks.value, k, row_block)
+
+        best = rows.select("vec_id", "v").mapInPandas(search, shape).withColumn("rank", F.row_number().over(order))
+        best = best.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        best = keep(best, "best")
+        blocks.unpersist()
+        found = best if found is None else found.unionAll(best)
+    return found
 
 
 def query(spark, folder: str) -> DataFrame:

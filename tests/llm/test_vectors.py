@@ -68,17 +68,15 @@ def test_top_k_bounds_prune_and_large_values_stay_exact():
     assert best.score[0].tolist() == [1_000_000_007 * 3_000_000_001, 1_000_000_007 * 3_000_000_000, -5_000_000_035]
 
 
-def test_lanes_name_a_query_alike_in_whatever_order_it_arrives():
+def test_tasks_name_a_query_alike_and_ids_may_occur_twice():
     rng = np.random.default_rng(4)
     vectors = rng.integers(-99, 99, (40, 6))
-    places = [(100, 7), (101, 3), (102, 9), (103, 3)]  # place and id; an id may occur twice
-    parts = []
-    for lane, order in enumerate(([0, 1, 2, 3], [2, 0, 3, 1])):
-        for i in order:
-            parts.append((0, lane, 0, places[i][0], places[i][1], vectors[i].tolist()))
-        parts += [(0, lane, 1, 0, 1000 + j, vectors[j].tolist()) for j in range(lane, 40, 2)]
-    frame = pd.DataFrame(parts, columns=["block", "lane", "side", "place", "vec_id", "v"])
-    found = pd.concat(topk.search_dealt([frame[:30], frame[30:]], 5, 8))
+    places = [(100, 7), (101, 3), (102, 9), (103, 3)]  # place and id
+    queries = pd.DataFrame([(key, place, vectors[i].tolist()) for i, (place, key) in enumerate(places)], columns=["vec_id", "rank", "v"])
+    blocks = topk.query_blocks(queries, 3)
+    assert [len(ids) for ids, *_ in blocks] == [3, 1]
+    rows = pd.DataFrame([(1000 + j, v.tolist()) for j, v in enumerate(vectors)], columns=["vec_id", "v"])
+    found = pd.concat([x for task in (0, 1) for x in topk.search_rows([rows[task::2][:9], rows[task::2][9:]], blocks, 5, 8)])
     assert set(zip(found["place"], found["query_id"])) == set(places)
     for i, (place, _) in enumerate(places):
         own = found[found["place"] == place].sort_values(["score", "vec_id"], ascending=[False, True])[:5]
@@ -86,6 +84,15 @@ def test_lanes_name_a_query_alike_in_whatever_order_it_arrives():
         assert list(zip(-own["score"], own["vec_id"])) == scores
 
 
+def test_rounds_of_queries_give_what_one_gives(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.standard_normal(5)], 1, "") for i in range(300)] + [(None, [1.0] * 5, 1, ""), (40, [0.5] * 5, 1, "")]
+    vectors = topk.quantised(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    queries = vectors.where("vec_id % 20 = 0")
+    one = sorted(map(tuple, topk.top_k(queries, vectors).collect()))
+    assert len(one) == 16 * 5 and one == sorted(map(tuple, topk.top_k(queries, vectors, query_block=3, round_=4).collect()))
+
+
 def test_top_k_of_nothing(spark):
     empty = topk.quantised(spark.createDataFrame([], SCHEMA))
     assert topk.top_k(empty, empty).collect() == []
