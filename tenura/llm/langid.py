@@ -36,6 +36,8 @@ BACKGROUND = "\0"
 SCRIPTS = [(0xC0, 0x250), (0x370, 0x400), (0x400, 0x530), (0x5D0, 0x6D4), (0x900, 0xDF0), (0xE00, 0xE50), (0x3041, 0x30FF), (0x4E00, 0x9FA0), (0xAC00, 0xD7A0)]
 #: Documents of fewer words say little about what scores are usual.
 LEAST_WORDS = 10
+#: Bytes that count as a word where a script has no spaces.
+WORD_BYTES = 12
 
 
 def pieces(word: bytes, longest: int) -> list[bytes]:
@@ -282,28 +284,31 @@ class Pool:
         self.network = network
         self.place: dict[bytes, int] = {}
         self.scores = np.zeros((0, len(network.languages)), np.float32)
+        self.sizes = np.zeros(0, np.int64)
 
     def documents(self, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
-        """Language, score and number of words of every text."""
+        """Language, score and number of words of every text; a long word counts as one for each `WORD_BYTES` bytes."""
         names, probabilities, counts = [], [], []
         for start, end in slices(texts):
             lists = [letter_words(t) if t else [] for t in texts[start:end]]
             new = set().union(*lists).difference(self.place)
             if len(self.place) + len(new) > CACHE_WORDS:
-                self.place, self.scores = {}, self.scores[:0]
+                self.place, self.scores, self.sizes = {}, self.scores[:0], self.sizes[:0]
                 new = set().union(*lists)
             if new:
                 new = list(new)
                 self.place.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
                 self.scores = np.concatenate([self.scores, self.network.word_scores(new)])
+                self.sizes = np.concatenate([self.sizes, [-(-len(w) // WORD_BYTES) for w in new]])
             for text, words in zip(texts[start:end], lists):
-                counts.append(len(words))
                 if not words or not has_letter(text):
                     # Letters outside the words cannot occur; without any letter the language is undetermined.
                     names.append(UNKNOWN)
                     probabilities.append(0.0)
+                    counts.append(0)
                     continue
                 at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+                counts.append(int(self.sizes[at].sum()))
                 own = self.scores[at].astype(np.float64)
                 best = int(own.sum(0)[: self.network.learned].argmax())
                 share = np.exp(own - own.max(1, keepdims=True))
