@@ -123,6 +123,9 @@ def document_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Documents by language, source and length: doc_id, size, text_crc32, hilbert, shard, slot.
 
     Size is the text's UTF-8 bytes plus 8; a null text counts as none and has the checksum 0, as an empty one.
+
+    Equal texts with equal language and source take neighbouring places: one run of the order, cut only where a shard is full. Equal
+    texts with other metadata lie where that puts them, possibly in other shards: the curve is one of metadata, not of texts.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(

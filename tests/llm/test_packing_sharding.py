@@ -149,6 +149,17 @@ def test_shards_keep_their_law(spark):
     assert order == sorted(order)
 
 
+def test_equal_texts_of_equal_metadata_are_one_run(spark):
+    rows = [(i, f"text number {i}", ["en", "de"][i % 2], f"src{i % 5}", 1, 1, 2) for i in range(240)]
+    rows += [(1000 + i, "one text held by many", "en", "src1", 1, 1, 2) for i in range(120)]
+    rows += [(2000 + i, "one text held by many", "fr", "src4", 1, 1, 2) for i in range(6)]
+    found = sorted(sharding.document_shards(spark.createDataFrame(rows, DOCS)).collect(), key=lambda r: (r.shard, r.slot))
+    for low, high in ((1000, 2000), (2000, 3000)):
+        places = [i for i, r in enumerate(found) if low <= r.doc_id < high]
+        assert places == list(range(places[0], places[0] + len(places)))
+    assert len({r.shard for r in found if 1000 <= r.doc_id < 2000}) <= -(-120 // (366 // 24)) + 1
+
+
 def test_few_rows_and_none(spark):
     few = sharding.document_shards(spark.createDataFrame([(1, "a", "en", "s", 1, 1, 2)] * 3, DOCS)).collect()
     assert sorted((r.shard, r.slot) for r in few) == [(0, 0), (1, 0), (2, 0)]
