@@ -13,20 +13,21 @@ node is small its rows go to one task that grows the rest; both ways choose the
 
 from __future__ import annotations
 
+import base64
 import json
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.functions.bits import ordered_bits
-from tenura.session import new_path
+from tenura.session import new_path, slots
 
 BINS = 64
 #: Rows of a block, and of a task; few rows train in few tasks.
@@ -35,10 +36,12 @@ BLOCK_ROWS = 1 << 13
 LOCAL_ROWS = 1 << 16
 #: Whole numbers are counted in units of 2 ** -SHIFT of a value of order 1.
 SHIFT = 30
-#: Rounds whose trees are applied on the fly before margins are stored again.
-FRESH = 8
-#: Numbers that the histograms of one pass may hold.
-PASS_CELLS = 1 << 23
+#: Blocks of a boosting task, where there are cores enough.
+TASK_BLOCKS = 16
+#: Rows that a task looks at together.
+CHUNK_ROWS = 1 << 17
+#: Combinations of bins that several features may be counted by at once.
+JOINT_CELLS = 1 << 11
 
 
 def mix(x: np.ndarray, *salts: int) -> np.ndarray:
@@ -153,6 +156,20 @@ def unpacked(row, features: int) -> Block:
     )
 
 
+def _chunked(parts: list[Block], rows: int) -> Iterable[Block]:
+    """Blocks joined to about so many rows each."""
+    held, n = [], 0
+    for i, part in enumerate(parts):
+        held.append(part)
+        n += len(part.label)
+        if n >= rows or i + 1 == len(parts) or n + len(parts[i + 1].label) > rows:
+            yield Block(
+                np.ascontiguousarray(np.concatenate([p.bins for p in held], axis=1)),
+                *[np.concatenate([getattr(p, name) for p in held]) for name in ("label", "fold", "key")],
+            )
+            held, n = [], 0
+
+
 # Trees
 
 
@@ -215,18 +232,18 @@ class Rules:
         return t / (h + self.l2) if h + self.l2 > 0 else 0.0
 
 
-def best_splits(sums: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, rules: Rules, unit: float):
+def best_splits(sums: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, rules: Rules, unit: float, total: np.ndarray | None = None):
     """(feature, cut, gain, left sums, totals) of each node from its histogram; feature -1 where no split is good.
 
     `sums` is nodes x cells x (g, h, rows) in whole numbers, the features' cells side by side; `allowed` nodes x features. Ties go to the
-    first feature and the lowest bin.
+    first feature and the lowest bin. Without `total` the nodes' totals are those of the first feature.
     """
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     run = np.cumsum(sums, axis=1)
     before = np.where((starts > 0)[None, :, None], run[:, starts - 1], 0)
     left = run - before[:, owner]
-    total = run[:, sizes[0] - 1][:, None]
+    total = run[:, sizes[0] - 1][:, None] if total is None else total[:, None]
     right = total - left
     gl, hl, gr, hr, gt, ht = (x[..., i] * unit for x in (left, right, total) for i in (0, 1))
     gain = rules.worth(gl, hl) + rules.worth(gr, hr) - rules.worth(gt, ht)
@@ -256,6 +273,56 @@ def summed(bins: np.ndarray, slot: np.ndarray, slots: int, sizes: np.ndarray, st
     return out
 
 
+def bundled(sizes: np.ndarray, cells: int) -> list[list[int]]:
+    """Features in groups whose bins together have at most so many combinations; a larger feature stands alone."""
+    groups: list[tuple[int, list[int]]] = []
+    for f in np.argsort(-sizes, kind="stable").tolist():
+        for i, (n, own) in enumerate(groups):
+            if n * int(sizes[f]) <= cells:
+                groups[i] = n * int(sizes[f]), [*own, f]
+                break
+        else:
+            groups.append((int(sizes[f]), [f]))
+    return [own for _, own in groups]
+
+
+def joint_bins(bins: np.ndarray, sizes: np.ndarray, group: list[int]) -> np.ndarray:
+    """One number per row for its bins of a group's features."""
+    code = np.zeros(bins.shape[1], np.int16)
+    for f in group:
+        code = code * np.int16(sizes[f]) + bins[f]
+    return code
+
+
+def summed_jointly(pieces, slots: int, sizes: np.ndarray, groups: list[list[int]], used: np.ndarray, counted: bool) -> np.ndarray:
+    """Histograms of the used features, slots x cells x statistics, of pieces (joint bins per group, slots, statistics).
+
+    Rows are counted once per group; a feature's own sums are those over the other features of its group. With `counted` the rows are the last
+    statistic.
+    """
+    starts = dict(zip(used.tolist(), np.concatenate([[0], np.cumsum(sizes[used])]).tolist()))
+    width = len(pieces[0][2]) + counted if pieces else 0
+    out = np.zeros((slots, int(sizes[used].sum()), width), np.int64)
+    for i, group in enumerate(groups):
+        wanted = [f for f in group if f in starts]
+        if not wanted:
+            continue
+        cells = int(np.prod(sizes[group]))
+        tables = np.zeros((width, slots * cells), np.int64)
+        for codes, own, stats in pieces:
+            place = own * cells + codes[i]
+            for k, s in enumerate(stats):
+                tables[k] += np.bincount(place, s, slots * cells).astype(np.int64)
+            if counted:
+                tables[-1] += np.bincount(place, minlength=slots * cells)
+        for f in wanted:
+            at = group.index(f)
+            after = int(np.prod(sizes[group[at + 1 :]]))
+            split = tables.reshape(width, slots, -1, int(sizes[f]), after).sum(axis=(2, 4))
+            out[:, starts[f] : starts[f] + int(sizes[f])] = split.transpose(1, 2, 0)
+    return out
+
+
 def drawn_columns(places: np.ndarray, features: int, take: int, *salts: int) -> np.ndarray:
     """For each node `take` features, by a hash: nodes x features."""
     order = mix(places.astype(np.uint64)[:, None] * np.uint64(1 << 12) + np.arange(features, dtype=np.uint64)[None, :], *salts)
@@ -295,52 +362,39 @@ def _gradients(block: Block, margin: np.ndarray, fit: Fit, boost: Boosting) -> t
     return block.label / boost.scale - margin, np.ones(len(margin))
 
 
-def _margins(block: Block, pending: list[list[Tree]]) -> np.ndarray:
-    margin = block.margin.copy()
-    for trees in pending:
-        for m, tree in enumerate(trees):
-            margin[m] += tree.value[tree.nodes_of(block.bins)]
-    return margin
-
-
-def _level(block: Block, pending, trees: list[Tree], wanted: list[np.ndarray], fits: list[Fit], sizes, boost: Boosting, t: int) -> list[np.ndarray]:
-    """Of one block, per fit the histograms of the wanted nodes."""
-    margin = _margins(block, pending)
-    drawn = mix(block.key, boost.seed, t, 1) < np.uint64(int(boost.rows * float(1 << 63)) * 2 - 1)
-    out = []
-    for m, (tree, nodes, fit) in enumerate(zip(trees, wanted, fits)):
-        slots = np.full(len(tree.feature), -1)
-        slots[nodes] = np.arange(len(nodes))
-        slot = slots[tree.nodes_of(block.bins)]
-        slot[~drawn | (block.fold == fit.left_out if fit.left_out is not None else False)] = -1
-        g, h = _gradients(block, margin[m], fit, boost)
-        whole = [np.rint(x * (1 << SHIFT)) for x in (g, h)]
-        out.append(summed(block.bins, slot, len(nodes), sizes, whole))
-    return out
-
-
-def _added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    total = parts[0]
-    for part in parts[1:]:
-        total = [a + b for a, b in zip(total, part)]
+@dataclass
+class _Chunk:
+    """Rows of a task with their joint bins, and per fit the margin, the node come to, and whole-number g and h."""
+
+    block: Block
+    codes: list[np.ndarray]
+    at: np.ndarray
+    inside: np.ndarray
+    whole: list[list[np.ndarray]]
+
+    def route(self, m: int, tree: Tree) -> None:
+        """Rows on a node that was split go on to its children."""
+        at, bins = self.at[m], self.block.bins
+        f = tree.feature[at]
+        rows = np.flatnonzero(f >= 0)
+        own = at[rows]
+        cell = bins.ravel().take(f[rows] * bins.shape[1] + rows)
+        at[rows] = tree.left[own] + (cell > tree.cut[own])
+
+
+def _exchanged(part: np.ndarray) -> np.ndarray:
+    """The sum of all tasks' whole numbers, known to each of them."""
+    texts = BarrierTaskContext.get().allGather(base64.b64encode(part.tobytes()).decode("ascii"))
+    total = np.zeros_like(part)
+    for text in texts:
+        total += np.frombuffer(base64.b64decode(text), np.int64).reshape(part.shape)
     return total
 
 
-def _refreshed(block: Block, pending: list[list[Tree]]) -> Block:
-    return Block(block.bins, block.label, block.fold, block.key, _margins(block, pending))
-
-
-def _began(row, features: int, base: np.ndarray) -> Block:
-    block = unpacked(row, features)
-    block.margin = np.repeat(base[:, None], len(block.label), axis=1)
-    return block
-
-
-def _split_all(tree: Tree, sums: dict[int, np.ndarray], sizes, allowed: np.ndarray, rules: Rules, unit: float, rate: float):
-    """Split the nodes whose histograms are given; of each split (node, rows of its left child, rows of its right one)."""
-    nodes = sorted(sums)
-    feature, cut, gain, left, total = best_splits(np.stack([sums[n] for n in nodes]), sizes, allowed, rules, unit)
-    found = []
+def _split_all(tree: Tree, nodes: list[int], found: tuple, rules: Rules, unit: float, rate: float) -> list[tuple[int, int, int]]:
+    """Split nodes by what `best_splits` found; of each split (node, rows of its left child, rows of its right one)."""
+    feature, cut, gain, left, total = found
+    done = []
     for i, node in enumerate(nodes):
         tree.value[node] = rate * rules.value(total[i, 0] * unit, total[i, 1] * unit)
         tree.cover[node] = total[i, 1] * unit
@@ -350,58 +404,119 @@ def _split_all(tree: Tree, sums: dict[int, np.ndarray], sizes, allowed: np.ndarr
         for child, part in ((at, left[i]), (at + 1, total[i] - left[i])):
             tree.value[child] = rate * rules.value(part[0] * unit, part[1] * unit)
             tree.cover[child] = part[1] * unit
-        found.append((node, int(left[i, 2]), int(total[i, 2] - left[i, 2])))
-    return found
-
-
-def boosted(packed: DataFrame, sizes: np.ndarray, fits: list[Fit], boost: Boosting) -> list[list[Tree]]:
-    """The trees of every fit, in order. Each level of all fits' trees is one job over the blocks.
-
-    The loop runs on an RDD of blocks: a job is a plain map over what is in memory, without a query to plan, which would be most
-    of the time of a small job. Margins are stored anew every `FRESH` rounds; until then new trees are applied on the
-    fly. A lost block and its margins are made again from the stored table and the trees.
-    """
-    features = len(sizes)
-    data = packed.rdd.map(partial(_began, features=features, base=np.array([f.base for f in fits]))).persist()
+        done.append((node, int(left[i, 2]), int(total[i, 2] - left[i, 2])))
+    return done
+
+
+def _boosted_here(parts: list[Block], sizes: np.ndarray, fits: list[Fit], boost: Boosting, exchanged) -> list[list[Tree]]:
+    """The trees of every fit, grown from a task's rows and, by `exchanged`, the sums of all other tasks."""
+    rules, unit, features = boost.rules, 1.0 / (1 << SHIFT), len(sizes)
+    heaviest = max(1.0, *(f.positive_weight for f in fits)) if boost.logistic else 1.0
+    step = min(CHUNK_ROWS, max(BLOCK_ROWS, int((1 << 21) / heaviest)))  # sums within a chunk stay below 2 ** 53
+    groups = bundled(sizes, min(JOINT_CELLS, sum(len(b.label) for b in parts) // 8))
+    chunks = []
+    for block in _chunked(parts, step):
+        n = len(block.label)
+        block.margin = np.repeat(np.array([f.base for f in fits])[:, None], n, axis=1)
+        codes = [joint_bins(block.bins, sizes, g) for g in groups]
+        chunks.append(_Chunk(block, codes, np.zeros((len(fits), n), np.int32), np.zeros((len(fits), n), bool), [[] for _ in fits]))
+    # Rows need no sums of their own where sums of h imply them: h is 1 a row, or a split's least weight leaves a row on either side.
+    counted = not boost.logistic or rules.least_weight <= 0 or rules.least_leaf > 1 or rules.least_split > 2
+    stats = 2 + (boost.logistic and counted)
     grown: list[list[Tree]] = [[] for _ in fits]
-    pending: list[list[Tree]] = []
-    unit = 1.0 / (1 << SHIFT)
-    many = data.getNumPartitions() > 64
     take = max(1, int(boost.columns * features))
     for t in range(boost.rounds):
         trees = [Tree.stump() for _ in fits]
-        columns = drawn_columns(np.array([t]), features, take, boost.seed, 2)
+        used = np.flatnonzero(drawn_columns(np.array([t]), features, take, boost.seed, 2)[0])
+        for c in chunks:
+            drawn = mix(c.block.key, boost.seed, t, 1) < np.uint64(int(boost.rows * float(1 << 63)) * 2 - 1)
+            c.at[:] = 0
+            for m, fit in enumerate(fits):
+                c.inside[m] = drawn & (c.block.fold != fit.left_out) if fit.left_out is not None else drawn
+                g, h = _gradients(c.block, c.block.margin[m], fit, boost)
+                c.whole[m] = [np.rint(x * (1 << SHIFT)) for x in ((g, h) if boost.logistic else (g,))]
         # Per fit (wanted node, its sibling, the parent's histogram); the root has no sibling.
         todo: list[list[tuple]] = [[(0, None, None)] for _ in fits]
-        for depth in range(boost.rules.depth):
-            wanted = [np.array([one for one, _, _ in own], np.int64) for own in todo]
-            level = partial(_level, pending=pending, trees=trees, wanted=wanted, fits=fits, sizes=sizes, boost=boost, t=t)
-            parts = data.map(level)
-            found = parts.treeReduce(lambda a, b: _added([a, b])) if many else _added(parts.collect())
+        for _ in range(rules.depth):
+            sums = []
+            for m, own in enumerate(todo):
+                total = np.zeros((len(own), int(sizes[used].sum()), stats), np.int64)
+                if own:
+                    slots = np.full(len(trees[m].feature), -1)
+                    slots[[one for one, _, _ in own]] = np.arange(len(own))
+                    rows = [(c, np.flatnonzero((slots[c.at[m]] >= 0) & c.inside[m])) for c in chunks]
+                    pieces = [([code[r] for code in c.codes], slots[c.at[m][r]], [x[r] for x in c.whole[m]]) for c, r in rows]
+                    total = summed_jointly(pieces, len(own), sizes, groups, used, counted)
+                sums.append(total)
+            flat = exchanged(np.concatenate([x.ravel() for x in sums]))
             for m, tree in enumerate(trees):
-                sums = {}
-                for (one, other, parent), own in zip(todo[m], found[m]):
-                    sums[one] = own
+                own, flat = flat[: sums[m].size].reshape(sums[m].shape), flat[sums[m].size :]
+                if boost.logistic:
+                    own = own if counted else own[..., [0, 1, 1]]
+                else:
+                    own = np.stack([own[..., 0], own[..., 1] << SHIFT, own[..., 1]], axis=-1)
+                known = {}
+                for (one, other, parent), x in zip(todo[m], own):
+                    known[one] = x
                     if other is not None:
-                        sums[other] = parent - own
+                        known[other] = parent - x
                 todo[m] = []
-                if not sums:
+                if not known:
                     continue
-                allowed = np.repeat(columns, len(sums), axis=0)
-                for node, a, b in _split_all(tree, sums, sizes, allowed, boost.rules, unit, boost.rate):
+                nodes = sorted(known)
+                feature, *rest = best_splits(np.stack([known[n] for n in nodes]), sizes[used], np.ones((len(nodes), len(used)), bool), rules, unit)
+                for node, a, b in _split_all(tree, nodes, (np.where(feature < 0, -1, used[feature]), *rest), rules, unit, boost.rate):
                     at = int(tree.left[node])
-                    todo[m].append((at, at + 1, sums[node]) if a <= b else (at + 1, at, sums[node]))
+                    todo[m].append((at, at + 1, known[node]) if a <= b else (at + 1, at, known[node]))
+                if todo[m]:
+                    for c in chunks:
+                        c.route(m, tree)
             if not any(todo):
                 break
-        pending.append(trees)
         for m, tree in enumerate(trees):
             grown[m].append(tree)
-        if len(pending) == FRESH and t + 1 < boost.rounds:
-            data, old = data.map(partial(_refreshed, pending=pending)).persist(), data
-            data.count()
-            old.unpersist()
-            pending = []
-    data.unpersist()
+            for c in chunks:
+                c.block.margin[m] += tree.value[c.at[m]]
+    return grown
+
+
+#: Trees as rows: numbers of the fit and the tree, or of a group of rows, and the arrays as bytes.
+TREE_COLUMNS = "feature binary, cut binary, left binary, value binary, cover binary, gain binary, place binary"
+_KINDS = {"value": np.float64, "cover": np.float64, "gain": np.float64, "place": np.int64}
+
+
+def _packed_tree(tree: Tree) -> dict[str, bytes]:
+    return {n: getattr(tree, n).astype(_KINDS.get(n, np.int32)).tobytes() for n in Tree.__dataclass_fields__}
+
+
+def _unpacked_tree(row) -> Tree:
+    return Tree(**{n: np.frombuffer(row[n], _KINDS.get(n, np.int32)).astype(_KINDS.get(n, np.int64)) for n in Tree.__dataclass_fields__})
+
+
+def boosted(packed: DataFrame, sizes: np.ndarray, fits: list[Fit], boost: Boosting) -> list[list[Tree]]:
+    """The trees of every fit, in order, grown by one barrier job.
+
+    A task keeps its rows, with their margins and the nodes they have come to, for the whole fit, so a level costs one pass over
+    them. Tasks exchange the sums of a level and each of them takes the same splits from the total. Exchanged sums are as large as the
+    settings make them, whatever the rows; the driver gets the trees. More rows take more tasks, up to the cores there are.
+    """
+    features = len(sizes)
+    tasks = max(1, min(slots(packed.sparkSession), math.ceil(packed.count() / TASK_BLOCKS)))
+
+    def run(batches):
+        parts = [unpacked(row, features) for batch in batches for row in batch.to_pylist()]
+        grown = _boosted_here(parts, sizes, fits, boost, _exchanged if tasks > 1 else lambda part: part)
+        if BarrierTaskContext.get().partitionId() == 0:
+            for m, trees in enumerate(grown):
+                yield pa.RecordBatch.from_pylist([{"fit": m, **_packed_tree(t)} for t in trees], TREES)
+
+    grown: list[list[Tree]] = [[] for _ in fits]
+    shape = f"fit int, {TREE_COLUMNS}"
+    TREES = pa.schema([("fit", pa.int32()), *[(n, pa.binary()) for n in Tree.__dataclass_fields__]])
+    for row in packed.repartition(tasks).mapInArrow(run, shape, barrier=True).collect():  # the models
+        grown[row["fit"]].append(_unpacked_tree(row))
+    if not all(grown):
+        raise ValueError("no rows to learn from")
     return grown
 
 
@@ -436,15 +551,26 @@ def _weighed(label: np.ndarray, bag: np.ndarray, fit: Fit, scale: float) -> tupl
     return np.rint(w * (label / scale) * (1 << SHIFT)), np.rint(w * (1 << SHIFT))
 
 
-def _forest_level(block: Block, todo: list[tuple], fits: list[Fit], sizes, bagging: Bagging) -> list[np.ndarray]:
-    """Of one block the histograms of the wanted nodes of some trees (fit, tree number, tree, nodes)."""
-    out = []
-    for m, j, tree, nodes in todo:
-        bag = _bag(block, fits[m], bagging, m, j)
-        slots = np.full(len(tree.feature), -1)
-        slots[nodes] = np.arange(len(nodes))
+def _forest_sums(parts: list[Block], tree: Tree, nodes: np.ndarray, bags: list[np.ndarray], fit: Fit, sizes, allowed: np.ndarray, bagging: Bagging) -> np.ndarray:
+    """Histograms of a tree's wanted nodes; features that a node may not be split by are left at 0 where nodes differ in them."""
+    slots = np.full(len(tree.feature), -1)
+    slots[nodes] = np.arange(len(nodes))
+    out = np.zeros((len(nodes), int(np.sum(sizes)), 3), np.int64)
+    for block, bag in zip(parts, bags):
         slot = np.where(bag > 0, slots[tree.nodes_of(block.bins)], -1)
-        out.append(summed(block.bins, slot, len(nodes), sizes, _weighed(block.label, bag, fits[m], bagging.scale)))
+        rows = np.flatnonzero(slot >= 0)
+        own = slot[rows]
+        stats = [x[rows] for x in _weighed(block.label, bag, fit, bagging.scale)]
+        at = 0
+        for f, size in enumerate(np.asarray(sizes).tolist()):
+            mine, picked, shown = own, rows, stats
+            if not allowed[:, f].all():
+                few = np.flatnonzero(allowed[own, f])
+                mine, picked, shown = own[few], rows[few], [x[few] for x in stats]
+            place = mine * size + block.bins[f].take(picked)
+            for i, x in enumerate([*shown, None]):
+                out[:, at : at + size, i] += np.bincount(place, x, len(nodes) * size).astype(np.int64).reshape(-1, size)
+            at += size
     return out
 
 
@@ -467,7 +593,7 @@ def grown_here(bins: np.ndarray, g: np.ndarray, h: np.ndarray, sizes, place: int
         for f, size in enumerate(np.asarray(sizes).tolist()):
             if size < 2 or not allowed[:, f].any():
                 continue
-            rows = np.flatnonzero(allowed[slot, f])
+            rows = slice(None) if allowed[:, f].all() else np.flatnonzero(allowed[slot, f])
             at = slot[rows] * size + bins[f, rows]
             sums = [np.bincount(at, x[rows], k * size).reshape(k, size) for x in (g, h)]
             sums.append(np.bincount(at, minlength=k * size).reshape(k, size))
@@ -518,44 +644,80 @@ def _attached(tree: Tree, node: int, below: Tree) -> None:
 
 
 def forest(packed: DataFrame, sizes: np.ndarray, fits: list[Fit], bagging: Bagging, local_rows: int = LOCAL_ROWS) -> list[list[Tree]]:
-    """The trees of every fit. Nodes of more than `local_rows` rows are split by passes over the blocks."""
-    features, unit, rules = len(sizes), 1.0 / (1 << SHIFT), bagging.rules
-    data = packed.rdd.map(partial(_began, features=features, base=np.zeros(0))).persist()
-    folds = data.map(lambda b: dict(zip(*np.unique(b.fold, return_counts=True)))).collect()  # a handful of numbers per block
-    rows = [sum(n for part in folds for f, n in part.items() if f != fit.left_out) for fit in fits]
+    """The trees of every fit. Nodes of more than `local_rows` rows are split by passes over the blocks.
+
+    In a pass a task sums what it reads, tree by tree; a tree's sums meet in one task, which finds the splits. Only these come to the driver.
+    """
+    rules = bagging.rules
+    folds = packed.select("fold").mapInArrow(_fold_counts, "fold int, n long").groupBy("fold").agg(F.sum("n").alias("n")).collect()  # a handful
+    rows = [sum(r["n"] for r in folds if r["fold"] != fit.left_out) for fit in fits]
     trees = [[Tree.stump() for _ in range(bagging.trees)] for _ in fits]
     large = [(m, j, [0]) for m in range(len(fits)) for j in range(bagging.trees) if rows[m] > local_rows]
     small = [(m, j, 0) for m in range(len(fits)) for j in range(bagging.trees) if rows[m] <= local_rows]
     for depth in range(rules.depth):
-        after = []
-        per_pass = max(1, PASS_CELLS // int(sizes.sum() * 3))
-        while large:
-            todo, taken = [], 0
-            while large and (not todo or taken + len(large[0][2]) <= per_pass):
-                m, j, nodes = large.pop(0)
-                todo.append((m, j, trees[m][j], np.array(nodes)))
-                taken += len(nodes)
-            found = data.map(partial(_forest_level, todo=todo, fits=fits, sizes=sizes, bagging=bagging)).treeReduce(lambda a, b: _added([a, b]))
-            for (m, j, tree, nodes), sums in zip(todo, found):
-                allowed = drawn_columns(tree.place[nodes], features, bagging.take, bagging.seed, m, j, 3)
-                again = []
-                for node, a, b in _split_all(tree, dict(zip(nodes.tolist(), sums)), sizes, allowed, rules, unit, 1.0):
-                    for child, n in ((int(tree.left[node]), a), (int(tree.left[node]) + 1, b)):
-                        if n > local_rows:
-                            again.append(child)
-                        elif n >= rules.least_split and depth + 1 < rules.depth:
-                            small.append((m, j, child))
-                if again:
-                    after.append((m, j, again))
-        large = after
         if not large:
             break
-    data.unpersist()
+        after = []
+        todo = [(m, j, trees[m][j], np.array(nodes)) for m, j, nodes in large]
+        for i, *found in _forest_splits(packed, sizes, fits, bagging, todo):
+            m, j, tree, nodes = todo[i]
+            again = []
+            for node, a, b in _split_all(tree, nodes.tolist(), found, rules, 1.0 / (1 << SHIFT), 1.0):
+                for child, n in ((int(tree.left[node]), a), (int(tree.left[node]) + 1, b)):
+                    if n > local_rows:
+                        again.append(child)
+                    elif n >= rules.least_split and depth + 1 < rules.depth:
+                        small.append((m, j, child))
+            if again:
+                after.append((m, j, again))
+        large = after
     if small:
         _grow_small(packed, sizes, fits, bagging, trees, small)
     return trees
 
 
+def _fold_counts(batches):
+    for batch in batches:
+        for fold in batch.column("fold").to_pylist():
+            values, n = np.unique(np.frombuffer(fold, "<i4"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int32)), pa.array(n.astype(np.int64))], ["fold", "n"])
+
+
+def _forest_splits(packed: DataFrame, sizes: np.ndarray, fits: list[Fit], bagging: Bagging, todo: list[tuple]) -> Iterable[tuple]:
+    """Of trees (fit, tree number, tree, nodes) the number in the list and what `best_splits` finds for the nodes."""
+    spark, features, unit = packed.sparkSession, len(sizes), 1.0 / (1 << SHIFT)
+    shared = spark.sparkContext.broadcast(todo)
+
+    def columns(i: int) -> np.ndarray:
+        m, j, tree, nodes = shared.value[i]
+        return drawn_columns(tree.place[nodes], features, bagging.take, bagging.seed, m, j, 3)
+
+    def add(batches):
+        parts = list(_chunked([unpacked(row, features) for batch in batches for row in batch.to_pylist()], CHUNK_ROWS // 8))
+        for i, (m, j, tree, nodes) in enumerate(shared.value) if parts else ():
+            bags = [_bag(block, fits[m], bagging, m, j) for block in parts]
+            sums = _forest_sums(parts, tree, nodes, bags, fits[m], sizes, columns(i), bagging)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["tree", "sums"])
+
+    def choose(key, frame: pd.DataFrame) -> pd.DataFrame:
+        i = int(key[0])
+        allowed = columns(i)
+        sums = sum(np.frombuffer(x, np.int64) for x in frame["sums"]).reshape(len(allowed), -1, 3)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        # Where nodes differ in their features, a node's first feature may have no sums: its rows are those of one that it may use.
+        first = [starts[np.flatnonzero(a)[0]] for a in allowed]
+        total = np.stack([sums[n, s : s + sizes[np.searchsorted(starts, s)]].sum(0) for n, s in enumerate(first)])
+        feature, cut, gain, left, _ = best_splits(sums, sizes, allowed, bagging.rules, unit, total)
+        found = [feature.astype(np.int64), cut.astype(np.int64), gain.astype(float), left.astype(np.int64), total.astype(np.int64)]
+        return pd.DataFrame({"tree": [i], **{f"found{k}": [x.tobytes()] for k, x in enumerate(found)}})
+
+    partial_sums = packed.mapInArrow(add, "tree int, sums binary")
+    chosen = partial_sums.groupBy("tree").applyInPandas(choose, ", ".join(["tree int", *[f"found{k} binary" for k in range(5)]]))
+    for row in chosen.collect():  # the splits of a level
+        feature, cut, gain, left, total = (np.frombuffer(row[f"found{k}"], float if k == 2 else np.int64) for k in range(5))
+        yield row["tree"], feature, cut, gain, left.reshape(-1, 3), total.reshape(-1, 3)
+
+
 def _grow_small(packed: DataFrame, sizes, fits: list[Fit], bagging: Bagging, trees, small: list[tuple[int, int, int]]) -> None:
     """Bring the rows of each small node to one task, which grows the rest of its tree."""
     features, rules = len(sizes), bagging.rules
@@ -563,39 +725,43 @@ def _grow_small(packed: DataFrame, sizes, fits: list[Fit], bagging: Bagging, tre
     for group, (m, j, node) in enumerate(small):
         by_tree.setdefault((m, j), []).append((group, node))
     model = packed.sparkSession.sparkContext.broadcast([(m, j, trees[m][j], own) for (m, j), own in by_tree.items()])
+    places = [int(trees[m][j].place[node]) for m, j, node in small]
 
     def ship(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = unpacked(row, features)
-                for m, j, tree, own in model.value:
-                    bag = _bag(block, fits[m], bagging, m, j)
-                    at = tree.nodes_of(block.bins)
-                    parts = []
-                    for group, node in own:
-                        rows = np.flatnonzero((at == node) & (bag > 0))
-                        if len(rows):
-                            parts.append((group, block.bins[:, rows].tobytes(), block.label[rows].tobytes(), bag[rows].astype(np.uint8).tobytes()))
-                    if parts:
-                        columns = [pa.array(c, k) for c, k in zip(zip(*parts), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
-                        yield pa.RecordBatch.from_arrays(columns, ["group", "bins", "label", "bag"])
+        for block in _chunked([unpacked(row, features) for batch in batches for row in batch.to_pylist()], CHUNK_ROWS):
+            for m, j, tree, own in model.value:
+                bag = _bag(block, fits[m], bagging, m, j)
+                # The tree's groups have numbers of their own here; rows are sorted by them.
+                number = np.full(len(tree.feature), len(own), np.int16)
+                number[[node for _, node in own]] = np.arange(len(own))
+                mine = np.where(bag > 0, number[tree.nodes_of(block.bins)], np.int16(len(own)))
+                order = np.argsort(mine, kind="stable")
+                ends = np.cumsum(np.bincount(mine, minlength=len(own) + 1)[:-1])
+                order = order[: ends[-1]]
+                bins, label, drawn = block.bins[:, order], block.label[order], bag[order].astype(np.uint8)
+                parts = [
+                    (group, bins[:, a:b].tobytes(), label[a:b].tobytes(), drawn[a:b].tobytes())
+                    for (group, _), a, b in zip(own, [0, *ends[:-1].tolist()], ends.tolist())
+                    if b > a
+                ]
+                if parts:
+                    columns = [pa.array(c, k) for c, k in zip(zip(*parts), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["group", "bins", "label", "bag"])
 
     def grow(key, frame: pd.DataFrame) -> pd.DataFrame:
-        m, j, node = small[key[0]]
+        m, j, _ = small[key[0]]
         bins = np.concatenate([np.frombuffer(b, np.uint8).reshape(features, -1) for b in frame["bins"]], axis=1)
         label = np.concatenate([np.frombuffer(b, "<f8") for b in frame["label"]])
         bag = np.concatenate([np.frombuffer(b, np.uint8) for b in frame["bag"]])
         g, h = _weighed(label, bag, fits[m], bagging.scale)
-        place = int(next(tree.place[node] for a, b, tree, _ in model.value if (a, b) == (m, j)))
+        place = places[key[0]]
         below = grown_here(bins, g, h, sizes, place, rules.depth - (place.bit_length() - 1), bagging, m, j)
-        return pd.DataFrame({"group": [key[0]], **{n: [getattr(below, n).tolist()] for n in below.__dataclass_fields__}})
+        return pd.DataFrame({"group": [key[0]], **{n: [x] for n, x in _packed_tree(below).items()}})
 
-    shape = "group int, feature array<int>, cut array<int>, left array<int>, value array<double>, cover array<double>, gain array<double>, place array<long>"
     shipped = packed.mapInArrow(ship, "group int, bins binary, label binary, bag binary").repartition(max(1, len(small) // 4), "group")
-    for row in shipped.groupBy("group").applyInPandas(grow, shape).toLocalIterator():  # the model, a subtree at a time
+    for row in shipped.groupBy("group").applyInPandas(grow, f"group int, {TREE_COLUMNS}").collect():  # the model
         m, j, node = small[row["group"]]
-        parts = {n: np.array(row[n]) for n in Tree.__dataclass_fields__}
-        _attached(trees[m][j], node, Tree(**parts))
+        _attached(trees[m][j], node, _unpacked_tree(row))
 
 
 # Models

@@ -191,3 +191,49 @@ def test_one_class_and_no_variety(spark):
     for kind, settings in (("gbt", BOOST), ("rf", {"numTrees": 2, "maxDepth": 3})):
         model = T.train(flat, NAMES, "k", settings, kind, True)[0]
         assert (model.left == np.arange(len(model.left))).all()
+
+
+def jobs_of(spark, name, work):
+    spark.sparkContext.setJobGroup(name, name)
+    out = work()
+    found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    return out, found
+
+
+def test_boosting_takes_a_few_jobs_however_many_rounds_and_tasks(spark, rows, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK_ROWS", 30)
+    grid, frame = packed(rows)
+    boost = T.Boosting(12, T.Rules(3, 0.0, 1.0, 1.0), 0.2, 0.9, 1.0, True)
+    grown = []
+    for blocks in (1 << 10, 4):  # one task; several that exchange their sums
+        monkeypatch.setattr(T, "TASK_BLOCKS", blocks)
+        (trees,), jobs = jobs_of(spark, f"boost {blocks}", lambda: T.boosted(frame, grid.sizes, [T.Fit(None, 1.3)], boost))
+        assert jobs <= 6 and len(trees) == 12
+        grown.append(trees)
+    same(*grown)
+
+
+def test_small_nodes_of_a_forest_grow_in_few_jobs(spark, rows):
+    grid, frame = packed(rows)
+    grow = lambda: T.forest(frame, grid.sizes, [T.Fit(None, 1.7)], T.Bagging(40, T.Rules(4), 2), 1000)
+    (trees,), jobs = jobs_of(spark, "forest", grow)
+    assert jobs <= 9 and len(trees) == 40  # one for each of ten groups of trees before
+
+
+@pytest.mark.parametrize("cells", [1, 7, 64, 2048])
+def test_joint_histograms_are_those_of_each_feature(cells):
+    rng = np.random.default_rng(3)
+    sizes, used = np.array([5, 2, 1, 40, 2, 2, 9]), np.array([0, 1, 3, 5, 6])
+    bins = np.stack([rng.integers(0, s, 500) for s in sizes]).astype(np.uint8)
+    slot, g = rng.integers(-1, 3, 500), rng.integers(-(1 << 34), 1 << 34, 500).astype(float)
+    groups = T.bundled(sizes, cells)
+    assert sorted(f for group in groups for f in group) == list(range(7))
+    assert all(len(group) == 1 or np.prod(sizes[group]) <= cells for group in groups)
+    pieces = []
+    for part in (slice(0, 300), slice(300, 500)):
+        inside = np.flatnonzero(slot[part] >= 0)
+        codes = [T.joint_bins(bins[:, part], sizes, group)[inside] for group in groups]
+        pieces.append((codes, slot[part][inside], [g[part][inside]]))
+    got = T.summed_jointly(pieces, 3, sizes, groups, used, True)
+    assert np.array_equal(got, T.summed(bins[used], slot, 3, sizes[used], [g]))
