@@ -201,17 +201,19 @@ def jobs_of(spark, name, work):
     return out, found
 
 
-def test_boosting_takes_a_few_jobs_however_many_rounds_and_tasks(spark, rows, monkeypatch):
+def test_boosting_takes_one_job_a_level_and_sends_sums_of_a_few_tasks(spark, rows, monkeypatch):
     monkeypatch.setattr(T, "BLOCK_ROWS", 30)
     grid, frame = packed(rows)
     boost = T.Boosting(12, T.Rules(3, 0.0, 1.0, 1.0), 0.2, 0.9, 1.0, True)
     grown = []
-    for blocks in (1 << 10, 4):  # one task; several that exchange their sums
-        monkeypatch.setattr(T, "TASK_BLOCKS", blocks)
-        (trees,), jobs = jobs_of(spark, f"boost {blocks}", lambda: T.boosted(frame, grid.sizes, [T.Fit(None, 1.3)], boost))
-        assert jobs <= 6 and len(trees) == 12
+    for few, fresh, least, most in ((1 << 10, 25, 1, 4), (4, 25, 36, 40), (4, 5, 36, 42)):  # one task; several, stored anew or not
+        monkeypatch.setattr(T, "ONE_TASK_BLOCKS", few)
+        monkeypatch.setattr(T, "FRESH", fresh)
+        (trees,), jobs = jobs_of(spark, f"boost {few} {fresh}", lambda: T.boosted(frame, grid.sizes, [T.Fit(None, 1.3)], boost))
+        assert least <= jobs <= most and len(trees) == 12
         grown.append(trees)
-    same(*grown)
+    same(grown[0], grown[1])
+    same(grown[0], grown[2])
 
 
 def test_small_nodes_of_a_forest_grow_in_few_jobs(spark, rows):
