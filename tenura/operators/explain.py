@@ -9,6 +9,7 @@ tree, by these outcomes, and every pattern that occurs is worked out once, howev
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import factorial
 
@@ -22,6 +23,9 @@ from tenura.operators.reports import ranked
 from tenura.operators.split import remixed
 from tenura.operators.trees import TreeModel
 
+#: Rows that share their patterns of outcomes; most patterns come back in the next batch.
+JOINED_ROWS = 1 << 16
+
 
 @dataclass(frozen=True)
 class LeafTable:
@@ -155,6 +159,19 @@ def ensemble_attributions(tables: list[LeafTable], x: np.ndarray) -> np.ndarray:
     return out
 
 
+def joined(batches: Iterable[pd.Series], rows: int) -> Iterator[np.ndarray]:
+    """Batches of vectors as blocks of at least so many rows, the last as it comes."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if len(batch):
+            held.append(np.stack(batch.to_numpy()).astype(float))
+        if sum(map(len, held)) >= rows:
+            yield np.concatenate(held)
+            held = []
+    if held:
+        yield np.concatenate(held)
+
+
 def shap_values(model: TreeModel, rows: DataFrame, keep: list[str]) -> DataFrame:
     """Kept columns, `values` (one per feature, on the log-odds scale), `base_value` and `probability`.
 
@@ -165,10 +182,9 @@ def shap_values(model: TreeModel, rows: DataFrame, keep: list[str]) -> DataFrame
     shared = spark.sparkContext.broadcast(tables)
 
     @F.pandas_udf("array<double>")
-    def explain(features: pd.Series) -> pd.Series:
-        if not len(features):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(ensemble_attributions(shared.value, np.stack(features.to_numpy()).astype(float))))
+    def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in joined(batches, JOINED_ROWS):
+            yield pd.Series(list(ensemble_attributions(shared.value, x)))
 
     scored = model.transform(rows).withColumn("probability", model.probability())
     return scored.select(

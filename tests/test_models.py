@@ -309,3 +309,13 @@ def test_cross_validation_lines(trained):
     assert len(counts) == 5 and (counts.max() - counts.min()).max() <= 2
     line = models.cv_churn(["rf"], train, {"rf": {"numTrees": 3, "maxDepth": 3}}).first()
     assert line["metric"] == "f1" and 0.3 < line["mean"] < 1 and line["std"] >= 0
+
+
+def test_batches_are_explained_together():
+    import pandas as pd
+
+    batches = [pd.Series([[float(i + j)] for i in range(n)], dtype=object) for j, n in enumerate((3, 0, 2, 4, 1))]
+    got = list(explain.joined(iter(batches), 5))
+    assert [len(x) for x in got] == [5, 5]  # a call per batch before
+    assert np.concatenate(got)[:, 0].tolist() == [v[0] for b in batches for v in b]
+    assert list(explain.joined([batches[1]], 5)) == []
