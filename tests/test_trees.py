@@ -216,6 +216,24 @@ def test_boosting_takes_one_job_a_level_and_sends_sums_of_a_few_tasks(spark, row
     same(grown[0], grown[2])
 
 
+@pytest.mark.parametrize("logistic", [True, False])
+def test_boosting_together_takes_one_job_and_grows_the_same_trees(spark, rows, monkeypatch, logistic):
+    monkeypatch.setattr(T, "BLOCK_ROWS", 30)
+    grid, frame = packed(rows, "label" if logistic else "value", "fold")
+    boost = T.Boosting(12, T.Rules(3, 0.0, 1.0, 1.0), 0.2, 0.9, 0.7, logistic, 1.0 if logistic else 64.0)
+    fits = [T.Fit(None, 1.3), T.Fit(2, 1.1, 0.1)]
+    by_level = T.boosted(frame, grid.sizes, fits, boost)
+    monkeypatch.setattr(T, "ONE_TASK_BLOCKS", 4)
+    together, jobs = jobs_of(spark, f"together {logistic}", lambda: T.boosted_together(frame, grid.sizes, fits, boost))
+    assert jobs <= 5 and len(together[0]) == 12
+    monkeypatch.setattr(T, "KEPT_BYTES", 1)  # rows that tasks can't keep: a job for each level
+    apart, jobs = jobs_of(spark, f"apart {logistic}", lambda: T.boosted_together(frame, grid.sizes, fits, boost))
+    assert jobs >= 36
+    for one, two, three in zip(by_level, together, apart):
+        same(one, two)
+        same(one, three)
+
+
 def test_small_nodes_of_a_forest_grow_in_few_jobs(spark, rows):
     grid, frame = packed(rows)
     grow = lambda: T.forest(frame, grid.sizes, [T.Fit(None, 1.7)], T.Bagging(40, T.Rules(4), 2), 1000)
