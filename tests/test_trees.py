@@ -234,6 +234,28 @@ def test_boosting_together_takes_one_job_and_grows_the_same_trees(spark, rows, m
         same(one, three)
 
 
+@pytest.mark.parametrize("take", [3, 9])
+@pytest.mark.parametrize("weight", [1.0, 2.7])
+def test_joint_and_own_sums_grow_the_subtree_of_plain_loops(take, weight):
+    rng = np.random.default_rng(8)
+    sizes = np.array([30, 2, 2, 2, 2, 7, 2, 2, 1])
+    bins = np.stack([rng.integers(0, s, 400) for s in sizes]).astype(np.uint8)
+    label = (bins[0] / 30 + bins[2] * 0.4 + rng.normal(0, 0.2, 400) > 0.8).astype(float)
+    block = T.Block(bins, label, np.zeros(400, np.int32), np.arange(400))
+    fit, bagging = T.Fit(None, weight), T.Bagging(3, T.Rules(6, least_leaf=2, least_split=5), take)
+    bag = rng.integers(1, 4, 400)
+    g, h = T._weighed(label, bag, fit, 1.0)
+    allowed = lambda p: T.drawn_columns(np.array([p]), 9, take, 42, 0, 1, 3)[0]
+    got = T.grown_here(bins, g, h, sizes, 1, 6, bagging, 0, 1)
+    assert equal(nested(got), plain_tree(block, g, h, sizes, bagging.rules, 1.0, allowed, 6, np.arange(400)))
+    if take == 9:
+        groups = T.bundled(sizes, T.BINS)
+        codes = np.stack([T.joint_bins(bins, sizes, own) for own in groups])
+        slot = rng.integers(0, 3, 400)
+        sums = T._whole_sums(codes, groups, g, h, np.arange(400), slot, 3, sizes)
+        assert len(groups) < len(sizes) and np.array_equal(sums.transpose(1, 2, 0), T.summed(bins, slot, 3, sizes, [g, h]))
+
+
 def test_small_nodes_of_a_forest_grow_in_few_jobs(spark, rows):
     grid, frame = packed(rows)
     grow = lambda: T.forest(frame, grid.sizes, [T.Fit(None, 1.7)], T.Bagging(40, T.Rules(4), 2), 1000)
