@@ -51,10 +51,30 @@ def give_back() -> None:
         trim(0)
 
 
-def tidied(run):
-    """A mapping function over batches that gives its memory back when its task ends."""
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """A large thing that a Python worker makes once and keeps for its next tasks, one at a time."""
+    if key not in _KEPT:
+        drop_kept()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def drop_kept() -> None:
+    """Give back what the worker kept for tasks of another kind."""
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
+
+
+def tidied(run, keeps: bool = False):
+    """A mapping function over batches that gives its memory back when its task ends; unless it `keeps` a thing, that of others goes first."""
 
     def whole(batches):
+        if not keeps:
+            drop_kept()
         try:
             yield from run(batches)
         finally:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import LONGEST_LEARNED, bounded_batches, class_sample, give_back, has_letter, held_out, letter_words, slices, table
+from tenura.llm.common import LONGEST_LEARNED, bounded_batches, class_sample, drop_kept, give_back, has_letter, held_out, letter_words, slices, table
 
 HIDDEN = 16
 #: Longer words are scored in pieces of so many bytes, longer ones learned from in pieces of so many; all of them.
@@ -325,6 +325,7 @@ def language_column(network: ByteNetwork | None, text):
     """
 
     def predict(batches):
+        drop_kept()
         pool = Pool(network) if network else None
         for texts in batches:
             texts = [t if isinstance(t, str) else None for t in texts]

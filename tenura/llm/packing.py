@@ -9,7 +9,6 @@ the serial algorithm gives on all pieces.
 from __future__ import annotations
 
 import bisect
-import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -19,10 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import bounded_batches, keep, ranked, table, tidied, whole_ids
+from tenura.llm.common import bounded_batches, keep, kept, ranked, table, tidied, whole_ids
 from tenura.llm.wordtable import WordTable, unit_slices
 
 CAPACITY = 2048
+#: Places for words, and ids, that a worker holds: 32 MB.
+WORD_SLOTS, WORD_IDS = 1 << 20, 1 << 22
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -52,7 +53,7 @@ class WordCoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = np.array(self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids, np.uint16)
-        self.table = WordTable(self._units, np.uint16)
+        self.table = WordTable(self._units, np.uint16, WORD_SLOTS, WORD_IDS)
 
     def _units(self, units: list[bytes], group: int = 256) -> tuple[np.ndarray, np.ndarray]:
         words = [u.decode() for u in units]
@@ -94,10 +95,9 @@ class WordCoder:
                 yield ids[a:b]
 
 
-@functools.cache
 def coder(path: str) -> WordCoder:
     """One per Python worker, which serves many tasks."""
-    return WordCoder(path)
+    return kept(("words", path), lambda: WordCoder(path))
 
 
 def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -120,7 +120,7 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Dat
             yield pd.DataFrame(rows, columns=["doc_id", "null_id", "piece", "start", "length", "ids_crc32"])
 
     shape = "doc_id long, null_id boolean, piece int, start long, length long, ids_crc32 long"
-    found = docs.select(*whole_ids("doc_id"), "text").mapInPandas(tidied(cut), shape)
+    found = docs.select(*whole_ids("doc_id"), "text").mapInPandas(tidied(cut, keeps=True), shape)
     return found.withColumn("doc_id", F.when(~F.col("null_id"), F.col("doc_id"))).drop("null_id")
 
 

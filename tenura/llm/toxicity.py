@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import bounded_batches, give_back, held_out, labelled_sample, slices, table
+from tenura.llm.common import bounded_batches, drop_kept, give_back, held_out, labelled_sample, slices, table
 
 DOCS_PER_CLASS = 1500
 INSTANCE_WORDS = 24
@@ -162,6 +162,7 @@ def toxicity_column(model: SentenceModel | None, text):
     """A struct (score, n_offending). Null, empty and wordless texts, or no model: 0."""
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        drop_kept()
         cache: dict[bytes, float] = {}
         for texts in batches:
             texts = [t if isinstance(t, str) else None for t in texts]

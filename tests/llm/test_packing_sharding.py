@@ -171,3 +171,27 @@ def test_shards_are_written_in_order(spark, tmp_path):
     sharding.write_shards(docs, sharding.document_shards(docs, 4), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 50 and back.select("shard").distinct().count() == 4
+
+
+def test_a_worker_keeps_one_large_thing_and_tasks_of_other_kinds_drop_it():
+    from tenura.llm import common
+
+    common.drop_kept()
+    made = []
+    for key in ("a", "a", "b", "b"):
+        assert common.kept(key, lambda: made.append(key) or key) == key
+    assert made == ["a", "b"] and list(common._KEPT) == ["b"]
+    assert list(common.tidied(iter, keeps=True)([1, 2])) == [1, 2] and list(common._KEPT) == ["b"]
+    assert list(common.tidied(iter)([1, 2])) == [1, 2] and not common._KEPT
+
+
+def test_a_coder_holds_few_bytes_and_its_ids_are_right_when_words_push_each_other_out(monkeypatch):
+    held = packing.WordCoder(packing.tokenizer_path()).table
+    assert sum(x.nbytes for x in (*held.marks, held.at, held.n, held.ids)) <= 32 << 20
+    monkeypatch.setattr(packing, "WORD_SLOTS", 16)
+    monkeypatch.setattr(packing, "WORD_IDS", 64)
+    small = packing.WordCoder(packing.tokenizer_path())
+    texts = [" ".join(f"word{i * j} plain, text." for j in range(1, 40)) for i in range(20)]
+    for _ in range(2):
+        for text, ids in zip(texts, small.texts(texts)):
+            assert ids.tolist() == small.tokenizer.encode(text.lower(), add_special_tokens=False).ids
