@@ -17,6 +17,8 @@ from tenura.llm.common import bounded_batches, held_out, keep, table
 
 #: A document is rejected when its toxicity reaches this.
 MOST_TOXIC = 0.5
+#: Words of 64 rows that are sent to every executor to tell which rows stay: those of 33 million rows, two longs each.
+MARKS = 1 << 19
 
 
 def free_name(docs: DataFrame) -> str:
@@ -55,6 +57,21 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col(f"{name}.score") < MOST_TOXIC).drop(name)
 
 
+def at_places(placed: DataFrame, place: str, kept: DataFrame) -> DataFrame:
+    """The rows whose `place` is in `kept`. Whole rows are wide, so they stay where they are scanned: a bit for each place goes to them.
+
+    64 places, which a scan numbers in a row, make one word. Up to `MARKS` words go to every executor; a larger table meets them by a
+    shuffle of its rows.
+    """
+    word = free_name(placed)
+    rows = placed.withColumn(word, F.shiftright(place, 6))
+    bits = free_name(rows)
+    bit = F.bit_or(F.expr(f"shiftleft(1L, CAST({place} & 63 AS INT))"))
+    marks = keep(kept.groupBy(F.shiftright(place, 6).alias(word)).agg(bit.alias(bits)), "kept-rows")
+    few = marks.count() <= MARKS
+    return rows.join(F.broadcast(marks) if few else marks, word).where(f"shiftright({bits}, CAST({place} & 63 AS INT)) & 1 = 1")
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, Jaccard 0.8 or more): the smallest doc_id.
 
@@ -67,8 +84,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = found.select(F.col("doc_id").alias(place), F.col("component_id").alias(group))
     ids = placed.select(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), place)
     first = F.min(F.struct("no_id", "id", place)).getField(place).alias(place)
-    kept = keep(ids.join(found, place).groupBy(group).agg(first).select(place), "kept-rows")
-    return placed.join(kept, place, "left_semi").select(*docs.columns)
+    kept = ids.join(found, place).groupBy(group).agg(first).select(place)
+    return at_places(placed, place, kept).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,8 +198,26 @@ def open_pair(n, pos, m, at, percent):
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (rest >= needed(n, m, percent))
 
 
+def _partnered(ids, n, pos, starts, sizes, percent) -> np.ndarray:
+    """Which members of the lists (0 in `sizes`: not of this one) form an open pair with another than their hub, the list's first."""
+    others = np.maximum(sizes - 1, 0)
+    each = np.repeat(others, others)  # of every such member, the members it is held against
+    first = np.repeat(starts + 1, others)
+    member = first + np.arange(len(each)) - np.repeat(np.cumsum(others) - others, others)
+    p = np.repeat(member, each)
+    q = np.repeat(first, each) + np.arange(len(p)) - np.repeat(np.cumsum(each) - each, each)
+    fits = (ids[p] != ids[q]) & open_pair(n[p], pos[p], n[q], pos[q], percent)
+    out = np.zeros(len(ids), bool)
+    out[p[fits]] = True
+    return out
+
+
 def _stars(percent: int, level: int):
-    """Runs of one token and lane, sorted: the pairs of each list's hub, and the lists that hold more than that pair."""
+    """Runs of one token and lane, sorted: the pairs of each list's hub, and the lists that can hold more than these.
+
+    Of a short list only the members stay that can link with another than the hub. Random texts share a shingle now and then, the
+    more often the more texts there are; hardly any of them could link.
+    """
     fields = ["token", "lane", "lanes", "n", "pos", "id"]
 
     def work(x: dict[str, np.ndarray]):
@@ -210,9 +228,13 @@ def _stars(percent: int, level: int):
         ids, n, pos = x["id"], x["n"], x["pos"]
         good = np.flatnonzero((ids != ids[hub]) & open_pair(n, pos, n[hub], pos[hub], percent))
         distinct = np.unique(np.column_stack([ids[good], ids[hub[good]], n[good], n[hub[good]]]), axis=0)
-        large = np.flatnonzero((sizes > 2) | ((x["lanes"][starts] > 1) & (level == 0)))
+        laned = (x["lanes"][starts] > 1) & (level == 0)
+        left = np.repeat((sizes > BLOCK) | laned, sizes)
+        left |= _partnered(ids, n, pos, starts, np.where((sizes > 2) & (sizes <= BLOCK) & ~laned, sizes, 0), percent)
+        upto = np.concatenate([[0], np.cumsum(left)])
+        large = np.flatnonzero(upto[starts + sizes] > upto[starts])
         head = starts[large]
-        spans = [slice(a, a + k) for a, k in zip(head.tolist(), sizes[large].tolist())]
+        spans = [slice(a, b) for a, b in zip(upto[head].tolist(), upto[head + sizes[large]].tolist())]
         k, zero, none = len(distinct), np.zeros(len(distinct), np.int64), [np.zeros(0)] * len(distinct)
         numbers = {
             "kind": (zero, np.ones(len(large))),
@@ -230,7 +252,7 @@ def _stars(percent: int, level: int):
             pa.array(np.concatenate([u.astype(np.int64), v.astype(np.int64)]).astype(np.int64 if c in long else np.int32))
             for c, (u, v) in numbers.items()
         ]
-        for values, kind in ((ids, np.int64), (n, np.int32), (pos, np.int32)):
+        for values, kind in ((ids[left], np.int64), (n[left], np.int32), (pos[left], np.int32)):
             columns.append(lists(none + [values[s] for s in spans], kind))
         return pa.RecordBatch.from_arrays(columns, [*numbers, "ids", "ns", "poss"])
 
@@ -274,12 +296,17 @@ def members(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, bits, shingles) of the documents with the given ids, and of few others; no text is shuffled.
+def ids_in(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, words: int, form: str) -> DataFrame:
+    """(id, bits) or (id, shingles), as `form` says, of the documents with the given ids, and of few others; no text is shuffled.
 
     A repeated id comes once from every task at most.
     """
     wanted_ids = docs.sparkSession.sparkContext.broadcast(members(ids))
+    make = {"bits": _bitmap, "shingles": lambda x: x.view(np.int64)}[form]
 
     def run(batches):
         seen: set[int] = set()
@@ -294,15 +321,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                     keys.append(key)
                     texts.append(text)
             for a, b in slices(texts, SLICE):
-                sets = [x.view(np.int64) for x in shingle_sets(texts[a:b], words)]
-                bits = [_bitmap(x) for x in sets]
-                columns = [pa.array(keys[a:b], pa.int64()), lists(bits, np.int64), lists(sets, np.int64)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "bits", "shingles"])
+                made = [make(x) for x in shingle_sets(texts[a:b], words)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), lists(made, np.int64)], ["id", form])
 
     key = F.col("doc_id").cast("long")
     place = F.pmod(F.xxhash64(key), F.lit(BITMAP))
     slim = docs.where("doc_id is not null").select(key.alias("doc_id"), "text", place.alias("place"))
-    return slim.mapInArrow(tidied(run), "id long, bits array<long>, shingles array<long>")
+    return slim.mapInArrow(tidied(run), f"id long, {form} array<long>")
 
 
 def _bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -335,25 +360,9 @@ def allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where((100 + percent) * (total - apart) >= 2 * percent * total).select("a", "b", "na", "nb").distinct()
 
 
-def picked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, shingles) of the sets in the pairs, and of few others: the rest is left out before anything is shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    wanted_ids = sets.sparkSession.sparkContext.broadcast(members(ids))
-
-    def run(batches):
-        for batch in batches:
-            place = batch.column("place").to_numpy()
-            inside = (wanted_ids.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
-            if inside.any():
-                yield batch.filter(pa.array(inside)).select(["id", "shingles"])
-
-    slim = sets.select("id", "shingles", F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("place"))
-    return slim.mapInArrow(tidied(run), "id long, shingles array<long>")
-
-
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds `o`, the exact overlap, to stored pairs (a, b, na, nb)."""
-    sets = picked(sets, pairs)
+def overlaps(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Adds `o`, the exact overlap, to stored pairs (a, b, na, nb); the shingles of their sets are made anew, no others are stored."""
+    sets = keep(sets_of(docs, ids_in(pairs), words, "shingles"), "likely-sets")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -457,10 +466,11 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, lane: int
     # A set may be compared with itself through a copy of its list only; equal sets are one set already.
     pairs = star.where("kind = 0").unionByName(stars(hubs, percent, 1).where("kind = 0")).select("a", "b", "na", "nb")
     pairs = keep(pairs.distinct(), "star-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(index.select(F.explode("ids").alias("id")))
-    sets = keep(sets_of(docs, ids, words), "candidate-sets")
-    likely = keep(allowed(pairs, sets, percent), "likely-pairs")
-    checked = keep(overlaps(likely, sets), "star-overlaps")
+    # Most candidates fail by their bitmaps, which take a sixteenth of the shingles' room; shingles are made for the others only.
+    ids = ids_in(pairs).unionByName(index.select(F.explode("ids").alias("id")))
+    marks = keep(sets_of(docs, ids, words, "bits"), "candidate-bitmaps")
+    likely = keep(allowed(pairs, marks, percent), "likely-pairs")
+    checked = keep(overlaps(likely, docs, words), "star-overlaps")
     links = _linked(checked, percent)
     first = components(links, "set-components")
 
@@ -494,8 +504,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, lane: int
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = own.unionByName(crossed).repartition(tasks).mapInArrow(tidied(_cross(percent)), "a long, b long, na int, nb int, sure int")
     rest = keep(rest.groupBy("a", "b", "na", "nb").agg(F.max("sure").alias("sure")), "open-pairs")
-    likely = keep(allowed(rest.where("sure = 0").drop("sure"), sets, percent), "likely-pairs")
-    more = _linked(overlaps(likely, sets), percent)
+    likely = keep(allowed(rest.where("sure = 0").drop("sure"), marks, percent), "likely-pairs")
+    more = _linked(overlaps(likely, docs, words), percent)
     more = more.unionByName(rest.where("sure = 1").select("a", "b"))
     final = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "set-components")
 

@@ -152,3 +152,67 @@ def test_windows_hash_like_one(monkeypatch):
     for size in (1, 7, 64, 1000):
         monkeypatch.setattr(hashing, "WINDOW", size)
         assert all(np.array_equal(a, b) for a, b in zip(whole, hashing.words_of(np.frombuffer(text.encode(), np.uint8))))
+
+
+def unlike(n=400, seed=5):
+    """Texts that share a rare word run with two others each, and nothing else; two of them are near copies."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        own = [f"o{i}x{k}" for k in range(int(rng.integers(20, 60)))]
+        for run in (i // 3, (i + 1) // 3 + n):
+            at = int(rng.integers(len(own)))
+            own[at:at] = [f"r{run}y{k}" for k in range(4)]
+        rows.append((i, " ".join(own)))
+    return [*rows, (n, rows[0][1] + " end")]
+
+
+def test_shingles_are_stored_of_likely_pairs_only(spark, monkeypatch):
+    """Candidates are as many as share a shingle; what is stored of all of them is their bitmaps."""
+    stored = {}
+
+    def spy(df, label, keep=jaccard.keep):
+        out = keep(df, label)
+        stored.setdefault(label, []).append((set(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "keep", spy)
+    rows = unlike()
+    found = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: 0 if i == 400 else i for i, _ in rows}
+    shingled = [n for kinds in stored.values() for columns, n in kinds if "shingles" in columns]
+    assert sum(shingled) < 40 and any("bits" in columns for kinds in stored.values() for columns, _ in kinds)
+
+
+def test_short_lists_keep_only_members_that_can_link():
+    rng = np.random.default_rng(8)
+    sizes = np.array([2, 3, 1, 9, 40, 3, 5])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    total = int(sizes.sum())
+    ids, n = rng.integers(0, 30, total), rng.integers(20, 60, total)
+    pos = rng.integers(0, 9, total)
+    used = np.where(sizes > 2, sizes, 0)
+    found = jaccard._partnered(ids, n, pos, starts, used, 85)
+    expected = np.zeros(total, bool)
+    for a, k in zip(starts, used):
+        for i in range(a + 1, a + k):
+            expected[i] = any(ids[i] != ids[j] and jaccard.open_pair(n[i], pos[i], n[j], pos[j], 85) for j in range(a + 1, a + k))
+    assert np.array_equal(found, expected) and 0 < found.sum() < total
+    assert not jaccard._partnered(ids[:0], n[:0], pos[:0], starts[:0], used[:0], 85).any()
+
+
+def test_lists_of_texts_that_cannot_link_are_not_kept(spark, monkeypatch):
+    """Unlike texts that share a shingle make no list to look through again, however many there are."""
+    lists = []
+
+    def spy(df, label, keep=jaccard.keep):
+        out = keep(df, label)
+        if label == "stars":
+            lists.append(out.where("kind = 1").count())
+        return out
+
+    monkeypatch.setattr(jaccard, "keep", spy)
+    shared = " ".join(f"s{k}" for k in range(4))
+    rows = [(i, " ".join(f"o{i}x{k}" for k in range(10 * 2**i)) + " " + shared) for i in range(6)]
+    found = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i for i in range(6)} and lists == [0]

@@ -124,6 +124,27 @@ def test_equal_ids_with_different_texts_stay_and_missing_ids_are_compared(spark,
     assert kept == sorted([(1, one), (1, two), (2, long), (None, "Alone and without an id, said in a few words.")], key=str)
 
 
+@pytest.mark.parametrize("marks", [1 << 19, 0])
+def test_no_text_is_shuffled_to_keep_one_of_each_group(spark, folder, monkeypatch, marks):
+    """The rows that stay are told by a bit each; tables with more words than `MARKS` are joined by a shuffle, with the same result."""
+    rows = [(i // 2 if i % 7 else None, f"text {i % 150} has words of its own {i % 150} a b {i % 150}", "en", "s", i) for i in range(300)]
+    spark.createDataFrame(rows, COLUMNS).repartition(5).write.parquet(path := folder_of(spark))
+    monkeypatch.setattr(corpus_pipeline, "MARKS", marks)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the table were large
+    try:
+        found = corpus_pipeline.distinct(spark, spark.read.parquet(path), folder)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        kept = sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ("hashpartitioning" in plan) == (marks == 0)
+    ids = {}
+    for key, text, *_ in rows:
+        ids.setdefault(text, []).append(key)
+    assert kept == sorted(((min((k for k in v if k is not None), default=None), t) for t, v in ids.items()), key=str)
+
+
 def folder_of(spark):
     from tenura.session import new_path
 
