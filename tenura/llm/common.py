@@ -13,6 +13,8 @@ from tenura.session import new_path
 
 #: Bytes of an Arrow batch; one row at least.
 BATCH_BYTES = "8m"
+#: Rows that a scan decodes at once. Their whole texts make one array on the JVM's heap, which grows for it and does not shrink.
+SCAN_ROWS = 512
 _DEFAULTS: dict[str, str] = {}
 #: Bounds of all fits. Longer texts are scored like all others, but not learned from: they would fill the driver. Of a column with
 #: more classes the commonest are learned.
@@ -32,9 +34,13 @@ def keep(df: DataFrame, label: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows and bytes in an Arrow batch than Spark's default, unless the user chose numbers: texts and lists can be long."""
-    for name, value in (("maxRecordsPerBatch", str(rows)), ("maxBytesPerBatch", BATCH_BYTES)):
-        name = f"spark.sql.execution.arrow.{name}"
+    """Fewer rows and bytes in a batch, scanned or sent to Python, than Spark's default, unless the user chose numbers: texts and lists can be long."""
+    arrow = "spark.sql.execution.arrow"
+    for name, value in (
+        (f"{arrow}.maxRecordsPerBatch", str(rows)),
+        (f"{arrow}.maxBytesPerBatch", BATCH_BYTES),
+        ("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS)),
+    ):
         if name not in _DEFAULTS:
             _DEFAULTS[name] = spark.conf.get(name)
         if spark.conf.get(name) == _DEFAULTS[name]:

@@ -29,7 +29,9 @@ INSTANCE_WORDS = 24
 PREFIXES = (4, 5)
 VOCABULARY = 200_000
 FALSE_ALARMS = 0.002
-CACHE_WORDS = 500_000
+#: Words whose weights a task holds, none of more bytes than `LONGEST_HELD`: about 45 MB at most.
+CACHE_WORDS = 200_000
+LONGEST_HELD = 64
 #: Lower-cased UTF-8: sentence ends become line feeds, other ASCII that is no letter becomes a space.
 ENDS = b".!?\n"
 WORD = re.compile(r"[A-Za-z\x80-\U0010ffff]+[.!?]*")
@@ -65,13 +67,17 @@ class SentenceModel:
         return sum(self.weights.get(f, 0.0) for f in features(word))
 
     def instance_scores(self, text: str, cache: dict[bytes, float]) -> np.ndarray:
-        """The logit of every instance of a text."""
+        """The logit of every instance of a text. `cache` keeps the weights of its words but the long ones, which seldom come again."""
         words, starts = instances(text)
         if not words:
             return np.zeros(0)
-        for w in set(words).difference(cache):
+        new = set(words).difference(cache)
+        for w in new:
             cache[w] = self.word(w)
         values = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
+        for w in new:
+            if len(w) > LONGEST_HELD:
+                del cache[w]
         return logits(self.bias, np.add.reduceat(values, starts), np.log(len(starts)))
 
     def score(self, text: str | None, cache: dict[bytes, float]) -> tuple[float, int]:

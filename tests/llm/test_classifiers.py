@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenura.llm import langid, quality, toxicity
-from tenura.llm.common import class_sample, held_out, letter_words
+from tenura.llm.common import bounded_batches, class_sample, held_out, letter_words
 
 DOCS = "doc_id long, text string, lang string, source string, score double, toxic int, quality int"
 ODD = [
@@ -262,3 +262,28 @@ def test_class_sample_is_bounded_and_repeats(spark):
     counts = {r.y: r["count"] for r in first.groupBy("y").count().collect()}
     assert 90 < counts[0] < 220 and 90 < counts[1] <= 200
     assert sorted(r.doc_id for r in first.collect()) == sorted(r.doc_id for r in first.repartition(3).collect())
+
+
+def test_toxicity_holds_few_bytes_of_words_that_never_come_again():
+    model = toxicity.SentenceModel({b"rotten": 9.0, b"long*": 9.0, b"longw*": 1.0}, -5.0)
+    text = "rotten thing. " + " ".join(f"longword{chr(97 + i % 26) * 5000}{chr(97 + i // 26) * 9}" for i in range(400))
+    cache: dict[bytes, float] = {}
+    scores = [model.score(text, cache) for _ in range(2)]
+    assert scores[0] == scores[1] == model.score(text, {})
+    words, starts = toxicity.instances(text)
+    evidence = np.add.reduceat([model.word(w) for w in words], starts)
+    assert np.allclose(model.instance_scores(text, cache), toxicity.logits(model.bias, evidence, np.log(len(starts))))
+    assert {b"rotten", b"thing"} <= set(cache) and sum(map(len, cache)) < 10_000
+
+
+def test_text_is_scanned_a_few_rows_at_a_time_unless_the_user_chose(spark):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    try:
+        bounded_batches(spark)
+        assert int(spark.conf.get(name)) <= 1000
+        spark.conf.set(name, "2048")
+        bounded_batches(spark)
+        assert spark.conf.get(name) == "2048"
+    finally:
+        spark.conf.set(name, before)
