@@ -279,3 +279,37 @@ def test_joint_histograms_are_those_of_each_feature(cells):
         pieces.append((codes, slot[part][inside], [g[part][inside]]))
     got = T.summed_jointly(pieces, 3, sizes, groups, used, True)
     assert np.array_equal(got, T.summed(bins[used], slot, 3, sizes[used], [g]))
+
+
+@pytest.mark.parametrize("label, weight, scale", [("label", 1.7, 1.0), ("value", 1.0, 64.0), ("value", 1.7, 64.0)])
+@pytest.mark.parametrize("take", [2, 3])
+def test_trees_grown_from_files_are_those_of_passes(spark, rows, monkeypatch, label, weight, scale, take):
+    monkeypatch.setattr(T, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(T, "FILE_ROWS", 90)
+    monkeypatch.setattr(T, "CHUNK_ROWS", 70)
+    grid, frame = packed(rows, label, "fold")
+    fits, bagging = [T.Fit(None, weight), T.Fit(2, weight)], T.Bagging(3, T.Rules(6, least_leaf=2, least_split=5), take, scale)
+    want = T.forest(frame, grid.sizes, fits, bagging, 100)
+    for kept in (T.KEPT_BYTES, 1):  # rows at hand, and in files where they are many
+        monkeypatch.setattr(T, "KEPT_BYTES", kept)
+        got, jobs = jobs_of(spark, f"files {label} {weight} {take} {kept}", lambda: T.forest_by_tree(frame, grid.sizes, fits, bagging))
+        assert jobs <= 6
+        for one, two in zip(want, got):
+            assert [nested(t) for t in one] == [nested(t) for t in two]
+            assert [sorted(zip(t.place, t.cover, t.gain)) for t in one] == [sorted(zip(t.place, t.cover, t.gain)) for t in two]
+
+
+def test_a_forest_brings_no_rows_together(rows, monkeypatch):
+    monkeypatch.setattr(T, "_grow_small", None)
+    model = T.train(rows, NAMES, "k", {"numTrees": 3, "maxDepth": 4}, "rf", True)[0]
+    assert len(model.roots) == 3 and model.depth == 4
+
+
+def test_a_forest_of_no_rows_and_folders_of_other_kinds(spark, rows, monkeypatch):
+    grid, frame = packed(rows)
+    fits, bagging = [T.Fit(None, 1.7)], T.Bagging(2, T.Rules(4), 2)
+    (empty,) = T.forest_by_tree(frame.where("false"), grid.sizes, fits, bagging)
+    assert [nested(t) for t in empty] == [0.0, 0.0]
+    want = T.forest_by_tree(frame, grid.sizes, fits, bagging)[0]
+    monkeypatch.setattr(T, "local_folder", lambda spark, label: None)
+    assert [nested(t) for t in want] == [nested(t) for t in T.forest_by_tree(frame, grid.sizes, fits, bagging)[0]]
