@@ -313,3 +313,33 @@ def test_a_forest_of_no_rows_and_folders_of_other_kinds(spark, rows, monkeypatch
     want = T.forest_by_tree(frame, grid.sizes, fits, bagging)[0]
     monkeypatch.setattr(T, "local_folder", lambda spark, label: None)
     assert [nested(t) for t in want] == [nested(t) for t in T.forest_by_tree(frame, grid.sizes, fits, bagging)[0]]
+
+
+def test_fits_that_do_not_fit_at_once_grow_in_turn(spark, rows, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(T, "ONE_TASK_BLOCKS", 4)
+    grid, frame = packed(rows, fold="fold")
+    boost = T.Boosting(12, T.Rules(3, 0.0, 1.0, 1.0), 0.2, 0.9, 1.0, True)
+    fits = [T.Fit(f, 1.3) for f in range(5)]
+    want = T.boosted_together(frame, grid.sizes, fits, boost)
+    tasks = min(T.slots(spark), math.ceil(frame.count() / T.TASK_BLOCKS))
+    for bytes_of_a_row, most in ((100, 20), (65, 30)):  # two at once, one at a time; a job for each level before
+        monkeypatch.setattr(T, "KEPT_BYTES", frame.count() * 30 * bytes_of_a_row / tasks)
+        got, jobs = jobs_of(spark, f"in turn {bytes_of_a_row}", lambda: T.boosted_together(frame, grid.sizes, fits, boost))
+        assert jobs <= most
+        for one, two in zip(want, got):
+            same(one, two)
+
+
+def test_blocks_are_joined_as_they_come():
+    seen = []
+
+    def parts():
+        for n in (3, 4, 5, 0, 9, 1):
+            seen.append(n)
+            yield T.Block(np.full((2, n), n, np.uint8), np.full(n, float(n)), np.zeros(n, np.int32), np.arange(n))
+
+    got = []
+    for block in T._chunked(parts(), 8):
+        got.append((block.label.tolist(), len(seen)))
+    assert [len(x) for x, _ in got] == [7, 5, 9, 1] and [n for _, n in got] == [3, 5, 6, 6]
