@@ -4,7 +4,8 @@ The model's trees are turned into one small table of leaves, sent to every execu
 interval that leads to it and the share of training weight that follows it, 32 bytes per leaf and level. Values
 are the path-dependent attributions of Lundberg et al., "Consistent Individualized Feature Attribution for Tree
 Ensembles". What a tree attributes depends on the outcomes of its tests alone, so a batch of rows is first grouped, tree by
-tree, by these outcomes, and every pattern that occurs is worked out once, however many rows share it.
+tree, by these outcomes, and every pattern that occurs is worked out once, however many rows share it. What a leaf attributes depends
+on the outcomes on its own path, so all of them are worked out on the driver and looked up.
 """
 
 from __future__ import annotations
@@ -15,15 +16,16 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura import schema as S
 from tenura.operators.reports import ranked
 from tenura.operators.split import remixed
-from tenura.operators.trees import TreeModel
+from tenura.operators.trees import TreeModel, matrix
 
-#: Rows that share their patterns of outcomes; most patterns come back in the next batch.
+#: Rows that share their patterns of outcomes.
 JOINED_ROWS = 1 << 16
 
 
@@ -109,62 +111,153 @@ def attributions(table: LeafTable, x: np.ndarray) -> np.ndarray:
     """
     columns = np.ascontiguousarray(x.T)
     out = np.zeros_like(columns)
-    n = columns.shape[1]
     for feature, above, upto, share, value in zip(table.feature, table.above, table.upto, table.share, table.value):
         used = np.flatnonzero(feature >= 0)
-        depth = len(used)
-        if not depth:
-            continue
-        known = np.empty((depth, n), bool)
-        sums = np.zeros((depth + 1, n))
-        sums[0] = 1.0
-        for i, d in enumerate(used):
-            v = columns[feature[d]]
-            known[i] = (v > above[d]) & (v <= upto[d])
-            sums[1 : i + 2] = sums[1 : i + 2] * share[d] + np.where(known[i], sums[: i + 1], 0.0)
-            sums[0] *= share[d]
-        weights = size_weights(depth)
-        for i, d in enumerate(used):
-            inside = known[i]
-            # Without the feature, for rows that satisfy it: from the top power down.
-            rest = sums[depth].copy()
-            total = rest * weights[depth - 1]
-            for k in range(depth - 1, 0, -1):
-                rest = sums[k] - share[d] * rest
-                total += rest * weights[k - 1]
-            failed = (weights[:, None] * sums[:depth]).sum(0) / share[d] if not inside.all() else total
-            out[feature[d]] += value * np.where(inside, (1.0 - share[d]) * total, -share[d] * failed)
+        known = np.array([(columns[feature[d]] > above[d]) & (columns[feature[d]] <= upto[d]) for d in used], bool)
+        for d, own in zip(used, leaf_values(known, share[used], value)):
+            out[feature[d]] += own
     return out.T
 
 
+def leaf_values(known: np.ndarray, share: np.ndarray, value: float) -> np.ndarray:
+    """What a leaf attributes to the features of its path (features x rows), by whether a row satisfies each (features x rows)."""
+    depth = len(known)
+    if not depth:
+        return np.zeros(known.shape)
+    n = known.shape[1]
+    out = np.empty((depth, n))
+    sums = np.zeros((depth + 1, n))
+    sums[0] = 1.0
+    for i in range(depth):
+        sums[1 : i + 2] = sums[1 : i + 2] * share[i] + np.where(known[i], sums[: i + 1], 0.0)
+        sums[0] *= share[i]
+    weights = size_weights(depth)
+    for i in range(depth):
+        inside = known[i]
+        # Without the feature, for rows that satisfy it: from the top power down.
+        rest = sums[depth].copy()
+        total = rest * weights[depth - 1]
+        for k in range(depth - 1, 0, -1):
+            rest = sums[k] - share[i] * rest
+            total += rest * weights[k - 1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            failed = (weights[:, None] * sums[:depth]).sum(0) / share[i] if not inside.all() else total
+            out[i] = value * np.where(inside, (1.0 - share[i]) * total, -share[i] * failed)
+    return out
+
+
+class Ranks:
+    """Where values stand among the thresholds of a model, feature by feature."""
+
+    def __init__(self, tables: list[LeafTable]):
+        ends = np.concatenate([np.column_stack([t.feature[u], cut[u]]) for t in tables for u in (t.feature >= 0,) for cut in (t.above, t.upto)])
+        ends = np.unique(ends[np.isfinite(ends[:, 1])], axis=0)
+        self.cuts = {int(f): ends[ends[:, 0] == f, 1] for f in np.unique(ends[:, 0])}
+
+    def of(self, x: np.ndarray) -> dict[int, np.ndarray]:
+        """Of rows (rows x features) per feature the number of thresholds below the value; a value that is no number is below all."""
+        found = {}
+        for f, cuts in self.cuts.items():
+            rank = np.searchsorted(cuts, x[:, f]).astype(np.uint8 if len(cuts) < 256 else np.int32)
+            rank[np.isnan(x[:, f])] = 0
+            found[f] = rank
+        return found
+
+
+#: Features on a path whose outcomes are all worked out before any row is seen.
+SHORT_PATH = 8
+
+
+class TreePatterns:
+    """What a tree attributes by the outcomes of its tests; of short paths every outcome is worked out once and then looked up."""
+
+    def __init__(self, table: LeafTable, ranks: Ranks):
+        self.table = table
+        used = table.feature >= 0
+        self.features = np.unique(table.feature[used]).tolist()
+        ends = np.concatenate([np.column_stack([table.feature[used], cut[used]]) for cut in (table.above, table.upto)])
+        tests = [(int(f), int(np.searchsorted(ranks.cuts[int(f)], cut))) for f, cut in np.unique(ends[np.isfinite(ends[:, 1])], axis=0)]
+        self.tests = tests
+        self.leaves: list[tuple] | None = None if used.sum(axis=1).max() > SHORT_PATH else []
+        if self.leaves is None:
+            return
+        for i, value in enumerate(table.value):
+            own = np.flatnonzero(used[i])
+            named = table.feature[i, own].tolist()
+            test = lambda f, cut: tests.index((f, int(np.searchsorted(ranks.cuts[f], cut)))) if np.isfinite(cut) else None
+            bounds = [(test(f, table.above[i, d]), test(f, table.upto[i, d])) for f, d in zip(named, own)]
+            outcomes = (np.arange(1 << len(own)) >> np.arange(len(own))[:, None] & 1).astype(bool)
+            self.leaves.append(([self.features.index(f) for f in named], bounds, leaf_values(outcomes, table.share[i, own], value)))
+
+    def grouped(self, ranks: dict[int, np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first row of each pattern of test outcomes, and the pattern of every row."""
+        codes = []
+        for a in range(0, max(1, len(self.tests)), 60):
+            code = np.zeros(rows, np.int32 if len(self.tests) - a <= 31 else np.int64)
+            for f, at in self.tests[a : a + 60]:
+                np.left_shift(code, 1, out=code)
+                code |= ranks[f] > at
+            codes.append(code)
+        if len(codes) > 1:
+            codes = [np.unique(np.column_stack(codes), axis=0, return_inverse=True)[1].ravel()]
+        pattern, kinds = pd.factorize(codes[0])
+        first = np.empty(len(kinds), np.int64)
+        first[pattern[::-1]] = np.arange(rows - 1, -1, -1)
+        return first, pattern
+
+    def add(self, out: np.ndarray, ranks: dict[int, np.ndarray], x: np.ndarray) -> None:
+        """Add the attributions of rows (rows x features) to `out` (features x rows); each pattern is worked out once."""
+        first, pattern = self.grouped(ranks, len(x))
+        if self.leaves is None:
+            values = attributions(self.table, x[first]).T[self.features]
+        else:
+            values = np.zeros((len(self.features), len(first)))
+            over = [ranks[f].take(first) > at for f, at in self.tests]
+            under = [~o for o in over]
+            for features, bounds, found in self.leaves:
+                outcome = np.zeros(len(first), np.uint8)
+                for i, (above, upto) in enumerate(bounds):
+                    known = under[upto] if above is None else over[above] if upto is None else over[above] & under[upto]
+                    outcome |= known.view(np.uint8) << np.uint8(i)
+                outcome = outcome.astype(np.intp)
+                for f, own in zip(features, found):
+                    values[f] += own.take(outcome)
+        for f, own in zip(self.features, values):
+            out[f] += own.take(pattern)
+
+
+class Attributions:
+    """Attributions of blocks of rows by all trees of a model."""
+
+    def __init__(self, tables: list[LeafTable]):
+        self.ranks = Ranks(tables)
+        self.trees = [TreePatterns(t, self.ranks) for t in tables]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Of rows (rows x features), in the same shape."""
+        ranks, out = self.ranks.of(x), np.zeros(x.shape[::-1])
+        for tree in self.trees:
+            tree.add(out, ranks, x)
+        return out.T
+
+
 def patterns(table: LeafTable, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of rows (rows x features): the first row of each pattern of test outcomes, and the pattern of every row."""
-    used = table.feature >= 0
-    ends = np.concatenate([np.column_stack([table.feature[used], cut[used]]) for cut in (table.above, table.upto)])
-    tests = np.unique(ends[np.isfinite(ends[:, 1])], axis=0)
-    codes = np.zeros((max(1, -(-len(tests) // 60)), len(x)), np.int64)
-    for i, (feature, cut) in enumerate(tests):
-        codes[i // 60] |= (x[:, int(feature)] > cut).astype(np.int64) << (i % 60)
-    kind = codes[0] if len(codes) == 1 else np.ascontiguousarray(codes.T).view([("", np.int64)] * len(codes)).ravel()
-    _, first, pattern = np.unique(kind, return_index=True, return_inverse=True)
-    return first, pattern
+    ranks = Ranks([table])
+    return TreePatterns(table, ranks).grouped(ranks.of(x), len(x))
 
 
 def ensemble_attributions(tables: list[LeafTable], x: np.ndarray) -> np.ndarray:
     """Attributions of a block of rows by all trees; each pattern of a tree's outcomes is worked out once."""
-    out = np.zeros_like(x)
-    for table in tables:
-        first, pattern = patterns(table, x)
-        out += attributions(table, x[first])[pattern]
-    return out
+    return Attributions(tables).of(x)
 
 
-def joined(batches: Iterable[pd.Series], rows: int) -> Iterator[np.ndarray]:
+def joined(batches: Iterable[pa.Array | pd.Series], rows: int) -> Iterator[np.ndarray]:
     """Batches of vectors as blocks of at least so many rows, the last as it comes."""
     held: list[np.ndarray] = []
     for batch in batches:
         if len(batch):
-            held.append(np.stack(batch.to_numpy()).astype(float))
+            held.append(matrix(batch) if isinstance(batch, pa.Array) else np.stack(batch.to_numpy()).astype(float))
         if sum(map(len, held)) >= rows:
             yield np.concatenate(held)
             held = []
@@ -179,12 +272,13 @@ def shap_values(model: TreeModel, rows: DataFrame, keep: list[str]) -> DataFrame
     """
     tables = tree_tables(model)
     spark = SparkSession.getActiveSession()
-    shared = spark.sparkContext.broadcast(tables)
+    shared = spark.sparkContext.broadcast(Attributions(tables))
 
-    @F.pandas_udf("array<double>")
-    def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def explain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in joined(batches, JOINED_ROWS):
-            yield pd.Series(list(ensemble_attributions(shared.value, x)))
+            ends = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+            yield pa.ListArray.from_arrays(ends, np.ascontiguousarray(shared.value.of(x)).ravel())
 
     scored = model.transform(rows).withColumn("probability", model.probability())
     return scored.select(

@@ -319,3 +319,23 @@ def test_batches_are_explained_together():
     assert [len(x) for x in got] == [5, 5]  # a call per batch before
     assert np.concatenate(got)[:, 0].tolist() == [v[0] for b in batches for v in b]
     assert list(explain.joined([batches[1]], 5)) == []
+
+
+def test_attributions_of_short_paths_are_looked_up(monkeypatch):
+    rng = np.random.default_rng(3)
+    tables = []
+    for tree in range(4):
+        nodes = {i: {"feature": int(rng.integers(0, 4)), "threshold": float(rng.integers(0, 6)), "left": 2 * i + 1, "right": 2 * i + 2, "value": 0.0} for i in range(15)}
+        nodes |= {i: {"left": -1, "right": -1, "value": rng.normal(), "cover": float(rng.integers(1, 9))} for i in range(15, 31)}
+        for i in reversed(range(15)):
+            nodes[i]["cover"] = nodes[2 * i + 1]["cover"] + nodes[2 * i + 2]["cover"]
+        tables.append(explain.tabulate(explain.leaf_paths(nodes, 1.0)))
+    tables.append(explain.tabulate([(0.7, {})]))  # a tree without a split
+    x = rng.integers(-1, 7, (500, 5)).astype(float)
+    want = np.zeros_like(x)
+    for table in tables:
+        want += explain.attributions(table, x)
+    monkeypatch.setattr(explain, "attributions", None)  # worked out anew for every block before
+    assert np.array_equal(explain.ensemble_attributions(tables, x), want)
+    monkeypatch.undo()
+    assert np.array_equal(explain.ensemble_attributions(tables[-1:], x), np.zeros_like(x))
