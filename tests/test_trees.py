@@ -343,3 +343,17 @@ def test_blocks_are_joined_as_they_come():
     for block in T._chunked(parts(), 8):
         got.append((block.label.tolist(), len(seen)))
     assert [len(x) for x, _ in got] == [7, 5, 9, 1] and [n for _, n in got] == [3, 5, 6, 6]
+
+
+def test_cells_are_those_of_the_ordered_bits(spark, rows, monkeypatch):
+    values = [-math.inf, -1e300, -2.5, -1e-300, -0.0, 0.0, 5e-324, 1.0, 1.0000000000000002, 72.0, math.inf, math.nan, None]
+    table = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "x double, i int")
+    want = [r[0] for r in table.where("x is not null").select(F.shiftright(ordered_bits(F.col("x")), 44)).collect()]
+    assert T.ordered_cells(np.array(values[:-1])).tolist() == want
+    plan = []
+    explode = F.explode
+    monkeypatch.setattr(T.F, "explode", lambda c: plan.append(c) or explode(c))
+    grid = T.binning(table, ["x", "i"])
+    assert not plan  # a row per feature before
+    assert len(grid.borders[0]) == len(set(want)) - 1 and len(grid.borders[1]) == 12
+    assert T.binning(table.where("x is null"), ["x"]).fill == [0.0]
